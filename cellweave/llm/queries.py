@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .simhash import op2_simhash_dedup
+from .substring import op6_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup,)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op6_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

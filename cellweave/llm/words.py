@@ -50,8 +50,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batch: pa.RecordBatch, text: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `size` bytes of text each, a longer text alone."""
-    column = batch.column(text)
-    lengths = np.nan_to_num(np.array(pa.compute.binary_length(column).to_pylist(), dtype=float)) if len(column) else np.zeros(0)
+    lengths = np.diff(text_buffer(batch.column(text))[1])
     begin, total = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > size:
