@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality import op8_quality
 from .simhash import op2_simhash_dedup
 from .substring import op6_substring_dedup
+from .tokens import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op6_substring_dedup)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op6_substring_dedup, op8_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
