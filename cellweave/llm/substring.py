@@ -28,7 +28,7 @@ def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.zeros(len(n), np.uint64)
     for i in np.flatnonzero(n):
         own[i] = window_hashes(h[rows[i] : rows[i + 1]], np.zeros(1, np.int64), int(n[i]))[0]
-    return h, rows, mixed(own + n.astype(np.uint64))
+    return h, rows, mixed(own + n.astype(np.uint64)).view(np.int64).astype(np.int32)
 
 
 def settle(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +46,11 @@ def settle(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, several
 
 
-FOUND = "h long, doc long, own long, pos int, known boolean"
+FOUND = "h long, doc long, own int, pos int, known boolean"
 
 
 def table(h, doc, own, pos, known) -> pa.RecordBatch:
-    columns = [pa.array(h.view(np.int64)), pa.array(doc), pa.array(own.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(known)]
+    columns = [pa.array(h.view(np.int64)), pa.array(doc), pa.array(own), pa.array(pos.astype(np.int32)), pa.array(known)]
     return pa.RecordBatch.from_arrays(columns, ["h", "doc", "own", "pos", "known"])
 
 
@@ -106,7 +106,7 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (p for b in batches for p in pieces(b, 1)):
         h, rows, own = hashed(batch)
         doc = batch.column(0).to_numpy(zero_copy_only=False)
-        named = batch.column(2).to_numpy(zero_copy_only=False) == own.view(np.int64)
+        named = batch.column(2).to_numpy(zero_copy_only=False) == own
         near = np.zeros(len(h) + 1, np.int32)
         for i in np.flatnonzero(named):
             at = np.array(batch.column(3)[i].values, np.int64)
@@ -125,7 +125,7 @@ def by_document(positions: DataFrame) -> DataFrame:
 
 
 def removable_windows(docs: DataFrame) -> DataFrame:
-    """Rows (doc, own, at): start positions of the windows of `docs` (doc, text) that also start in a smaller doc.
+    """Rows (doc, own, at): start positions of the windows of `docs` (doc, words) that also start in a smaller doc.
 
     own is a hash of the text's words; with doc it names a text even where ids repeat.
     """
@@ -138,7 +138,7 @@ def removable_windows(docs: DataFrame) -> DataFrame:
         .select("doc", "own", "pos")
         .union(found.where("known").select("doc", "own", "pos"))
     )
-    with_anchors = docs.join(by_document(shared).withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "text", "own", "at")
+    with_anchors = docs.join(by_document(shared).withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "words", "own", "at")
     around = with_anchors.mapInArrow(windows, FOUND)
     later = (
         around.where("not known")
@@ -172,13 +172,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found = removable_windows(rows.where("doc is not null and text is not null")).withColumnRenamed("doc", "d")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("words"))
+    named, nameless = rows.where("doc is not null"), rows.where("doc is null")
+    found = removable_windows(named).withColumnRenamed("doc", "d")
     per_text = found.groupBy("d").agg(F.collect_list(F.struct("own", "at")).alias("cuts"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b, 1)):
-            own = hashed(batch)[2].view(np.int64)
+            own = hashed(batch)[2]
             words, removed, texts = [], [], []
             for text, mine, cuts in zip(batch.column(1), own, batch.column(2).to_pylist(), strict=True):
                 at = next((c["at"] for c in cuts or [] if c["own"] == mine), None)
@@ -188,7 +189,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 texts.append(b" ".join(kept).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    joined = rows.join(per_text, rows.doc == per_text.d, "left").select("doc", "text", "cuts")
+    # Both joins read one shuffle of the texts; Spark sees that only while the plans of `named` are
+    # the same in each, so its columns have names of their own and no further filters.
+    joined = named.join(per_text, named.doc == per_text.d, "left").select("doc", "words", "cuts")
+    joined = joined.union(nameless.select("doc", "words", F.lit(None).cast(joined.schema["cuts"].dataType)))
     return joined.mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, text string")
 
 
