@@ -44,40 +44,50 @@ class TokenTrie:
     """
 
     def __init__(self, scores: dict[str, float], most_nodes: int = 400_000) -> None:
-        self.scores, self.most_nodes = scores, most_nodes
-        self.longest = max(map(len, scores), default=1)
+        self.most_nodes = most_nodes
+        #: Scores of pieces, and minus infinity for what only ends a piece.
+        self.ends = {piece[i:]: -math.inf for piece in scores for i in range(len(piece))} | scores
+        self.single = {piece for piece in scores if len(piece) == 1}
         self.unknown = min(scores.values(), default=0.0) + UNKNOWN_PENALTY
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+        self.children: list[dict[str, int] | None] = [None]
         self.forward: list[tuple[float, int]] = [(0.0, 0)]
         self.terminal: dict[bytes, int] = {}
 
     def insert(self, word: bytes) -> int:
         """Tokens of a word, with the mark of a space before it."""
         text = SPACE_MARK + word.decode(errors="replace")
-        node, path, scores = 0, [0], self.scores
-        for end, char in enumerate(text, 1):
-            to = self.children[node].get(char)
+        node, end, children = 0, 0, self.children
+        path = [self.forward[0]]
+        for char in text:
+            end += 1
+            below = children[node]
+            to = below.get(char) if below else None
             if to is None:
                 best, count = -math.inf, 0
-                for begin in range(max(0, end - self.longest), end):
-                    if (s := scores.get(text[begin:end])) is not None:
-                        total, n = self.forward[path[begin]]
-                        if total + s > best or total + s == best and n + 1 < count:
-                            best, count = total + s, n + 1
-                if char not in scores:
-                    total, n = self.forward[path[-1]]
+                begin = end - 1
+                while begin >= 0 and (s := self.ends.get(text[begin:end])) is not None:
+                    total, n = path[begin]
+                    if total + s > best or total + s == best and n + 1 < count:
+                        best, count = total + s, n + 1
+                    begin -= 1
+                if char not in self.single:
+                    total, n = path[-1]
                     if total + self.unknown > best:
                         best, count = total + self.unknown, n + len(char.encode())
-                to = self.children[node][char] = len(self.children)
-                self.children.append({})
+                to = len(children)
+                if below is None:
+                    children[node] = {char: to}
+                else:
+                    below[char] = to
+                children.append(None)
                 self.forward.append((best, count))
             node = to
-            path.append(to)
-        self.terminal[word] = self.forward[node][1]
-        return self.terminal[word]
+            path.append(self.forward[to])
+        self.terminal[word] = path[-1][1]
+        return path[-1][1]
 
     def count(self, words: list[bytes]) -> int:
         """Tokens of a list of words. Words new to the trie go in once; a full trie is begun anew."""
