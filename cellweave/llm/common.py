@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in the first column of `ids`; rows with a null doc_id stay.
+
+    The ids are counted first. Up to `most` of them (8 bytes each) are broadcast, so that the
+    texts need no shuffle; more are joined by a shuffle.
+    """
+    gone = cut(ids.select(F.col(ids.columns[0]).alias("gone_id")).where("gone_id is not null").distinct())
+    side = F.broadcast(gone) if gone.count() <= most else gone
+    return docs.join(side, docs["doc_id"] == side["gone_id"], "left_anti")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (id, component): the smallest id reachable, for each id that is not itself the smallest.
 

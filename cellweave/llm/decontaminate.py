@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import read_table, small_batches, without_ids
 from .quality import KINDS
 from .words import pieces, text_buffer, window_hashes, window_starts, word_hashes
 
@@ -177,8 +177,7 @@ def block_leaks(rows: DataFrame, tests: DataFrame, similarity: float) -> DataFra
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that hold a copy of a benchmark item; rows without a doc_id stay."""
-    found = leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, docs.doc_id == found.leak_id, "left_anti")
+    return without_ids(docs, leaks(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

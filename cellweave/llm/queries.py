@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op9_decontamination
+from .language import op1_language_id
 from .quality import op8_quality
 from .simhash import op2_simhash_dedup
 from .substring import op6_substring_dedup
@@ -14,7 +15,7 @@ from .tokens import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op6_substring_dedup, op8_quality, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op6_substring_dedup, op8_quality, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

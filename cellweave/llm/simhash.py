@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, read_table, small_batches
+from .common import connected_components, cut, read_table, small_batches, without_ids
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Shards with more fingerprints are divided once more, by parts of their remaining 32 bits.
@@ -171,8 +171,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each component the document with the smallest doc_id, and rows without a doc_id."""
     found = simhash_components(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == kept.kept_id, "left").where("kept_id is not null or doc_id is null").select(docs.columns)
+    return without_ids(docs, found.where("doc_id <> component_id"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
