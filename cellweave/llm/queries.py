@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op9_decontamination
 from .language import op1_language_id
+from .mixing import OP5_SQL, op5_mixing
+from .preferences import OP4_SQL, op4_preferences
 from .quality import op8_quality
 from .simhash import op2_simhash_dedup
 from .substring import op6_substring_dedup
@@ -15,8 +17,8 @@ from .tokens import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op6_substring_dedup, op8_quality, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op4_preferences, op5_mixing, op6_substring_dedup, op8_quality, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preferences": OP4_SQL, "op5_mixing": OP5_SQL}
