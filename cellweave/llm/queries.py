@@ -10,6 +10,7 @@ from .decontaminate import op9_decontamination
 from .embeddings import OP3_SQL, op3_embedding_dedup
 from .language import op1_language_id
 from .mixing import OP5_SQL, op5_mixing
+from .pages import op7_main_text
 from .preferences import OP4_SQL, op4_preferences
 from .quality import op8_quality
 from .simhash import op2_simhash_dedup
@@ -18,7 +19,7 @@ from .tokens import op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_embedding_dedup, op4_preferences, op5_mixing, op6_substring_dedup, op8_quality, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_embedding_dedup, op4_preferences, op5_mixing, op6_substring_dedup, op7_main_text, op8_quality, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
