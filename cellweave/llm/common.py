@@ -19,16 +19,22 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder that all executors share and go on from there.
+def scratch_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in local
-    tests, a temporary one is used.
+    Only where that is unset, as in local tests, a temporary folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder that all executors share and go on from there."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 

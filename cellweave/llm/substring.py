@@ -162,9 +162,11 @@ def kept_words(text: str | None, at: list[int] | None) -> tuple[list[bytes], int
     return list(compress(words, np.cumsum(cover)[:-1] == 0)), len(words)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), tidy: bool = True) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, text), one for each row of `docs`, text being the words kept, one space between.
 
+    Columns named in `carry` follow. Without `tidy`, texts that lose nothing stay as they are.
+
     A word goes if it lies in a window of WINDOW words whose words also start in a document
     with a smaller id; all windows are judged on the input. A null text counts as empty. A row
     with a null id, or a text below WINDOW words, neither loses words nor takes any. Rows that
@@ -172,7 +174,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("words"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
     named, nameless = rows.where("doc is not null"), rows.where("doc is null")
     found = removable_windows(named).withColumnRenamed("doc", "d")
     per_text = found.groupBy("d").agg(F.collect_list(F.struct("own", "at")).alias("cuts"))
@@ -186,14 +188,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept, n = kept_words(text.as_py(), at)
                 words.append(n)
                 removed.append(n - len(kept))
-                texts.append(b" ".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+                texts.append(b" ".join(kept).decode() if tidy or removed[-1] else text.as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), batch.column(3)], ["doc_id", "n_words", "n_removed", "text", "carried"])
 
     # Both joins read one shuffle of the texts; Spark sees that only while the plans of `named` are
     # the same in each, so its columns have names of their own and no further filters.
-    joined = named.join(per_text, named.doc == per_text.d, "left").select("doc", "words", "cuts")
-    joined = joined.union(nameless.select("doc", "words", F.lit(None).cast(joined.schema["cuts"].dataType)))
-    return joined.mapInArrow(cut_out, "doc_id long, n_words long, n_removed long, text string")
+    joined = named.join(per_text, named.doc == per_text.d, "left").select("doc", "words", "cuts", "carried")
+    joined = joined.union(nameless.select("doc", "words", F.lit(None).cast(joined.schema["cuts"].dataType), "carried"))
+    kept = joined.mapInArrow(cut_out, f"doc_id long, n_words long, n_removed long, text string, carried {joined.schema['carried'].dataType.simpleString()}")
+    return kept.select("doc_id", "n_words", "n_removed", "text", *(F.col("carried")[c].alias(c) for c in carry))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with what remains of their texts; those of which nothing remains go."""
+    kept = substring_dedup(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), tidy=False)
+    kept = kept.where("n_removed = 0 or text <> ''")
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
