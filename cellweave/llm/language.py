@@ -25,6 +25,9 @@ PARENT_WEIGHT, DECLARED_WEIGHT, DECLARED_RIGHT = 8.0, 20.0, 0.7
 #: Least posterior of an accepted language.
 ACCEPT = 0.6
 
+#: Bytes of text whose trigrams are held at once, some 60 bytes for each.
+PIECE = 1 << 20
+
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 
@@ -54,7 +57,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(index) << BITS, np.int64)
-        for batch in (p for b in batches for p in pieces(b, 0)):
+        for batch in (p for b in batches for p in pieces(b, 0, PIECE)):
             bucket, row = trigrams(batch.column(0))
             which = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             n += np.bincount((which[row] << BITS) + bucket, minlength=len(n))
@@ -77,7 +80,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
     names = [*keep, "n_grams", "evidence"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in pieces(b, len(keep))):
+        for batch in (p for b in batches for p in pieces(b, len(keep), PIECE)):
             bucket, row = trigrams(batch.column(len(keep)))
             n = np.bincount(row, minlength=batch.num_rows)
             each = [np.bincount(row, weights=shared.value[:, k][bucket], minlength=batch.num_rows) for k in range(shared.value.shape[1])]
