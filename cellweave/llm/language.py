@@ -94,15 +94,18 @@ def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
     return lower.mapInArrow(score, f"{fields}, n_grams long, evidence array<double>")
 
 
-def normalised(values: list[Column]) -> list[Column]:
-    total = sum(values[1:], values[0])
-    return [v / total for v in values]
+def normalised(values: Column) -> Column:
+    return F.transform(values, lambda v: v / F.aggregate(values, F.lit(0.0), lambda a, b: a + b))
 
 
-def posterior(evidence: list[Column]) -> list[Column]:
-    """Probabilities from log evidence."""
-    top = F.greatest(*evidence) if len(evidence) > 1 else evidence[0]
-    return normalised([F.exp(e - top) for e in evidence])
+def posterior(df: DataFrame, evidence: str, name: str) -> DataFrame:
+    """`df` with the probabilities that an array of log evidence stands for."""
+    weights = F.transform(evidence, lambda e: F.exp(e - F.array_max(evidence)))
+    return df.withColumn("_weights", weights).withColumn(name, normalised(F.col("_weights"))).drop("_weights")
+
+
+def constants(values) -> Column:
+    return F.array(*(F.lit(v if isinstance(v, str) else float(v)) for v in values))
 
 
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
@@ -131,9 +134,11 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
         F.regexp_extract(host, r"\.([a-z]{2,24})$", 1).alias("suffix"),
         "text",
     )
-    start = [F.col("evidence")[k] + float(np.log(PRIOR_UNDETERMINED if k == L - 1 else (1 - PRIOR_UNDETERMINED) / max(1, L - 1))) for k in range(L)]
-    scored = cut(text_evidence(prepared, model).withColumn("says", F.array(*posterior(start))))
-    sums = [F.sum(F.when(F.col("n_grams") > 0, F.col("says")[k]).otherwise(0.0)).alias(f"n{k}") for k in range(L)]
+    prior = np.log([*[(1 - PRIOR_UNDETERMINED) / max(1, L - 1)] * (L - 1), PRIOR_UNDETERMINED])
+    start = text_evidence(prepared, model).withColumn("start", F.zip_with("evidence", constants(prior), lambda e, p: e + p))
+    zeros = constants([0.0] * L)
+    scored = cut(posterior(start, "start", "says").withColumn("says", F.when(F.col("n_grams") > 0, F.col("says")).otherwise(zeros)).drop("start"))
+    sums = [F.sum(F.col("says")[k]).alias(f"n{k}") for k in range(L)]
 
     def level(key: str) -> DataFrame:
         counted = scored.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(*sums)
@@ -142,25 +147,27 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
     everything = scored.agg(*sums).first()
     overall = np.array([everything[k] or 0.0 for k in range(L)])
     root = (overall + 1) / (overall + 1).sum()
-
-    def leaning(n: str, parent: list[Column], less: list[Column] | None = None) -> list[Column]:
-        own = [F.coalesce(F.col(n)[k], F.lit(0.0)) - F.when(F.col(n).isNotNull(), less[k] if less else F.lit(0.0)).otherwise(0.0) for k in range(L)]
-        return normalised([F.greatest(own[k], F.lit(0.0)) + PARENT_WEIGHT * parent[k] for k in range(L)])
-
     joined = scored
     for key in ("declared", "suffix", "domain", "host"):
         joined = joined.join(level(key), F.col(key) == F.col(f"{key}_key"), "left")
-    said = [F.when(F.col("n_grams") > 0, F.col("says")[k]).otherwise(0.0) for k in range(L)]
-    prior = leaning("host_n", leaning("domain_n", [F.lit(float(p)) for p in root], said), said)
-    fused = []
-    for k, name in enumerate(classes):
-        hit = F.when(F.col("declared") == name, DECLARED_RIGHT).otherwise((1 - DECLARED_RIGHT) / max(1, L - 1)) if name != UNDETERMINED else F.lit(1.0 / L)
-        by_markup = F.log((F.coalesce(F.col("declared_n")[k], F.lit(0.0)) + DECLARED_WEIGHT * hit) / float(overall[k] + DECLARED_WEIGHT))
-        by_suffix = F.log((F.col("suffix_n")[k] + PARENT_WEIGHT * float(root[k])) / float(overall[k] + PARENT_WEIGHT))
-        no_suffix = F.lit(0.0)
-        fused.append(F.col("evidence")[k] + F.log(prior[k]) + F.when(F.col("declared").isNotNull(), by_markup).otherwise(0.0) + F.coalesce(by_suffix, no_suffix))
-    final = joined.withColumn("p", F.array(*posterior(fused))).withColumn("top", F.array_max("p"))
-    best = F.element_at(F.array(*map(F.lit, classes)), F.array_position("p", F.col("top")).cast("int"))
+
+    def leaning(df: DataFrame, name: str, counts: str, parent: Column) -> DataFrame:
+        """A level's prior from its counts without the row's own, and its parent's prior."""
+        own = F.when(F.col(counts).isNotNull(), F.zip_with(counts, "says", lambda n, less: F.greatest(n - less, F.lit(0.0)))).otherwise(zeros)
+        return df.withColumn("_sum", F.zip_with(own, parent, lambda n, p: n + PARENT_WEIGHT * p)).withColumn(name, normalised(F.col("_sum"))).drop("_sum")
+
+    joined = leaning(joined, "domain_prior", "domain_n", constants(root))
+    joined = leaning(joined, "host_prior", "host_n", F.col("domain_prior"))
+    names, total = constants(classes), constants(overall)
+    right = lambda k: F.when(k == L - 1, 1.0 / L).when(F.get(names, k) == F.col("declared"), DECLARED_RIGHT).otherwise((1 - DECLARED_RIGHT) / max(1, L - 1))
+    by_markup = F.transform(F.coalesce("declared_n", zeros), lambda n, k: F.log((n + DECLARED_WEIGHT * right(k)) / (F.get(total, k) + DECLARED_WEIGHT)))
+    by_suffix = F.transform("suffix_n", lambda n, k: F.log((n + PARENT_WEIGHT * F.get(constants(root), k)) / (F.get(total, k) + PARENT_WEIGHT)))
+    add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+    fused = add("evidence", F.transform("host_prior", lambda p: F.log(p)))
+    fused = add(fused, F.when(F.col("declared").isNotNull(), by_markup).otherwise(zeros))
+    fused = add(fused, F.coalesce(by_suffix, zeros))
+    final = posterior(joined.withColumn("fused", fused), "fused", "p").withColumn("top", F.array_max("p"))
+    best = F.element_at(names, F.array_position("p", F.col("top")).cast("int"))
     sure = (F.col("n_grams") > 0) & (best != UNDETERMINED) & (F.col("top") >= ACCEPT)
     return final.select(*keep, F.when(sure, best).otherwise(UNDETERMINED).alias("lang"), F.when(F.col("n_grams") > 0, F.col("top")).otherwise(0.0).alias("posterior"), "n_grams", (~sure).alias("rejected"))
 
