@@ -1,0 +1 @@
+"""Cell-by-feature matrices and genomic intervals as Spark DataFrames."""

@@ -1,11 +1,414 @@
-"""All queries of the matrix and interval operators, by name."""
+"""All queries of the matrix and interval operators, by name, over the given tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellweave import session
+from cellweave.functions.columns import peak_name
+from cellweave.functions.lineage import cut
+from cellweave.model import counts_view, dataset, embedding_view, fragments_view, marker_intervals, table
+from cellweave.operators import community, coverage, filters, graph, intervals, layout, normalize, reduce, variable
+from cellweave.plans import pipelines
+from cellweave.plans.sql import ORACLES
+from cellweave.sources.files import dense_to_long
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTERED: dict[str, Query] = {}
+
+MIN_GENES, MAX_GENES, TARGET = 20, 60, 1e4
+MARKERS = ["red widget", "blue bolt", "hot gear"]
+PREFIX = "red"
+REGION = ("R", 1100, 1465)
+
+
+def query(f: Query) -> Query:
+    REGISTERED[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def peaks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as peaks: (peak, name) with a place that follows from the id."""
+    key = F.col("p_partkey")
+    start = (key * 37) % 2500
+    return table(spark, sf_dir, "part").select(key.alias("peak"), peak_name(F.substring(F.lit("ANR"), (key % 3 + 1).cast("int"), F.lit(1)), start, start + 30).alias("name"))
+
+
+def clustered_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = dataset(spark, sf_dir).cells.select("cell", "cluster")
+    return intervals.region_scan(fragments_view(spark, sf_dir), *REGION).join(cells, "cell")
+
+
+def region_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = coverage.dense_coverage(coverage.coverage_sweep(clustered_region(spark, sf_dir), *REGION[1:]), dataset(spark, sf_dir).cells, *REGION[1:])
+    return coverage.tracks(dense)
+
+
+def embedding_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = cut(embedding_view(spark, sf_dir))
+    return vectors, cut(graph.connectivities(graph.knn(vectors, 15)))
+
+
+def vector_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dashboard frame over the vectors: their first two numbers as the place, the third as a marker."""
+    v = embedding_view(spark, sf_dir)
+    cells = v.select("cell", F.concat(F.lit("cell-"), F.col("cell").cast("string")).alias("barcode"))
+    return session.dashboard_frame(cells, v.select("cell", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")), v.select("cell", F.col("cluster").alias("community")), v.select("cell", F.greatest(F.col("vec")[2], F.lit(0.0)).alias("mk")))
+
+
+@query
+def filter_cells(spark, sf_dir):
+    return filters.filter_cells(dataset(spark, sf_dir), MIN_GENES, MAX_GENES).counts
+
+
+@query
+def sparse_cells(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    return filters.kept_cells(data.cells, data.counts, 0, 30)
+
+
+@query
+def filter_genes_sum(spark, sf_dir):
+    return filters.filter_genes(dataset(spark, sf_dir), 750, "sum").counts
+
+
+@query
+def filter_genes_nnz(spark, sf_dir):
+    return filters.filter_genes(dataset(spark, sf_dir), 30, "entries").counts
+
+
+@query
+def filter_genes_strict(spark, sf_dir):
+    return filters.filter_genes(dataset(spark, sf_dir), 750, "sum_strict").counts
+
+
+@query
+def first_n_cells(spark, sf_dir):
+    return filters.first_cells(counts_view(spark, sf_dir), 100)
+
+
+@query
+def select_barcodes(spark, sf_dir):
+    return filters.select_barcodes(dataset(spark, sf_dir), ["Customer#000000003", "Customer#000000007", "nobody"]).counts
+
+
+@query
+def reindex_genes(spark, sf_dir):
+    return filters.reindex(filters.filter_cells(dataset(spark, sf_dir), MIN_GENES, MAX_GENES).counts.select("gene").distinct(), "gene")
+
+
+@query
+def unique_names(spark, sf_dir):
+    return filters.unique_names(dataset(spark, sf_dir).genes)
+
+
+@query
+def normalize_total(spark, sf_dir):
+    return rounded(normalize.normalize_total(counts_view(spark, sf_dir), TARGET), 6, "v")
+
+
+@query
+def log_normalize(spark, sf_dir):
+    return rounded(normalize.log1p(normalize.normalize_total(counts_view(spark, sf_dir), TARGET)), 6, "v")
+
+
+@query
+def marker_expression(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    ids = {k.replace(" ", "_"): v for k, v in filters.marker_ids(data.genes, MARKERS).items()}
+    found = filters.marker_expression(normalize.log1p(normalize.normalize_total(data.counts, TARGET)), data.cells, ids)
+    return rounded(found, 6, *(f"{m}_raw" for m in ids))
+
+
+@query
+def gene_stats(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    return rounded(normalize.gene_moments(data.counts, data.cells.count()), 6, "mean", "mean_sq")
+
+
+@query
+def hvg(spark, sf_dir):
+    kept = filters.filter_genes(filters.filter_cells(dataset(spark, sf_dir), MIN_GENES, MAX_GENES), 1, "sum")
+    logged = cut(normalize.log1p(normalize.normalize_total(kept.counts, TARGET)))
+    genes = cut(logged.select("gene").distinct())
+    found = variable.highly_variable(logged, genes, logged.select("cell").distinct().count(), genes.count())
+    return found.select("gene", F.col("bin").cast("long").alias("bin"), F.round("norm", 4).alias("norm"), "selected")
+
+
+@query
+def preprocess_matrix(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    ready = pipelines.preprocess(data, MARKERS, MIN_GENES, MAX_GENES, 1, TARGET, gene_rule="sum")
+    return rounded(ready.counts, 6, "v").select("cell", "gene", "v")
+
+
+@query
+def qc_prefix_fraction(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    return rounded(normalize.covariates(data.counts, data.cells, filters.with_prefix(data.genes, PREFIX)), 6, "percent")
+
+
+@query
+def regress_out(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    counts = cut(data.counts)
+    covariates = cut(normalize.covariates(counts, data.cells, filters.with_prefix(data.genes, PREFIX)))
+    fit = normalize.regression_coefficients(normalize.log1p(counts), data.genes, covariates)
+    return fit.select("gene", F.round("b0", 5).alias("b0"), F.round("b1", 6).alias("b1"), F.round("b2", 5).alias("b2"), F.round(F.col("squares") - F.col("explained"), 4).alias("rest"))
+
+
+@query
+def regress_residuals(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    counts = cut(data.counts)
+    covariates = cut(normalize.covariates(counts, data.cells, filters.with_prefix(data.genes, PREFIX)))
+    return rounded(normalize.residuals(normalize.log1p(counts), data.cells, data.genes.where(F.col("name") == "red widget"), covariates), 5, "v")
+
+
+@query
+def scale_clip(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    genes = data.genes.where(F.col("name") == "red widget")
+    counts = cut(data.counts.join(genes.select("gene"), "gene", "left_semi").select("cell", "gene", "v"))
+    parameters = normalize.scale_parameters(counts, genes, data.cells.count())
+    return rounded(normalize.scale_rows(filters.densify(counts, data.cells, genes), parameters, 3.0), 6, "v")
+
+
+@query
+def tf_idf(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    return rounded(normalize.tf_idf(data.counts, data.cells.count()), 6, "v")
+
+
+@query
+def log_tf_idf(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    return rounded(normalize.log_tf_idf(data.counts, data.cells.count(), 1e3), 5, "v")
+
+
+@query
+def top_peaks(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    return rounded(intervals.top_peaks(data.counts, data.cells.count(), 100), 6, "frequency")
+
+
+@query
+def parse_peaks(spark, sf_dir):
+    return intervals.parse_peaks(peaks_view(spark, sf_dir))
+
+
+@query
+def interval_overlap(spark, sf_dir):
+    found = intervals.overlap_join(marker_intervals(spark), fragments_view(spark, sf_dir), 100, 0, width=500)
+    return found.select("gene", "chrom", "start", "end", "cell", "strand")
+
+
+@query
+def gene_activity(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    peaks = intervals.parse_peaks(peaks_view(spark, sf_dir))
+    return rounded(intervals.gene_activity(data.counts, peaks, marker_intervals(spark), data.cells, 50, 0, width=500), 6, "activity")
+
+
+@query
+def region_scan(spark, sf_dir):
+    return intervals.region_scan(fragments_view(spark, sf_dir), *REGION)
+
+
+@query
+def region_string_scan(spark, sf_dir):
+    return intervals.region_string_scan(fragments_view(spark, sf_dir), "A:301-400")
+
+
+@query
+def read_fragments(spark, sf_dir):
+    return intervals.fragment_table(intervals.region_scan(fragments_view(spark, sf_dir), *REGION))
+
+
+@query
+def cumulative_length(spark, sf_dir):
+    rows = intervals.fragment_table(intervals.region_scan(fragments_view(spark, sf_dir), *REGION))
+    return intervals.cumulative_length(rows).select("row_num", "end_index")
+
+
+@query
+def count_fragments(spark, sf_dir):
+    return intervals.count_fragments(fragments_view(spark, sf_dir))
+
+
+@query
+def cluster_fragment_sum(spark, sf_dir):
+    return coverage.cluster_fragment_sums(intervals.count_fragments(fragments_view(spark, sf_dir)), dataset(spark, sf_dir).cells)
+
+
+@query
+def closest_to_depth(spark, sf_dir):
+    return coverage.closest_to(cluster_fragment_sum(spark, sf_dir), 6000, 2)
+
+
+@query
+def coverage_by_base(spark, sf_dir):
+    return coverage.coverage(clustered_region(spark, sf_dir), *REGION[1:])
+
+
+REGISTERED["coverage"] = REGISTERED.pop("coverage_by_base")
+
+
+@query
+def coverage_sweep(spark, sf_dir):
+    return coverage.coverage_sweep(clustered_region(spark, sf_dir), *REGION[1:])
+
+
+@query
+def coverage_dense(spark, sf_dir):
+    return coverage.dense_coverage(coverage.coverage_sweep(clustered_region(spark, sf_dir), *REGION[1:]), dataset(spark, sf_dir).cells, *REGION[1:])
+
+
+@query
+def tile_padded(spark, sf_dir):
+    """Tiles of 50 bases with 5 more on each side."""
+    found = coverage.tiles(region_tracks(spark, sf_dir), 50, 5)
+    return found.select("cluster", "tile", F.posexplode("values").alias("k", "value"))
+
+
+@query
+def denoise_identity(spark, sf_dir):
+    found = coverage.denoise(coverage.tiles(region_tracks(spark, sf_dir), 50), coverage.identity_model)
+    return coverage.untile(found, value="signal").select("cluster", F.posexplode("track").alias("k", "signal"))
+
+
+@query
+def call_peaks(spark, sf_dir):
+    found = coverage.denoise(coverage.tiles(region_tracks(spark, sf_dir), 50), coverage.identity_model)
+    return coverage.call_peaks(coverage.untile(found, value="peak"), REGION[1])
+
+
+@query
+def denoise_average(spark, sf_dir):
+    found = coverage.denoise(coverage.tiles(region_tracks(spark, sf_dir), 350), coverage.moving_average_model(51))
+    return rounded(coverage.untile(found, value="signal").select("cluster", F.posexplode("track").alias("k", "signal")), 6, "signal")
+
+
+@query
+def dense_unpivot(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    kinds = [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    dense = orders.groupBy("o_custkey").pivot("o_orderpriority", kinds).agg(F.sum("o_totalprice")).na.fill(0.0)
+    return dense_to_long(dense, "o_custkey")
+
+
+@query
+def knn_exact(spark, sf_dir):
+    return rounded(graph.knn(embedding_view(spark, sf_dir), 15), 6, "dist")
+
+
+@query
+def connectivities(spark, sf_dir):
+    return rounded(graph.connectivities(graph.knn(embedding_view(spark, sf_dir), 15)), 6, "weight")
+
+
+@query
+def pca_covariance(spark, sf_dir):
+    return rounded(reduce.covariance(embedding_view(spark, sf_dir)), 6, "cov")
+
+
+@query
+def pca_scores(spark, sf_dir):
+    return reduce.pca(cut(embedding_view(spark, sf_dir)), 20)
+
+
+@query
+def pca_on_first(spark, sf_dir):
+    return reduce.pca_on_first(cut(embedding_view(spark, sf_dir)), 20, 0.35)
+
+
+@query
+def leading_components(spark, sf_dir):
+    return reduce.leading(pca_scores(spark, sf_dir), 10)
+
+
+@query
+def kmeans(spark, sf_dir):
+    return reduce.kmeans(embedding_view(spark, sf_dir), 10)
+
+
+@query
+def select_groups(spark, sf_dir):
+    return reduce.select_groups(embedding_view(spark, sf_dir).select("cell", F.col("cluster").alias("group")))
+
+
+@query
+def rank_groups_logreg(spark, sf_dir):
+    v = embedding_view(spark, sf_dir)
+    return reduce.rank_features(v.select("cell", "vec"), v.select("cell", F.col("cluster").alias("group")), n_features=20)
+
+
+@query
+def louvain(spark, sf_dir):
+    vectors, edges = embedding_graph(spark, sf_dir)
+    return community.louvain(edges, vectors)
+
+
+@query
+def leiden(spark, sf_dir):
+    vectors, edges = embedding_graph(spark, sf_dir)
+    return community.leiden(edges, vectors)
+
+
+@query
+def umap(spark, sf_dir):
+    vectors, edges = embedding_graph(spark, sf_dir)
+    return layout.umap(edges, layout.initial_positions(reduce.pca(vectors, 2)), epochs=15)
+
+
+@query
+def tsne(spark, sf_dir):
+    vectors = cut(embedding_view(spark, sf_dir))
+    near = cut(graph.knn(vectors, 45))
+    return layout.tsne(layout.affinities(near, 15), layout.initial_positions(reduce.pca(vectors, 2)), iterations=15)
+
+
+@query
+def recluster_subset(spark, sf_dir):
+    """Components, graph and communities anew of the vectors whose first number is positive."""
+    v = cut(embedding_view(spark, sf_dir))
+    found = pipelines.recluster(v.select("cell", "vec"), v.where(F.col("vec")[0] > 0), n_pcs=20)
+    return found["leiden"]
+
+
+@query
+def dashboard_frame(spark, sf_dir):
+    return rounded(vector_frame(spark, sf_dir), 6, "x", "y", "mk")
+
+
+@query
+def violin_counts(spark, sf_dir):
+    return session.violin_counts(vector_frame(spark, sf_dir), "mk")
+
+
+@query
+def scatter_series(spark, sf_dir):
+    add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), 5)
+    found = session.scatter_series(vector_frame(spark, sf_dir))
+    return found.select("labels", "n", add("x").alias("sum_x"), add("y").alias("sum_y"), F.col("point_index")[0].alias("first_point"))
+
+
+@query
+def label_toggle(spark, sf_dir):
+    labels = vector_frame(spark, sf_dir).select("labels")
+    return session.toggle_rows(labels.where("labels % 2 = 0"), labels.where("labels < 5"))
