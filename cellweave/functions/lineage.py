@@ -1,19 +1,38 @@
-"""Cutting lineage and remembering small results."""
+"""Cutting lineage: results written to a folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder that all executors share and go on from there.
+def scratch_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in local
-    tests, a temporary one is used.
+    Only where that is unset, as in local tests, a temporary folder is used.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` and go on from there."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as a table to the same folder and read it again.
+
+    Unlike after a checkpoint, nothing that the optimizer has inferred about the rows goes along;
+    over many rounds of a loop that would grow beyond all bounds.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

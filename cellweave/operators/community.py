@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.lineage import cut
+from cellweave.functions.lineage import stored
 from cellweave.operators.graph import connected_components
 
 
@@ -31,10 +31,9 @@ def move_nodes(arcs: DataFrame, start: DataFrame, total: float, resolution: floa
 
     `start` has id, c, degree k and home; a node stays among the communities of its home. In each
     round only the half of the nodes that a hash picks may move, so that two nodes do not swap
-    places for ever; a round that lowers the modularity is dropped and ends the moves.
+    places for ever. Two rounds without a move end it. A round is one job and a count.
     """
-    now = cut(start)
-    quality = None
+    now = start
     idle = 0
     for turn in range(rounds):
         places = now.select(F.col("id").alias("dst"), "c", F.col("home").alias("dst_home"))
@@ -49,22 +48,11 @@ def move_nodes(arcs: DataFrame, start: DataFrame, total: float, resolution: floa
         best = rated.groupBy("src", "own", "k", "home").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
         free = F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(2)) == 0
         moves = free & (F.col("gain") > F.col("stay"))
-        after = cut(best.select(F.col("src").alias("id"), F.when(moves, F.col("best")).otherwise(F.col("own")).alias("c"), "k", "home", moves.alias("moved")))
-        moved = after.where("moved").count()
-        after = after.drop("moved")
-        idle = 0 if moved else idle + 1
+        after = stored(best.select(F.col("src").alias("id"), F.when(moves, F.col("best")).otherwise(F.col("own")).alias("c"), "k", "home", moves.alias("moved")))
+        now = after.drop("moved")
+        idle = 0 if after.where("moved").count() else idle + 1
         if idle == 2:
             break
-        if moved:
-            # The sum over communities of inside weight, less what degrees give, decides.
-            c = after.select(F.col("id").alias("src"), F.col("c").alias("cs")), after.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
-            within = arcs.join(c[0], "src").join(c[1], "dst").where("cs = cd").agg(F.sum("weight")).first()[0] or 0.0
-            chance = after.groupBy("c").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0]
-            new = within / total - resolution * chance / total**2
-            if quality is not None and new < quality - 1e-12:
-                break
-            quality = new
-            now = after
     return now
 
 
@@ -90,7 +78,7 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refine: bool, levels: int, rounds: int) -> DataFrame:
-    arcs = cut(both_ways(edges))
+    arcs = stored(both_ways(edges))
     total = arcs.agg(F.sum("weight")).first()[0] or 1.0
     members = nodes.select(F.col("cell").alias("id"), F.col("cell").alias("node"))
     level_arcs, parts = arcs, None
@@ -100,9 +88,9 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refine: b
         degree = level_arcs.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
         start = ids.join(degree, "id", "left").na.fill(0.0, ["k"])
         start = start.join(parts, "id", "left") if parts is not None else start.withColumn("c", F.col("id"))
-        before = cut(start.select("id", F.coalesce("c", "id").alias("c"), "k", F.lit(0).cast("long").alias("home")))
+        before = stored(start.select("id", F.coalesce("c", "id").alias("c"), "k", F.lit(0).cast("long").alias("home")))
         moved = move_nodes(level_arcs, before, total, resolution, rounds)
-        labels = cut(members.join(moved.select(F.col("id").alias("node"), "c"), "node").select("id", "c"))
+        labels = stored(members.join(moved.select(F.col("id").alias("node"), "c"), "node").select("id", "c"))
         merged = moved.select("c").distinct().count()
         if merged == ids.count():
             break
@@ -112,12 +100,12 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refine: b
         else:
             fine = moved.withColumn("home", F.col("c"))
         names = fine.groupBy("c").agg(F.min("id").alias("name"))
-        fine = cut(fine.join(names, "c").select("id", F.col("name").alias("c"), "home"))
-        members = cut(members.join(fine.select(F.col("id").alias("node"), "c"), "node").select("id", F.col("c").alias("node")))
-        level_arcs = cut(contract(level_arcs, fine))
+        fine = stored(fine.join(names, "c").select("id", F.col("name").alias("c"), "home"))
+        members = stored(members.join(fine.select(F.col("id").alias("node"), "c"), "node").select("id", F.col("c").alias("node")))
+        level_arcs = stored(contract(level_arcs, fine))
         # The next level starts from the coarse communities, each named by one of its parts.
         homes = fine.groupBy("home").agg(F.min("c").alias("lead"))
-        parts = cut(fine.select(F.col("c").alias("id"), "home").distinct().join(homes, "home").select("id", F.col("lead").alias("c"))) if refine else None
+        parts = stored(fine.select(F.col("c").alias("id"), "home").distinct().join(homes, "home").select("id", F.col("lead").alias("c"))) if refine else None
     return labels
 
 

@@ -118,5 +118,6 @@ def marker_expression(counts: DataFrame, cells: DataFrame, markers: dict[str, in
 
 
 def marker_ids(genes: DataFrame, names: list[str]) -> dict[str, int]:
-    """The smallest gene id of each name (the names are a short list)."""
-    return {r["name"]: r["gene"] for r in genes.where(F.col("name").isin(names)).groupBy("name").agg(F.min("gene").alias("gene")).collect()}
+    """The smallest gene id of each name that there is, in the order of the (short) list."""
+    found = {r["name"]: r["gene"] for r in genes.where(F.col("name").isin(names)).groupBy("name").agg(F.min("gene").alias("gene")).collect()}
+    return {n: found[n] for n in names if n in found}

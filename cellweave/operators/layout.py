@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import clip
-from cellweave.functions.lineage import cut
+from cellweave.functions.lineage import stored
 from cellweave.operators.filters import reindex
 
 
@@ -59,10 +59,10 @@ def umap(edges: DataFrame, start: DataFrame, epochs: int = 200, min_dist: float
     """
     a, b = curve(min_dist, spread)
     top = edges.agg(F.max("weight")).first()[0] or 1.0
-    arcs = cut(edges.select("src", "dst", (F.col("weight") / top).alias("w")).union(edges.select("dst", "src", (F.col("weight") / top).alias("w"))))
-    index = cut(reindex(start.select("cell"), "cell"))
+    arcs = stored(edges.select("src", "dst", (F.col("weight") / top).alias("w")).union(edges.select("dst", "src", (F.col("weight") / top).alias("w"))))
+    index = stored(reindex(start.select("cell"), "cell"))
     n = max(1, index.count())
-    now = cut(start.select("cell", "x", "y"))
+    now = stored(start.select("cell", "x", "y"))
     for epoch in range(epochs):
         picks = F.explode(F.transform(F.sequence(F.lit(1), F.lit(negatives)), lambda j: F.pmod(F.xxhash64("cell", F.lit(seed), F.lit(epoch), j), F.lit(n))))
         away = now.select(F.col("cell").alias("src"), picks.alias("position")).join(index, "position").select("src", F.col("cell").alias("dst")).where("src <> dst")
@@ -74,7 +74,7 @@ def umap(edges: DataFrame, start: DataFrame, epochs: int = 200, min_dist: float
         sums = forces.groupBy("cell").agg(F.sum(clip(F.col("fx"), -4, 4)).alias("fx"), F.sum(clip(F.col("fy"), -4, 4)).alias("fy"))
         step = rate * (1 - epoch / epochs)
         move = lambda f: step * clip(F.coalesce(f, F.lit(0.0)), -4, 4)
-        now = cut(now.join(sums, "cell", "left").select("cell", (F.col("x") + move(F.col("fx"))).alias("x"), (F.col("y") + move(F.col("fy"))).alias("y")))
+        now = stored(now.join(sums, "cell", "left").select("cell", (F.col("x") + move(F.col("fx"))).alias("x"), (F.col("y") + move(F.col("fy"))).alias("y")))
     return now
 
 
@@ -113,8 +113,8 @@ def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float
     that hold the cells, a summary of bounded size that each iteration makes by a grouped sum.
     Momentum is 0.5, then 0.8; the first quarter exaggerates the attraction.
     """
-    arcs = cut(joint.select("src", "dst", "weight").union(joint.select("dst", "src", "weight")))
-    now = cut(start.select("cell", (F.col("x") * 1e-2).alias("x"), (F.col("y") * 1e-2).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")))
+    arcs = stored(joint.select("src", "dst", "weight").union(joint.select("dst", "src", "weight")))
+    now = stored(start.select("cell", (F.col("x") * 1e-2).alias("x"), (F.col("y") * 1e-2).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")))
     n = max(1, now.count())
     rate = rate or max(50.0, n / exaggeration)
     for turn in range(iterations):
@@ -135,7 +135,7 @@ def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float
                 columns = [batch.column(0), pa.array((m * q * q * dx).sum(axis=1)), pa.array((m * q * q * dy).sum(axis=1)), pa.array(z)]
                 yield pa.RecordBatch.from_arrays(columns, ["cell", "rx", "ry", "z"])
 
-        repulsion = cut(now.select("cell", "x", "y").mapInArrow(push, "cell long, rx double, ry double, z double"))
+        repulsion = stored(now.select("cell", "x", "y").mapInArrow(push, "cell long, rx double, ry double, z double"))
         z = max(repulsion.agg(F.sum("z")).first()[0], 1e-12)
         near = _ends(arcs, now)
         q = F.col("weight") / (1 + F.col("d2"))
@@ -145,5 +145,5 @@ def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float
         rows = now.join(repulsion, "cell").join(pull, "cell", "left")
         speed = lambda v, a, r: momentum * F.col(v) - rate * 4 * (gain * F.coalesce(F.col(a), F.lit(0.0)) - F.col(r) / z)
         rows = rows.withColumns({"vx": clip(speed("vx", "ax", "rx"), -5, 5), "vy": clip(speed("vy", "ay", "ry"), -5, 5)})
-        now = cut(rows.select("cell", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"))
+        now = stored(rows.select("cell", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"))
     return now.select("cell", "x", "y")
