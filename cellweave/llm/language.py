@@ -197,7 +197,9 @@ def page_rows(pages: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that are rejected; rows without a doc_id stay."""
     languages, model = model_of(docs)
-    return without_ids(docs, identify(document_rows(docs), languages, model).where("rejected"))
+    # Cut first: a filter on the decision would be pushed below all that leads to it, and repeat it.
+    found = cut(identify(document_rows(docs), languages, model).select("doc_id", "rejected"))
+    return without_ids(docs, found.where("rejected"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
