@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.functions.lineage import cut, scratch_folder
+from cellweave.operators.graph import connected_components
+
+__all__ = ["connected_components", "cut", "read_table", "scratch_folder", "small_batches", "without_ids"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,25 +22,6 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors share.
-
-    Only where that is unset, as in local tests, a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder that all executors share and go on from there."""
-    scratch_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def without_ids(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Rows of `docs` whose doc_id is not in the first column of `ids`; rows with a null doc_id stay.
 
@@ -47,29 +31,3 @@ def without_ids(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataF
     gone = cut(ids.select(F.col(ids.columns[0]).alias("gone_id")).where("gone_id is not null").distinct())
     side = F.broadcast(gone) if gone.count() <= most else gone
     return docs.join(side, docs["doc_id"] == side["gone_id"], "left_anti")
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Rows (id, component): the smallest id reachable, for each id that is not itself the smallest.
-
-    `edges` has columns src and dst. Alternates the large-star and small-star steps, each a
-    grouped minimum joined back to its edges, until the edges form stars around the minima.
-    Every round is written to the checkpoint folder; the driver sees a count and a checksum.
-    """
-    stars = cut(
-        edges.where("src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-    )
-    seen = None
-    while True:
-        both = stars.union(stars.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(small.union(least).distinct())
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen or now[0] == 0:
-            return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = now

@@ -31,11 +31,11 @@ SCOPE = frozenset("ul ol dl table article section div body html nav aside header
 
 SKIPPED_TAGS = frozenset("head nav footer aside form button dialog menu fieldset".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
-COMMENT_NAMES = frozenset("comment comments disqus respond reply replies commentlist".split())
+COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
 SKIPPED_NAMES = COMMENT_NAMES | frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices alert newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
-    "topbar share sharing social related recommended popup modal overlay toolbar pagination pager widget login search copyright".split()
+    "topnav subnav sidenav topbar share sharing social related recommended popup modal overlay toolbar pagination pager widget login search copyright teaser teasers rail".split()
 )
 
 
