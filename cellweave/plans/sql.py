@@ -39,8 +39,8 @@ VIEWS = {
     "region": """SELECT * FROM fragments WHERE chrom = 'R' AND "start" < 1465 AND "end" > 1100""",
     "clustered": """SELECT f.*, c.cluster FROM region f JOIN cells c USING (cell)""",
     "cut": """SELECT cluster, greatest("start", 1100) AS s, least("end", 1465) AS e FROM clustered""",
-    "depths": "SELECT cluster, pos, count(*) AS depth FROM (SELECT cluster, unnest(range(s, e)) AS pos FROM cut) GROUP BY 1, 2",
-    "grid": "SELECT cluster, pos FROM (SELECT DISTINCT cluster FROM cells), (SELECT unnest(range(1100, 1465)) AS pos)",
+    "depths": "SELECT cluster, pos, count(*) AS depth FROM (SELECT cluster, unnest(range(s, e))::INTEGER AS pos FROM cut) GROUP BY 1, 2",
+    "grid": "SELECT cluster, pos FROM (SELECT DISTINCT cluster FROM cells), (SELECT unnest(range(1100, 1465))::INTEGER AS pos)",
     "dense": "SELECT cluster, pos, coalesce(depth, 0) AS depth FROM grid LEFT JOIN depths USING (cluster, pos)",
     "fcount": "SELECT cell, count(*) AS fragments FROM fragments GROUP BY 1",
     "padded": """SELECT gene, chrom, strand, "start" AS gs, "end" AS ge, "start" - CASE strand WHEN 'rev' THEN @DOWN ELSE @UP END AS lo, "end" + CASE strand WHEN 'rev' THEN @UP ELSE @DOWN END AS hi FROM markers""",
