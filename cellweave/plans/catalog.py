@@ -317,6 +317,11 @@ def knn_exact(spark, sf_dir):
     return rounded(graph.knn(embedding_view(spark, sf_dir), 15), 6, "dist")
 
 
+@query
+def knn_approximate(spark, sf_dir):
+    return rounded(graph.knn_approximate(cut(embedding_view(spark, sf_dir)), 15), 6, "dist")
+
+
 @query
 def connectivities(spark, sf_dir):
     return rounded(graph.connectivities(graph.knn(embedding_view(spark, sf_dir), 15)), 6, "weight")

@@ -39,6 +39,15 @@ def test_knn(blobs, block, own):
     assert all(abs(r.dist - d[r.src, r.dst]) < 1e-9 for r in got)
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_knn_approximate(blobs, block):
+    _, df = blobs
+    exact = {(r.src, r.dst) for r in graph.knn(df, 5).collect()}
+    got = graph.knn_approximate(df, 5, block=block).collect()
+    assert len({(r.src, r.dst) for r in got}) == len(got) and all(r.src != r.dst for r in got)
+    assert len(exact & {(r.src, r.dst) for r in got}) >= 0.9 * len(exact)
+
+
 def test_membership_weights(blobs):
     _, df = blobs
     near = graph.knn(df, 8).cache()
