@@ -67,15 +67,21 @@ class Gathered:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """One document's occurrences of each hash, and apart those whose answer is known already.
+        """One occurrence of each hash in one document, and apart those whose answer is known already.
 
         Of a hash that several documents of the portion hold, only the smallest document goes
-        on to the shuffle, so a passage of any number of documents has few rows there.
+        on to the shuffle, so a passage of any number of documents has few rows there. Where a
+        text repeats a window, its first stands for all; `everywhere` finds the others again.
         """
         if not self.size:
             return
         h, doc, own, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
+        order = np.lexsort((pos, own, doc, h))
+        h, doc, own, pos = h[order], doc[order], own[order], pos[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
+        h, doc, own, pos = h[first], doc[first], own[first], pos[first]
         later, several = settle(h, doc)
         known = several if self.anchors else later
         if known.any():
@@ -83,6 +89,12 @@ class Gathered:
         yield table(h[~later], doc[~later], own[~later], pos[~later], np.zeros((~later).sum(), bool))
 
 
+def everywhere(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """All positions in a text of word hashes h whose n-word window is like one at the positions `at`."""
+    every = window_hashes(h, np.arange(len(h) - n + 1), n)
+    return np.flatnonzero(np.isin(every, every[at]))
+
+
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the ANCHOR-word windows that start at cover positions of (id, text) rows."""
     on_cover = np.isin(np.arange(PERIOD), COVER)
@@ -109,7 +121,7 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = batch.column(2).to_numpy(zero_copy_only=False) == own
         near = np.zeros(len(h) + 1, np.int32)
         for i in np.flatnonzero(named):
-            at = np.array(batch.column(3)[i].values, np.int64)
+            at = everywhere(h[rows[i] : rows[i + 1]], np.array(batch.column(3)[i].values, np.int64), ANCHOR)
             begin = rows[i] + np.maximum(at - PERIOD + 1, 0)
             np.add.at(near, begin, 1)
             np.add.at(near, rows[i] + at + 1, -1)
@@ -150,13 +162,12 @@ def removable_windows(docs: DataFrame) -> DataFrame:
     return by_document(later)
 
 
-def kept_words(text: str | None, at: list[int] | None) -> tuple[list[bytes], int]:
+def kept_words(text: str | None, at: np.ndarray | None) -> tuple[list[bytes], int]:
     """The words of a text that no window at the given starts covers, and the number of all words."""
     words = (text or "").encode().split()
-    if not at:
+    if at is None:
         return words, len(words)
     cover = np.zeros(len(words) + 1, np.int32)
-    at = np.array(at)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + WINDOW, -1)
     return list(compress(words, np.cumsum(cover)[:-1] == 0)), len(words)
@@ -181,10 +192,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b, 1)):
-            own = hashed(batch)[2]
+            h, rows, own = hashed(batch)
             words, removed, texts = [], [], []
-            for text, mine, cuts in zip(batch.column(1), own, batch.column(2).to_pylist(), strict=True):
+            for i, (text, mine, cuts) in enumerate(zip(batch.column(1), own, batch.column(2).to_pylist(), strict=True)):
                 at = next((c["at"] for c in cuts or [] if c["own"] == mine), None)
+                at = everywhere(h[rows[i] : rows[i + 1]], np.array(at), WINDOW) if at else None
                 kept, n = kept_words(text.as_py(), at)
                 words.append(n)
                 removed.append(n - len(kept))

@@ -38,7 +38,7 @@ def corpus(seed):
             w[cut:cut] = p if r.random() < 0.7 else p[: r.randrange(len(p) + 1)]
         rows.append((i * 3, r.choice([" ", "\n", "\t \x0b"]).join(w)))
     rows += [(900 + i, t) for i, (_, t) in enumerate(rows[:20])]
-    rows += [rows[3], rows[4], (9, rows[7][1]), (None, rows[5][1]), (950, None), (951, ""), (952, " \t"), (953, "a b " * 30000), (954, "a b " * 300)]
+    rows += [rows[3], rows[4], (9, rows[7][1]), (None, rows[5][1]), (950, None), (951, ""), (952, " \t"), (953, "a b " * 30000), (954, "a b " * 300), (955, "x " * 90), (956, "y " + "x " * 400 + "z " + "x " * 60)]
     r.shuffle(rows)
     return rows
 
