@@ -107,8 +107,12 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns with epoch, tokens, block and position, a row for each place in the mixture."""
-    plan = mixture_plan(counted(docs)).drop("source").withColumnRenamed("doc_id", "id")
+    """The documents' columns with epoch, tokens, block and position, a row for each place in the mixture.
+
+    Rows that share a doc_id, or have none, are one document: they are counted and placed together.
+    """
+    whole = counted(docs).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
+    plan = mixture_plan(whole).drop("source").withColumnRenamed("doc_id", "id")
     return docs.join(plan, docs.doc_id.eqNullSafe(plan.id)).drop("id")
 
 

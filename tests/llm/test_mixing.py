@@ -82,4 +82,7 @@ def test_word_count_stage_and_empty(spark):
     assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
     out = mixing_stage(spark, df, "")
     assert out.columns == [*df.columns, "epoch", "tokens", "block", "position"] and out.count() > 0
+    twice = df.union(df.where("doc_id = 2")).union(spark.createDataFrame([(None, "a b", "en", "s", 3), (None, "c", "en", "s", 1)], df.schema))
+    places = {(r.doc_id, r.epoch): r["count"] for r in mixing_stage(spark, twice, "").groupBy("doc_id", "epoch").count().collect()}
+    assert places[2, 0] == 2 and places[None, 0] == 2 and places[3, 0] == 1
     assert mixture_plan(df.limit(0).selectExpr("doc_id", "source", "n_chars as tokens")).count() == 0
