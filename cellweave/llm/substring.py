@@ -31,21 +31,6 @@ def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, rows, mixed(own + n.astype(np.uint64)).view(np.int64).astype(np.int32)
 
 
-def settle(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For occurrences of hashes h in documents doc: which have a smaller document among them, and which hashes have several."""
-    order = np.lexsort((doc, h))
-    hs, ds = h[order], doc[order]
-    new = np.concatenate(([True], hs[1:] != hs[:-1]))
-    at = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    first = ds[at]
-    last = ds[np.concatenate((at[1:], [len(ds)])) - 1]
-    later, several = np.empty(len(h), bool), np.empty(len(h), bool)
-    later[order] = ds > first[group]
-    several[order] = (last > first)[group]
-    return later, several
-
-
 FOUND = "h long, doc long, own int, pos int, known boolean"
 
 
@@ -77,16 +62,17 @@ class Gathered:
             return
         h, doc, own, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        order = np.lexsort((pos, own, doc, h))
-        h, doc, own, pos = h[order], doc[order], own[order], pos[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])
-        h, doc, own, pos = h[first], doc[first], own[first], pos[first]
-        later, several = settle(h, doc)
-        known = several if self.anchors else later
-        if known.any():
-            yield table(h[known], doc[known], own[known], pos[known], np.ones(known.sum(), bool))
-        yield table(h[~later], doc[~later], own[~later], pos[~later], np.zeros((~later).sum(), bool))
+        order = np.argsort(h, kind="stable")
+        hs, ds, texts = h[order], doc[order], own[order]
+        new = np.concatenate(([True], hs[1:] != hs[:-1]))
+        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+        least, most = np.minimum.reduceat(ds, begin)[group], np.maximum.reduceat(ds, begin)[group]
+        # A text's occurrences follow each other, and the sort leaves them in order.
+        new[1:] |= (ds[1:] != ds[:-1]) | (texts[1:] != texts[:-1])
+        known = new & (most > least if self.anchors else ds > least)
+        for rows, told in ((np.sort(order[known]), True), (np.sort(order[new & (ds == least)]), False)):
+            if len(rows):
+                yield table(h[rows], doc[rows], own[rows], pos[rows], np.full(len(rows), told))
 
 
 def everywhere(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
