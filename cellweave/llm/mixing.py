@@ -112,8 +112,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that share a doc_id, or have none, are one document: they are counted and placed together.
     """
     whole = counted(docs).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
-    plan = mixture_plan(whole).drop("source").withColumnRenamed("doc_id", "id")
-    return docs.join(plan, docs.doc_id.eqNullSafe(plan.id)).drop("id")
+    plan = mixture_plan(whole).drop("source").withColumnRenamed("doc_id", "_placed_id")
+    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_placed_id"])).drop("_placed_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
