@@ -44,12 +44,23 @@ DEEPEST = 200
 
 
 class Node:
-    __slots__ = ("tag", "children", "skip", "main", "texts")
+    __slots__ = ("tag", "children", "skip", "main", "texts", "shape")
 
     def __init__(self, tag: str, skip: bool, main: bool) -> None:
         self.tag, self.skip, self.main = tag, skip, main
         self.children: list[Node] = []
         self.texts: list[int] = []
+        self.shape = 0
+
+
+def set_shapes(root: Node) -> None:
+    """Give every element a number that elements with the same tags in the same order below them share."""
+    nodes, k = [root], 0
+    while k < len(nodes):
+        nodes.extend(nodes[k].children)
+        k += 1
+    for node in reversed(nodes):
+        node.shape = hash((node.tag, tuple(c.shape for c in node.children)))
 
 
 def marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
@@ -133,34 +144,52 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
         parent.children.append(node)
         stack.append(node)
     flush()
+    set_shapes(root)
     return root, blocks, owners
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching of two elements with equal tags: the most nodes that pair up in order and depth, put in `pairs`."""
+def pair_all(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
+    """Pair up two elements of the same shape with all below them."""
+    begin = len(pairs)
+    todo = [(a, b)]
+    while todo:
+        u, v = todo.pop()
+        pairs.append((u, v))
+        todo.extend(zip(u.children, v.children, strict=True))
+    return len(pairs) - begin
+
+
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], known: dict[tuple[int, int], int] | None = None) -> int:
+    """Simple tree matching of two elements with equal tags: the most nodes that pair up in order and depth, put in `pairs`.
+
+    `known` has the sizes of matchings by the two elements' shapes.
+    """
+    known = {} if known is None else known
     pairs.append((a, b))
     x, y = a.children, b.children
-    size, begin = 1, 0
-    # Leading leaves of equal tags pair off; no other pairing has more nodes.
-    while begin < len(x) and begin < len(y) and x[begin].tag == y[begin].tag and not x[begin].children and not y[begin].children:
-        pairs.append((x[begin], y[begin]))
+    size, begin, end = 1, 0, 0
+    # Elements of the same shape at the ends of the lists pair off; no other pairing has more nodes.
+    while begin < len(x) and begin < len(y) and x[begin].shape == y[begin].shape:
+        size += pair_all(x[begin], y[begin], pairs)
         begin += 1
-    size += begin
-    x, y = x[begin:], y[begin:]
+    while end < len(x) - begin and end < len(y) - begin and x[-1 - end].shape == y[-1 - end].shape:
+        size += pair_all(x[-1 - end], y[-1 - end], pairs)
+        end += 1
+    x, y = x[begin : len(x) - end], y[begin : len(y) - end]
     if not x or not y:
         return size
-    if len(x) == len(y) == 1:
-        return size + (match(x[0], y[0], pairs) if x[0].tag == y[0].tag else 0)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    own: dict[tuple[int, int], list] = {}
-    for i, u in enumerate(x):
+    best = [[0] * (len(y) + 1)]
+    for u in x:
+        above, row = best[-1], [0]
         for j, v in enumerate(y):
             w = 0
             if u.tag == v.tag:
-                own[i, j] = []
-                w = match(u, v, own[i, j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    size += best[-1][-1]
+                key = u.shape, v.shape
+                w = known.get(key, 0)
+                if not w:
+                    w = known[key] = match(u, v, [], known)
+            row.append(max(above[j + 1], row[j], above[j] + w))
+        best.append(row)
     i, j = len(x), len(y)
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -169,8 +198,8 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.extend(own[i, j])
-    return size
+            match(x[i], y[j], pairs, known)
+    return size + best[-1][-1]
 
 
 def slots(page: Node, pivot: Node, number: dict[int, int]) -> dict[int, int]:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from cellweave.llm.pages import Node, main_texts, match, op7_main_text, parse
+from cellweave.llm.pages import Node, main_texts, match, op7_main_text, parse, set_shapes
 
 SF = "/root/testdata/sf0.01"
 
@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.01"
 def tree(spec):
     node = Node(spec[0], False, False)
     node.children = [tree(s) for s in spec[1:]]
+    set_shapes(node)
     return node
 
 
@@ -39,7 +40,7 @@ def test_matching_is_the_largest():
     for _ in range(150):
         a, b = tree(["d", *grow(2)[1:]]), tree(["d", *grow(2)[1:]])
         pairs = []
-        assert match(a, b, pairs) == best_matching(a, b) == len(pairs)
+        assert match(a, b, pairs) == best_matching(a, b) == len(pairs) == match(b, a, [])
         assert all(u.tag == v.tag for u, v in pairs) and len({id(u) for u, _ in pairs}) == len(pairs)
 
 
