@@ -22,7 +22,7 @@ SPREAD = 0.02
 UNDETERMINED, PRIOR_UNDETERMINED = "und", 0.01
 #: Pseudo-counts of the parent level in a host's, domain's or suffix's prior, and of a declaration's reliability.
 PARENT_WEIGHT, DECLARED_WEIGHT, DECLARED_RIGHT = 8.0, 20.0, 0.7
-#: Least posterior of an accepted language.
+#: Least posterior of the accepted languages together.
 ACCEPT = 0.6
 
 #: Bytes of text whose trigrams are held at once, some 60 bytes for each.
@@ -108,7 +108,7 @@ def constants(values) -> Column:
     return F.array(*(F.lit(v if isinstance(v, str) else float(v)) for v in values))
 
 
-def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+def identify(rows: DataFrame, languages: list[str], model: np.ndarray, accepted: list[str] | None = None) -> DataFrame:
     """`rows` without their text, with lang, posterior, n_grams and rejected.
 
     `rows` has any id columns, then declared (the markup's language), host, and text last. The
@@ -116,9 +116,10 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
     of the address suffix, and the host's prior. Those three come from grouped sums over all rows
     of what the text alone says; a host's prior leans on its domain's, that on the prior over all
     rows, the more the fewer rows there are, and leaves out the row itself. Null or unknown
-    declarations and hosts add nothing. A text without letters, a null one too, is rejected as
-    `und`, and so is one that fits no language or whose best posterior is below ACCEPT. Repeated
-    rows stay; an empty table gives an empty result.
+    declarations and hosts add nothing. A row is rejected if the `accepted` languages (all known
+    ones by default) have less than ACCEPT of the posterior together; so a text in two of them
+    stays. A text without letters, a null one too, is `und` and rejected. Repeated rows stay; an
+    empty table gives an empty result.
     """
     small_batches(rows.sparkSession)
     classes = [*languages, UNDETERMINED]
@@ -168,8 +169,10 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
     fused = add(fused, F.coalesce(by_suffix, zeros))
     final = posterior(joined.withColumn("fused", fused), "fused", "p").withColumn("top", F.array_max("p"))
     best = F.element_at(names, F.array_position("p", F.col("top")).cast("int"))
-    sure = (F.col("n_grams") > 0) & (best != UNDETERMINED) & (F.col("top") >= ACCEPT)
-    return final.select(*keep, F.when(sure, best).otherwise(UNDETERMINED).alias("lang"), F.when(F.col("n_grams") > 0, F.col("top")).otherwise(0.0).alias("posterior"), "n_grams", (~sure).alias("rejected"))
+    wanted = [float(c in (languages if accepted is None else accepted)) for c in classes]
+    share = F.aggregate(F.zip_with("p", constants(wanted), lambda p, w: p * w), F.lit(0.0), lambda a, b: a + b)
+    spoken = F.col("n_grams") > 0
+    return final.select(*keep, F.when(spoken, best).otherwise(UNDETERMINED).alias("lang"), F.when(spoken, F.col("top")).otherwise(0.0).alias("posterior"), "n_grams", (~spoken | (share < ACCEPT)).alias("rejected"))
 
 
 def model_of(documents: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -29,7 +29,7 @@ def softmax(x):
     return [v / sum(e) for v in e]
 
 
-def brute(rows, model):
+def brute(rows, model, accepted=None):
     """(id, declared, host, text) rows to (id, lang, posterior, n_grams, rejected)."""
     classes, known = [*model, "und"], set(model)
     C = range(len(classes))
@@ -71,8 +71,8 @@ def brute(rows, model):
             fused.append(s)
         p = softmax(fused)
         best = classes[p.index(max(p))]
-        sure = n > 0 and best != "und" and max(p) >= 0.6
-        out.append((i, best if sure else "und", max(p) if n else 0.0, n, not sure))
+        share = sum(x for x, c in zip(p, classes, strict=True) if c in (known if accepted is None else accepted))
+        out.append((i, best if n else "und", max(p) if n else 0.0, n, not n or share < 0.6))
     return sorted(out, key=str)
 
 
@@ -101,6 +101,8 @@ def test_matches_brute_force(spark):
     assert [(g[0], g[1], g[3], g[4]) for g in got] == [(w[0], w[1], w[3], w[4]) for w in want]
     assert all(abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, want, strict=True))
     assert {g[1] for g in got} == {"aa", "bb", "cc", "und"}
+    some = sorted(((r.doc_id, r.rejected) for r in identify(table, languages, model, ["aa", "bb"]).collect()), key=str)
+    assert some == sorted(((w[0], w[4]) for w in brute(rows, brute_model(labelled), ["aa", "bb"])), key=str)
 
 
 def test_empty_tables_and_stage(spark):
