@@ -42,7 +42,7 @@ def table(h, doc, own, pos, known) -> pa.RecordBatch:
 class Gathered:
     """Occurrences from several batches of a task, let go in portions of bounded size."""
 
-    def __init__(self, anchors: bool, most: int = 1 << 20) -> None:
+    def __init__(self, anchors: bool, most: int = 1 << 19) -> None:
         self.anchors, self.most, self.parts, self.size = anchors, most, [], 0
 
     def add(self, *part: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -16,20 +16,21 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE_VALUE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 CHUNK = 1 << 19
-_powers: dict[tuple[int, int], np.ndarray] = {}
+#: The powers of each base that were needed so far, up to 2**21 of them.
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64; base may be negative for the inverse's powers."""
-    size = 1 << max(10, (n - 1).bit_length())
-    if (base, size) not in _powers:
-        odd = pow(-base, -1, 2**64) if base < 0 else base
-        p = np.full(size, odd, np.uint64)
+    if base not in _powers or len(_powers[base]) < n:
+        size = max(n, min(1 << max(16, (n - 1).bit_length()), 1 << 21))
+        p = np.full(size, pow(-base, -1, 2**64) if base < 0 else base, np.uint64)
         p[0] = 1
+        p = np.cumprod(p, dtype=np.uint64)
         if size > 1 << 21:
-            return np.cumprod(p, dtype=np.uint64)[:n]
-        _powers[base, size] = np.cumprod(p, dtype=np.uint64)
-    return _powers[base, size][:n]
+            return p[:n]
+        _powers[base] = p
+    return _powers[base][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,7 +49,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, text: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `size` bytes of text each, a longer text alone."""
     lengths = np.diff(text_buffer(batch.column(text))[1])
     begin, total = 0, 0
