@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found with BK-trees over shards of the fingerprints."""
+"""SimHash near-duplicates by BK-trees over shards of fingerprints, and the pipeline's near copies by shingle sets."""
 
 from __future__ import annotations
 
@@ -10,11 +10,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, read_table, small_batches, without_ids
+from .common import connected_components, cut, read_table, small_batches
+from .words import mixed, pieces, text_buffer, window_hashes, word_hashes
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Shards with more fingerprints are divided once more, by parts of their remaining 32 bits.
 LARGE_SHARD = 256
+#: The pipeline's stage: words in a shingle, and the Jaccard similarity of near copies.
+NEAR_SHINGLE, SIMILAR = 5, 0.8
+#: Pairs at similarity 0.8 agree in one of 14 bands of 4 least hashes with chance 0.9994.
+BANDS, BAND = 14, 4
+#: Buckets of more nodes are dealt out as squares of their parts.
+LARGE_BUCKET = 1024
+PERMUTATIONS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (BANDS * BAND, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+BAND_BASES = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, BAND, np.uint64) | np.uint64(1)
+#: Byte values with A-Z as a-z.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 def fingerprint(text: str | None) -> int:
@@ -168,10 +179,103 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each component the document with the smallest doc_id, and rows without a doc_id."""
-    found = simhash_components(docs)
-    return without_ids(docs, found.where("doc_id <> component_id"))
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Each text's distinct hashes of NEAR_SHINGLE words in lower case, sorted; a shorter text is one shingle of all its words."""
+    body, offsets = text_buffer(texts)
+    _, _, h, rows = word_hashes(LOWER[body], offsets)
+    counts = np.diff(rows)
+    many = np.where(counts >= NEAR_SHINGLE, counts - NEAR_SHINGLE + 1, np.minimum(counts, 1))
+    row = np.repeat(np.arange(len(counts)), many)
+    first = np.cumsum(many) - many
+    at = np.arange(len(row)) - first[row] + rows[:-1][row]
+    hashes = window_hashes(h, at, np.minimum(counts, NEAR_SHINGLE)[row])
+    for a, n in zip(first, many, strict=True):
+        yield np.unique(hashes[a : a + n])
+
+
+def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (src, dst): all candidate pairs of nodes whose shingle sets have Jaccard similarity SIMILAR or more.
+
+    `sets` has node, n (shingles) and keys, `texts` has node and t. Candidates agree in all of a
+    band's BAND least hashes. A band's bucket of more than LARGE_BUCKET nodes is dealt out as
+    squares of its parts. Candidates are then compared by their whole sets.
+    """
+    keyed = sets.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / LARGE_BUCKET).cast("int")
+    dealt = keyed.join(sizes, ["band", "key"]).select("node", "n", "band", "key", parts.alias("parts"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cut(dealt.select("node", "n", "band", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")))
+    other = dealt.select(F.col("node").alias("dst"), F.col("n").alias("m"), "band", "key", F.col("part").alias("part_"), "p", "q")
+    sized = (F.least("n", "m") >= F.lit(SIMILAR) * F.greatest("n", "m")) & (F.col("node") < F.col("dst"))
+    pairs = dealt.join(other, ["band", "key", "p", "q"]).where(sized & ((F.col("p") == F.col("q")) | (F.col("part") != F.col("part_"))))
+    pairs = cut(pairs.select(F.col("node").alias("src"), "dst").distinct())
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b, 1)):
+            found = [x.tobytes() for x in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "s"])
+
+    met = pairs.select("src").union(pairs.select("dst")).distinct().withColumnRenamed("src", "node")
+    whole = cut(texts.join(met, "node", "left_semi").select("node", "t").mapInArrow(hashed, "node long, s binary"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= SIMILAR * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left, right = whole.select(F.col("node").alias("src"), F.col("s").alias("a")), whole.select(F.col("node").alias("dst"), F.col("s").alias("b"))
+    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash) of `docs` that are near copies of a document with a smaller doc_id, directly or over others.
+
+    Two texts are near copies where their sets of five-word shingles in lower case have Jaccard
+    similarity 0.8 or more; all texts without words are copies of each other. A set is one node,
+    so copies are not paired. Rows with a null doc_id link nothing and are never among the result.
+    """
+    small_batches(docs.sparkSession)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in pieces(b, 2)):
+            nodes, sizes, keys = [], [], []
+            for s in shingle_sets(batch.column(2)):
+                nodes.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
+                sizes.append(len(s))
+                least = np.full(len(PERMUTATIONS), 2**64 - 1, np.uint64)
+                for i in range(0, len(s), 4096):
+                    np.minimum(least, ((s[i : i + 4096] ^ PERMUTATIONS[:, :1]) * PERMUTATIONS[:, 1:]).min(axis=1), out=least)
+                keys.append(mixed((least.reshape(-1, BAND) * BAND_BASES).sum(axis=1, dtype=np.uint64)).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "node", "n", "keys"])
+
+    text = F.col("text").cast("string")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    rows = cut(named.mapInArrow(sketch, "id long, h long, node long, n long, keys array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    chosen = nodes.select("node", F.col("one.id").alias("id"), F.col("one.h").alias("h"))
+    texts = named.join(chosen, ["id", "h"]).select("node", "t").dropDuplicates(["node"])
+    joined = connected_components(cut(near_links(nodes.select("node", "n", "keys"), texts)))
+    labels = nodes.join(joined, nodes.node == joined.id, "left").select("node", F.col("one.id").alias("least"), F.coalesce("component", "node").alias("c"))
+    kept = labels.groupBy("c").agg(F.min("least").alias("kept"))
+    placed = rows.select("id", "h", "node").join(labels.join(kept, "c").select("node", "kept"), "node")
+    return placed.where("id <> kept").select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash")).distinct()
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 1_000_000) -> DataFrame:
+    """Keep of each group of near copies the document with the smallest doc_id, and rows without a doc_id.
+
+    A row goes by its id and its text, so another text under the same id stays. Up to `most`
+    rows are broadcast, so that the texts need no shuffle; more are joined by a shuffle.
+    """
+    gone = cut(near_copies(docs).select(F.col("doc_id").alias("gone_id"), "text_hash"))
+    side = F.broadcast(gone) if gone.count() <= most else gone
+    return docs.join(side, (docs["doc_id"] == side["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == side["text_hash"]), "left_anti")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,35 @@ def test_word_hashes(monkeypatch, chunk):
         assert pairs.setdefault((h[p], h[p + 1]), x) == x
     assert len(set(pairs.values())) == len(pairs)
     assert len(starts) == sum(max(0, len(g) - 1) for g in got) and np.all(np.diff(starts) > 0)
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_stage_removes_near_copies(spark, monkeypatch):
+    from cellweave.llm import simhash
+
+    monkeypatch.setattr(simhash, "LARGE_BUCKET", 3)
+    r = random.Random(9)
+    docs = []
+    for i in range(60):
+        w = ["w%d" % r.randrange(4000) for _ in range(r.randint(60, 250))]
+        docs.append((len(docs), " ".join(w)))
+        for _ in range(i % 4):
+            v = list(w)
+            for _ in range(r.randint(1, max(1, len(w) // 45))):
+                v[r.randrange(len(v))] = "w%d" % r.randrange(4000)
+            docs.append((len(docs), " ".join(v).upper()))
+    sets = {i: shingles(t) for i, t in docs}
+    label = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(10):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    odd = [(7, "quite another text under the same id"), (None, docs[0][1]), (900, "Three  words only"), (901, "three words ONLY"), (902, ""), (903, None)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in docs + odd], "doc_id long, text string, lang string")
+    kept = sorted(((x.doc_id, x.text) for x in simhash_stage(spark, df, "").collect()), key=str)
+    want = [(i, t) for i, t in docs if label[i] == i] + [odd[k] for k in (0, 1, 2, 4)]
+    assert len(pairs) > 50 and kept == sorted(want, key=str)
