@@ -14,12 +14,13 @@ from .common import read_table, small_batches, without_ids
 from .quality import KINDS
 from .words import pieces, text_buffer, window_hashes, window_starts, word_hashes
 
-#: Words in a seed; items with fewer words than SHORTEST are no evidence of a leak.
+#: Words in a seed unless told otherwise; items with fewer words than SHORTEST are no evidence of a leak.
 SEED_WORDS, SHORTEST = 3, 8
-#: Each item keeps the rarer part of its seeds, by documents that hold them, FEWEST at least.
-RARER_PART, FEWEST = 0.6, 10
-#: Score of the best local alignment over that of the whole item, from which a document is a leak.
-SIMILARITY = 0.5
+#: Seeds of the search: every leak holds a number of an item's word pairs that `Items.least` gives.
+PAIR = 2
+#: Score of the best local alignment over that of the whole item, from which a document is a leak,
+#: and the score from which it is one whatever the item's length.
+SIMILARITY, LONG = 0.5, 50
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
 #: Words of test items that a task holds at once (8 bytes each and their seeds, below 200 MB); a
 #: larger benchmark is searched in several blocks.
@@ -31,13 +32,19 @@ LETTERS = np.where(KINDS == 1, 1, 0).astype(np.uint8)
 class Items:
     """The word hashes of a block of test items, and where in them each seed stands."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int], texts: list[str], words: int = SEED_WORDS, similarity: float = SIMILARITY) -> None:
         _, _, h, rows = word_hashes(*text_buffer(pa.array(texts, pa.string())), LETTERS)
         self.ids, self.h, self.rows = np.array(ids, np.int64), h, rows
-        starts, row = window_starts(rows, SEED_WORDS)
+        starts, row = window_starts(rows, words)
         long = np.diff(rows)[row] >= SHORTEST if len(row) else np.zeros(0, bool)
         starts, row = starts[long], row[long]
-        seeds = window_hashes(h, starts, SEED_WORDS)
+        seeds = window_hashes(h, starts, words)
+        #: All seeds in the items' order, and each item's offsets among them.
+        self.own, self.offsets = seeds, np.searchsorted(row, np.arange(len(rows)))
+        # A score of s within an item of n words has m matches in k runs with k - 1 gaps or more
+        # between them: m - (k - 1) >= s, so m - k >= s - 1 pairs of neighbouring words match.
+        self.score = np.minimum(np.ceil(similarity * np.diff(rows) / MATCH - 1e-9), LONG).astype(np.int64)
+        self.least = np.maximum(1, self.score - 1) if words == PAIR else np.ones(len(ids), np.int64)
         order = np.argsort(seeds, kind="stable")
         self.seed, self.item, self.at = seeds[order], row[order], (starts - rows[row])[order]
         self.index()
@@ -55,14 +62,14 @@ class Items:
         return hit, k[hit]
 
     def keep_rare(self, frequency: np.ndarray) -> None:
-        """Leave out each item's more frequent seeds. The cut follows the item's own seeds, so copies of a leak do not hide it."""
+        """Leave out each item's most frequent seeds, one fewer than a leak holds at least, so that every leak holds a kept one."""
         f = np.repeat(frequency, self.many)
         keep = np.ones(len(self.seed), bool)
         order = np.lexsort((f, self.item))
         begin = np.flatnonzero(np.diff(self.item[order], prepend=-1))
         for a, b in zip(begin, np.append(begin, len(order))[1:], strict=True):
             own = f[order[a:b]]
-            n = min(len(own), max(FEWEST, round(RARER_PART * len(own))))
+            n = max(1, len(own) - int(self.least[self.item[order[a]]]) + 1)
             keep[order[a:b]] = own <= own[n - 1]
         self.seed, self.item, self.at = self.seed[keep], self.item[keep], self.at[keep]
         self.index()
@@ -86,8 +93,8 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
 def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, row offsets, and the seeds with their places and rows, of the texts in column 1."""
     _, _, h, rows = word_hashes(*text_buffer(batch.column(1)), LETTERS)
-    starts, row = window_starts(rows, SEED_WORDS)
-    return h, rows, window_hashes(h, starts, SEED_WORDS), starts, row
+    starts, row = window_starts(rows, PAIR)
+    return h, rows, window_hashes(h, starts, PAIR), starts, row
 
 
 def clusters(items: Items, place: np.ndarray, row: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -105,16 +112,17 @@ def clusters(items: Items, place: np.ndarray, row: np.ndarray, seed: np.ndarray)
     new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (np.diff(diagonal) > length[1:])
     begin = np.flatnonzero(new)
     for a, b in zip(begin, np.append(begin[1:], len(item)), strict=True):
-        slack = int(length[a]) // 2 + 2
+        slack = int(length[a] - items.score[item[a]]) + 2
         yield int(row[a]), int(item[a]), int(diagonal[a]) - slack, int(diagonal[b - 1]) + int(length[a]) + slack
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (doc_id, item_id, similarity, word_end): the documents that hold an edited or whole copy of a test item.
 
-    Words are runs of letters and digits in lower case. Every document with a rare seed of an item
-    is aligned with it; similarity is the best local alignment's score as a part of the item's own
-    (one row for a document and item, the best). Frequencies of seeds are over all documents. Rows
+    Words are runs of letters and digits in lower case. A leak has a local alignment of `similarity`
+    of the item's own score, or of LONG; similarity is the best one's score as a part of the item's
+    own (one row for a document and item, the best). Every document with one of an item's rarer word
+    pairs, and as many of its pairs around it as a leak must hold, is aligned with it, so none is missed. Frequencies of seeds are over all documents. Rows
     with null text hold no words; items with null or short texts (below SHORTEST words) match
     nothing; null ids are carried on. Rows that repeat are each judged and give one row an id.
     Empty tables give an empty result.
@@ -132,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def block_leaks(rows: DataFrame, tests: DataFrame, similarity: float) -> DataFrame:
     context = rows.sparkSession.sparkContext
     chosen = tests.distinct().orderBy("id", "t").collect()
-    items = Items([-1 if r.id is None else r.id for r in chosen], [r.t for r in chosen])
+    items = Items([-1 if r.id is None else r.id for r in chosen], [r.t for r in chosen], PAIR, similarity)
     nameless = [r.id is None for r in chosen]
     all_seeds = context.broadcast(items)
 
@@ -162,10 +170,14 @@ def block_leaks(rows: DataFrame, tests: DataFrame, similarity: float) -> DataFra
             for i, item, begin, end in clusters(items, starts[hit] - rows[row[hit]], row[hit], k):
                 text = h[rows[i] : rows[i + 1]]
                 begin = max(0, begin)
+                near = seeds[np.searchsorted(starts, rows[i] + begin) : np.searchsorted(starts, min(rows[i] + end, rows[i + 1]))]
+                if np.isin(items.own[items.offsets[item] : items.offsets[item + 1]], near).sum() < items.least[item]:
+                    continue
                 words = items.h[items.rows[item] : items.rows[item + 1]]
                 score, at = smith_waterman(words, text[begin:end])
+                leak = score >= min(similarity * MATCH * len(words), LONG * MATCH)
                 score /= MATCH * len(words)
-                if score >= similarity and score > best.get((i, item), (0.0, 0))[0]:
+                if leak and score > best.get((i, item), (0.0, 0))[0]:
                     best[i, item] = score, begin + at
             ids = batch.column(0).take(pa.array([i for i, _ in best], pa.int64()))
             names = pa.array([None if nameless[j] else int(items.ids[j]) for _, j in best], pa.int64())

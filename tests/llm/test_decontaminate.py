@@ -78,3 +78,29 @@ def test_empty_and_stage(spark, tmp_path):
     assert kept.columns == df.columns and sorted((x.doc_id for x in kept.collect()), key=str) == [2, None]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert leaks(df.limit(0), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
+
+
+def test_edits_that_break_most_trigrams(spark):
+    r = random.Random(11)
+    fresh = iter("f%d" % k for k in range(10**6))
+    items = [(i, " ".join("w%d" % r.randrange(3000) for _ in range(r.choice([12, 50, 90])))) for i in range(12)]
+    items.append((12, " ".join("v%d" % k for k in range(300))))
+    texts = []
+    for i, q in items:
+        w = q.split()
+        texts.append([y for k, x in enumerate(w) for y in ([x, next(fresh)] if k % 3 == 2 else [x])])
+        texts.append([y for k, x in enumerate(w) for y in ([x, next(fresh)] if k % 2 else [x])])
+        texts.append([next(fresh) if k % 4 == 3 else x for k, x in enumerate(w)])
+        texts.append([x for k, x in enumerate(w) if k % 4 != 3])
+        texts += [[next(fresh) if r.random() < share else x for x in w] for share in (0.15, 0.2, 0.24) for _ in range(6)]
+    texts.append(items[12][1].split()[100:160])
+    docs = [(d, " ".join(["a"] * r.randrange(30) + w + ["z"] * 5)) for d, w in enumerate(texts)]
+    got = {(x.doc_id, x.item_id): x.similarity for x in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, t in docs:
+        for i, q in items:
+            # Items and documents of other items share single words only.
+            score = smith_waterman(*(np.array([hash(x) for x in split(y)]) for y in (q, t)))[0]
+            if score >= min(SIMILARITY * len(split(q)), 50):
+                want[d, i] = score / len(split(q))
+    assert len(want) > 200 and got == want
