@@ -106,14 +106,27 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("tokens"))
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 1_000_000) -> DataFrame:
     """The documents' columns with epoch, tokens, block and position, a row for each place in the mixture.
 
-    Rows that share a doc_id, or have none, are one document: they are counted and placed together.
+    Every row is a document of its own. One whose doc_id is null or repeated goes by a key of its
+    id, source, a hash of its text and its rank among equal rows, the others by their id. Up to
+    `most` repeated ids are broadcast; more are joined by a shuffle.
     """
-    whole = counted(docs).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
-    plan = mixture_plan(whole).drop("source").withColumnRenamed("doc_id", "_placed_id")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_placed_id"])).drop("_placed_id")
+    source, text = F.coalesce("source", F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    again = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"))
+    side = F.broadcast(again) if again.count() <= most else again
+    at = docs["doc_id"] == side["again_id"]
+    id_key = F.col("doc_id").cast("string")
+    own = docs.where("doc_id is not null").join(side, at, "left_anti").withColumn("_key", id_key)
+    shared = docs.where("doc_id is null").unionByName(docs.join(side, at, "left_semi"))
+    print_of = F.concat_ws("|", F.coalesce(id_key, F.lit("")), source, F.md5(text))
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    equal = Window.partitionBy("_key").orderBy(*others, "_key")
+    shared = shared.withColumn("_key", print_of).withColumn("_key", F.concat_ws("|", "_key", F.row_number().over(equal).cast("string")))
+    keyed = own.unionByName(shared)
+    plan = mixture_plan(keyed.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("tokens")))
+    return keyed.join(plan.drop("source").withColumnRenamed("doc_id", "_placed"), F.col("_key") == F.col("_placed")).drop("_key", "_placed")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

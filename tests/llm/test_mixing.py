@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import mixing
 from cellweave.llm.mixing import mixing_stage, mixture_plan, word_count
@@ -86,3 +87,27 @@ def test_word_count_stage_and_empty(spark):
     places = {(r.doc_id, r.epoch): r["count"] for r in mixing_stage(spark, twice, "").groupBy("doc_id", "epoch").count().collect()}
     assert places[2, 0] == 2 and places[None, 0] == 2 and places[3, 0] == 1
     assert mixture_plan(df.limit(0).selectExpr("doc_id", "source", "n_chars as tokens")).count() == 0
+
+
+def test_stage_keeps_null_and_repeated_ids_apart(spark):
+    r = random.Random(6)
+    sources = ["hot", "mid", None]
+    rows = [(i, " ".join(["w"] * r.randint(1, 40)) + f" {i}", "en", sources[i % 2], i) for i in range(80)]
+    rows += [(None, " ".join(["n"] * r.randint(1, 40)) + f" {i % 35}", "en", sources[i % 3], i % 2) for i in range(70)]
+    rows += [(7, f"again {i % 4}", "en", sources[i % 3], 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    out = mixing_stage(spark, df, "").collect()
+    places = Counter(tuple(x)[:5] for x in out if x.epoch == 0)
+    assert all(places[x] <= n for x, n in Counter(rows).items()) and set(places) <= set(rows)
+    assert all(x.tokens == len(x.text.split()) for x in out)
+    tokens = Counter()
+    for x in rows:
+        tokens[x[3] or ""] += len(x[1].split())
+    placed = Counter()
+    for x in out:
+        placed[x.source or ""] += x.tokens
+    quota = Counter(dict(mixing.mixture_plan(df.select(F.monotonically_increasing_id().alias("doc_id"), "source", word_count(df.text).alias("tokens"))).groupBy("source").agg(F.sum("tokens")).collect()))
+    assert set(placed) == set(tokens) and all(abs(placed[s] - quota[s]) < 45 for s in tokens)
+    assert len({(x.block, x.position) for x in out}) == len(out)
+    again = mixing_stage(spark, df.repartition(3), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
