@@ -23,11 +23,13 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object select xmp math".split())
+RAW = frozenset("script style textarea title iframe xmp".split())
+#: Elements whose content is never text of the page; unclosed ones end with the element around them.
+HIDDEN = frozenset("noscript template svg object select math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
-SCOPE = frozenset("ul ol dl table article section div body html nav aside header footer form main".split())
+SCOPE = HIDDEN | frozenset("ul ol dl table article section div body html nav aside header footer form main".split())
 
 SKIPPED_TAGS = frozenset("head nav footer aside form button dialog menu fieldset".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
@@ -125,6 +127,9 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
             else:
                 close((tag,))
             continue
+        closed = (found[3] or "").endswith("/>")
+        if closed and (tag in ("svg", "math") or any(node.tag in ("svg", "math") for node in stack)):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
@@ -135,12 +140,12 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
             close(SAME_KIND[tag], SCOPE)
         if tag in VOID:
             continue
-        if len(stack) > DEEPEST:
+        if len(stack) > DEEPEST and (tag not in HIDDEN or stack[-1].skip):
             unopened[tag] = unopened.get(tag, 0) + 1
             continue
         parent = stack[-1]
         skip, main = marks(tag, found[3] or "", parent.main)
-        node = Node(tag, parent.skip or skip, parent.main or main)
+        node = Node(tag, parent.skip or skip or tag in HIDDEN, parent.main or main)
         parent.children.append(node)
         stack.append(node)
     flush()

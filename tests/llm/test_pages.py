@@ -98,3 +98,11 @@ def test_pages_of_the_test_tables(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
         body = re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", body).replace("<b>", "").replace("</b>", "")
         assert got[k] == " ".join(entities.unescape(body).split())
+
+
+@pytest.mark.parametrize("hidden", ["<svg class=x />", "<math/>", "<svg><path d='m'/><title/><text>no</text></svg>", "<div><noscript>no</div>", "<div><select><option>no<option>no</div>", "<div><object>no</div>", "<p>a<noscript><div>no</div></noscript></p>", "<div>" * 250 + "<svg><text>no</text></svg>" + "</div>" * 250])
+def test_hidden_elements_end_with_themselves_or_their_parent(hidden):
+    from cellweave.llm.pages import kept_blocks
+
+    _, blocks, owners = parse(f"<body>{hidden}<article><p>one{hidden}<p>two</article>{hidden}</body>")
+    assert [x for x in kept_blocks(blocks, owners, set()) if x != "a"] == ["one", "two"]
