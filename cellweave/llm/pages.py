@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,19 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table, small_batches
 
-#: A slot is template where so large a part of a host's distinct pages has the same text in it, and
-#: so many pages at least: (share, pages), outside the marked article and inside it.
-TEMPLATE = {False: (0.5, 3), True: (0.8, 5)}
+#: Two pages of each host, those of least and greatest hash, are the pivots that all its pages are aligned with.
+PIVOTS = 2
+#: A text is constant in a slot where so large a part of a host's distinct pages has it there, and so
+#: many pages at least: (share, pages), outside the content and inside it.
+CONSTANT = {False: (0.5, 3), True: (0.8, 5)}
+#: A slot is template where so large a part of its texts stands on other pages too, and so many of them at least.
+RECURRING = (0.22, 3)
+#: The content is sought in the child that holds so much of an element's varying text.
+DESCENT = 0.6
+#: Weight of varying text in elements named like furniture, and in those marked as the main part.
+NAMED_WEIGHT, MAIN_WEIGHT = 0.1, 3.0
+#: A furniture name doesn't count on an element with so much of a page's text.
+MOST = 0.6
 #: Wrappers up to so many bytes are broadcast; more are joined by the host.
 BROADCAST_BYTES = 32 << 20
 
@@ -22,16 +34,22 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr input link meta param source track".split())
 RAW = frozenset("script style textarea title iframe xmp".split())
 #: Elements whose content is never text of the page; unclosed ones end with the element around them.
 HIDDEN = frozenset("noscript template svg object select math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = HIDDEN | frozenset("ul ol dl table article section div body html nav aside header footer form main".split())
 
-SKIPPED_TAGS = frozenset("head nav footer aside form button dialog menu fieldset".split())
+#: Elements that hold no content of their own, and those that may.
+SKIPPED_TAGS = frozenset("head nav footer aside button dialog menu".split())
+DOUBTFUL_TAGS = frozenset("form fieldset".split())
+#: Name parts after which the next one tells of something else on the page, or of nothing.
+ABOUT_OTHERS = frozenset("no has with without not hide".split())
+#: Elements below which no content is sought.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd ul ol dl pre blockquote figure figcaption address tr".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
 SKIPPED_NAMES = COMMENT_NAMES | frozenset(
@@ -41,15 +59,17 @@ SKIPPED_NAMES = COMMENT_NAMES | frozenset(
 )
 
 
-#: Elements nested deeper count as part of the one around them.
+#: Elements nested deeper are children of the one at this depth; what is hidden or named around them still counts.
 DEEPEST = 200
 
 
 class Node:
-    __slots__ = ("tag", "children", "skip", "main", "texts", "shape")
+    """A block element. `hidden` and `main` hold for all below it; `named` is 2 for certain furniture, 1 for doubtful, and its own."""
 
-    def __init__(self, tag: str, skip: bool, main: bool) -> None:
-        self.tag, self.skip, self.main = tag, skip, main
+    __slots__ = ("tag", "parent", "children", "hidden", "named", "main", "texts", "shape")
+
+    def __init__(self, tag: str, parent: Node | None = None, hidden: bool = False, named: int = 0, main: bool = False) -> None:
+        self.tag, self.parent, self.hidden, self.named, self.main = tag, parent, hidden, named, main
         self.children: list[Node] = []
         self.texts: list[int] = []
         self.shape = 0
@@ -65,31 +85,49 @@ def set_shapes(root: Node) -> None:
         node.shape = hash((node.tag, tuple(c.shape for c in node.children)))
 
 
-def marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture by its name or attributes, and whether it is marked as the main part."""
-    skip = tag in SKIPPED_TAGS or tag == "header" and not inside_main
-    main = tag in ("article", "main")
+def furniture_parts(value: str) -> set[str]:
+    """The parts of a class or id in lower case, without those after a part like `no` or `has`."""
+    parts: set[str] = set()
+    for name in value.split():
+        about_others = False
+        for part in NAME_PART.findall(name):
+            part = part.lower()
+            if not about_others:
+                parts.add(part)
+            about_others = part in ABOUT_OTHERS
+    return parts
+
+
+def marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, int, bool]:
+    """Whether an element is hidden, how surely it is furniture by its name or attributes, and whether it is marked as the main part."""
+    named = 2 if tag in SKIPPED_TAGS or tag == "header" and not inside_main else 1 if tag in DOUBTFUL_TAGS else 0
+    hidden, main = tag in HIDDEN, tag in ("article", "main")
     if len(attributes) > 3:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                parts = {x.lower() for x in NAME_PART.findall(value)}
-                skip = skip or not parts.isdisjoint(COMMENT_NAMES if main or tag in ("body", "html") else SKIPPED_NAMES)
+                parts = furniture_parts(value)
+                if not parts.isdisjoint(COMMENT_NAMES):
+                    named = 2
+                elif not (main or tag in ("body", "html") or parts.isdisjoint(SKIPPED_NAMES)):
+                    named = max(named, 1)
             elif name == "role":
-                skip, main = skip or value.lower() in SKIPPED_ROLES, main or value.lower() in ("main", "article")
+                if value.lower() in SKIPPED_ROLES:
+                    named = 1 if value.lower() == "form" else 2
+                main = main or value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                skip = True
-    return skip, main
+                hidden = True
+    return hidden, named, main
 
 
 def parse(source: str) -> tuple[Node, list[str], list[Node]]:
     """The tree of a page's block elements, its blocks of text, and each block's element. Inline elements only mark text."""
-    root = Node("#page", False, False)
+    root = Node("#page")
     stack = [root]
     blocks: list[str] = []
     owners: list[Node] = []
     held: list[str] = []
-    unopened: dict[str, int] = {}
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         if held:
@@ -101,8 +139,11 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
                 owners.append(stack[-1])
 
     def close(tags, scope=()) -> None:
+        if not any(open_tags[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
+                open_tags.subtract(node.tag for node in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in scope:
@@ -122,13 +163,10 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
             continue
         flush()
         if found[1]:
-            if unopened.get(tag):
-                unopened[tag] -= 1
-            else:
-                close((tag,))
+            close((tag,))
             continue
         closed = (found[3] or "").endswith("/>")
-        if closed and (tag in ("svg", "math") or any(node.tag in ("svg", "math") for node in stack)):
+        if closed and (tag in ("svg", "math") or open_tags["svg"] or open_tags["math"]):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
@@ -140,14 +178,15 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
             close(SAME_KIND[tag], SCOPE)
         if tag in VOID:
             continue
-        if len(stack) > DEEPEST and (tag not in HIDDEN or stack[-1].skip):
-            unopened[tag] = unopened.get(tag, 0) + 1
-            continue
-        parent = stack[-1]
-        skip, main = marks(tag, found[3] or "", parent.main)
-        node = Node(tag, parent.skip or skip or tag in HIDDEN, parent.main or main)
+        around, parent = stack[-1], stack[min(len(stack) - 1, DEEPEST)]
+        hidden, named, main = marks(tag, found[3] or "", around.main)
+        # At the greatest depth the tree's parent doesn't carry what the elements between say.
+        if parent is not around:
+            named = max(named, around.named)
+        node = Node(tag, parent, around.hidden or hidden, named, around.main or main)
         parent.children.append(node)
         stack.append(node)
+        open_tags[tag] += 1
     flush()
     set_shapes(root)
     return root, blocks, owners
@@ -207,114 +246,306 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], known: dict[tuple[in
     return size + best[-1][-1]
 
 
-def slots(page: Node, pivot: Node, number: dict[int, int]) -> dict[int, int]:
-    """The pivot's slot for each block of a page that has one: element and rank of the block in it."""
-    pairs: list[tuple[Node, Node]] = []
-    match(page, pivot, pairs)
-    return {text: number[id(v)] * 1000 + k for u, v in pairs for k, text in enumerate(u.texts[: min(len(v.texts), 1000)])}
+def chars_below(root: Node, blocks: list[str]) -> dict[int, int]:
+    """Characters of the shown text in each element and below it, by the element's identity."""
+    nodes, k = [root], 0
+    while k < len(nodes):
+        nodes.extend(nodes[k].children)
+        k += 1
+    total: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = 0 if node.hidden else sum(len(blocks[t]) for t in node.texts)
+        total[id(node)] = own + sum(total[id(c)] for c in node.children)
+    return total
+
+
+def furniture(root: Node, blocks: list[str], owners: list[Node], top: Node | None = None) -> list[bool]:
+    """For each block whether it is hidden, or in an element named as furniture below `top`.
+
+    A doubtful name doesn't count on an element that holds most of the text under `top`.
+    """
+    top = top or root
+    known: dict[int, bool] = {}
+    chars: dict[int, int] = {}
 
+    def holds_most(node: Node) -> bool:
+        chars.update(chars or chars_below(root, blocks))
+        return chars[id(node)] >= MOST * chars[id(top)]
 
-class Pivots:
-    """Parsed pivots of the hosts met lately."""
+    def gone(node: Node) -> bool:
+        path = []
+        while node is not top and node.parent is not None and id(node) not in known:
+            path.append(node)
+            node = node.parent
+        answer = known.get(id(node), False) if node is not top else False
+        for node in reversed(path):
+            answer = answer or node.named == 2 or node.named == 1 and not holds_most(node)
+            known[id(node)] = answer
+        return answer
 
-    def __init__(self) -> None:
-        self.parsed: dict[str, tuple[Node, dict[int, int]]] = {}
+    return [node.hidden or gone(node) for node in owners]
 
-    def get(self, source: str) -> tuple[Node, dict[int, int]]:
-        if source not in self.parsed:
-            if len(self.parsed) > 100:
-                self.parsed.clear()
-            root = parse(source)[0]
-            todo, number = [root], {}
-            while todo:
-                node = todo.pop()
-                number[id(node)] = len(number)
-                todo.extend(node.children)
-            self.parsed[source] = root, number
-        return self.parsed[source]
 
+def lineage(node: Node | None) -> Iterator[Node]:
+    """An element and those around it."""
+    while node is not None:
+        yield node
+        node = node.parent
 
-def kept_blocks(blocks: list[str], owners: list[Node], template: set[int]) -> list[str]:
-    """The main text's blocks: those of the marked article if there is one, without furniture and template."""
-    own = [k for k, node in enumerate(owners) if not node.skip and k not in template]
-    marked = [k for k in own if owners[k].main]
-    return [blocks[k] for k in marked or own]
+
+def under(node: Node, top: Node) -> bool:
+    return any(x is top for x in lineage(node))
+
+
+def page_text(root: Node, blocks: list[str], owners: list[Node], template: set[int], top: Node | None = None) -> list[int]:
+    """The blocks of a page's main text: those of the marked article if there is one, without furniture and template.
+
+    With `top`, the element that the host's wrapper says holds the content, only what is below it.
+    """
+    gone = furniture(root, blocks, owners, top)
+    own = [k for k, node in enumerate(owners) if not gone[k] and k not in template and (top is None or under(node, top))]
+    return [k for k in own if owners[k].main] or own
+
+
+class Pivot:
+    """A pivot's tree with its elements numbered."""
+
+    def __init__(self, source: str) -> None:
+        self.root = parse(source)[0]
+        self.nodes: list[Node] = []
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            self.nodes.append(node)
+            todo.extend(node.children)
+        self.number = {id(node): k for k, node in enumerate(self.nodes)}
+
+    def align(self, page: Node) -> dict[int, Node]:
+        """The pivot's element for each of a page's elements that has one, by identity."""
+        pairs: list[tuple[Node, Node]] = []
+        match(page, self.root, pairs)
+        return {id(u): v for u, v in pairs}
+
+    def place(self, owner: Node, rank: int, paired: dict[int, Node]) -> tuple[int, int]:
+        """The slot (element, rank) of a page's block; rank -1 where only an element around it is the pivot's."""
+        v = paired.get(id(owner))
+        if v is not None and rank < len(v.texts):
+            return self.number[id(v)], rank
+        return next((self.number[id(paired[id(x)])] for x in lineage(owner) if id(x) in paired), 0), -1
+
+    def content(self, mass: dict[int, float]) -> Node | None:
+        """The deepest element that holds most of the varying text, the marked article around it if there is one.
+
+        None where the text isn't below any single element of the body. A heading that varies belongs to the content.
+        """
+        below = [0.0] * len(self.nodes)
+        headed = [False] * len(self.nodes)
+        for k in range(len(self.nodes) - 1, -1, -1):
+            node = self.nodes[k]
+            below[k] += mass.get(k, 0.0)
+            headed[k] |= node.tag == "h1" and below[k] > 0
+            if node.parent is not None:
+                up = self.number[id(node.parent)]
+                below[up] += below[k]
+                headed[up] |= headed[k]
+        at = self.root
+        while below[self.number[id(at)]] > 0:
+            ranked = sorted(at.children, key=lambda c: -below[self.number[id(c)]])
+            if not ranked or ranked[0].tag in LEAVES or below[self.number[id(ranked[0])]] < DESCENT * below[self.number[id(at)]]:
+                break
+            if any(headed[self.number[id(c)]] for c in ranked[1:]):
+                break
+            at = ranked[0]
+        for node in lineage(at):
+            if node.main:
+                at = node
+        return None if at.tag in ("#page", "html", "body") else at
+
+
+#: Kinds of a wrapper's rows: an element's varying text, a template slot, a constant text, and one so constant that it is none of the content.
+MASS, SLOT, TEXT, STRICT = range(4)
+
+
+class Wrapper:
+    """A host's wrapper: what its pages have in common with each pivot, and where in it the content stands."""
+
+    def __init__(self, pivots: list[str], rows: list[dict]) -> None:
+        self.pivots = [Pivot(p) for p in pivots]
+        mass: list[dict[int, float]] = [{} for _ in pivots]
+        self.slots: list[set[tuple]] = [set() for _ in pivots]
+        self.strict: list[set[tuple]] = [set() for _ in pivots]
+        for r in rows or ():
+            if r["kind"] == MASS:
+                mass[r["pivot"]][r["elem"]] = r["mass"]
+            elif r["kind"] == SLOT:
+                self.slots[r["pivot"]].add((r["elem"], r["rank"]))
+            else:
+                (self.strict if r["kind"] == STRICT else self.slots)[r["pivot"]].add((r["elem"], r["rank"], r["text"]))
+        self.contents = [p.content(m) for p, m in zip(self.pivots, mass, strict=True)]
+
+    def extract(self, root: Node, blocks: list[str], owners: list[Node]) -> list[int]:
+        aligned = [p.align(root) for p in self.pivots]
+        top = None
+        for paired, content in zip(aligned, self.contents, strict=True):
+            backwards = {id(v): u for u, v in pair_nodes(root, paired)} if content is not None else {}
+            top = top or backwards.get(id(content))
+        gone: set[int] = set()
+        for pivot, paired, slots, strict in zip(self.pivots, aligned, self.slots, self.strict, strict=True):
+            for k, (owner, rank) in enumerate(ranks(owners)):
+                elem, rank = pivot.place(owner, rank, paired)
+                if rank >= 0:
+                    text = elem, rank, digest(blocks[k])
+                    if text in strict or top is None and not owner.main and ((elem, rank) in slots or text in slots):
+                        gone.add(k)
+        return page_text(root, blocks, owners, gone, top) or page_text(root, blocks, owners, set())
+
+
+def pair_nodes(root: Node, paired: dict[int, Node]) -> Iterator[tuple[Node, Node]]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in paired:
+            yield node, paired[id(node)]
+            todo.extend(node.children)
+
+
+def ranks(owners: list[Node]) -> Iterator[tuple[Node, int]]:
+    """Each block's element and its rank among the element's own blocks."""
+    met: Counter[int] = Counter()
+    for node in owners:
+        yield node, met[id(node)]
+        met[id(node)] += 1
+
+
+def digest(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
+def signature(blocks: list[str], shingle: int = 5) -> int:
+    """A hash of the least shingle hashes of a text's two longest blocks, which copies share and near copies for the most part."""
+    least = []
+    for block in sorted(blocks, key=len)[-2:]:
+        words = block.split()
+        least.append(min(digest(" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))))
+    return digest(str(least))
+
+
+class Parsed:
+    """What tasks made of the hosts met lately."""
+
+    def __init__(self, most: int = 100) -> None:
+        self.known, self.most = {}, most
+
+    def get(self, host: str, make):
+        if host not in self.known:
+            if len(self.known) >= self.most:
+                for old in list(islice(self.known, self.most // 2)):
+                    del self.known[old]
+            self.known[host] = make()
+        return self.known[host]
 
 
 def with_pivots(pages: DataFrame) -> DataFrame:
-    """`pages` (page_id, url, html, host) with pivot, the html of the host's page of smallest id."""
-    first = cut(pages.where("host <> ''").groupBy("host").agg(F.min("page_id").alias("page_id")).where("page_id is not null"))
-    side = F.broadcast(first) if first.count() <= 1_000_000 else first
-    chosen = cut(pages.join(side, ["host", "page_id"], "left_semi").groupBy("host").agg(F.min("html").alias("pivot")).withColumnRenamed("host", "pivot_host"))
-    size = chosen.agg(F.sum(F.octet_length("pivot"))).first()[0] or 0
+    """`pages` (page_id, url, html, host) with pivots, the html of two pages of the host that are at most twice as long as its mean."""
+    named = pages.where("host <> '' and html is not null")
+    length, key = F.octet_length("html"), F.xxhash64("html")
+    mean = cut(named.groupBy("host").agg(F.avg(length).alias("mean")).withColumnRenamed("host", "mean_host"))
+    small = lambda df: F.broadcast(df) if df.count() <= 1_000_000 else df
+    usual = named.join(small(mean), F.col("host") == F.col("mean_host")).where(length <= 2 * F.col("mean"))
+    ends = cut(usual.groupBy("host").agg(F.min(key).alias("least"), F.max(key).alias("most")).withColumnRenamed("host", "end_host"))
+    found = named.join(small(ends), F.col("host") == F.col("end_host")).where(key.isin(F.col("least"), F.col("most")))
+    chosen = cut(found.groupBy("host", key.alias("k")).agg(F.min("html").alias("p")).groupBy("host").agg(F.sort_array(F.collect_set("p")).alias("pivots")).withColumnRenamed("host", "pivot_host"))
+    size = chosen.agg(F.sum(F.octet_length(F.concat_ws("", "pivots")))).first()[0] or 0
     return pages.join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, F.col("host") == F.col("pivot_host"), "left")
 
 
-def wrapper_texts(aligned: DataFrame) -> DataFrame:
-    """Rows (host, template): per host, the slots and text hashes that are template.
+def wrapper_rows(aligned: DataFrame) -> DataFrame:
+    """Rows (host, wrapper): per host and pivot, the varying text of each element, the template slots and the constant texts.
 
-    Every page is aligned with its host's pivot. A slot's text counts once for each distinct main
-    text it comes with, so copies of a page do not turn its article into template. All counts are
-    grouped sums over all pages.
+    Every page is aligned with its host's pivots. A slot's text counts once for each distinct
+    signature of the main texts it comes with, so copies of a page do not turn its article into
+    template. All counts are grouped sums over all pages; a host's wrapper has a few rows for each
+    element of its pivots.
     """
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        pivots = Pivots()
-        h = lambda s: xxhash.xxh3_64_intdigest(s) - 2**63
+        parsed = Parsed()
         for batch in batches:
             rows = []
-            for host, html, pivot in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, (host, html) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)):
+                pivots = parsed.get(host, lambda i=i: [Pivot(p) for p in batch.column(2)[i].as_py()])
                 root, blocks, owners = parse(html or "")
-                page = h(" ".join(kept_blocks(blocks, owners, set())))
-                rows.append((host, -1, 0, False, page))
-                rows += [(host, slot, h(blocks[k]), owners[k].main, page) for k, slot in slots(root, *pivots.get(pivot)).items() if not owners[k].skip]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "slot", "text", "main", "page"])
-
-    seen = aligned.where("pivot is not null").select("host", "html", "pivot").mapInArrow(observe, "host string, slot long, text long, main boolean, page long")
-    counted = cut(seen.distinct().groupBy("host", "slot", "text", "main").agg(F.count("*").alias("n")))
-    pages = counted.where("slot = -1").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    limit = lambda k: F.when(F.col("main"), F.lit(TEMPLATE[True][k])).otherwise(F.lit(TEMPLATE[False][k]))
-    constant = counted.where("slot >= 0 and n >= 2").join(pages, F.col("host") == F.col("h")).where((F.col("n") >= limit(1)) & (F.col("n") >= limit(0) * F.col("pages")))
-    return constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("template"))
+                page = signature([blocks[k] for k in page_text(root, blocks, owners, set())])
+                named = furniture(root, blocks, owners)
+                for j, pivot in enumerate(pivots):
+                    paired = pivot.align(root)
+                    rows.append((host, j, -1, 0, 0, page, 0.0))
+                    for k, (owner, rank) in enumerate(ranks(owners)):
+                        if not owner.hidden:
+                            mass = len(blocks[k]) * (NAMED_WEIGHT if named[k] else MAIN_WEIGHT if owner.main else 1.0)
+                            rows.append((host, j, *pivot.place(owner, rank, paired), digest(blocks[k]), page, mass))
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "pivot", "elem", "rank", "text", "page", "mass"])
+
+    seen = aligned.where("pivots is not null").select("host", "html", "pivots").mapInArrow(observe, "host string, pivot int, elem int, rank int, text long, page long, mass double")
+    slot = ["host", "pivot", "elem", "rank"]
+    once = seen.groupBy(*slot, "text", "page").agg(F.max("mass").alias("mass"))
+    counted = cut(once.groupBy(*slot, "text").agg(F.count("*").alias("n"), F.max("mass").alias("mass")))
+    pages = counted.where("elem = -1").select(F.col("host").alias("h"), F.col("pivot").alias("j"), F.col("n").alias("pages")).where("pages > 1")
+    known = counted.where("elem >= 0").join(pages, (F.col("host") == F.col("h")) & (F.col("pivot") == F.col("j")))
+    row = lambda kind, elem="elem", rank=F.lit(-1), text=F.lit(0), mass=F.lit(0.0): F.struct(F.col("pivot"), F.col(elem), rank.cast("int").alias("rank"), F.lit(kind).alias("kind"), text.cast("long").alias("text"), mass.cast("double").alias("mass"))
+    masses = known.groupBy("host", "pivot", "elem").agg(F.sum(F.when(F.col("n") == 1, F.col("mass"))).alias("mass")).where("mass > 0")
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    slots = known.where("rank >= 0").groupBy(*slot).agg(F.sum("n").alias("all"), again.alias("again")).where((F.col("again") >= RECURRING[1]) & (F.col("again") > RECURRING[0] * F.col("all")))
+    constant = lambda inside: (F.col("n") >= CONSTANT[inside][1]) & (F.col("n") >= CONSTANT[inside][0] * F.col("pages"))
+    texts = known.where("rank >= 0").where(constant(False))
+    kinds = F.array(F.lit(TEXT), F.lit(STRICT))
+    texts = texts.withColumn("kind", F.explode(F.when(constant(True), kinds).otherwise(F.array(F.lit(TEXT)))))
+    every = masses.select("host", row(MASS, mass=F.col("mass")).alias("w")).union(slots.select("host", row(SLOT, rank=F.col("rank")).alias("w")))
+    every = every.union(texts.select("host", F.struct("pivot", "elem", "rank", "kind", "text", F.lit(0.0).alias("mass")).alias("w")))
+    return every.groupBy("host").agg(F.collect_list("w").alias("wrapper"))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each row of `pages`: the main text of the whole page.
 
-    A host's wrapper is what its pages have in common when each is aligned with the host's pivot
-    by simple tree matching: slots with constant text are template, the others content. Of the
-    content, elements that by name or attributes are menus, headers, footers, sidebars, notices,
-    adverts, forms or comments are left out, and where a page marks an article only that is kept.
-    Null html is an empty page; a page without a host or alone on it has no template. Repeated
-    rows each give a row. An empty table gives an empty result. Pages are not grouped by host in
+    A host's wrapper comes from aligning its pages with two pivots by simple tree matching. Texts
+    that recur in a slot on pages that differ are template; what varies is weighed by the element
+    it stands in, and the deepest element that holds most of it is where the host's pages have
+    their content. A page's text is what stands below the element that aligns with that one. Names
+    and tags are a prior: they weigh varying text, they leave out menus, notices, adverts, forms or
+    comments inside the content, and on a page without a wrapper (no host, alone on it, or unlike
+    the pivots) they decide, save doubtful ones on an element with most of the page's text.
+
+    Null html is an empty page. A long page is parsed whole, at any depth. Repeated rows each give a
+    row; equal pages count once in the wrapper. Columns other than the three named play no part,
+    whatever their names. An empty table gives an empty result. Pages are not grouped by host in
     any task: counts are grouped sums, and wrappers go back to the pages by a join.
     """
     small_batches(pages.sparkSession, 200)
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/:?#]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     aligned = with_pivots(rows)
-    template = cut(wrapper_texts(aligned).withColumnRenamed("host", "template_host"))
-    small = template.agg(F.sum(F.size("template"))).first()[0] or 0
-    side = F.broadcast(template) if 64 * small <= BROADCAST_BYTES else template
-    joined = aligned.join(side, F.col("host") == F.col("template_host"), "left").select("page_id", "url", "html", "pivot", "template")
+    wrappers = cut(wrapper_rows(aligned).withColumnRenamed("host", "wrapper_host"))
+    small = wrappers.agg(F.sum(F.size("wrapper"))).first()[0] or 0
+    side = F.broadcast(wrappers) if 64 * small <= BROADCAST_BYTES else wrappers
+    joined = aligned.join(side, F.col("host") == F.col("wrapper_host"), "left").select("page_id", "url", "html", "host", "pivots", "wrapper")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        pivots = Pivots()
+        parsed = Parsed()
         for batch in batches:
             texts = []
-            for html, pivot, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            wrapped = batch.column(5).is_valid().to_pylist()
+            for i, (html, host) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)):
                 root, blocks, owners = parse(html or "")
-                constant: set[int] = set()
-                if template:
-                    known = {(t["slot"], t["text"]) for t in template}
-                    constant = {k for k, slot in slots(root, *pivots.get(pivot)).items() if (slot, xxhash.xxh3_64_intdigest(blocks[k]) - 2**63) in known}
-                texts.append(" ".join(kept_blocks(blocks, owners, constant)))
+                if wrapped[i]:
+                    kept = parsed.get(host, lambda i=i: Wrapper(batch.column(4)[i].as_py(), batch.column(5)[i].as_py())).extract(root, blocks, owners)
+                else:
+                    kept = page_text(root, blocks, owners, set())
+                texts.append(" ".join(blocks[k] for k in kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -2,16 +2,20 @@ import html as entities
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 
-from cellweave.llm.pages import Node, main_texts, match, op7_main_text, parse, set_shapes
+from pyspark.sql import functions as F
+
+from cellweave.llm import pages as module
+from cellweave.llm.pages import Node, Wrapper, main_texts, match, op7_main_text, page_text, parse, set_shapes, signature
 
 SF = "/root/testdata/sf0.01"
 
 
 def tree(spec):
-    node = Node(spec[0], False, False)
+    node = Node(spec[0])
     node.children = [tree(s) for s in spec[1:]]
     set_shapes(node)
     return node
@@ -102,7 +106,106 @@ def test_pages_of_the_test_tables(spark):
 
 @pytest.mark.parametrize("hidden", ["<svg class=x />", "<math/>", "<svg><path d='m'/><title/><text>no</text></svg>", "<div><noscript>no</div>", "<div><select><option>no<option>no</div>", "<div><object>no</div>", "<p>a<noscript><div>no</div></noscript></p>", "<div>" * 250 + "<svg><text>no</text></svg>" + "</div>" * 250])
 def test_hidden_elements_end_with_themselves_or_their_parent(hidden):
-    from cellweave.llm.pages import kept_blocks
+    root, blocks, owners = parse(f"<body>{hidden}<article><p>one{hidden}<p>two</article>{hidden}</body>")
+    assert [blocks[k] for k in page_text(root, blocks, owners, set()) if blocks[k] != "a"] == ["one", "two"]
+
 
-    _, blocks, owners = parse(f"<body>{hidden}<article><p>one{hidden}<p>two</article>{hidden}</body>")
-    assert [x for x in kept_blocks(blocks, owners, set()) if x != "a"] == ["one", "two"]
+@pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="needs the test tables")
+def test_the_wrapper_alone_finds_the_articles_of_the_test_tables(spark):
+    """The given pages with all names, roles and telling tags removed: only what varies says where the article is."""
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(article|nav|footer|aside|header|main|section|form)\b[^>]*>", "<$1div>"), r'\s(class|id|role)="[^"]*"', "")
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r.page_id: r.text.split() for r in main_texts(pages).collect()}
+    got = {r.page_id: r.text.split() for r in main_texts(pages.withColumn("html", bare)).collect()}
+    common = sum((Counter(want[k]) & Counter(got[k])).total() for k in want)
+    assert common / sum(map(len, got.values())) > 0.95 and common / sum(map(len, want.values())) > 0.95
+    alone = {k: " ".join(t) for k, t in want.items()}
+    assert sum(" ".join(got[k]) == alone[k] for k in got) > 0.9 * len(got)
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="wrap no-sidebar"><article><p>the article</article></div>', '<div class="content has-banner"><p>the article</div>', '<form id="aspnetForm"><article><p>the article</article></form>',
+    '<body><div class="page-with-menu"><div class="menu">x</div><p>the article</div>', '<div class="banner">x</div><form><div><p>the article</div><input></form>',
+])
+def test_a_doubtful_name_does_not_take_the_article(spark, page):
+    assert extract(spark, [(1, "http://a.b/", page)])[1, "http://a.b/"][0] == "the article"
+
+
+def test_text_is_joined_as_the_page_shows_it(spark):
+    page = "<article><p>super<wbr>cali<img src=x>fragi <ruby>k<rp>(</rp><rt>an</rt></ruby> a<br>b</article>"
+    assert extract(spark, [(1, None, page)])[1, None][0] == "supercalifragi k(an a b"
+
+
+def test_depth_and_number_of_blocks_do_not_matter(spark):
+    deep = lambda x: "<div>" * 300 + x + "</div>" * 300
+    assert extract(spark, [(1, None, deep("<nav>menu</nav><p>the text")), (2, None, deep("<nav><div><p>menu</div></nav>the text"))]) == {(1, None): ("the text", 8), (2, None): ("the text", 8)}
+    many = lambda k: "<body><div>" + "".join(f"menu {i}<br>" for i in range(1500)) + f"</div><div><p>words of story {k}<p>more of it {k * k}</div>"
+    got = extract(spark, [(k, f"http://a.b/{k}", many(k)) for k in range(6)])
+    assert all(text == f"words of story {k} more of it {k * k}" for (k, _), (text, _) in got.items())
+
+
+def brute_force(pages):
+    """What `main_texts` does, with dicts: every page of a host against both pivots, all texts of all slots counted."""
+    hosts = {}
+    for _, url, html in pages:
+        hosts.setdefault(url.split("/")[2], []).append(html)
+    wrappers = {}
+    for host, all_html in hosts.items():
+        usual = [h for h in all_html if len(h.encode()) <= 2 * sum(len(h.encode()) for h in all_html) / len(all_html)]
+        ordered = sorted(set(usual), key=HASHES.get)
+        pivots = sorted({ordered[0], ordered[-1]})
+        rows = []
+        for j, p in enumerate(pivots):
+            pivot, seen, prints = module.Pivot(p), {}, set()
+            for html in all_html:
+                root, blocks, owners = parse(html)
+                page = signature([blocks[k] for k in page_text(root, blocks, owners, set())])
+                prints.add(page)
+                named, paired, met = module.furniture(root, blocks, owners), pivot.align(root), Counter()
+                for k, owner in enumerate(owners):
+                    rank, met[id(owner)] = met[id(owner)], met[id(owner)] + 1
+                    if not owner.hidden:
+                        weight = 0.1 if named[k] else 3.0 if owner.main else 1.0
+                        seen.setdefault((*pivot.place(owner, rank, paired), blocks[k]), {}).setdefault(page, []).append(weight * len(blocks[k]))
+            if len(prints) < 2:
+                continue
+            mass, every, again = Counter(), Counter(), Counter()
+            for (elem, rank, text), found in seen.items():
+                n = len(found)
+                mass[elem] += max(map(max, found.values())) if n == 1 else 0
+                every[elem, rank] += n
+                again[elem, rank] += n if n > 1 else 0
+                for kind, share, least in ((module.TEXT, 0.5, 3), (module.STRICT, 0.8, 5)):
+                    if rank >= 0 and n >= least and n >= share * len(prints):
+                        rows.append({"pivot": j, "elem": elem, "rank": rank, "kind": kind, "text": module.digest(text), "mass": 0.0})
+            rows += [{"pivot": j, "elem": e, "rank": -1, "kind": module.MASS, "text": 0, "mass": m} for e, m in mass.items() if m]
+            rows += [{"pivot": j, "elem": e, "rank": r, "kind": module.SLOT, "text": 0, "mass": 0.0} for (e, r), n in again.items() if r >= 0 and n >= 3 and n > 0.22 * every[e, r]]
+        wrappers[host] = Wrapper(pivots, rows) if rows else None
+    out = {}
+    for k, url, html in pages:
+        root, blocks, owners = parse(html)
+        wrapper = wrappers[url.split("/")[2]]
+        kept = wrapper.extract(root, blocks, owners) if wrapper else page_text(root, blocks, owners, set())
+        out[k] = " ".join(blocks[i] for i in kept)
+    return out
+
+
+HASHES = {}
+
+
+def test_same_as_brute_force(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    pages = []
+    for host in range(5):
+        menus, wrap = [[line(2) for _ in range(4)] for _ in range(3)], r.choice(["div", "article", "section"])
+        articles = ["".join(f"<p>{line(r.randrange(3, 20))}" for _ in range(r.randrange(1, 6))) for _ in range(9)]
+        for k in range(r.choice([1, 4, 14])):
+            menu = "".join(f"<li>{x}" for x in r.choice(menus)[: r.randrange(2, 5)])
+            extra = r.choice(["", f"<div class=ad>{line(3)}</div>", f"<div class='comments'><p>{line(9)}</div>"])
+            pages.append((len(pages), f"http://h{host}.x/{k}", f"<body><div><ul>{menu}</ul></div>{extra}<{wrap}><h1>{line(3)}</h1>{r.choice(articles)}</{wrap}><div>the end of all</div>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    HASHES.update({x.html: x.k for x in df.select("html", F.xxhash64("html").alias("k")).collect()})
+    got = {x.page_id: x.text for x in main_texts(df).collect()}
+    assert got == brute_force(pages)
