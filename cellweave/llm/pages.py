@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -130,20 +131,18 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
     open_tags: Counter[str] = Counter()
 
     def flush() -> None:
-        if held:
-            text = " ".join("".join(held).split())
-            held.clear()
-            if text:
-                stack[-1].texts.append(len(blocks))
-                blocks.append(text)
-                owners.append(stack[-1])
+        text = " ".join("".join(held).split())
+        held.clear()
+        if text:
+            stack[-1].texts.append(len(blocks))
+            blocks.append(text)
+            owners.append(stack[-1])
 
     def close(tags, scope=()) -> None:
-        if not any(open_tags[t] for t in tags):
-            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
-                open_tags.subtract(node.tag for node in stack[k:])
+                for node in stack[k:]:
+                    open_tags[node.tag] -= 1
                 del stack[k:]
                 return
             if stack[k].tag in scope:
@@ -158,28 +157,30 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
         if not found:
             break
         at = found.end()
-        tag = (found[2] or "").lower()
+        ends, tag, attributes = found.groups()
+        tag = (tag or "").lower()
         if not tag or tag in INLINE:
             continue
-        flush()
-        if found[1]:
-            close((tag,))
+        if held:
+            flush()
+        if ends:
+            if open_tags[tag] > 0:
+                close((tag,))
             continue
-        closed = (found[3] or "").endswith("/>")
-        if closed and (tag in ("svg", "math") or open_tags["svg"] or open_tags["math"]):
+        if attributes.endswith("/>") and (tag in ("svg", "math") or open_tags["svg"] > 0 or open_tags["math"] > 0):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
-        if tag in CLOSES_P:
+        if open_tags["p"] > 0 and tag in CLOSES_P:
             close(("p",), SCOPE)
         if tag in SAME_KIND:
             close(SAME_KIND[tag], SCOPE)
         if tag in VOID:
             continue
         around, parent = stack[-1], stack[min(len(stack) - 1, DEEPEST)]
-        hidden, named, main = marks(tag, found[3] or "", around.main)
+        hidden, named, main = marks(tag, attributes, around.main)
         # At the greatest depth the tree's parent doesn't carry what the elements between say.
         if parent is not around:
             named = max(named, around.named)
@@ -187,7 +188,8 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
         parent.children.append(node)
         stack.append(node)
         open_tags[tag] += 1
-    flush()
+    if held:
+        flush()
     set_shapes(root)
     return root, blocks, owners
 
@@ -297,12 +299,11 @@ def under(node: Node, top: Node) -> bool:
     return any(x is top for x in lineage(node))
 
 
-def page_text(root: Node, blocks: list[str], owners: list[Node], template: set[int], top: Node | None = None) -> list[int]:
-    """The blocks of a page's main text: those of the marked article if there is one, without furniture and template.
+def page_text(owners: list[Node], gone: list[bool], template: set[int], top: Node | None = None) -> list[int]:
+    """The blocks of a page's main text: those of the marked article if there is one, but none that is `gone` or template.
 
     With `top`, the element that the host's wrapper says holds the content, only what is below it.
     """
-    gone = furniture(root, blocks, owners, top)
     own = [k for k, node in enumerate(owners) if not gone[k] and k not in template and (top is None or under(node, top))]
     return [k for k in own if owners[k].main] or own
 
@@ -320,18 +321,30 @@ class Pivot:
             todo.extend(node.children)
         self.number = {id(node): k for k, node in enumerate(self.nodes)}
 
-    def align(self, page: Node) -> dict[int, Node]:
-        """The pivot's element for each of a page's elements that has one, by identity."""
+    def align(self, page: Node) -> dict[int, tuple[int, Node]]:
+        """For each of a page's elements that has one, by identity, the number of the pivot's element and this."""
         pairs: list[tuple[Node, Node]] = []
         match(page, self.root, pairs)
-        return {id(u): v for u, v in pairs}
-
-    def place(self, owner: Node, rank: int, paired: dict[int, Node]) -> tuple[int, int]:
-        """The slot (element, rank) of a page's block; rank -1 where only an element around it is the pivot's."""
-        v = paired.get(id(owner))
-        if v is not None and rank < len(v.texts):
-            return self.number[id(v)], rank
-        return next((self.number[id(paired[id(x)])] for x in lineage(owner) if id(x) in paired), 0), -1
+        return {id(u): (self.number[id(v)], v) for u, v in pairs}
+
+    def places(self, owners: list[Node], ranks: list[int], page: Node) -> Iterator[tuple[int, int]]:
+        """The slot (element, rank) of each of a page's blocks; rank -1 where only an element around it is the pivot's."""
+        paired = self.align(page)
+        for owner, rank in zip(owners, ranks, strict=True):
+            found = paired.get(id(owner))
+            if found is not None and rank < len(found[1].texts):
+                yield found[0], rank
+                continue
+            while found is None and owner.parent is not None:
+                owner = owner.parent
+                found = paired.get(id(owner))
+            yield found[0] if found else 0, -1
+
+    def partner(self, page: Node, v: Node) -> Node | None:
+        """The page's element that is aligned with an element of the pivot."""
+        pairs: list[tuple[Node, Node]] = []
+        match(page, self.root, pairs)
+        return next((u for u, w in pairs if w is v), None)
 
     def content(self, mass: dict[int, float]) -> Node | None:
         """The deepest element that holds most of the varying text, the marked article around it if there is one.
@@ -384,37 +397,25 @@ class Wrapper:
         self.contents = [p.content(m) for p, m in zip(self.pivots, mass, strict=True)]
 
     def extract(self, root: Node, blocks: list[str], owners: list[Node]) -> list[int]:
-        aligned = [p.align(root) for p in self.pivots]
         top = None
-        for paired, content in zip(aligned, self.contents, strict=True):
-            backwards = {id(v): u for u, v in pair_nodes(root, paired)} if content is not None else {}
-            top = top or backwards.get(id(content))
-        gone: set[int] = set()
-        for pivot, paired, slots, strict in zip(self.pivots, aligned, self.slots, self.strict, strict=True):
-            for k, (owner, rank) in enumerate(ranks(owners)):
-                elem, rank = pivot.place(owner, rank, paired)
-                if rank >= 0:
-                    text = elem, rank, digest(blocks[k])
-                    if text in strict or top is None and not owner.main and ((elem, rank) in slots or text in slots):
-                        gone.add(k)
-        return page_text(root, blocks, owners, gone, top) or page_text(root, blocks, owners, set())
-
-
-def pair_nodes(root: Node, paired: dict[int, Node]) -> Iterator[tuple[Node, Node]]:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if id(node) in paired:
-            yield node, paired[id(node)]
-            todo.extend(node.children)
-
-
-def ranks(owners: list[Node]) -> Iterator[tuple[Node, int]]:
-    """Each block's element and its rank among the element's own blocks."""
-    met: Counter[int] = Counter()
-    for node in owners:
-        yield node, met[id(node)]
-        met[id(node)] += 1
+        for pivot, content in zip(self.pivots, self.contents, strict=True):
+            if top is None and content is not None:
+                top = pivot.partner(root, content)
+        template: set[int] = set()
+        rank_of, digests = ranks(owners), [digest(x) for x in blocks]
+        for pivot, slots, strict in zip(self.pivots, self.slots, self.strict, strict=True):
+            if strict or slots and top is None:
+                for k, place in enumerate(pivot.places(owners, rank_of, root)):
+                    text = (*place, digests[k])
+                    if text in strict or top is None and not owners[k].main and (place in slots or text in slots):
+                        template.add(k)
+        kept = page_text(owners, furniture(root, blocks, owners, top), template, top)
+        return kept or page_text(owners, furniture(root, blocks, owners), set())
+
+
+def ranks(owners: list[Node]) -> list[int]:
+    """Each block's rank among the blocks of its element."""
+    return [bisect_left(node.texts, k) for k, node in enumerate(owners)]
 
 
 def digest(text: str) -> int:
@@ -425,10 +426,13 @@ def digest(text: str) -> int:
 
 def signature(blocks: list[str], shingle: int = 5) -> int:
     """A hash of the least shingle hashes of a text's two longest blocks, which copies share and near copies for the most part."""
+    import xxhash
+
     least = []
     for block in sorted(blocks, key=len)[-2:]:
         words = block.split()
-        least.append(min(digest(" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))))
+        runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
+        least.append(min(map(xxhash.xxh3_64_intdigest, map(" ".join, runs))))
     return digest(str(least))
 
 
@@ -477,15 +481,20 @@ def wrapper_rows(aligned: DataFrame) -> DataFrame:
             for i, (host, html) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)):
                 pivots = parsed.get(host, lambda i=i: [Pivot(p) for p in batch.column(2)[i].as_py()])
                 root, blocks, owners = parse(html or "")
-                page = signature([blocks[k] for k in page_text(root, blocks, owners, set())])
                 named = furniture(root, blocks, owners)
+                page = signature([blocks[k] for k in page_text(owners, named, set())])
+                rank_of, digests = ranks(owners), [digest(x) for x in blocks]
+                masses = [len(x) * (NAMED_WEIGHT if out else MAIN_WEIGHT if owner.main else 1.0) for x, out, owner in zip(blocks, named, owners, strict=True)]
                 for j, pivot in enumerate(pivots):
-                    paired = pivot.align(root)
                     rows.append((host, j, -1, 0, 0, page, 0.0))
-                    for k, (owner, rank) in enumerate(ranks(owners)):
-                        if not owner.hidden:
-                            mass = len(blocks[k]) * (NAMED_WEIGHT if named[k] else MAIN_WEIGHT if owner.main else 1.0)
-                            rows.append((host, j, *pivot.place(owner, rank, paired), digest(blocks[k]), page, mass))
+                    loose: Counter[int] = Counter()
+                    for (elem, rank), text, mass, owner in zip(pivot.places(owners, rank_of, root), digests, masses, owners, strict=True):
+                        if rank < 0 and not owner.hidden:
+                            loose[elem] += mass
+                        elif not owner.hidden:
+                            rows.append((host, j, elem, rank, text, page, mass))
+                    # Text without a slot counts as varying: it goes by its page.
+                    rows += [(host, j, elem, -1, page, page, mass) for elem, mass in loose.items()]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "pivot", "elem", "rank", "text", "page", "mass"])
@@ -544,7 +553,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 if wrapped[i]:
                     kept = parsed.get(host, lambda i=i: Wrapper(batch.column(4)[i].as_py(), batch.column(5)[i].as_py())).extract(root, blocks, owners)
                 else:
-                    kept = page_text(root, blocks, owners, set())
+                    kept = page_text(owners, furniture(root, blocks, owners), set())
                 texts.append(" ".join(blocks[k] for k in kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -107,7 +107,7 @@ def test_pages_of_the_test_tables(spark):
 @pytest.mark.parametrize("hidden", ["<svg class=x />", "<math/>", "<svg><path d='m'/><title/><text>no</text></svg>", "<div><noscript>no</div>", "<div><select><option>no<option>no</div>", "<div><object>no</div>", "<p>a<noscript><div>no</div></noscript></p>", "<div>" * 250 + "<svg><text>no</text></svg>" + "</div>" * 250])
 def test_hidden_elements_end_with_themselves_or_their_parent(hidden):
     root, blocks, owners = parse(f"<body>{hidden}<article><p>one{hidden}<p>two</article>{hidden}</body>")
-    assert [blocks[k] for k in page_text(root, blocks, owners, set()) if blocks[k] != "a"] == ["one", "two"]
+    assert [blocks[k] for k in page_text(owners, module.furniture(root, blocks, owners), set()) if blocks[k] != "a"] == ["one", "two"]
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="needs the test tables")
@@ -156,20 +156,28 @@ def brute_force(pages):
         pivots = sorted({ordered[0], ordered[-1]})
         rows = []
         for j, p in enumerate(pivots):
-            pivot, seen, prints = module.Pivot(p), {}, set()
+            pivot, seen, loose, prints = module.Pivot(p), {}, Counter(), set()
             for html in all_html:
                 root, blocks, owners = parse(html)
-                page = signature([blocks[k] for k in page_text(root, blocks, owners, set())])
+                page = signature([blocks[k] for k in page_text(owners, module.furniture(root, blocks, owners), set())])
                 prints.add(page)
-                named, paired, met = module.furniture(root, blocks, owners), pivot.align(root), Counter()
+                named, met = module.furniture(root, blocks, owners), Counter()
+                own = Counter()
                 for k, owner in enumerate(owners):
                     rank, met[id(owner)] = met[id(owner)], met[id(owner)] + 1
-                    if not owner.hidden:
-                        weight = 0.1 if named[k] else 3.0 if owner.main else 1.0
-                        seen.setdefault((*pivot.place(owner, rank, paired), blocks[k]), {}).setdefault(page, []).append(weight * len(blocks[k]))
+                    mass = (0.1 if named[k] else 3.0 if owner.main else 1.0) * len(blocks[k])
+                    elem, rank = next(pivot.places([owner], [rank], root))
+                    if rank < 0:
+                        own[elem] += mass
+                    else:
+                        seen.setdefault((elem, rank, blocks[k]), {}).setdefault(page, []).append(mass)
+                for elem, m in own.items():
+                    loose[elem, page] = max(loose[elem, page], m)
             if len(prints) < 2:
                 continue
             mass, every, again = Counter(), Counter(), Counter()
+            for (elem, _), m in loose.items():
+                mass[elem] += m
             for (elem, rank, text), found in seen.items():
                 n = len(found)
                 mass[elem] += max(map(max, found.values())) if n == 1 else 0
@@ -185,7 +193,7 @@ def brute_force(pages):
     for k, url, html in pages:
         root, blocks, owners = parse(html)
         wrapper = wrappers[url.split("/")[2]]
-        kept = wrapper.extract(root, blocks, owners) if wrapper else page_text(root, blocks, owners, set())
+        kept = wrapper.extract(root, blocks, owners) if wrapper else page_text(owners, module.furniture(root, blocks, owners), set())
         out[k] = " ".join(blocks[i] for i in kept)
     return out
 
