@@ -24,8 +24,7 @@ BUCKET_ROWS = 1024
 
 def word_count(text: Column) -> Column:
     """Runs of other characters than space and 0x09-0x0D; 0 for a null."""
-    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
-    return F.when(text.isNull() | (bare == ""), 0).otherwise(F.size(F.split(bare, "[ \\t-\\r]+"))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
 def mixing_exponent(sources: DataFrame, budget: float, entropy: float | None, repeats: float | None) -> float:
@@ -111,22 +110,28 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int =
 
     Every row is a document of its own. One whose doc_id is null or repeated goes by a key of its
     id, source, a hash of its text and its rank among equal rows, the others by their id. Up to
-    `most` repeated ids are broadcast; more are joined by a shuffle.
+    `most` repeated ids are broadcast; more are joined by a shuffle. A text of any length is one
+    document of so many tokens. Columns named like the four added ones are replaced by these; any
+    other name stays.
     """
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    rows = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("_only"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others))).alias("others"))
     source, text = F.coalesce("source", F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    again = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"))
+    again = cut(rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id"))
     side = F.broadcast(again) if again.count() <= most else again
-    at = docs["doc_id"] == side["again_id"]
+    at = rows["doc_id"] == side["again_id"]
     id_key = F.col("doc_id").cast("string")
-    own = docs.where("doc_id is not null").join(side, at, "left_anti").withColumn("_key", id_key)
-    shared = docs.where("doc_id is null").unionByName(docs.join(side, at, "left_semi"))
+    own = rows.where("doc_id is not null").join(side, at, "left_anti").withColumn("key", id_key)
+    shared = rows.where("doc_id is null").unionByName(rows.join(side, at, "left_semi"))
     print_of = F.concat_ws("|", F.coalesce(id_key, F.lit("")), source, F.md5(text))
-    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
-    equal = Window.partitionBy("_key").orderBy(*others, "_key")
-    shared = shared.withColumn("_key", print_of).withColumn("_key", F.concat_ws("|", "_key", F.row_number().over(equal).cast("string")))
+    equal = Window.partitionBy("key").orderBy("others")
+    shared = shared.withColumn("key", print_of).withColumn("key", F.concat_ws("|", "key", F.row_number().over(equal).cast("string")))
     keyed = own.unionByName(shared)
-    plan = mixture_plan(keyed.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("tokens")))
-    return keyed.join(plan.drop("source").withColumnRenamed("doc_id", "_placed"), F.col("_key") == F.col("_placed")).drop("_key", "_placed")
+    plan = mixture_plan(keyed.select(F.col("key").alias("doc_id"), "source", word_count(F.col("text")).alias("tokens")))
+    placed = keyed.join(plan.drop("source").withColumnRenamed("doc_id", "placed"), F.col("key") == F.col("placed"))
+    added = ("epoch", "tokens", "block", "position")
+    found = {c: F.col(c) for c in ("doc_id", "source", "text")} | {c: F.col("others")[f"c{k}"] for k, c in enumerate(others)}
+    return placed.select(*(found[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

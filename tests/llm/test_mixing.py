@@ -111,3 +111,12 @@ def test_stage_keeps_null_and_repeated_ids_apart(spark):
     assert len({(x.block, x.position) for x in out}) == len(out)
     again = mixing_stage(spark, df.repartition(3), "").collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_stage_with_any_column_names(spark):
+    names = ["epoch", "tokens", "block", "position", "key", "placed", "others", "again_id"]
+    rows = [(k if k % 3 else None, f"a b {k}", "s", *range(len(names))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    got = mixing_stage(spark, df, "")
+    assert got.columns == ["doc_id", "text", "source", *names[4:], *names[:4]]
+    assert got.select("text").distinct().count() == 30 and {tuple(r)[3:7] for r in got.collect()} == {(4, 5, 6, 7)}
