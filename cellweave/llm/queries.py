@@ -14,7 +14,7 @@ from .pages import op7_main_text
 from .preferences import OP4_SQL, op4_preferences
 from .quality import op8_quality
 from .simhash import op2_simhash_dedup
-from .substring import op6_substring_dedup
+from .substring import OP6_SQL, op6_substring_dedup
 from .tokens import op10_token_counts
 
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op4_preferences": OP4_SQL, "op5_mixing": OP5_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op4_preferences": OP4_SQL, "op5_mixing": OP5_SQL, "op6_substring_dedup": OP6_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, small_batches
-from .words import mixed, pieces, text_buffer, window_hashes, window_starts, word_hashes
+from .words import pieces, text_buffer, window_hashes, window_starts, word_hashes
 
 WINDOW = 50
 #: A perfect difference cover: for any two positions, some shift below PERIOD puts both on it.
@@ -22,21 +23,33 @@ ANCHOR = WINDOW - PERIOD + 1
 
 def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of the texts in column 1, each row's offsets among them, and each text's own hash."""
+    import xxhash
+
     body, offsets = text_buffer(batch.column(1))
     _, _, h, rows = word_hashes(body, offsets)
-    n = np.diff(rows)
-    own = np.zeros(len(n), np.uint64)
-    for i in np.flatnonzero(n):
-        own[i] = window_hashes(h[rows[i] : rows[i + 1]], np.zeros(1, np.int64), int(n[i]))[0]
-    return h, rows, mixed(own + n.astype(np.uint64)).view(np.int64).astype(np.int32)
+    own = [xxhash.xxh3_64_intdigest(body[a:b]) >> 33 for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return h, rows, np.array(own, np.int32)
+
+
+def window_digests(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b digests, as 64 and 32 bits, of the words of the windows at the given word positions of a text."""
+    words = text.encode().split()
+    body = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    bounds = zip(begins[starts].tolist(), ends[starts + WINDOW - 1].tolist(), strict=True)
+    found = np.frombuffer(b"".join([blake2b(body[a:b], digest_size=12).digest() for a, b in bounds]), np.uint8).reshape(-1, 12)
+    return found[:, :8].copy().view(np.uint64)[:, 0], found[:, 8:].copy().view(np.int32)[:, 0]
 
 
 FOUND = "h long, doc long, own int, pos int, known boolean"
 
 
-def table(h, doc, own, pos, known) -> pa.RecordBatch:
-    columns = [pa.array(h.view(np.int64)), pa.array(doc), pa.array(own), pa.array(pos.astype(np.int32)), pa.array(known)]
-    return pa.RecordBatch.from_arrays(columns, ["h", "doc", "own", "pos", "known"])
+def table(h, more, doc, own, pos, known) -> pa.RecordBatch:
+    columns = {"h": h.view(np.int64), "doc": doc, "own": own, "pos": pos.astype(np.int32), "known": known}
+    if more is not None:
+        columns["more"] = more
+    return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in columns.items()})
 
 
 class Gathered:
@@ -60,11 +73,14 @@ class Gathered:
         """
         if not self.size:
             return
-        h, doc, own, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        h, *more, doc, own, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        more = more[0] if more else None
         self.parts, self.size = [], 0
         order = np.argsort(h, kind="stable")
         hs, ds, texts = h[order], doc[order], own[order]
         new = np.concatenate(([True], hs[1:] != hs[:-1]))
+        if more is not None:
+            new[1:] |= more[order[1:]] != more[order[:-1]]
         begin, group = np.flatnonzero(new), np.cumsum(new) - 1
         least, most = np.minimum.reduceat(ds, begin)[group], np.maximum.reduceat(ds, begin)[group]
         # A text's occurrences follow each other, and the sort leaves them in order.
@@ -72,7 +88,7 @@ class Gathered:
         known = new & (most > least if self.anchors else ds > least)
         for rows, told in ((np.sort(order[known]), True), (np.sort(order[new & (ds == least)]), False)):
             if len(rows):
-                yield table(h[rows], doc[rows], own[rows], pos[rows], np.full(len(rows), told))
+                yield table(h[rows], None if more is None else more[rows], doc[rows], own[rows], pos[rows], np.full(len(rows), told))
 
 
 def everywhere(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -96,7 +112,7 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows around the given anchors of (id, text, own, anchor positions) rows.
+    """Digests of the words of the windows around the given anchors of (id, text, own, anchor positions) rows.
 
     Of rows that share an id, only those whose text has the hash own are meant.
     """
@@ -114,7 +130,12 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, row = window_starts(rows, WINDOW)
         on = np.cumsum(near)[starts] > 0
         starts, row = starts[on], row[on]
-        yield from kept.add(window_hashes(h, starts, WINDOW), doc[row], own[row], starts - rows[row])
+        pos = starts - rows[row]
+        edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        for i in np.unique(row):
+            at = pos[edges[i] : edges[i + 1]]
+            n = len(at)
+            yield from kept.add(*window_digests(batch.column(1)[i].as_py(), at), np.full(n, doc[i]), np.full(n, own[i]), at)
     yield from kept.flush()
 
 
@@ -125,22 +146,23 @@ def by_document(positions: DataFrame) -> DataFrame:
 def removable_windows(docs: DataFrame) -> DataFrame:
     """Rows (doc, own, at): start positions of the windows of `docs` (doc, words) that also start in a smaller doc.
 
-    own is a hash of the text's words; with doc it names a text even where ids repeat.
+    own is a hash of the text; with doc it names a text even where ids repeat. Anchors are
+    candidates, by 64-bit hashes; windows are equal where BLAKE2b says that their words are.
     """
     found = docs.mapInArrow(anchors, FOUND)
-    spread = Window.partitionBy("h")
+    same_hash, same_words = Window.partitionBy("h"), Window.partitionBy("h", "more")
     shared = (
         found.where("not known")
-        .withColumn("several", F.min("doc").over(spread) < F.max("doc").over(spread))
+        .withColumn("several", F.min("doc").over(same_hash) < F.max("doc").over(same_hash))
         .where("several")
         .select("doc", "own", "pos")
         .union(found.where("known").select("doc", "own", "pos"))
     )
     with_anchors = docs.join(by_document(shared).withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("doc", "words", "own", "at")
-    around = with_anchors.mapInArrow(windows, FOUND)
+    around = with_anchors.mapInArrow(windows, f"{FOUND}, more int")
     later = (
         around.where("not known")
-        .withColumn("first", F.min("doc").over(spread))
+        .withColumn("first", F.min("doc").over(same_words))
         .where("doc > first")
         .select("doc", "own", "pos")
         .union(around.where("known").select("doc", "own", "pos"))
@@ -168,10 +190,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a smaller id; all windows are judged on the input. A null text counts as empty. A row
     with a null id, or a text below WINDOW words, neither loses words nor takes any. Rows that
     repeat an id are judged against smaller ids only, so repeated rows do not remove each other.
-    An empty table gives an empty result.
+    A text of any length is judged whole, in one task. Names of carried columns may be any, save
+    that two equal names make two equal columns. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("words"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    carried = F.struct(F.lit(0).alias("c"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("words"), carried.alias("carried"))
     named, nameless = rows.where("doc is not null"), rows.where("doc is null")
     found = removable_windows(named).withColumnRenamed("doc", "d")
     per_text = found.groupBy("d").agg(F.collect_list(F.struct("own", "at")).alias("cuts"))
@@ -194,16 +218,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = named.join(per_text, named.doc == per_text.d, "left").select("doc", "words", "cuts", "carried")
     joined = joined.union(nameless.select("doc", "words", F.lit(None).cast(joined.schema["cuts"].dataType), "carried"))
     kept = joined.mapInArrow(cut_out, f"doc_id long, n_words long, n_removed long, text string, carried {joined.schema['carried'].dataType.simpleString()}")
-    return kept.select("doc_id", "n_words", "n_removed", "text", *(F.col("carried")[c].alias(c) for c in carry))
+    return kept.select("doc_id", "n_words", "n_removed", "text", *(F.col("carried")[f"c{k}"].alias(c) for k, c in enumerate(carry)))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with what remains of their texts; those of which nothing remains go."""
-    kept = substring_dedup(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), tidy=False)
-    kept = kept.where("n_removed = 0 or text <> ''")
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """The documents with what remains of their texts; those of which nothing remains go.
+
+    Other columns stay as they are, whatever their names, but that n_chars, if there is one, is
+    that of the new text. Rows that repeat an id, null ids and long texts are as in `substring_dedup`.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_only"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others))).alias("others"))
+    kept = substring_dedup(rows, carry=("others",), tidy=False).where("n_removed = 0 or text <> ''")
+    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
+    found = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("others")[f"c{k}"] for k, c in enumerate(others)}
+    if length is not None:
+        found["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(found["n_chars"])
+    return kept.select(*(found[c].alias(c) for c in docs.columns))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM d WHERE len(ws) >= {WINDOW}),
+windows AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS t FROM starts),
+firsts AS (SELECT t, min(doc_id) AS m FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM windows JOIN firsts USING (t) WHERE doc_id > m),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -1,7 +1,9 @@
 """Word positions and hashes of Arrow string columns, computed with numpy inside tasks.
 
-A word is a run of bytes other than space and 0x09-0x0D. Hashes of words and of sequences of
-words are polynomials modulo 2**64, so that any window's hash is a difference of prefix sums.
+A word is a run of bytes other than space and 0x09-0x0D. Hashes of words of up to LONG_WORD bytes
+and of sequences of words are polynomials modulo 2**64, so that any window's hash is a difference
+of prefix sums. Such polynomials cannot tell apart certain sequences of 1024 terms and more; longer
+words have XXH64 instead, and windows have 50 words at most.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE_VALUE = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 CHUNK = 1 << 19
+LONG_WORD = 64
 #: The powers of each base that were needed so far, up to 2**21 of them.
 _powers: dict[int, np.ndarray] = {}
 
@@ -68,6 +71,8 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray, classes: np.ndarray | Non
     With `classes` (a small int for each byte value, 0 for what separates), a word also ends
     where the class changes.
     """
+    import xxhash
+
     kind = (~SPACE).astype(np.uint8) if classes is None else classes
     starts, ends, hashes = [], [], []
     fresh = np.zeros(len(body) + 1, bool)
@@ -93,7 +98,10 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray, classes: np.ndarray | Non
         np.cumsum(BYTE_VALUE[b] * powers(BYTE_BASE, len(b)), out=sums[1:])
         starts.append(s + at)
         ends.append(e + at)
-        hashes.append(mixed((sums[e] - sums[s]) * powers(-BYTE_BASE, len(b) + 1)[s]) if len(s) else np.zeros(0, np.uint64))
+        found = mixed((sums[e] - sums[s]) * powers(-BYTE_BASE, len(b) + 1)[s]) if len(s) else np.zeros(0, np.uint64)
+        for i in np.flatnonzero(e - s > LONG_WORD):
+            found[i] = xxhash.xxh64_intdigest(b[s[i] : e[i]])
+        hashes.append(found)
         at = end
     if not starts:
         none = np.zeros(0, np.int64)

@@ -63,3 +63,40 @@ def test_query_digest_and_empty(spark, tmp_path):
     got = sorted(map(tuple, substring.op6_substring_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute(rows)), key=str)
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """Thue-Morse words and their complements, which polynomials modulo 2**64 cannot tell apart."""
+    rest = " ".join(f"v{k}" for k in range(49))
+    rows = []
+    for n in (64, 128, 512, 1024, 2048, 4096):
+        word = thue_morse(n)
+        rows += [(2 * n, f"{word} {rest}"), (2 * n + 1, f"{word.translate(str.maketrans('ab', 'ba'))} {rest}")]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 12 and all(r.n_removed == 0 for r in got)
+
+
+def test_windows_are_compared_by_their_words(spark, monkeypatch):
+    """Equal 64-bit hashes of unlike anchors bring candidates at most."""
+    monkeypatch.setattr(substring, "window_hashes", lambda h, at, n: h[at] * 0)
+    monkeypatch.setattr(substring, "everywhere", lambda h, at, n: substring.np.arange(len(h) - n + 1) if n < 50 else at)
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(80))) for i in range(6)]
+    found = substring.windows(iter([substring.pa.RecordBatch.from_pylist([{"id": i, "text": t, "own": int(substring.hashed(substring.pa.RecordBatch.from_pylist([{"id": i, "text": t}]))[2][0]), "at": [0]} for i, t in rows])]))
+    got = [r for b in found for r in b.to_pylist()]
+    assert len({(r["h"], r["more"]) for r in got}) == len(got) == 6 * 31 and not any(r["known"] for r in got)
+
+
+def test_stage_with_any_column_names(spark):
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, same, 5, 6, 7, 8, 9, 0), (2, same + " tail", 5, 6, 7, 8, 9, 0), (None, same, 5, 6, 7, 8, 9, 0), (3, same, 1, 1, 1, 1, 1, 1)]
+    names = ["n_words", "n_removed", "_", "others", "carried", "cuts"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    got = substring.substring_stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], (2, "tail", *rows[1][2:]), rows[2]], key=str)
+    counted = spark.createDataFrame([(*r[:2], len(r[1])) for r in rows], "doc_id long, text string, n_chars int")
+    assert {r.n_chars for r in substring.substring_stage(spark, counted, "").where("doc_id = 2").collect()} == {4}
