@@ -16,6 +16,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Added to the score of the unlikeliest piece for a character that no piece covers.
 UNKNOWN_PENALTY = -10.0
 SPACE_MARK = "▁"
+#: Words of more characters don't go into the trie.
+LONG_WORD = 256
 
 
 def unigram_scores(path: str = VOCABULARY) -> dict[str, float]:
@@ -48,6 +50,7 @@ class TokenTrie:
         #: Scores of pieces, and minus infinity for what only ends a piece.
         self.ends = {piece[i:]: -math.inf for piece in scores for i in range(len(piece))} | scores
         self.single = {piece for piece in scores if len(piece) == 1}
+        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) + UNKNOWN_PENALTY
         self.clear()
 
@@ -56,19 +59,34 @@ class TokenTrie:
         self.forward: list[tuple[float, int]] = [(0.0, 0)]
         self.terminal: dict[bytes, int] = {}
 
+    def step(self, text: str, end: int, path, first: int) -> tuple[float, int]:
+        """Forward score and token count of text[:end], from those of text[:k] at path[k - first]."""
+        best, count = -math.inf, 0
+        begin = end - 1
+        while begin >= first and (s := self.ends.get(text[begin:end])) is not None:
+            total, n = path[begin - first]
+            if total + s > best or total + s == best and n + 1 < count:
+                best, count = total + s, n + 1
+            begin -= 1
+        if text[end - 1] not in self.single:
+            total, n = path[end - 1 - first]
+            if total + self.unknown > best:
+                best, count = total + self.unknown, n + len(text[end - 1].encode())
+        return best, count
+
     def insert(self, word: bytes) -> int:
         """Tokens of a word, with the mark of a space before it."""
         text = SPACE_MARK + word.decode(errors="replace")
-        node, end, children = 0, 0, self.children
+        node, children, ends = 0, self.children, self.ends
         path = [self.forward[0]]
-        for char in text:
-            end += 1
+        for end, char in enumerate(text, 1):
             below = children[node]
             to = below.get(char) if below else None
             if to is None:
+                # As in `step`, without a call for each node: nearly all time goes here.
                 best, count = -math.inf, 0
                 begin = end - 1
-                while begin >= 0 and (s := self.ends.get(text[begin:end])) is not None:
+                while begin >= 0 and (s := ends.get(text[begin:end])) is not None:
                     total, n = path[begin]
                     if total + s > best or total + s == best and n + 1 < count:
                         best, count = total + s, n + 1
@@ -89,14 +107,28 @@ class TokenTrie:
         self.terminal[word] = path[-1][1]
         return path[-1][1]
 
+    def long_word(self, word: bytes) -> int:
+        """Tokens of a word of any length, of whose prefixes only the last few are remembered."""
+        text = SPACE_MARK + word.decode(errors="replace")
+        path, first = [(0.0, 0)], 0
+        for end in range(1, len(text) + 1):
+            path.append(self.step(text, end, path, first))
+            if len(path) > 16 * self.longest:
+                first += len(path) - self.longest - 1
+                path = path[-self.longest - 1 :]
+        return path[-1][1]
+
     def count(self, words: list[bytes]) -> int:
         """Tokens of a list of words. Words new to the trie go in once; a full trie is begun anew."""
+        long = [word for word in words if len(word) > LONG_WORD]
+        if long:
+            words = [word for word in words if len(word) <= LONG_WORD]
         for word in set(words).difference(self.terminal):
             self.insert(word)
         n = sum(map(self.terminal.__getitem__, words))
         if len(self.children) > self.most_nodes:
             self.clear()
-        return n
+        return n + sum(map(self.long_word, long))
 
 
 def texts_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +141,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Pre-tokens are runs of bytes other than space and 0x09-0x0D. A null or wordless text has no
     tokens; repeated rows and null ids are kept as they are; an empty table gives an empty
-    result. Each task keeps its own trie of bounded size, so no text is shuffled.
+    result. Each task keeps its own trie of bounded size, so no text is shuffled. A word of more
+    than LONG_WORD bytes is scored by itself with a window of forward scores. Texts are counted
+    whole; other columns play no part, whatever their names.
     """
     small_batches(docs.sparkSession)
     scores = docs.sparkSession.sparkContext.broadcast(unigram_scores(vocabulary))

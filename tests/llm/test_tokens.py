@@ -64,3 +64,40 @@ def test_rows(spark):
     want = [(i, len((t or "").split()), sum(brute(w, scores, unknown) for w in (t or "").split()[:4]) if len(t or "") < 99 else 100000 * brute("tion", scores, unknown)) for i, t in rows]
     assert sorted(map(tuple, token_counts(df).collect()), key=str) == sorted(want, key=str)
     assert token_counts(df.limit(0)).count() == 0
+
+
+def test_long_words_take_bounded_memory():
+    import tracemalloc
+
+    scores = unigram_scores()
+    trie = TokenTrie(scores)
+    r = random.Random(2)
+    for n in (tokens.LONG_WORD - 1, tokens.LONG_WORD + 1, 1000, 3000):
+        word = "".join(r.choices("tionerañ日x", k=n))
+        assert trie.count([word.encode()]) == brute_window(word, scores, trie.unknown)
+    before = len(trie.children)
+    word = b"".join(r.choices([b"tion", b"er", b"zq"], k=40_000))
+    tracemalloc.start()
+    n = trie.count([word, b"a", word])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trie.children) <= before + 2 and peak < 10 * len(word) + 2_000_000
+    assert n == 2 * trie.long_word(word) + trie.count([b"a"])
+
+
+def brute_window(word, scores, unknown):
+    """`brute` that tries pieces of up to 48 characters only, so that long words end."""
+    text = "▁" + word
+    assert max(map(len, scores)) <= 48
+    best = [(0.0, 0)] + [None] * len(text)
+    for end in range(1, len(text) + 1):
+        options = []
+        for begin in range(max(0, end - 48), end):
+            piece = text[begin:end]
+            if piece in scores:
+                options.append((-(best[begin][0] + scores[piece]), best[begin][1] + 1))
+            elif end - begin == 1:
+                options.append((-(best[begin][0] + unknown), best[begin][1] + len(piece.encode())))
+        s, n = min(options)
+        best[end] = (-s, n)
+    return best[-1][1]
