@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,11 @@ KEY = ["label", "dim", "bucket_table", "code", "a", "b"]
 def shape(largest: int, threshold: float, recall: float) -> tuple[int, int]:
     """Bits of a table's code and number of tables, for so many vectors with one label.
 
-    Bits grow with the logarithm of the vectors, so that unlike vectors seldom share a bucket;
-    the tables then follow from the chance that a pair at the threshold agrees in all bits.
+    Bits grow with the logarithm of the vectors, so that a bucket of unlike vectors holds some 32 of
+    them whatever their number; the tables then follow from the chance that a pair at the threshold
+    agrees in all bits. Vectors are shuffled once a table, which costs more than those comparisons.
     """
-    bits = min(40, max(8, math.ceil(math.log2(max(largest, 2))) + 2))
+    bits = min(40, max(8, math.ceil(math.log2(max(largest, 2))) - 5))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
@@ -46,19 +47,25 @@ class Tables:
     def __init__(self, bits: int, tables: int, seed: int = SEED) -> None:
         self.bits, self.tables, self.seed, self.planes = bits, tables, seed, {}
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        """The signs of all tables, as packed bits."""
         dim = x.shape[1]
         if dim not in self.planes:
             self.planes[dim] = np.random.Generator(np.random.PCG64([self.seed, dim])).normal(size=(dim, self.tables * self.bits))
-        sign = (x @ self.planes[dim] > 0).reshape(len(x), self.tables, self.bits)
-        return sign @ (1 << np.arange(self.bits, dtype=np.int64))
+        return np.packbits(x @ self.planes[dim] > 0, axis=1)
 
+    def codes(self, signs: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """Codes in the first tables, all by default."""
+        tables = self.tables if tables is None else tables
+        bits = np.unpackbits(signs, axis=1, count=tables * self.bits) if tables else np.zeros((len(signs), 0), np.uint8)
+        return bits.reshape(len(signs), tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
-def links_in(x: np.ndarray, copies: np.ndarray, side: np.ndarray | None, earlier: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+
+def links_in(x: np.ndarray, copies: np.ndarray, side: np.ndarray | None, earlier: Callable[[np.ndarray], np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For the vectors of one bucket: the linked vectors counted here, copies included, and a root of what these links connect.
 
-    `earlier` has the codes in the tables before this one: a pair that agrees in one of them is
-    counted there. With `side`, only pairs between side 0 and side 1 count.
+    `earlier` gives the codes of some of them in the tables before this one: a pair that agrees in
+    one of them is counted there. With `side`, only pairs between side 0 and side 1 count.
     """
     m = len(x)
     n, root = np.zeros(m, np.int64), np.arange(m)
@@ -69,9 +76,12 @@ def links_in(x: np.ndarray, copies: np.ndarray, side: np.ndarray | None, earlier
         i, j = own[i], columns[j]
         if side is None:
             i, j = i[i < j], j[i < j]
+        linked, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+        codes = earlier(linked)
+        a, b = at[: len(i)], at[len(i) :]
         new = np.ones(len(i), bool)
-        for t in range(earlier.shape[1]):
-            new &= earlier[i, t] != earlier[j, t]
+        for t in range(codes.shape[1]):
+            new &= codes[a, t] != codes[b, t]
         i, j = i[new], j[new]
         np.add.at(n, i, copies[j])
         np.add.at(n, j, copies[i])
@@ -99,18 +109,19 @@ def embedding_links(nodes: DataFrame, threshold: float, recall: float) -> DataFr
             dims = np.array([len(v) for v in batch.column(3)])
             for dim in np.unique(dims):
                 some = batch.filter(pa.array(dims == dim))
-                codes = made.codes(unit_rows(some.column(3), int(dim)))
+                signs = made.signs(unit_rows(some.column(3), int(dim)))
+                codes = made.codes(signs)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(np.full(len(codes), dim, np.int32)), lists], ["rep", "hash", "label", "dim", "codes"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(np.full(len(codes), dim, np.int32)), lists, pa.array([s.tobytes() for s in signs], pa.binary())], ["rep", "hash", "label", "dim", "codes", "signs"])
 
-    coded = nodes.select("rep", "hash", "label", "vec").mapInArrow(code, "rep long, hash long, label long, dim int, codes array<bigint>")
-    placed = cut(coded).select("rep", "hash", "label", "dim", F.posexplode("codes").alias("bucket_table", "code"))
+    coded = cut(nodes.select("rep", "hash", "label", "vec").mapInArrow(code, "rep long, hash long, label long, dim int, codes array<bigint>, signs binary"))
+    placed = coded.select("rep", "hash", "label", "dim", F.posexplode("codes").alias("bucket_table", "code"))
     full = placed.groupBy("label", "dim", "bucket_table", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
     own = F.pmod(F.xxhash64("rep", "hash", "bucket_table"), F.col("blocks")).cast("int")
     met = placed.join(full, ["label", "dim", "bucket_table", "code"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    vectors = nodes.select(F.col("rep").alias("r"), F.col("hash").alias("h"), "copies", "vec")
-    dealt = met.join(vectors, (F.col("rep") == F.col("r")) & (F.col("hash") == F.col("h"))).select(*KEY, "own", "rep", "hash", "copies", "vec")
+    vectors = nodes.join(coded.select("rep", "hash", "signs"), ["rep", "hash"]).select(F.col("rep").alias("r"), F.col("hash").alias("h"), "copies", "vec", "signs")
+    dealt = met.join(vectors, (F.col("rep") == F.col("r")) & (F.col("hash") == F.col("h"))).select(*KEY, "own", "rep", "hash", "copies", "vec", "signs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Tables(*maker.value)
@@ -118,7 +129,8 @@ def embedding_links(nodes: DataFrame, threshold: float, recall: float) -> DataFr
             _, dim, table, _, a, b = (group.column(k)[0].as_py() for k in range(len(KEY)))
             x = unit_rows(group.column("vec").chunk(0), dim)
             own, rep, hashes, copies = (group.column(name).to_numpy() for name in ("own", "rep", "hash", "copies"))
-            n, root = links_in(x, copies, None if a == b else (own == b).astype(int), made.codes(x)[:, :table], threshold)
+            signs = np.frombuffer(b"".join(group.column("signs").to_pylist()), np.uint8).reshape(len(x), -1)
+            n, root = links_in(x, copies, None if a == b else (own == b).astype(int), lambda some, signs=signs, table=table: made.codes(signs[some], table), threshold)
             some = np.flatnonzero(n)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(hashes[some]), pa.array(rep[root[some]]), pa.array(n[some])], ["rep", "hash", "root", "n"])
@@ -150,15 +162,18 @@ def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str =
 
     Two vectors are linked if their labels are equal and not null, their lengths are equal and
     their cosine is at least `threshold`. A vector that is null, empty or zero, or that holds a
-    null or non-finite number, links with nothing. n_links counts the other rows linked directly,
+    null or non-finite number, links with nothing. Labels may be of any type; others than whole
+    numbers go by their XXH64. n_links counts the other rows linked directly,
     copies included; component_id is the smallest vec_id reachable. Rows with equal labels and
     vectors are one node of the search. Rows that share a vec_id are one member of a component. A
-    row with a null vec_id links with nothing and has no component. An empty table gives an empty
-    result.
+    row with a null vec_id links with nothing and has no component. Other columns play no part,
+    whatever their names. An empty table gives an empty result.
     """
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
+    whole = rows.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
-    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.col(label_col).cast("long").alias("label"))
+    all_rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), label.alias("label"))
     named = all_rows.withColumn("usable", usable).withColumn("h", F.xxhash64("label", "v"))
     nodes = cut(named.where("usable").groupBy("label", "v", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("rep", F.col("h").alias("hash"), "label", "copies", F.col("v").alias("vec")))
     found = cut(embedding_links(nodes, threshold, recall))

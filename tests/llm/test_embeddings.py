@@ -67,10 +67,20 @@ def test_recall_at_the_threshold():
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     near = THRESHOLD * a + math.sqrt(1 - THRESHOLD**2) * b
     made = embeddings.Tables(bits, tables)
-    assert (made.codes(a) == made.codes(near)).any(axis=1).mean() > 0.985
+    assert (made.codes(made.signs(a)) == made.codes(made.signs(near))).any(axis=1).mean() > 0.985
+    assert (made.codes(made.signs(a), 3) == made.codes(made.signs(a))[:, :3]).all()
 
 
 def test_groups_cross_batches():
     keys = [1, 1, 1, 2, 3, 3, 3, 3, 4]
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + n], pa.int64())], ["k"]) for i, n in ((0, 2), (2, 1), (3, 0), (3, 3), (6, 3))]
     assert [g.column(0).to_pylist() for g in groups(iter(batches), 1)] == [[1, 1, 1], [2], [3, 3, 3, 3], [4]]
+
+
+def test_labels_of_any_type(spark):
+    rows = [(k, [1.0, 0.1 * (k % 2)], x) for k, x in enumerate(["a", "a", "b", "b", None, "a"])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (2, 0)}
+    rows = [(k, [1.0, 0.0], x) for k, x in enumerate([1.2, 1.7, 1.2, None])]
+    got = {r.vec_id: r.component_id for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3}
