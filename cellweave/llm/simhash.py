@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -14,8 +16,8 @@ from .common import connected_components, cut, read_table, small_batches
 from .words import mixed, pieces, text_buffer, window_hashes, word_hashes
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Shards with more fingerprints are divided once more, by parts of their remaining 32 bits.
-LARGE_SHARD = 256
+#: About so many fingerprints share a tree; shards of more than the second number are dealt out once more.
+SHARD, LARGE_SHARD = 512, 4096
 #: The pipeline's stage: words in a shingle, and the Jaccard similarity of near copies.
 NEAR_SHINGLE, SIMILAR = 5, 0.8
 #: Pairs at similarity 0.8 agree in one of 14 bands of 4 least hashes with chance 0.9994.
@@ -53,6 +55,8 @@ class BKTree:
     def __init__(self) -> None:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
+        #: Fingerprints compared by all searches so far.
+        self.visits = 0
 
     def add(self, value: int) -> None:
         self.values.append(value)
@@ -69,6 +73,7 @@ class BKTree:
         found, todo = [], [0] if self.values else []
         while todo:
             at = todo.pop()
+            self.visits += 1
             d = (self.values[at] ^ value).bit_count()
             if d <= radius:
                 found.append(at)
@@ -95,50 +100,64 @@ def spanning_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
         tree.add(value)
 
 
-def block(n: int, width: int, at: str = "fp") -> Column:
-    """Bits n .. n + width - 1 of a fingerprint."""
-    return F.shiftrightunsigned(at, n).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-
-def shard_keys() -> Column:
-    """Six keys, each of two of the four 16-bit blocks: two changed bits leave two blocks alone."""
-    pairs = [(a, b) for a in range(4) for b in range(a)]
-    return F.array(
-        *(
-            F.struct(
-                (F.shiftleft(block(16 * a, 16), 16) + block(16 * b, 16)).alias("key"),
-                (F.shiftleft(block(16 * c, 16), 16) + block(16 * d, 16)).alias("rest"),
-                F.lit(i).alias("table"),
-            )
-            for i, (a, b) in enumerate(pairs)
-            for c, d in [[x for x in range(4) if x not in (a, b)]]
-        )
-    )
+def bits(x: Column, low: int, width: int) -> Column:
+    """Bits low .. low + width - 1 of a long."""
+    return F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def without_bits(x: Column, low: int, width: int, of: int) -> Column:
+    """A long of `of` bits with those at low .. low + width - 1 taken out."""
+    above = F.shiftleft(bits(x, low + width, of - low - width), low) if low + width < of else F.lit(0).cast("long")
+    return bits(x, 0, low).bitwiseOR(above) if low else above
+
+
+def deal(shards: DataFrame, free: int, apart: int, width: int, radius: int) -> DataFrame:
+    """Deal each fingerprint of each shard to one smaller shard for each of radius + 1 separate blocks of its free bits.
+
+    Block k has `width` bits from k * apart on. At most `radius` changed bits leave a block alone,
+    so every link within a shard lies within a smaller one. `rest` keeps the bits still free.
+    """
+    ways = [
+        F.struct(F.xxhash64("shard", F.lit(k), bits(F.col("rest"), k * apart, width)).alias("shard"), without_bits(F.col("rest"), k * apart, width, free).alias("rest"))
+        for k in range(radius + 1)
+    ]
+    return shards.select("fp", "node", F.explode(F.array(*ways)).alias("s")).select("fp", "node", "s.*")
+
+
+def shards_of(prints: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, node, shard) such that every link of at most `radius` bits lies in some shard, of LARGE_SHARD fingerprints at most.
+
+    The first blocks have as many bits as make shards of about SHARD fingerprints. Shards that come
+    out too large are dealt out again by whole blocks of their free bits, until they are small
+    enough or so few bits are free that they cannot be large. Shards of one are left out.
+    """
+    free, apart = 64, 64 // (radius + 1)
+    width = min(apart, max(0, math.ceil(math.log2(max(1, prints.count()) / SHARD))))
+    shards = prints.select("fp", "node", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"))
+    if width:
+        shards, free = deal(shards, free, apart, width, radius), free - width
+    done = []
+    while True:
+        sizes = shards.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
+        sized = cut(shards.join(sizes, "shard"))
+        last = free < LARGE_SHARD.bit_length() or free <= radius
+        done.append(sized if last else sized.where(F.col("size") <= LARGE_SHARD))
+        if last or (sized.agg(F.max("size")).first()[0] or 0) <= LARGE_SHARD:
+            return reduce(DataFrame.unionByName, done).select("fp", "node", "shard")
+        apart = free // (radius + 1)
+        shards, free = deal(sized.where(F.col("size") > LARGE_SHARD), free, apart, apart, radius), free - apart
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (src, dst) that span the links between the fingerprints of `prints` (fp, node).
 
-    A shard holds the fingerprints that agree in two 16-bit blocks, so every link of at most two
-    bits lies in a shard. Each shard is searched with its own BK-tree in the task it is dealt to.
-    A shard of more than LARGE_SHARD fingerprints is dealt out again by thirds of its other 32
-    bits, one of which a link leaves alone; after that a shard has 21 free bits at most.
+    Each shard has its BK-tree, built and searched in the task that the shard is dealt to; a search
+    follows only the edges within the radius. Any radius below 8 is possible.
     """
-    if not 0 <= radius <= 2:
-        raise ValueError("the shards keep links of at most two bits together")
-    keyed = prints.select("fp", "node", F.explode(shard_keys()).alias("k")).select("fp", "node", "k.*")
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
-    thirds = F.array(
-        *(F.struct(F.lit(i).alias("part"), block(n, w, "rest").alias("third")) for i, (n, w) in enumerate([(0, 11), (11, 11), (22, 10)]))
-    )
-    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("third")))
-    shards = (
-        keyed.join(sizes, ["table", "key"])
-        .select("fp", "node", "table", "key", F.explode(F.when(F.col("size") > LARGE_SHARD, thirds).otherwise(whole)).alias("s"))
-        .groupBy("table", "key", "s.part", "s.third")
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
-        .where("size(fps) > 1")
-    )
+    if not 0 <= radius < 8:
+        raise ValueError("the radius must be below 8 bits")
+    shards = shards_of(prints, radius).groupBy("shard").agg(F.collect_list(F.struct("fp", "node")).alias("all"))
+    shards = shards.select(F.col("all.fp").alias("fps"), F.col("all.node").alias("nodes"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +178,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id reachable over links, the row's own included. A null or wordless text has fingerprint
     zero and is linked like any other. Equal fingerprints are one node of the links, so copies
     are not paired. Repeated rows each get a row; rows with a null id get their fingerprint and
-    a null component, and link nothing. An empty table gives an empty result.
+    a null component, and link nothing. A long text is hashed whole. Other columns play no part,
+    whatever their names. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
 
@@ -193,11 +213,28 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         yield np.unique(hashes[a : a + n])
 
 
+def set_print(s: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(s), 1 << 16):
+        ones += np.unpackbits(mixed(s[i : i + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(s), bitorder="little").view(np.int64)[0])
+
+
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes that fingerprints of at most RADIUS differing bits connect, by the shards' BK-trees."""
+    first = cut(sets.groupBy("fp").agg(F.min("node").alias("first")))
+    same = sets.join(first, "fp").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    linked = fingerprint_links(first.select("fp", F.col("first").alias("node")))
+    return same.union(linked).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
 def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (src, dst): all candidate pairs of nodes whose shingle sets have Jaccard similarity SIMILAR or more.
 
-    `sets` has node, n (shingles) and keys, `texts` has node and t. Candidates agree in all of a
-    band's BAND least hashes. A band's bucket of more than LARGE_BUCKET nodes is dealt out as
+    `sets` has node, n (shingles), fp and keys, `texts` has node and t. Candidates are what the
+    SimHash fingerprints connect; as these find few pairs down to the similarity, also those that
+    agree in all of a band's BAND least hashes. A band's bucket of more than LARGE_BUCKET nodes is dealt out as
     squares of its parts. Candidates are then compared by their whole sets.
     """
     keyed = sets.select("node", "n", F.posexplode("keys").alias("band", "key"))
@@ -209,7 +246,7 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     other = dealt.select(F.col("node").alias("dst"), F.col("n").alias("m"), "band", "key", F.col("part").alias("part_"), "p", "q")
     sized = (F.least("n", "m") >= F.lit(SIMILAR) * F.greatest("n", "m")) & (F.col("node") < F.col("dst"))
     pairs = dealt.join(other, ["band", "key", "p", "q"]).where(sized & ((F.col("p") == F.col("q")) | (F.col("part") != F.col("part_"))))
-    pairs = cut(pairs.select(F.col("node").alias("src"), "dst").distinct())
+    pairs = cut(pairs.select(F.col("node").alias("src"), "dst").union(print_pairs(sets)).distinct())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b, 1)):
@@ -243,24 +280,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b, 2)):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for s in shingle_sets(batch.column(2)):
                 nodes.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
                 sizes.append(len(s))
+                prints.append(set_print(s) if len(s) else 0)
                 least = np.full(len(PERMUTATIONS), 2**64 - 1, np.uint64)
                 for i in range(0, len(s), 4096):
                     np.minimum(least, ((s[i : i + 4096] ^ PERMUTATIONS[:, :1]) * PERMUTATIONS[:, 1:]).min(axis=1), out=least)
                 keys.append(mixed((least.reshape(-1, BAND) * BAND_BASES).sum(axis=1, dtype=np.uint64)).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "node", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "node", "n", "fp", "keys"])
 
     text = F.col("text").cast("string")
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
-    rows = cut(named.mapInArrow(sketch, "id long, h long, node long, n long, keys array<long>"))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = cut(named.mapInArrow(sketch, "id long, h long, node long, n long, fp long, keys array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     chosen = nodes.select("node", F.col("one.id").alias("id"), F.col("one.h").alias("h"))
     texts = named.join(chosen, ["id", "h"]).select("node", "t").dropDuplicates(["node"])
-    joined = connected_components(cut(near_links(nodes.select("node", "n", "keys"), texts)))
+    joined = connected_components(cut(near_links(nodes.select("node", "n", "fp", "keys"), texts)))
     labels = nodes.join(joined, nodes.node == joined.id, "left").select("node", F.col("one.id").alias("least"), F.coalesce("component", "node").alias("c"))
     kept = labels.groupBy("c").agg(F.min("least").alias("kept"))
     placed = rows.select("id", "h", "node").join(labels.join(kept, "c").select("node", "kept"), "node")
@@ -270,8 +308,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 1_000_000) -> DataFrame:
     """Keep of each group of near copies the document with the smallest doc_id, and rows without a doc_id.
 
-    A row goes by its id and its text, so another text under the same id stays. Up to `most`
-    rows are broadcast, so that the texts need no shuffle; more are joined by a shuffle.
+    A row goes by its id and its text, so another text under the same id stays; equal rows of the
+    kept one stay with it. Up to `most` rows are broadcast, so that the texts need no shuffle; more
+    are joined by a shuffle. Long texts are compared whole; all columns stay as they are, whatever
+    their names. An empty table gives an empty result.
     """
     gone = cut(near_copies(docs).select(F.col("doc_id").alias("gone_id"), "text_hash"))
     side = F.broadcast(gone) if gone.count() <= most else gone

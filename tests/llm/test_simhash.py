@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from cellweave.llm import words
-from cellweave.llm.simhash import simhash_components, simhash_stage
+from cellweave.llm.simhash import BKTree, simhash_components, simhash_stage
 
 import numpy as np
 import pyarrow as pa
@@ -61,27 +61,65 @@ def test_components_match_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_chain_and_large_shards(spark, monkeypatch):
+@pytest.mark.parametrize(("shard", "large"), [(512, 4096), (8, 4096), (8, 16), (512, 3), (1 << 20, 1 << 20)])
+def test_chain_and_shards_of_any_size(spark, monkeypatch, shard, large):
     from cellweave.llm import simhash
 
-    monkeypatch.setattr(simhash, "LARGE_SHARD", 3)
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "LARGE_SHARD", large)
     r = random.Random(5)
     prints = {r.getrandbits(64) for _ in range(40)}
     for x in list(prints):
         for _ in range(8):
             x ^= 1 << r.randrange(64)
             prints.add(x)
+    ball = r.getrandbits(64)
+    prints |= {ball ^ 1 << a ^ 1 << b for a in range(0, 64, 3) for b in range(a)}
     signed = [x - (x >> 63 << 64) for x in prints]
     nodes = spark.createDataFrame(list(zip(signed, range(len(signed)), strict=True)), "fp long, node long")
+    shards = simhash.shards_of(nodes, 2)
+    assert (shards.groupBy("shard").count().agg({"count": "max"}).first()[0] or 0) <= max(large, 4)
     links = simhash.connected_components(simhash.fingerprint_links(nodes))
     label = {i: i for i in range(len(signed))} | {r.id: r.component for r in links.collect()}
     values = list(prints)
+    near = [[j for j in range(len(values)) if (values[i] ^ values[j]).bit_count() <= 2] for i in range(len(values))]
     want = list(range(len(values)))
     for _ in range(60):
-        want = [min(want[j] for j in range(len(values)) if (values[i] ^ values[j]).bit_count() <= 2) for i in range(len(values))]
+        want = [min(want[j] for j in near[i]) for i in range(len(values))]
     assert [label[i] for i in range(len(values))] == want
 
 
+def test_trees_are_large_and_prune(spark):
+    from cellweave.llm import simhash
+
+    r = random.Random(6)
+    tree, values = BKTree(), [r.getrandbits(64) for _ in range(4 * simhash.SHARD)]
+    for x in values:
+        tree.add(x)
+    for x in values:
+        changed = x ^ 1 << r.randrange(64) ^ 1 << r.randrange(64)
+        assert {values[i] for i in tree.within(changed, 2)} == {v for v in values if (v ^ changed).bit_count() <= 2}
+    assert tree.visits < len(values) ** 2 / 4
+    nodes = spark.range(20_000).selectExpr("xxhash64(id) AS fp", "id AS node")
+    sizes = simhash.shards_of(nodes, 2).groupBy("shard").count().agg({"count": "avg"}).first()[0]
+    assert simhash.SHARD / 4 < sizes <= simhash.SHARD
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_other_radii(spark, monkeypatch, radius):
+    from cellweave.llm import simhash
+
+    monkeypatch.setattr(simhash, "SHARD", 4)
+    r = random.Random(7)
+    values = {r.getrandbits(64) for _ in range(60)}
+    for x in list(values):
+        values.add(x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 6))))
+    values = sorted(values)
+    nodes = spark.createDataFrame([(x - (x >> 63 << 64), k) for k, x in enumerate(values)], "fp long, node long")
+    got = {(min(x), max(x)) for x in simhash.fingerprint_links(nodes, radius).collect()}
+    assert got == {(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= radius}
+
+
 def test_empty_table_and_stage(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(df).count() == 0
