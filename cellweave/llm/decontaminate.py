@@ -14,7 +14,7 @@ from .common import read_table, small_batches, without_ids
 from .quality import KINDS
 from .words import pieces, text_buffer, window_hashes, window_starts, word_hashes
 
-#: Words in a seed unless told otherwise; items with fewer words than SHORTEST are no evidence of a leak.
+#: Words in a seed unless told otherwise; of items with fewer words than SHORTEST only a whole copy is a leak.
 SEED_WORDS, SHORTEST = 3, 8
 #: Seeds of the search: every leak holds a number of an item's word pairs that `Items.least` gives.
 PAIR = 2
@@ -36,14 +36,13 @@ class Items:
         _, _, h, rows = word_hashes(*text_buffer(pa.array(texts, pa.string())), LETTERS)
         self.ids, self.h, self.rows = np.array(ids, np.int64), h, rows
         starts, row = window_starts(rows, words)
-        long = np.diff(rows)[row] >= SHORTEST if len(row) else np.zeros(0, bool)
-        starts, row = starts[long], row[long]
         seeds = window_hashes(h, starts, words)
         #: All seeds in the items' order, and each item's offsets among them.
         self.own, self.offsets = seeds, np.searchsorted(row, np.arange(len(rows)))
         # A score of s within an item of n words has m matches in k runs with k - 1 gaps or more
         # between them: m - (k - 1) >= s, so m - k >= s - 1 pairs of neighbouring words match.
-        self.score = np.minimum(np.ceil(similarity * np.diff(rows) / MATCH - 1e-9), LONG).astype(np.int64)
+        length = np.diff(rows)
+        self.score = np.where(length < SHORTEST, length, np.minimum(np.ceil(similarity * length / MATCH - 1e-9), LONG)).astype(np.int64)
         self.least = np.maximum(1, self.score - 1) if words == PAIR else np.ones(len(ids), np.int64)
         order = np.argsort(seeds, kind="stable")
         self.seed, self.item, self.at = seeds[order], row[order], (starts - rows[row])[order]
@@ -121,11 +120,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Words are runs of letters and digits in lower case. A leak has a local alignment of `similarity`
     of the item's own score, or of LONG; similarity is the best one's score as a part of the item's
-    own (one row for a document and item, the best). Every document with one of an item's rarer word
-    pairs, and as many of its pairs around it as a leak must hold, is aligned with it, so none is missed. Frequencies of seeds are over all documents. Rows
-    with null text hold no words; items with null or short texts (below SHORTEST words) match
-    nothing; null ids are carried on. Rows that repeat are each judged and give one row an id.
-    Empty tables give an empty result.
+    own (one row for a document and item, the best; of equal alignments the first). Every document
+    with one of an item's rarer word pairs, and as many of its pairs around it as a leak must hold,
+    is aligned with it, so none is missed. Of an item below SHORTEST words only a whole copy is a
+    leak; an item of one word or none, or null, matches nothing. Frequencies of seeds are over all
+    documents. Long texts are searched whole; null texts hold no words; null ids are carried on.
+    Rows that repeat are each judged and give one row an id. Other columns play no part, whatever
+    their names. Empty tables give an empty result.
     """
     small_batches(docs.sparkSession)
     clean = lambda df, i, t: df.select(F.col(i).cast("long").alias("id"), F.lower(F.col(t).cast("string")).alias("t"))
@@ -175,7 +176,7 @@ def block_leaks(rows: DataFrame, tests: DataFrame, similarity: float) -> DataFra
                     continue
                 words = items.h[items.rows[item] : items.rows[item + 1]]
                 score, at = smith_waterman(words, text[begin:end])
-                leak = score >= min(similarity * MATCH * len(words), LONG * MATCH)
+                leak = score >= items.score[item] * MATCH
                 score /= MATCH * len(words)
                 if leak and score > best.get((i, item), (0.0, 0))[0]:
                     best[i, item] = score, begin + at
@@ -188,7 +189,10 @@ def block_leaks(rows: DataFrame, tests: DataFrame, similarity: float) -> DataFra
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out the documents that hold a copy of a benchmark item; rows without a doc_id stay."""
+    """Leave out the documents that hold a copy of a benchmark item; rows without a doc_id stay.
+
+    A repeated id goes with all its rows. All columns stay as they are, whatever their names.
+    """
     return without_ids(docs, leaks(docs, read_table(spark, sf_dir, "benchmark")))
 
 
