@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, read_table
+from .common import connected_components, cut, groups, read_table
 
 THRESHOLD = 0.93
 #: Chance that a pair just at the threshold shares a bucket of some table; nearer pairs have more.
@@ -138,25 +138,6 @@ def embedding_links(nodes: DataFrame, threshold: float, recall: float) -> DataFr
     return dealt.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(search, "rep long, hash long, root long, n long")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of the rows with equal first `keys` columns, from batches sorted by these."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1).astype(np.int64)
-        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), batch.num_rows]
-        for begin, end in zip(edges, edges[1:], strict=False):
-            if held and (begin > 0 or not np.array_equal(last, key[0])):
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(begin, end - begin))
-            last = key[begin]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def embedding_components(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of `rows`.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, read_table, small_batches
+from .common import connected_components, cut, groups, read_table, small_batches
 from .words import mixed, pieces, text_buffer, window_hashes, word_hashes
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -22,8 +22,8 @@ SHARD, LARGE_SHARD = 512, 4096
 NEAR_SHINGLE, SIMILAR = 5, 0.8
 #: Pairs at similarity 0.8 agree in one of 14 bands of 4 least hashes with chance 0.9994.
 BANDS, BAND = 14, 4
-#: Buckets of more nodes are dealt out as squares of their parts.
-LARGE_BUCKET = 1024
+#: Buckets of more sets, or of more bytes of them, are dealt out as squares of their parts.
+LARGE_BUCKET, BUCKET_BYTES = 2048, 16 << 20
 PERMUTATIONS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, (BANDS * BAND, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_BASES = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, BAND, np.uint64) | np.uint64(1)
 #: Byte values with A-Z as a-z.
@@ -221,52 +221,82 @@ def set_print(s: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(s), bitorder="little").view(np.int64)[0])
 
 
-def print_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of nodes that fingerprints of at most RADIUS differing bits connect, by the shards' BK-trees."""
-    first = cut(sets.groupBy("fp").agg(F.min("node").alias("first")))
-    same = sets.join(first, "fp").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
-    linked = fingerprint_links(first.select("fp", F.col("first").alias("node")))
-    return same.union(linked).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+def print_buckets(sets: DataFrame) -> DataFrame:
+    """Buckets (node, n, band, key) of the sets with equal SimHash fingerprints, and of each two sets that links within RADIUS bits connect."""
+    first = cut(sets.groupBy("fp").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")))
+    same = sets.join(first.where("size > 1"), "fp").select("node", "n", F.lit(-1).alias("band"), F.col("fp").alias("key"))
+    nodes = first.select("fp", "first.*")
+    linked = cut(fingerprint_links(nodes.select("fp", "node")).distinct())
+    ends = linked.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(-2).alias("band"), F.xxhash64("src", "dst").alias("key"))
+    return same.union(ends.join(nodes, "node").select("node", "n", "band", "key"))
+
+
+def similar_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of positions that connect whatever sets of at least the Jaccard similarity connect; with `side`, of sets of side 0 and of side 1.
+
+    A set isn't compared with what it is already connected to.
+    """
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    begins, root = ends - sizes, np.arange(len(sets))
+    found, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(found), bool)
+    for i in np.arange(len(sets)) if side is None else np.flatnonzero(side == 0):
+        others = np.arange(i + 1, len(sets)) if side is None else np.flatnonzero(side == 1)
+        a, b = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[(root[others] != root[i]) & (a >= similarity * b)]
+        if not len(others):
+            continue
+        mark[at[begins[i] : ends[i]]] = True
+        if 4 * len(others) > len(sets):
+            common = np.add.reduceat(mark[at], begins, dtype=np.int64)[others]
+        else:
+            common = np.array([np.count_nonzero(mark[at[begins[j] : ends[j]]]) for j in others])
+        mark[at[begins[i] : ends[i]]] = False
+        for j in others[common >= similarity * (sizes[others] + sizes[i] - common)]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                yield int(i), int(j)
 
 
 def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (src, dst): all candidate pairs of nodes whose shingle sets have Jaccard similarity SIMILAR or more.
+    """Rows (src, dst) that span the links between nodes whose shingle sets have Jaccard similarity SIMILAR or more.
 
-    `sets` has node, n (shingles), fp and keys, `texts` has node and t. Candidates are what the
-    SimHash fingerprints connect; as these find few pairs down to the similarity, also those that
-    agree in all of a band's BAND least hashes. A band's bucket of more than LARGE_BUCKET nodes is dealt out as
-    squares of its parts. Candidates are then compared by their whole sets.
+    `sets` has node, n (shingles), fp and keys, `texts` has node and t. Sets meet in the buckets of
+    the SimHash fingerprints; as these bring few pairs down to the similarity together, also in
+    those of equal bands of BAND least hashes. Of buckets with the same members one is kept. All
+    sets of a bucket are compared in the task it is dealt to, a large bucket in one task for each
+    two parts of it; no pair leaves its task but those that span its links.
     """
-    keyed = sets.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / LARGE_BUCKET).cast("int")
-    dealt = keyed.join(sizes, ["band", "key"]).select("node", "n", "band", "key", parts.alias("parts"))
+    keyed = sets.where("n > 0").select("node", "n", F.posexplode("keys").alias("band", "key")).union(print_buckets(sets.where("n > 0")))
+    who = lambda k: F.bit_xor(F.xxhash64("node", F.lit(k)))
+    buckets = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("total"), who(1).alias("x"), who(2).alias("y")).where("size > 1")
+    buckets = buckets.groupBy("size", "x", "y").agg(F.min(F.struct("band", "key", "total")).alias("b")).select("size", "b.*")
+    parts = F.ceil(F.greatest(F.col("size") / LARGE_BUCKET, F.col("total") * 8 / BUCKET_BYTES)).cast("int")
+    dealt = keyed.select("node", "band", "key").join(buckets, ["band", "key"]).select("node", "band", "key", parts.alias("parts"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = cut(dealt.select("node", "n", "band", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")))
-    other = dealt.select(F.col("node").alias("dst"), F.col("n").alias("m"), "band", "key", F.col("part").alias("part_"), "p", "q")
-    sized = (F.least("n", "m") >= F.lit(SIMILAR) * F.greatest("n", "m")) & (F.col("node") < F.col("dst"))
-    pairs = dealt.join(other, ["band", "key", "p", "q"]).where(sized & ((F.col("p") == F.col("q")) | (F.col("part") != F.col("part_"))))
-    pairs = cut(pairs.select(F.col("node").alias("src"), "dst").union(print_pairs(sets)).distinct())
+    dealt = cut(dealt.select("node", "band", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b, 1)):
             found = [x.tobytes() for x in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["n_", "s"])
 
-    met = pairs.select("src").union(pairs.select("dst")).distinct().withColumnRenamed("src", "node")
-    whole = cut(texts.join(met, "node", "left_semi").select("node", "t").mapInArrow(hashed, "node long, s binary"))
+    whole = texts.join(dealt.select("node").distinct(), "node", "left_semi").select("node", "t").mapInArrow(hashed, "n_ long, s binary")
+    key = ["band", "key", "p", "q"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(common >= SIMILAR * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    left, right = whole.select(F.col("node").alias("src"), F.col("s").alias("a")), whole.select(F.col("node").alias("dst"), F.col("s").alias("b"))
-    return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long")
+        for group in groups(batches, len(key)):
+            nodes, part = group.column("node").to_numpy(), group.column("part").to_numpy()
+            p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("s")]
+            links = list(similar_links(found, None if p == q else (part == q).astype(int), SIMILAR))
+            if links:
+                i, j = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["src", "dst"])
+
+    met = dealt.join(whole, F.col("node") == F.col("n_")).select(*key, "node", "part", "s")
+    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "src long, dst long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
