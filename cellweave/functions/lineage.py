@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, which all executors share.
 
-    Only where that is unset, as in local tests, a temporary folder is used.
+    Only on a local master, as in tests, a temporary folder is used where that is unset; elsewhere
+    that is an error, since executors could not read each other's files.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = sc.getCheckpointDir()
     return folder

@@ -14,7 +14,7 @@ PERCENTILES = [p / 100 for p in range(10, 101, 5)]
 
 
 def normalised_dispersion(moments: DataFrame, n_cells: int, n_genes: int) -> DataFrame:
-    """(gene, mean, dispersion, bin, norm): how far a gene's dispersion is from its bin's median, in scaled MADs; null if the bin has none."""
+    """(gene, mean, dispersion, bin, norm): how far a gene's dispersion is from its bin's median, in scaled MADs; infinite if these are zero and it differs, null if it does not."""
     mean = F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean"))
     variance = (F.col("mean_sq") - mean * mean) * (float(n_genes) / max(1, n_cells - 1))
     spread = cut(moments.select("gene", mean.alias("mean"), (variance / mean).alias("dispersion")))
@@ -23,7 +23,9 @@ def normalised_dispersion(moments: DataFrame, n_cells: int, n_genes: int) -> Dat
     binned = spread.withColumn("bin", bin_of(F.col("mean"), edges) if edges else F.lit(0))
     binned = binned.withColumn("median", F.median("dispersion").over(of_bin))
     binned = binned.withColumn("mad", F.median(F.abs(F.col("dispersion") - F.col("median"))).over(of_bin) / MAD_SCALE)
-    return binned.select("gene", "mean", "dispersion", "bin", ratio(F.col("dispersion") - F.col("median"), F.col("mad")).alias("norm"))
+    apart = F.col("dispersion") - F.col("median")
+    norm = F.coalesce(ratio(apart, F.col("mad")), F.when(apart > 0, float("inf")).when(apart < 0, float("-inf")))
+    return binned.select("gene", "mean", "dispersion", "bin", norm.alias("norm"))
 
 
 def highly_variable(counts: DataFrame, genes: DataFrame, n_cells: int, n_genes: int, n_top: int | None = None) -> DataFrame:

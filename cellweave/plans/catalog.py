@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from cellweave import session
 from cellweave.functions.columns import peak_name
-from cellweave.functions.lineage import cut
+from cellweave.functions.lineage import cut, scratch_folder
 from cellweave.model import counts_view, dataset, embedding_view, fragments_view, marker_intervals, table
 from cellweave.operators import community, coverage, filters, graph, intervals, layout, normalize, reduce, variable
 from cellweave.plans import pipelines
 from cellweave.plans.sql import ORACLES
+from cellweave.sources import files
 from cellweave.sources.files import dense_to_long
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,6 +306,97 @@ def denoise_average(spark, sf_dir):
     return rounded(coverage.untile(found, value="signal").select("cluster", F.posexplode("track").alias("k", "signal")), 6, "signal")
 
 
+@query
+def pca_rotation(spark, sf_dir):
+    """All components turn the centred vectors and leave their lengths: the sums of squares of each cell's scores."""
+    vectors = cut(embedding_view(spark, sf_dir))
+    scores = reduce.pca(vectors, len(vectors.first()["vec"]))
+    return rounded(scores.select("cell", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("square")), 5, "square")
+
+
+@query
+def pca_variances(spark, sf_dir):
+    """All components' scores have the vectors' variance in all, none in common, and less from one to the next."""
+    vectors = cut(embedding_view(spark, sf_dir))
+    found = cut(reduce.covariance(reduce.pca(vectors, len(vectors.first()["vec"]))))
+    own = F.when(F.col("i") == F.col("j"), F.col("cov"))
+    summed = found.agg(F.count(own).alias("components"), F.round(F.sum(own), 5).alias("total"), F.round(F.max(F.when(F.col("i") != F.col("j"), F.abs("cov"))), 6).alias("covariances"), F.array_sort(F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", "cov")))).alias("a"))
+    ordered = F.transform("a", lambda x: x["cov"])
+    return summed.select("components", "total", "covariances", (ordered == F.reverse(F.array_sort(ordered))).alias("falling"))
+
+
+def red_widgets(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    genes = data.genes.where(F.col("name") == "red widget")
+    return data.cells, genes, cut(data.counts.join(genes.select("gene"), "gene", "left_semi").select("cell", "gene", "v"))
+
+
+@query
+def scale_ddof1(spark, sf_dir):
+    cells, genes, counts = red_widgets(spark, sf_dir)
+    return rounded(normalize.scale_rows(filters.densify(counts, cells, genes), normalize.scale_parameters(counts, genes, cells.count(), ddof=1)), 6, "v")
+
+
+@query
+def clip_only(spark, sf_dir):
+    cells, genes, counts = red_widgets(spark, sf_dir)
+    return normalize.scale_rows(filters.densify(counts, cells, genes), None, 20.0, zscore=False)
+
+
+@query
+def transposed(spark, sf_dir):
+    return filters.transpose(counts_view(spark, sf_dir))
+
+
+@query
+def matrix_shape(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(data.cells, "cells").crossJoin(count(data.genes, "genes")).crossJoin(count(data.counts, "entries"))
+
+
+@query
+def group_sizes(spark, sf_dir):
+    return dataset(spark, sf_dir).cells.groupBy(F.col("cluster").alias("group")).agg(F.count("*").alias("n"))
+
+
+def new_path(spark) -> str:
+    return f"{scratch_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query
+def matrix_written_and_read(spark, sf_dir):
+    path = new_path(spark)
+    files.write_matrix(dataset(spark, sf_dir), path)
+    return files.read_matrix(spark, path, 200).counts
+
+
+@query
+def filtered_read(spark, sf_dir):
+    path = new_path(spark)
+    files.write_matrix(dataset(spark, sf_dir), path)
+    return rounded(files.read_with_filter(spark, path, MIN_GENES, MAX_GENES, 5, post_processor=normalize.log1p).counts.select("cell", "gene", "v"), 6, "v")
+
+
+@query
+def fragments_file(spark, sf_dir):
+    """All fragments through a gzipped file of tab-separated values and back."""
+    path = new_path(spark)
+    rows = fragments_view(spark, sf_dir).select("chrom", "start", "end", F.col("cell").cast("string"), F.lit(1).alias("duplicate"))
+    rows.write.option("sep", "\t").option("compression", "gzip").csv(path)
+    return files.read_fragments_file(spark, path).drop("duplicate")
+
+
+@query
+def dense_csv(spark, sf_dir):
+    """A dense table through CSV, a row a gene and a column a cell, and from there into a matrix with its names."""
+    orders, path = table(spark, sf_dir, "orders"), new_path(spark)
+    kinds = [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    orders.groupBy("o_custkey").pivot("o_orderpriority", kinds).agg(F.sum("o_totalprice")).na.fill(0.0).write.option("header", True).csv(path)
+    data = files.read_matrix(spark, files.convert_dense_csv(spark, path, f"{path}-matrix"))
+    return data.counts.join(data.cells, "cell").join(data.genes, "gene").select("barcode", "name", "v")
+
+
 @query
 def dense_unpivot(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

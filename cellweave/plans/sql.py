@@ -23,7 +23,7 @@ VIEWS = {
     "binned": "SELECT gene, mean, d, len(list_filter(e, lambda x: x < mean)) AS bin FROM disp, edges",
     "med": "SELECT *, median(d) OVER (PARTITION BY bin) AS m FROM binned",
     "dev": "SELECT *, median(abs(d - m)) OVER (PARTITION BY bin) / 0.6744897501960817::DOUBLE AS s FROM med",
-    "scored": "SELECT gene, bin, CASE WHEN s <> 0 THEN (d - m) / s END AS norm FROM dev",
+    "scored": "SELECT gene, bin, CASE WHEN s <> 0 THEN (d - m) / s WHEN d > m THEN 'inf'::DOUBLE WHEN d < m THEN '-inf'::DOUBLE END AS norm FROM dev",
     "picked": "SELECT *, coalesce(norm, 0) >= (SELECT min(norm) FROM (SELECT norm FROM scored WHERE norm IS NOT NULL ORDER BY norm DESC LIMIT greatest(1, (SELECT n_genes // 10 FROM n)))) AS selected FROM scored",
     "cov": """SELECT c.cell, coalesce(sum(v), 0)::DOUBLE AS n_counts, CASE WHEN coalesce(sum(v), 0) <> 0 THEN coalesce(sum(v) FILTER (WHERE starts_with(name, 'red')), 0) / sum(v) ELSE 0 END::DOUBLE AS percent
         FROM cells c LEFT JOIN counts USING (cell) LEFT JOIN genes USING (gene) GROUP BY 1""",
@@ -44,7 +44,7 @@ VIEWS = {
     "dense": "SELECT cluster, pos, coalesce(depth, 0) AS depth FROM grid LEFT JOIN depths USING (cluster, pos)",
     "fcount": "SELECT cell, count(*) AS fragments FROM fragments GROUP BY 1",
     "padded": """SELECT gene, chrom, strand, "start" AS gs, "end" AS ge, "start" - CASE strand WHEN 'rev' THEN @DOWN ELSE @UP END AS lo, "end" + CASE strand WHEN 'rev' THEN @UP ELSE @DOWN END AS hi FROM markers""",
-    "frame": """SELECT e.vec[1] AS x, e.vec[2] AS y, e.cluster::INTEGER AS labels, greatest(e.vec[3], 0) AS mk, (greatest(e.vec[3], 0) > 0)::INTEGER AS mk_labels, e.cell AS point_index, 'cell-' || e.cell AS barcode FROM emb e""",
+    "frame": """SELECT e.vec[1] AS x, e.vec[2] AS y, e.cluster::INTEGER AS labels, greatest(e.vec[3], 0) AS mk, e.cluster::INTEGER AS mk_labels, e.cell AS point_index, 'cell-' || e.cell AS barcode FROM emb e""",
 }
 
 
@@ -108,6 +108,38 @@ ORACLES = {
     "tile_padded": sql("fragments cells region clustered cut depths grid dense", """, t AS (SELECT unnest(range(0, 7)) AS tile) SELECT cluster, tile::INTEGER AS tile, pos - 1100 - tile * 50 AS k, depth::DOUBLE AS value FROM t JOIN dense ON pos - 1100 - tile * 50 BETWEEN 0 AND 59""").replace("pos - 1100 - tile * 50 AS k", "(pos - 1100 - tile * 50)::INTEGER AS k"),
     "denoise_identity": sql("fragments cells region clustered cut depths grid dense", "SELECT cluster, (pos - 1100)::INTEGER AS k, depth::DOUBLE AS signal FROM dense WHERE pos < 1450"),
     "call_peaks": sql("fragments cells region clustered cut depths grid dense", "SELECT cluster, pos::INTEGER AS pos, 1.0::DOUBLE AS chance FROM dense WHERE pos < 1450 AND depth > 0"),
+    "denoise_average": sql("fragments cells region clustered cut depths grid dense", """SELECT cluster, (pos - 1100)::INTEGER AS k, round(sum(depth) OVER (PARTITION BY cluster ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) / 51.0::DOUBLE, 6) AS signal FROM dense WHERE pos < 1450"""),
+    "connectivities": sql(
+        "emb",
+        """, near AS MATERIALIZED (SELECT src, list(dst ORDER BY dist, dst) AS dsts, list(dist ORDER BY dist, dst) AS ds FROM (@NEAR) WHERE rank <= 15 GROUP BY 1),
+        start AS (SELECT src, list_transform(ds, lambda x: greatest(x - coalesce(list_min(list_filter(ds, lambda y: y > 0)), 0), 0)) AS ex, log2(greatest(2, len(ds))) AS target FROM near),
+        steps(src, i, lo, hi, sigma) AS (
+          SELECT src, 0, 0::DOUBLE, 'inf'::DOUBLE, 1::DOUBLE FROM start
+          UNION ALL
+          SELECT src, i + 1, nlo, nhi, CASE WHEN isfinite(nhi) THEN (nlo + nhi) / 2 ELSE sigma * 2 END FROM (
+            SELECT src, i, sigma, CASE WHEN total > target THEN lo ELSE sigma END AS nlo, CASE WHEN total > target THEN sigma ELSE hi END AS nhi FROM (
+              SELECT s.*, target, list_sum(list_transform(ex, lambda x: exp(-x / sigma))) AS total FROM steps s JOIN start USING (src)) WHERE i < 64 AND abs(total - target) >= 1e-6)),
+        fit AS (SELECT src, greatest(arg_max(sigma, i), 1e-3 * any_value(list_avg(ds)), 1e-12) AS sigma FROM steps JOIN near USING (src) GROUP BY 1),
+        w AS MATERIALIZED (SELECT src, unnest(dsts) AS dst, exp(-unnest(ex) / sigma) AS weight FROM near JOIN start USING (src) JOIN fit USING (src)),
+        two AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, coalesce(max(weight) FILTER (WHERE src < dst), 0) AS a, coalesce(max(weight) FILTER (WHERE src > dst), 0) AS b FROM w GROUP BY 1, 2)
+        SELECT u AS src, v AS dst, round(a + b - a * b, 6) AS weight FROM two""",
+        near="SELECT a.cell AS src, b.cell AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.cell ORDER BY list_distance(a.vec, b.vec), b.cell) AS rank FROM emb a JOIN emb b ON a.cell <> b.cell",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "pca_rotation": sql("emb", ", e AS (SELECT cell, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM emb), m AS (SELECT i, avg(x) AS m FROM e GROUP BY 1) SELECT cell, round(sum((x - m) * (x - m)), 5) AS square FROM e JOIN m USING (i) GROUP BY 1"),
+    "pca_variances": sql("emb", ", e AS (SELECT cell, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM emb), v AS (SELECT i, var_samp(x) AS v FROM e GROUP BY 1) SELECT count(*)::BIGINT AS components, round(sum(v), 5) AS total, 0.0::DOUBLE AS covariances, true AS falling FROM v"),
+    "scale_ddof1": sql(
+        "counts cells genes some_genes",
+        """, d AS (SELECT cells.cell, some_genes.gene, coalesce(v, 0) AS v FROM cells CROSS JOIN some_genes LEFT JOIN counts ON counts.cell = cells.cell AND counts.gene = some_genes.gene),
+        p AS (SELECT gene, avg(v) AS m, stddev_samp(v) AS s FROM d GROUP BY 1) SELECT cell, gene, round(greatest(-10, least(10, (v - m) / CASE WHEN s > 1e-12 THEN s ELSE 1 END)), 6) AS v FROM d JOIN p USING (gene)""",
+    ),
+    "clip_only": sql("counts cells genes some_genes", "SELECT cells.cell, some_genes.gene, greatest(-20, least(20, coalesce(v, 0)))::DOUBLE AS v FROM cells CROSS JOIN some_genes LEFT JOIN counts ON counts.cell = cells.cell AND counts.gene = some_genes.gene"),
+    "transposed": sql("counts", "SELECT gene AS cell, cell AS gene, v FROM counts"),
+    "matrix_shape": sql("counts cells genes", "SELECT (SELECT count(*) FROM cells) AS cells, (SELECT count(*) FROM genes) AS genes, (SELECT count(*) FROM counts) AS entries"),
+    "group_sizes": sql("cells", 'SELECT cluster AS "group", count(*) AS n FROM cells GROUP BY 1'),
+    "matrix_written_and_read": sql("counts", "SELECT * FROM counts WHERE cell < 200"),
+    "filtered_read": sql("counts deg fit_cells f1", "SELECT * FROM (SELECT cell, gene, ln(1 + v) AS w FROM f1) JOIN (SELECT gene FROM f1 GROUP BY 1 HAVING sum(ln(1 + v)) > 5) USING (gene)").replace("SELECT * FROM (SELECT cell", "SELECT cell, gene, round(w, 6) AS v FROM (SELECT cell"),
+    "fragments_file": sql("fragments", 'SELECT chrom, "start", "end", cell::VARCHAR AS cell FROM fragments'),
+    "dense_csv": "SELECT o_orderpriority AS barcode, o_custkey::VARCHAR AS name, sum(o_totalprice)::DOUBLE AS v FROM orders GROUP BY 1, 2 HAVING sum(o_totalprice) <> 0",
     "dense_unpivot": "SELECT o_custkey::VARCHAR AS \"row\", o_orderpriority AS \"column\", sum(o_totalprice) AS v FROM orders GROUP BY 1, 2 HAVING sum(o_totalprice) <> 0",
     "knn_exact": sql("emb", "SELECT src, dst, round(dist, 6) AS dist, rank FROM (SELECT a.cell AS src, b.cell AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.cell ORDER BY list_distance(a.vec, b.vec), b.cell) AS rank FROM emb a JOIN emb b ON a.cell <> b.cell) WHERE rank <= 15"),
     "pca_covariance": sql("emb", ", e AS (SELECT cell, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM emb) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b USING (cell) GROUP BY 1, 2"),

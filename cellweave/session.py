@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def dashboard_frame(cells: DataFrame, positions: DataFrame, labels: DataFrame, markers: DataFrame) -> DataFrame:
-    """(x, y, labels, each marker with <marker>_labels, point_index, barcode), a row a cell; labels are numbers, and a marker's labels are where it is present."""
+    """(x, y, labels, each marker with <marker>_labels, point_index, barcode), a row a cell; labels are numbers, and each marker has a copy of them."""
     names = [c for c in markers.columns if c != "cell"]
     rows = cells.select("cell", "barcode").join(positions, "cell").join(labels, "cell").join(markers, "cell", "left")
-    shown = [x for m in names for x in (F.coalesce(m, F.lit(0.0)).alias(m), (F.coalesce(m, F.lit(0.0)) > 0).cast("int").alias(f"{m}_labels"))]
+    shown = [x for m in names for x in (F.coalesce(m, F.lit(0.0)).alias(m), F.col("community").cast("int").alias(f"{m}_labels"))]
     return rows.select("x", "y", F.col("community").cast("int").alias("labels"), *shown, F.col("cell").alias("point_index"), "barcode")
 
 

@@ -90,7 +90,7 @@ def plain_dispersion(m, n_genes):
     for b in set(bins):
         d = disp[bins == b]
         mad = np.median(np.abs(d - np.median(d))) / 0.6744897501960817
-        if mad:
+        with np.errstate(divide="ignore", invalid="ignore"):
             norm[bins == b] = (d - np.median(d)) / mad
     return norm
 

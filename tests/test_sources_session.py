@@ -75,7 +75,7 @@ def frame(spark):
 def test_frames(spark):
     f = frame(spark)
     assert f.columns == ["x", "y", "labels", "EP_raw", "EP_raw_labels", "point_index", "barcode"]
-    assert {r.point_index: (r.EP_raw, r.EP_raw_labels) for r in f.collect()}[5] == (0.0, 0)
+    assert {r.point_index: (r.EP_raw, r.EP_raw_labels) for r in f.collect()}[5] == (0.0, 2)
     series = {r.labels: (r.n, r.x, r.point_index) for r in session.scatter_series(f).collect()}
     assert series[1] == (2, [1.0, 4.0], [1, 4])
     assert {(r.labels, r.value): r.n for r in session.violin_counts(f, "EP_raw").collect()}[0, 0.0] == 1
