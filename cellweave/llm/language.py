@@ -49,9 +49,11 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages of `labelled` (text, lang) and their log trigram shares, a row each; the last row is for no language.
 
     Counts are over all rows; each task adds up its own, so at most 2**BITS counts a language are
-    shuffled by a task or reach the driver. Labels other than two or three letters are left out.
+    shuffled by a task or reach the driver. A label is two or three letters, with or without more
+    after a dash (zh-cn is zh); other labels are left out.
     """
-    named = labelled.where(F.lower("lang").rlike("^[a-z]{2,3}$")).select(F.lower(F.col("text").cast("string")).alias("t"), F.lower("lang").alias("lang"))
+    label = F.regexp_extract(F.lower("lang"), "^([a-z]{2,3})([-_].*)?$", 1)
+    named = labelled.where(label != "").select(F.lower(F.col("text").cast("string")).alias("t"), label.alias("lang"))
     languages = sorted(r.lang for r in named.select("lang").distinct().collect())
     index = {name: i for i, name in enumerate(languages)}
 

@@ -127,3 +127,11 @@ def test_held_out_documents(spark):
     rows = found.join(docs, "doc_id").collect()
     assert rows and sum(r.lang == r.truth for r in rows) > 0.97 * len(rows)
     assert found.count() == 1000 + 250
+
+
+def test_labels_with_regions_count_for_their_language(spark):
+    from cellweave.llm.language import train
+
+    rows = [("das ist ein text", "de"), ("das ist ein anderer text", "DE-at"), ("ceci est un texte", "fr_ca"), ("junk", "x1"), ("junk", None), ("junk", "")]
+    languages, model = train(spark.createDataFrame(rows, "text string, lang string"))
+    assert languages == ["de", "fr"] and model.shape[0] == 3
