@@ -113,7 +113,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, levels:
     """(cell, community): Louvain communities of undirected weighted edges (src, dst, weight); lone cells stay alone.
 
     Nodes move to the neighbouring community of most gain in modularity, communities become the
-    nodes of the next level, until nothing merges.
+    nodes of the next level, until nothing merges or `levels` levels of `rounds` rounds are done.
     """
     return by_size(communities(edges, nodes, resolution, False, levels, rounds))
 
