@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.lineage import stored
+from cellweave.functions.ordered import row_numbers
 from cellweave.operators.graph import connected_components
 
 
@@ -65,7 +66,7 @@ def contract(arcs: DataFrame, labels: DataFrame) -> DataFrame:
 def by_size(labels: DataFrame) -> DataFrame:
     """(cell, community): communities numbered as strings from the largest on; ties by the smallest cell."""
     sizes = labels.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    ranked = sizes.withColumn("community", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("string"))
+    ranked = row_numbers(sizes, [F.desc("n"), "least"], "community").withColumn("community", F.col("community").cast("string"))
     return labels.join(ranked.select("c", "community"), "c").select(F.col("id").alias("cell"), "community")
 
 

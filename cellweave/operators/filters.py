@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions.ordered import row_numbers
 from cellweave.model import Dataset
 
 
@@ -70,16 +71,8 @@ def first_cells(counts: DataFrame, n: int) -> DataFrame:
 
 
 def reindex(df: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """Number the rows of a dimension 0, 1, ... in the order of its key.
-
-    Partitions are ranges of the key; each is numbered in its own task, from the number of rows
-    in the ranges before it.
-    """
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    order = Window.partitionBy("_part").orderBy(key)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.row_number().over(order) - 1).drop("_part", "_before")
+    """Number the rows of a dimension 0, 1, ... in the order of its key."""
+    return row_numbers(df, [key], name)
 
 
 def unique_names(genes: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import log2_or_zero, peak_parts
+from cellweave.functions.ordered import row_numbers, running_sum
 
 
 def region_scan(fragments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
@@ -30,8 +31,7 @@ def region_string_scan(fragments: DataFrame, region: str) -> DataFrame:
 def fragment_table(fragments: DataFrame) -> DataFrame:
     """Fragments with row_num, in the order of place and cell within each chromosome, and len; `duplicate` is dropped."""
     rows = fragments.drop("duplicate").withColumns({"start": F.col("start").cast("int"), "end": F.col("end").cast("int")})
-    order = Window.partitionBy("chrom").orderBy("start", "end", "cell")
-    return rows.withColumns({"row_num": F.row_number().over(order).cast("long") - 1, "len": F.col("end") - F.col("start")})
+    return row_numbers(rows, ["start", "end", "cell"], "row_num", ["chrom"]).withColumn("len", F.col("end") - F.col("start"))
 
 
 def count_fragments(fragments: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def count_fragments(fragments: DataFrame) -> DataFrame:
 
 def cumulative_length(table: DataFrame) -> DataFrame:
     """Offsets at which each fragment's bases end, within its chromosome."""
-    return table.withColumn("end_index", F.sum("len").over(Window.partitionBy("chrom").orderBy("row_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
+    return running_sum(table, "len", ["row_num"], "end_index", ["chrom"]).withColumn("end_index", F.col("end_index").cast("long"))
 
 
 def padded(start: Column, end: Column, strand: Column, upstream: int, downstream: int) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,24 @@ def scale_rows(dense: DataFrame, parameters: DataFrame, max_value: float = 10.0,
     return dense.join(parameters, "gene").select("cell", "gene", clip(z, -max_value, max_value).alias("v"))
 
 
+def scale_stored(counts: DataFrame, genes: DataFrame, n_cells: int, max_value: float = 10.0, ddof: int = 0, zscore: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What `scale_rows` makes of the dense matrix, at the size of the sparse one: the stored entries (cell, gene, v), and (gene, absent) for each gene's absent ones."""
+    parameters = scale_parameters(counts, genes, n_cells, ddof) if zscore else genes.select("gene", F.lit(0.0).alias("mean"), F.lit(1.0).alias("std"))
+    absent = clip(-F.col("mean") / F.col("std"), -max_value, max_value)
+    return scale_rows(counts, parameters, max_value), parameters.select("gene", absent.alias("absent"))
+
+
+def scaled_summary(stored: DataFrame, absent: DataFrame, n_cells: int) -> DataFrame:
+    """(gene, low, high, total, squares) over all cells, from both tables of `scale_stored`."""
+    v = F.col("v")
+    of_stored = stored.groupBy("gene").agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"))
+    rows = absent.join(of_stored, "gene", "left").na.fill(0, ["n", "total", "squares"])
+    rest = n_cells - F.col("n")
+    empty = F.when(rest > 0, F.col("absent"))
+    total, squares = F.col("total") + rest * F.col("absent"), F.col("squares") + rest * F.col("absent") * F.col("absent")
+    return rows.select("gene", F.least("low", empty).alias("low"), F.greatest("high", empty).alias("high"), total.alias("total"), squares.alias("squares"))
+
+
 def covariates(counts: DataFrame, cells: DataFrame, flagged: DataFrame) -> DataFrame:
     """(cell, n_counts, percent) for every cell: its sum, and the part of it from the `flagged` genes (gene); 0 for empty cells."""
     marked = counts.join(flagged.select("gene", F.lit(True).alias("flag")), "gene", "left")
@@ -96,3 +116,24 @@ def residuals(counts: DataFrame, cells: DataFrame, genes: DataFrame, covariate_r
     fit = regression_coefficients(counts.join(genes.select("gene"), "gene", "left_semi"), genes, covariate_rows).select("gene", "b0", "b1", "b2")
     rows = densify(counts, cells, genes).join(covariate_rows, "cell").join(fit, "gene")
     return rows.select("cell", "gene", (F.col("v") - F.col("b0") - F.col("b1") * F.col("n_counts") - F.col("b2") * F.col("percent")).alias("v"))
+
+
+def residual_sums(counts: DataFrame, genes: DataFrame, covariate_rows: DataFrame) -> DataFrame:
+    """(cell, total, squares): sums over all genes of each cell's `residuals`, from its stored entries alone.
+
+    What the covariates explain of all genes together needs the sums of the coefficients and of
+    their products, nine numbers in all, since it is linear in a cell's covariates.
+    """
+    counts = counts.join(genes.select("gene"), "gene", "left_semi")
+    fit = regression_coefficients(counts, genes, covariate_rows).select("gene", "b0", "b1", "b2")
+    names, pairs = ["b0", "b1", "b2"], [(j, k) for j in range(3) for k in range(j, 3)]
+    sums = fit.agg(*(F.sum(b) for b in names), *(F.sum(F.col(names[j]) * F.col(names[k])) for j, k in pairs)).first()
+    x = [F.lit(1.0), F.col("n_counts"), F.col("percent")]
+    add = lambda terms: reduce(lambda a, b: a + b, terms)
+    level = add(float(sums[k] or 0) * x[k] for k in range(3))
+    explained = add(float(sums[3 + i] or 0) * (1 if j == k else 2) * x[j] * x[k] for i, (j, k) in enumerate(pairs))
+    v = F.col("v")
+    own = counts.join(fit, "gene").groupBy("cell").agg(F.sum(v).alias("y"), F.sum(v * v).alias("yy"), *(F.sum(v * F.col(b)).alias(f"y_{b}") for b in names))
+    rows = covariate_rows.join(own, "cell", "left").na.fill(0.0)
+    both = add(F.col(f"y_{b}") * x[k] for k, b in enumerate(names))
+    return rows.select("cell", (F.col("y") - level).alias("total"), (F.col("yy") - 2 * both + explained).alias("squares"))

@@ -176,19 +176,34 @@ def regress_out(spark, sf_dir):
 
 @query
 def regress_residuals(spark, sf_dir):
+    """Sums of each cell's residuals over all genes."""
     data = dataset(spark, sf_dir)
     counts = cut(data.counts)
     covariates = cut(normalize.covariates(counts, data.cells, filters.with_prefix(data.genes, PREFIX)))
-    return rounded(normalize.residuals(normalize.log1p(counts), data.cells, data.genes.where(F.col("name") == "red widget"), covariates), 5, "v")
+    return rounded(normalize.residual_sums(normalize.log1p(counts), data.genes, covariates), 3, "total", "squares")
+
+
+def scaled(spark, sf_dir, **settings):
+    """Each gene's least and largest scaled value over all cells, their sum and that of their squares."""
+    data = dataset(spark, sf_dir)
+    counts, n = cut(data.counts), data.cells.count()
+    found = normalize.scaled_summary(*normalize.scale_stored(counts, data.genes, n, **settings), n)
+    return found.select("gene", *((F.round(c, 5) + 0.0).alias(c) for c in ("low", "high", "total", "squares")))
 
 
 @query
 def scale_clip(spark, sf_dir):
-    data = dataset(spark, sf_dir)
-    genes = data.genes.where(F.col("name") == "red widget")
-    counts = cut(data.counts.join(genes.select("gene"), "gene", "left_semi").select("cell", "gene", "v"))
-    parameters = normalize.scale_parameters(counts, genes, data.cells.count())
-    return rounded(normalize.scale_rows(filters.densify(counts, data.cells, genes), parameters, 3.0), 6, "v")
+    return scaled(spark, sf_dir, max_value=3.0)
+
+
+@query
+def scale_ddof1(spark, sf_dir):
+    return scaled(spark, sf_dir, ddof=1)
+
+
+@query
+def clip_only(spark, sf_dir):
+    return scaled(spark, sf_dir, max_value=20.0, zscore=False)
 
 
 @query
@@ -325,24 +340,6 @@ def pca_variances(spark, sf_dir):
     return summed.select("components", "total", "covariances", (ordered == F.reverse(F.array_sort(ordered))).alias("falling"))
 
 
-def red_widgets(spark, sf_dir):
-    data = dataset(spark, sf_dir)
-    genes = data.genes.where(F.col("name") == "red widget")
-    return data.cells, genes, cut(data.counts.join(genes.select("gene"), "gene", "left_semi").select("cell", "gene", "v"))
-
-
-@query
-def scale_ddof1(spark, sf_dir):
-    cells, genes, counts = red_widgets(spark, sf_dir)
-    return rounded(normalize.scale_rows(filters.densify(counts, cells, genes), normalize.scale_parameters(counts, genes, cells.count(), ddof=1)), 6, "v")
-
-
-@query
-def clip_only(spark, sf_dir):
-    cells, genes, counts = red_widgets(spark, sf_dir)
-    return normalize.scale_rows(filters.densify(counts, cells, genes), None, 20.0, zscore=False)
-
-
 @query
 def transposed(spark, sf_dir):
     return filters.transpose(counts_view(spark, sf_dir))
@@ -503,7 +500,7 @@ def violin_counts(spark, sf_dir):
 def scatter_series(spark, sf_dir):
     add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), 5)
     found = session.scatter_series(vector_frame(spark, sf_dir))
-    return found.select("labels", "n", add("x").alias("sum_x"), add("y").alias("sum_y"), F.col("point_index")[0].alias("first_point"))
+    return found.select("labels", "part", "n", add("x").alias("sum_x"), add("y").alias("sum_y"), F.col("point_index")[0].alias("first_point"))
 
 
 @query

@@ -35,7 +35,8 @@ VIEWS = {
         ((d * f - e * e) * y0 + (c * e - b * f) * y1 + (b * e - c * d) * y2) / q AS b0,
         ((c * e - b * f) * y0 + (a * f - c * c) * y1 + (b * c - a * e) * y2) / q AS b1,
         ((b * e - c * d) * y0 + (b * c - a * e) * y1 + (a * d - b * b) * y2) / q AS b2 FROM rhs, det""",
-    "some_genes": "SELECT gene FROM genes WHERE name = 'red widget'",
+    "whole": "SELECT c.cell, g.gene, coalesce(v, 0)::DOUBLE AS v FROM cells c CROSS JOIN genes g LEFT JOIN counts k ON k.cell = c.cell AND k.gene = g.gene",
+    "spread": "SELECT gene, avg(v) AS m, stddev_pop(v) AS s0, stddev_samp(v) AS s1 FROM whole GROUP BY 1",
     "region": """SELECT * FROM fragments WHERE chrom = 'R' AND "start" < 1465 AND "end" > 1100""",
     "clustered": """SELECT f.*, c.cluster FROM region f JOIN cells c USING (cell)""",
     "cut": """SELECT cluster, greatest("start", 1100) AS s, least("end", 1465) AS e FROM clustered""",
@@ -59,6 +60,8 @@ def sql(names: str, query: str, **replace: str) -> str:
 
 HVG = "counts deg fit_cells f1 f2 norm n stats disp edges binned med dev scored picked"
 REGRESS = "counts cells genes cov logged gram det rhs beta"
+SCALED = "counts cells genes whole spread"
+SUMMARY = "SELECT gene, round(min(z), 5) + 0.0 AS low, round(max(z), 5) + 0.0 AS high, round(sum(z), 5) + 0.0 AS total, round(sum(z * z), 5) + 0.0 AS squares FROM (SELECT gene, @Z AS z FROM whole JOIN spread USING (gene)) GROUP BY 1"
 
 ORACLES = {
     "filter_cells": sql("counts deg fit_cells f1", "SELECT * FROM f1"),
@@ -83,12 +86,8 @@ ORACLES = {
     "preprocess_matrix": sql(HVG, "SELECT cell, gene, round(v, 6) AS v FROM norm WHERE gene IN (SELECT gene FROM picked WHERE selected)"),
     "qc_prefix_fraction": sql("counts cells genes cov", "SELECT cell, n_counts, round(percent, 6) AS percent FROM cov"),
     "regress_out": sql(REGRESS, "SELECT gene, round(b0, 5) AS b0, round(b1, 6) AS b1, round(b2, 5) AS b2, round(squares - b0 * y0 - b1 * y1 - b2 * y2, 4) AS rest FROM beta"),
-    "regress_residuals": sql(REGRESS + " some_genes", "SELECT cell, gene, round(coalesce(v, 0) - b0 - b1 * n_counts - b2 * percent, 5) AS v FROM cov CROSS JOIN (SELECT * FROM some_genes JOIN beta USING (gene)) LEFT JOIN logged USING (cell, gene)"),
-    "scale_clip": sql(
-        "counts cells genes some_genes",
-        """, d AS (SELECT cells.cell, some_genes.gene, coalesce(v, 0) AS v FROM cells CROSS JOIN some_genes LEFT JOIN counts ON counts.cell = cells.cell AND counts.gene = some_genes.gene),
-        p AS (SELECT gene, avg(v) AS m, stddev_pop(v) AS s FROM d GROUP BY 1) SELECT cell, gene, round(greatest(-3, least(3, (v - m) / CASE WHEN s > 1e-12 THEN s ELSE 1 END)), 6) AS v FROM d JOIN p USING (gene)""",
-    ),
+    "regress_residuals": sql(REGRESS, ", r AS (SELECT cell, coalesce(v, 0) - b0 - b1 * n_counts - b2 * percent AS r FROM cov CROSS JOIN beta LEFT JOIN logged USING (cell, gene)) SELECT cell, round(sum(r), 3) AS total, round(sum(r * r), 3) AS squares FROM r GROUP BY 1"),
+    "scale_clip": sql(SCALED, SUMMARY, z="greatest(-3, least(3, (v - m) / CASE WHEN s0 > 1e-12 THEN s0 ELSE 1 END))"),
     "tf_idf": sql("counts cells", ", f AS (SELECT gene, count(*) FILTER (WHERE v > 0) AS k FROM counts GROUP BY 1) SELECT cell, gene, round(v / sum(v) OVER (PARTITION BY cell) * ln(1 + (SELECT count(*) FROM cells)::DOUBLE / k), 6) AS v FROM counts JOIN f USING (gene)"),
     "log_tf_idf": sql("counts cells", ", f AS (SELECT gene, count(*) FILTER (WHERE v > 0) AS k FROM counts GROUP BY 1) SELECT cell, gene, round(v * ln(1 + 1000::DOUBLE / sum(v) OVER (PARTITION BY cell)) * ln(1 + (SELECT count(*) FROM cells)::DOUBLE / k), 5) AS v FROM counts JOIN f USING (gene)"),
     "top_peaks": sql("counts cells", "SELECT gene, round(count(*) FILTER (WHERE v > 0)::DOUBLE / (SELECT count(*) FROM cells), 6) AS frequency FROM counts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"),
@@ -127,12 +126,8 @@ ORACLES = {
     ).replace("WITH ", "WITH RECURSIVE ", 1),
     "pca_rotation": sql("emb", ", e AS (SELECT cell, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM emb), m AS (SELECT i, avg(x) AS m FROM e GROUP BY 1) SELECT cell, round(sum((x - m) * (x - m)), 5) AS square FROM e JOIN m USING (i) GROUP BY 1"),
     "pca_variances": sql("emb", ", e AS (SELECT cell, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM emb), v AS (SELECT i, var_samp(x) AS v FROM e GROUP BY 1) SELECT count(*)::BIGINT AS components, round(sum(v), 5) AS total, 0.0::DOUBLE AS covariances, true AS falling FROM v"),
-    "scale_ddof1": sql(
-        "counts cells genes some_genes",
-        """, d AS (SELECT cells.cell, some_genes.gene, coalesce(v, 0) AS v FROM cells CROSS JOIN some_genes LEFT JOIN counts ON counts.cell = cells.cell AND counts.gene = some_genes.gene),
-        p AS (SELECT gene, avg(v) AS m, stddev_samp(v) AS s FROM d GROUP BY 1) SELECT cell, gene, round(greatest(-10, least(10, (v - m) / CASE WHEN s > 1e-12 THEN s ELSE 1 END)), 6) AS v FROM d JOIN p USING (gene)""",
-    ),
-    "clip_only": sql("counts cells genes some_genes", "SELECT cells.cell, some_genes.gene, greatest(-20, least(20, coalesce(v, 0)))::DOUBLE AS v FROM cells CROSS JOIN some_genes LEFT JOIN counts ON counts.cell = cells.cell AND counts.gene = some_genes.gene"),
+    "scale_ddof1": sql(SCALED, SUMMARY, z="greatest(-10, least(10, (v - m) / CASE WHEN s1 > 1e-12 THEN s1 ELSE 1 END))"),
+    "clip_only": sql(SCALED, SUMMARY, z="greatest(-20, least(20, v))"),
     "transposed": sql("counts", "SELECT gene AS cell, cell AS gene, v FROM counts"),
     "matrix_shape": sql("counts cells genes", "SELECT (SELECT count(*) FROM cells) AS cells, (SELECT count(*) FROM genes) AS genes, (SELECT count(*) FROM counts) AS entries"),
     "group_sizes": sql("cells", 'SELECT cluster AS "group", count(*) AS n FROM cells GROUP BY 1'),
@@ -146,6 +141,6 @@ ORACLES = {
     "select_groups": sql("emb", "SELECT cluster AS \"group\", (row_number() OVER (ORDER BY cluster) - 1)::BIGINT AS ord FROM (SELECT DISTINCT cluster FROM emb)"),
     "dashboard_frame": sql("emb frame", "SELECT round(x, 6) AS x, round(y, 6) AS y, labels, round(mk, 6) AS mk, mk_labels, point_index, barcode FROM frame"),
     "violin_counts": sql("emb frame", "SELECT labels, round(mk, 1) AS value, count(*) AS n FROM frame GROUP BY 1, 2"),
-    "scatter_series": sql("emb frame", "SELECT labels, count(*) AS n, round(sum(x), 5) AS sum_x, round(sum(y), 5) AS sum_y, min(point_index) AS first_point FROM frame GROUP BY 1"),
+    "scatter_series": sql("emb frame", "SELECT labels, point_index // 4096 AS part, count(*) AS n, round(sum(x), 5) AS sum_x, round(sum(y), 5) AS sum_y, min(point_index) AS first_point FROM frame GROUP BY 1, 2"),
     "label_toggle": sql("emb frame", "SELECT DISTINCT labels FROM frame WHERE (labels % 2 = 0) <> (labels < 5)"),
 }

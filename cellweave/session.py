@@ -16,11 +16,16 @@ def dashboard_frame(cells: DataFrame, positions: DataFrame, labels: DataFrame, m
     return rows.select("x", "y", F.col("community").cast("int").alias("labels"), *shown, F.col("cell").alias("point_index"), "barcode")
 
 
-def scatter_series(frame: DataFrame) -> DataFrame:
-    """(labels, n, x, y, point_index): one series for each label, its points in the order of point_index."""
+def scatter_series(frame: DataFrame, size: int = 4096) -> DataFrame:
+    """(labels, part, n, x, y, point_index): a series for each label, its points in the order of point_index.
+
+    A part of a series holds the points of `size` successive values of point_index, so that no row
+    grows with the data.
+    """
     points = F.sort_array(F.collect_list(F.struct("point_index", "x", "y")))
-    rows = frame.groupBy("labels").agg(F.count("*").alias("n"), points.alias("p"))
-    return rows.select("labels", "n", *(F.col("p")[c].alias(c) for c in ("x", "y", "point_index")))
+    part = F.floor(F.col("point_index") / size).alias("part")
+    rows = frame.groupBy("labels", part).agg(F.count("*").alias("n"), points.alias("p"))
+    return rows.select("labels", "part", "n", *(F.col("p")[c].alias(c) for c in ("x", "y", "point_index")))
 
 
 def violin_counts(frame: DataFrame, marker: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave.functions.ordered import row_numbers, running_sum
 from cellweave.model import CELLS, COUNTS, GENES, Dataset
 from cellweave.operators import filters, normalize, variable
 from cellweave.plans import pipelines
@@ -71,6 +72,9 @@ def test_scale_and_regress(spark):
         want = np.clip((m - m.mean(axis=0)) / np.where(std > 0, std, 1), -2, 2)
         got = table(normalize.scale_rows(dense, normalize.scale_parameters(counts, genes, 40, ddof), 2.0), 9)
         assert all(math.isclose(got[i + 1, j + 1], want[i, j], abs_tol=1e-8) for i in range(40) for j in range(7))
+        stored, absent = normalize.scale_stored(counts, genes, 40, 2.0, ddof)
+        each = {x.gene: (x.low, x.high, x.total, x.squares) for x in normalize.scaled_summary(stored, absent, 40).collect()}
+        assert all(np.allclose(each[j + 1], (want[:, j].min(), want[:, j].max(), want[:, j].sum(), (want[:, j] ** 2).sum()), atol=1e-8) for j in range(7))
     covariates = normalize.covariates(counts, cells, filters.with_prefix(genes, "red")).cache()
     n = m.sum(axis=1)
     x = np.stack([np.ones(40), n, np.divide(m[:, :2].sum(axis=1), n, out=np.zeros(40), where=n > 0)], axis=1)
@@ -78,6 +82,8 @@ def test_scale_and_regress(spark):
         want = m - design @ np.linalg.lstsq(design, m, rcond=None)[0]
         got = table(normalize.residuals(counts, cells, genes, rows), 12)
         assert all(math.isclose(got[i + 1, j + 1], want[i, j], abs_tol=1e-7) for i in range(40) for j in range(7))
+        sums = {x.cell: (x.total, x.squares) for x in normalize.residual_sums(counts, genes, rows).collect()}
+        assert all(np.allclose(sums[i + 1], (want[i].sum(), (want[i] ** 2).sum()), atol=1e-7) for i in range(40))
 
 
 def plain_dispersion(m, n_genes):
@@ -127,3 +133,19 @@ def test_preprocess_and_scaled_residuals(spark):
     assert all(abs(x["mean"]) < 1e-6 for x in sums)
     empty = data.having(counts=data.counts.limit(0))
     assert filters.filter_cells(empty, 1, 5).cells.count() == 0 and normalize.normalize_total(empty.counts, 10).count() == 0
+
+
+def test_numbers_and_sums_along_an_order(spark):
+    r = np.random.default_rng(9)
+    rows = [(None if g == 3 else f"c{g}", int(k), int(v)) for k, (g, v) in enumerate(zip(r.integers(0, 4, 3000), r.integers(0, 9, 3000), strict=True))]
+    df = spark.createDataFrame(rows, "chrom string, k long, v long").repartition(7, "v")
+    want, at = {}, {}
+    for c, k, v in rows:
+        n, s = at.get(c, (0, 0))
+        want[k] = (n, s + v)
+        at[c] = (n + 1, s + v)
+    found = running_sum(row_numbers(df, ["k"], "n", ["chrom"]), "v", ["n"], "s", ["chrom"])
+    assert {x.k: (x.n, x.s) for x in found.collect()} == want
+    falling = row_numbers(df, [F.desc("k")], "n")
+    assert {x.k: x.n for x in falling.collect()} == {k: 2999 - k for k in range(3000)}
+    assert row_numbers(df.limit(0), ["k"], "n").count() == 0
