@@ -27,16 +27,19 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return rows.agg(F.sum(F.col("inside") / total - resolution * F.pow(F.col("degree") / total, 2))).first()[0]
 
 
-def move_nodes(arcs: DataFrame, start: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+def move_nodes(arcs: DataFrame, start: DataFrame, total: float, resolution: float, tolerance: float) -> DataFrame:
     """(id, c, k, home) after rounds in which nodes move to the neighbouring community of most gain.
 
     `start` has id, c, degree k and home; a node stays among the communities of its home. In each
-    round only the half of the nodes that a hash picks may move, so that two nodes do not swap
-    places for ever. Two rounds without a move end it. A round is one job and a count.
+    round only the half of the nodes that a hash picks may move, and in the next one the other
+    half, so that two nodes do not swap places for ever. It ends when no node moves in such a pair
+    of rounds, or when modularity has grown by less than `tolerance` in it; the labels are those of
+    most modularity.
     """
-    now = start
-    idle = 0
-    for turn in range(rounds):
+    now = best_yet = start
+    top = mark = None
+    turn, idle = 0, False
+    while True:
         places = now.select(F.col("id").alias("dst"), "c", F.col("home").alias("dst_home"))
         own = now.select(F.col("id").alias("src"), F.col("c").alias("own"), "k", "home")
         near = arcs.where("src <> dst").join(places, "dst").join(own, "src").where("home = dst_home")
@@ -45,16 +48,23 @@ def move_nodes(arcs: DataFrame, start: DataFrame, total: float, resolution: floa
         sizes = now.groupBy("c").agg(F.sum("k").alias("size"))
         rest = F.col("size") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.col("inside") - resolution * F.col("k") * rest / total
-        rated = options.join(own, "src").join(sizes, "c").select("src", "own", "k", "home", "c", F.round(gain, 9).alias("gain"))
-        best = rated.groupBy("src", "own", "k", "home").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-        free = F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(2)) == 0
+        rated = options.join(own, "src").join(sizes, "c").select("src", "own", "k", "home", "c", "inside", F.round(gain, 9).alias("gain"))
+        best = rated.groupBy("src", "own", "k", "home").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.max(F.when(F.col("c") == F.col("own"), F.col("inside"))).alias("held"))
+        free = F.pmod(F.xxhash64("src", F.lit(turn // 2)), F.lit(2)) == turn % 2
         moves = free & (F.col("gain") > F.col("stay"))
-        after = stored(best.select(F.col("src").alias("id"), F.when(moves, F.col("best")).otherwise(F.col("own")).alias("c"), "k", "home", moves.alias("moved")))
-        now = after.drop("moved")
-        idle = 0 if after.where("moved").count() else idle + 1
-        if idle == 2:
-            break
-    return now
+        after = stored(best.select(F.col("src").alias("id"), F.when(moves, F.col("best")).otherwise(F.col("own")).alias("c"), "k", "home", moves.alias("moved"), "held"))
+        moved, held = after.agg(F.count_if("moved"), F.sum("held")).first()
+        if turn % 2 == 0:
+            squares = sizes.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0.0
+            quality = (held or 0.0) / total - resolution * squares / total**2
+            if top is None or quality > top:
+                best_yet, top = now, quality
+            if mark is not None and top < mark + tolerance:
+                return best_yet
+            mark = top
+        elif idle and not moved:
+            return best_yet
+        now, idle, turn = after.drop("moved", "held"), not moved, turn + 1
 
 
 def contract(arcs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,53 +88,55 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refine: bool, levels: int, rounds: int) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refine: bool, tolerance: float) -> DataFrame:
     arcs = stored(both_ways(edges))
     total = arcs.agg(F.sum("weight")).first()[0] or 1.0
     members = nodes.select(F.col("cell").alias("id"), F.col("cell").alias("node"))
     level_arcs, parts = arcs, None
     labels = nodes.select(F.col("cell").alias("id"), F.col("cell").alias("c"))
-    for _ in range(levels):
+    while True:
         ids = members.select(F.col("node").alias("id")).distinct()
         degree = level_arcs.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
         start = ids.join(degree, "id", "left").na.fill(0.0, ["k"])
         start = start.join(parts, "id", "left") if parts is not None else start.withColumn("c", F.col("id"))
         before = stored(start.select("id", F.coalesce("c", "id").alias("c"), "k", F.lit(0).cast("long").alias("home")))
-        moved = move_nodes(level_arcs, before, total, resolution, rounds)
+        moved = move_nodes(level_arcs, before, total, resolution, tolerance)
         labels = stored(members.join(moved.select(F.col("id").alias("node"), "c"), "node").select("id", "c"))
-        merged = moved.select("c").distinct().count()
-        if merged == ids.count():
-            break
+        here = ids.count()
+        if moved.select("c").distinct().count() == here:
+            return labels
         if refine:
             alone = moved.select("id", F.col("id").alias("c"), "k", F.col("c").alias("home"))
-            fine = move_nodes(level_arcs, alone, total, resolution, rounds)
+            fine = move_nodes(level_arcs, alone, total, resolution, tolerance)
         else:
             fine = moved.withColumn("home", F.col("c"))
         names = fine.groupBy("c").agg(F.min("id").alias("name"))
         fine = stored(fine.join(names, "c").select("id", F.col("name").alias("c"), "home"))
+        if fine.select("c").distinct().count() == here:
+            return labels
         members = stored(members.join(fine.select(F.col("id").alias("node"), "c"), "node").select("id", F.col("c").alias("node")))
         level_arcs = stored(contract(level_arcs, fine))
         # The next level starts from the coarse communities, each named by one of its parts.
         homes = fine.groupBy("home").agg(F.min("c").alias("lead"))
         parts = stored(fine.select(F.col("c").alias("id"), "home").distinct().join(homes, "home").select("id", F.col("lead").alias("c"))) if refine else None
-    return labels
 
 
-def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, levels: int = 6, rounds: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, tolerance: float = 1e-5) -> DataFrame:
     """(cell, community): Louvain communities of undirected weighted edges (src, dst, weight); lone cells stay alone.
 
     Nodes move to the neighbouring community of most gain in modularity, communities become the
-    nodes of the next level, until nothing merges or `levels` levels of `rounds` rounds are done.
+    nodes of the next level, until nothing merges. A level's moves end when modularity grows by
+    less than `tolerance` in a pair of rounds.
     """
-    return by_size(communities(edges, nodes, resolution, False, levels, rounds))
+    return by_size(communities(edges, nodes, resolution, False, tolerance))
 
 
-def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, weighted: bool = False, levels: int = 4, rounds: int = 10) -> DataFrame:
+def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, weighted: bool = False, tolerance: float = 1e-5) -> DataFrame:
     """(cell, community): Leiden communities, by default of the edges without their weights; every community is connected.
 
     After the moves each community is refined: its nodes start alone and merge only within it.
     The refined parts are the next level's nodes, which start in the communities found before.
     """
     plain = edges if weighted else edges.select("src", "dst", F.lit(1.0).alias("weight"))
-    found = communities(plain, nodes, resolution, True, levels, rounds)
+    found = communities(plain, nodes, resolution, True, tolerance)
     return by_size(split_disconnected(plain, found))

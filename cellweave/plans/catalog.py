@@ -468,14 +468,14 @@ def leiden(spark, sf_dir):
 @query
 def umap(spark, sf_dir):
     vectors, edges = embedding_graph(spark, sf_dir)
-    return layout.umap(edges, layout.initial_positions(reduce.pca(vectors, 2)), epochs=15)
+    return layout.umap(edges, layout.initial_positions(reduce.pca(vectors, 2)))
 
 
 @query
 def tsne(spark, sf_dir):
     vectors = cut(embedding_view(spark, sf_dir))
     near = cut(graph.knn(vectors, 45))
-    return layout.tsne(layout.affinities(near, 15), layout.initial_positions(reduce.pca(vectors, 2)), iterations=15)
+    return layout.tsne(layout.affinities(near, 15), layout.initial_positions(reduce.pca(vectors, 2)))
 
 
 @query

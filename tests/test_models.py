@@ -125,3 +125,17 @@ def test_layouts_keep_blobs_apart(blobs):
     assert spread(layout.tsne(layout.affinities(near, 4), start, iterations=5), 90) > 1
     a, b = layout.curve(0.1, 1.0)
     assert abs(a - 1.577) < 0.05 and abs(b - 0.895) < 0.02
+
+
+@pytest.mark.parametrize("method", [community.louvain, community.leiden])
+def test_communities_of_a_ring_of_cliques(spark, method):
+    size, cliques = 5, 12
+    edges = [(c * size + a, c * size + b, 1.0) for c in range(cliques) for a in range(size) for b in range(a + 1, size)]
+    edges += [(min(x, y), max(x, y), 1.0) for c in range(cliques) for x, y in [(c * size, (c + 1) % cliques * size + 1)]]
+    frame = spark.createDataFrame(edges, "src long, dst long, weight double")
+    found = {r.cell: r.community for r in method(frame, spark.range(size * cliques).withColumnRenamed("id", "cell")).collect()}
+    of_clique = [{found[c * size + a] for a in range(size)} for c in range(cliques)]
+    assert all(len(x) == 1 for x in of_clique)
+    labels = spark.createDataFrame([(k, int(v)) for k, v in found.items()], "id long, c long")
+    # Every clique by itself has modularity 10/11 - 1/12.
+    assert community.modularity(frame, labels) >= 10 / 11 - 1 / 12 - 1e-9
