@@ -41,6 +41,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Turns:
+    """The table of a loop's latest round; the one before it is deleted once the next is complete."""
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        spark, last = df.sparkSession, self.path
+        self.path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        if last:
+            drop_folder(spark, last)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that is no longer read, in whatever file system it is."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

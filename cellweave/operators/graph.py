@@ -63,6 +63,25 @@ def knn(vectors: DataFrame, k: int = 15, include_self: bool = False, block: int
     return closest(dealt.groupBy("a", "b").applyInPandas(meet, "src long, dst long, dist double"), k)
 
 
+def knn_of(asked: DataFrame, vectors: DataFrame, k: int = 15, block: int = 2048) -> DataFrame:
+    """(src, dst, dist, rank): the k nearest of `vectors` to each of those `asked` for, itself left out, exactly.
+
+    Both are (cell, vec). Every block of the one meets every block of the other in a task of its
+    own, so the work is the product of the two sizes.
+    """
+    many = max(1, -(-asked.count() // block)), max(1, -(-vectors.count() // block))
+    own = lambda n: F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.select(F.lit(True).alias("asks"), "cell", "vec", own(many[0]).alias("a"), every(many[1]).alias("b"))
+    v = vectors.select(F.lit(False).alias("asks"), "cell", "vec", every(many[0]).alias("a"), own(many[1]).alias("b"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["asks"]], rows[~rows["asks"]]
+        return nearest(x, y, k, False) if len(x) and len(y) else pd.DataFrame({"src": [], "dst": [], "dist": []})
+
+    return closest(q.union(v).groupBy("a", "b").applyInPandas(meet, "src long, dst long, dist double"), k)
+
+
 def knn_approximate(vectors: DataFrame, k: int = 15, lists: int | None = None, probes: int | None = None, sample: int = 20_000, block: int = 2048, seed: int = 0) -> DataFrame:
     """(src, dst, dist, rank) like `knn`, but each cell is compared only with the members of its `probes` nearest lists.
 

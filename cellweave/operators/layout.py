@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.columns import clip
-from cellweave.functions.lineage import stored
-from cellweave.operators.filters import reindex
+from cellweave.functions.lineage import Turns, stored
 
 
 def curve(min_dist: float, spread: float) -> tuple[float, float]:
@@ -38,44 +38,179 @@ def initial_positions(vectors: DataFrame, width: float = 10.0) -> DataFrame:
     return p.select("cell", scale("x", s[0], s[1]).alias("x"), scale("y", s[2], s[3]).alias("y"))
 
 
-def _ends(edges: DataFrame, positions: DataFrame) -> DataFrame:
-    """Edges with both ends' places and the square of their distance."""
-    a = positions.select(F.col("cell").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-    b = positions.select(F.col("cell").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    placed = edges.join(a, "src").join(b, "dst").withColumns({"dx": F.col("x0") - F.col("x1"), "dy": F.col("y0") - F.col("y1")})
-    return placed.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+class Tile:
+    """Points that stand close together, their arcs, and what there is of the others: the arcs' far ends and a summary."""
 
+    def __init__(self, table: pa.Table) -> None:
+        kind = table["kind"].to_numpy()
+        of = lambda k, *names: np.stack([table[c].to_numpy()[kind == k] for c in names], axis=1)
+        self.ids = of(POINT, "a")[:, 0]
+        order = np.argsort(self.ids)
+        self.ids = self.ids[order]
+        self.x, self.v, self.z = of(POINT, "p", "q")[order], of(POINT, "r", "s")[order], of(POINT, "z")[order, 0]
+        self.far = of(FAR, "p", "q", "r")
+        ends = of(ARC, "a", "b")
+        self.src = np.searchsorted(self.ids, ends[:, 0])
+        place = np.minimum(np.searchsorted(self.ids, ends[:, 1]), len(self.ids) - 1)
+        self.own = self.ids[place] == ends[:, 1]
+        self.dst, (self.weight, *there) = place[self.own], of(ARC, "p", "q", "r").T
+        self.there = np.stack(there, axis=1)
 
-def _pulled(placed: DataFrame, factor: Column) -> DataFrame:
-    return placed.select(F.col("src").alias("cell"), (factor * F.col("dx")).alias("fx"), (factor * F.col("dy")).alias("fy"))
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """From each arc's far end, as new as it is known, to its source, and the square of that length."""
+        self.there[self.own] = self.x[self.dst]
+        d = self.x[self.src] - self.there
+        return d, np.einsum("ij,ij->i", d, d)
 
+    def summed(self, forces: np.ndarray) -> np.ndarray:
+        """The arcs' forces by their sources."""
+        return np.stack([np.bincount(self.src, forces[:, c], len(self.ids)) for c in (0, 1)], axis=1)
 
-def umap(edges: DataFrame, start: DataFrame, epochs: int = 200, min_dist: float = 0.3, spread: float = 1.0, negatives: int = 5, rate: float = 1.0, seed: int = 0) -> DataFrame:
+    def table(self, tile: int) -> pa.Table:
+        columns = [self.ids, *self.x.T, *self.v.T, self.z]
+        return pa.table(dict(zip(("cell", "x", "y", "vx", "vy", "z"), columns, strict=True)))
+
+
+#: Kinds of a tile's rows, their columns, and what becomes of its points.
+POINT, ARC, FAR = 0, 1, 2
+ROWS = ("tile", "kind", "a", "b", "p", "q", "r", "s", "z")
+STATE = "cell long, x double, y double, vx double, vy double, z double"
+#: Points of a tile, about; and the depth of the grid that the order of points is taken from.
+TILE, DEPTH = 1024, 16
+#: A square is opened for a tile unless it is this much narrower than it is away.
+OPENING = 0.6
+
+
+def rows(df: DataFrame, kind: int, **columns: Column | str) -> DataFrame:
+    """Rows of ROWS of one kind; what isn't given is zero."""
+    zero = {"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")}
+    return df.select("tile", F.lit(kind).alias("kind"), *((F.col(columns[c]) if isinstance(columns.get(c), str) else columns.get(c, zero.get(c, F.lit(0.0)))).alias(c) for c in ROWS[2:]))
+
+
+def start_state(start: DataFrame, factor: float) -> DataFrame:
+    zeros = (F.lit(0.0).alias(c) for c in ("vx", "vy", "z"))
+    return start.select("cell", (F.col("x") * factor).alias("x"), (F.col("y") * factor).alias("y"), *zeros)
+
+
+def spread_bits(c: Column) -> Column:
+    """The lower 16 bits of a number, each followed by a zero bit."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return c
+
+
+def tiled(state: DataFrame, n: int, box: tuple[float, float, float]) -> DataFrame:
+    """`state` with tile and the place (i, j) in the finest grid: ranges of the Morton order of about TILE points."""
+    low_x, low_y, span = box
+    at = lambda c, low: F.least(F.floor((F.col(c) - low) / span * 2**DEPTH), F.lit(2**DEPTH - 1)).cast("long")
+    placed = state.withColumns({"i": at("x", low_x), "j": at("y", low_y)})
+    tiles = -(-n // TILE)
+    if tiles == 1:
+        return placed.withColumn("tile", F.lit(0))
+    code = F.shiftleft(spread_bits(F.col("i")), 1).bitwiseOR(spread_bits(F.col("j")))
+    return stored(placed.repartitionByRange(tiles, code, "cell").withColumn("tile", F.spark_partition_id()))
+
+
+def far_squares(placed: DataFrame, n: int, box: tuple[float, float, float], opening: float = OPENING) -> DataFrame:
+    """(tile, m, cx, cy): numbers and centres of the points outside each tile, by squares the smaller the nearer.
+
+    The quadtree is a table of the squares of each level, made by grouped sums. From the root on,
+    level by level, a square that is narrow for its distance from the tile's own rectangle stands
+    for its points, and another one gives way to its four parts. Of the squares of the last level,
+    which hold less than a point on average, only what isn't the tile's own counts.
+    """
+    low_x, low_y, span = box
+    last = min(DEPTH, max(1, math.ceil(math.log(n, 4)) + 1))
+    level = F.explode(F.sequence(F.lit(1), F.lit(last))).alias("level")
+    part = lambda c, level: F.shiftright(c, DEPTH - level)
+    sums = (F.count("*").alias("m"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    at = [F.expr(f"shiftright({c}, {DEPTH} - level)").alias(c) for c in "ij"]
+    squares = stored(placed.select(level, "i", "j", "x", "y").select("level", *at, "x", "y").groupBy("level", "i", "j").agg(*sums))
+    owned = placed.groupBy(part("i", last).alias("i"), part("j", last).alias("j"), F.col("tile").alias("owner")).agg(*sums)
+    halves = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("h")
+    boxes = stored(placed.groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    edges = ("tile", "x0", "x1", "y0", "y1")
+    front = boxes.select(*edges, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    found = []
+    for k in range(1, last + 1):
+        front = front.select(*edges, "i", "j", halves).select(*edges, (F.col("i") * 2 + F.col("h.a")).alias("i"), (F.col("j") * 2 + F.col("h.b")).alias("j"))
+        here = squares.where(F.col("level") == k).drop("level")
+        # The first levels have at most 4096 squares.
+        front = front.join(F.broadcast(here) if k <= 6 else here, ["i", "j"])
+        side = span / 2**k
+        gap = lambda c, low, a, b: F.greatest(F.lit(0.0), low + F.col(c) * side - F.col(b), F.col(a) - (low + (F.col(c) + 1) * side))
+        narrow = F.lit(side) < opening * F.hypot(gap("i", low_x, "x0", "x1"), gap("j", low_y, "y0", "y1"))
+        found.append(front.where(narrow).select("tile", "m", "cx", "cy"))
+        front = front.where(~narrow).select(*edges, "i", "j")
+    found.append(front.select("tile", "i", "j").join(owned, ["i", "j"]).where("owner <> tile").select("tile", "m", "cx", "cy"))
+    return reduce(DataFrame.union, found)
+
+
+def extent(state: DataFrame) -> tuple[tuple[float, float, float], float] | None:
+    """Corner and width of the square around all points, and the sum of their z; nothing without points."""
+    s = state.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.sum("z")).first()
+    return None if s[0] is None else ((s[0], s[2], max(s[1] - s[0], s[3] - s[2], 1e-9) * (1 + 1e-9)), s[4])
+
+
+def turn(placed: DataFrame, arcs: DataFrame, others: DataFrame | None, inner: Callable[[Tile], None]) -> DataFrame:
+    """The points after `inner` has moved each tile's in a task of its own.
+
+    A tile's rows are its points, the arcs (src, dst, weight) from them with the places of their
+    other ends, and `others` (tile, m, cx, cy).
+    """
+    a = placed.select(F.col("cell").alias("src"), "tile")
+    b = placed.select(F.col("cell").alias("dst"), "x", "y")
+    every = rows(placed, POINT, a="cell", p="x", q="y", r="vx", s="vy", z="z").union(rows(arcs.join(a, "src").join(b, "dst"), ARC, a="src", b="dst", p="weight", q="x", r="y"))
+    if others is not None:
+        every = every.union(rows(others, FAR, p=F.col("m").cast("double"), q="cx", r="cy"))
+
+    def move(key: tuple, table: pa.Table) -> pa.Table:
+        tile = Tile(table)
+        inner(tile)
+        return tile.table(key[0].as_py())
+
+    return every.groupBy("tile").applyInArrow(move, STATE)
+
+
+def umap(edges: DataFrame, start: DataFrame, epochs: int = 200, min_dist: float = 0.3, spread: float = 1.0, negatives: int = 5, rate: float = 1.0, seed: int = 0, inner: int = 10, sample: int = 4096) -> DataFrame:
     """(cell, x, y): a UMAP layout of undirected weighted edges (src, dst, weight) from the places in `start`.
 
     In each epoch every cell is pulled along its edges by their weights and pushed from
-    `negatives` cells that a hash picks; all cells move at once. An epoch is three joins by cell
-    and a grouped sum, and its places are written to the checkpoint folder.
+    `negatives` others. Cells that stand together are a tile; a job moves each tile through
+    `inner` epochs, in which it sees its own cells as they move and the other ends of its edges
+    where they were at the job's start. Negatives are its own cells or, as often as chance has it
+    among all cells, some of about `sample` that a hash picks anew for each job.
     """
     a, b = curve(min_dist, spread)
     top = edges.agg(F.max("weight")).first()[0] or 1.0
-    arcs = stored(edges.select("src", "dst", (F.col("weight") / top).alias("w")).union(edges.select("dst", "src", (F.col("weight") / top).alias("w"))))
-    index = stored(reindex(start.select("cell"), "cell"))
-    n = max(1, index.count())
-    now = stored(start.select("cell", "x", "y"))
-    for epoch in range(epochs):
-        picks = F.explode(F.transform(F.sequence(F.lit(1), F.lit(negatives)), lambda j: F.pmod(F.xxhash64("cell", F.lit(seed), F.lit(epoch), j), F.lit(n))))
-        away = now.select(F.col("cell").alias("src"), picks.alias("position")).join(index, "position").select("src", F.col("cell").alias("dst")).where("src <> dst")
-        near = _ends(arcs, now)
-        d2 = F.greatest(F.col("d2"), F.lit(1e-9))
-        pull = -2 * a * b * F.pow(d2, b - 1) / (1 + a * F.pow(d2, F.lit(b))) * F.col("w")
-        push = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, F.lit(b))))
-        forces = _pulled(near, pull).union(_pulled(_ends(away, now), push))
-        sums = forces.groupBy("cell").agg(F.sum(clip(F.col("fx"), -4, 4)).alias("fx"), F.sum(clip(F.col("fy"), -4, 4)).alias("fy"))
-        step = rate * (1 - epoch / epochs)
-        move = lambda f: step * clip(F.coalesce(f, F.lit(0.0)), -4, 4)
-        now = stored(now.join(sums, "cell", "left").select("cell", (F.col("x") + move(F.col("fx"))).alias("x"), (F.col("y") + move(F.col("fy"))).alias("y")))
-    return now
+    arcs = stored(edges.select("src", "dst", (F.col("weight") / top).alias("weight")).union(edges.select("dst", "src", (F.col("weight") / top).alias("weight"))))
+    turns = Turns()
+    state = turns.store(start_state(start, 1.0))
+    n = state.count()
+    for first in range(0, epochs if n else 0, inner):
+        box, _ = extent(state)
+        picked = state.where(F.pmod(F.xxhash64("cell", F.lit(seed), F.lit(first)), F.lit(max(1, n // sample))) == 0).select("x", "y").toArrow()
+        foreign = np.stack([picked[c].to_numpy() for c in "xy"], axis=1)
+
+        def move(tile: Tile, first: int = first, foreign: np.ndarray = foreign) -> None:
+            m = len(tile.ids)
+            r = np.random.default_rng([seed, first, int(tile.ids[0]) & 0xFFFFFFFF])
+            for epoch in range(first, min(first + inner, epochs)):
+                d, d2 = tile.steps()
+                d2 = np.maximum(d2, 1e-9)
+                pull = tile.summed(np.clip((-2 * a * b * d2 ** (b - 1) / (1 + a * d2**b) * tile.weight)[:, None] * d, -4, 4))
+                own = r.integers(0, m, (m, negatives))
+                there = tile.x[own]
+                if len(foreign) and m < n:
+                    away = r.random((m, negatives)) >= m / n
+                    there[away] = foreign[r.integers(0, len(foreign), int(away.sum()))]
+                d = tile.x[:, None] - there
+                d2 = np.maximum(np.einsum("ijk,ijk->ij", d, d), 1e-9)
+                push = np.clip((2 * b / ((0.001 + d2) * (1 + a * d2**b)))[:, :, None] * d, -4, 4).sum(axis=1)
+                tile.x += rate * (1 - epoch / epochs) * np.clip(pull + push, -4, 4)
+
+        state = turns.store(turn(tiled(state, n, box), arcs, None, move))
+    return state.select("cell", "x", "y")
 
 
 def affinities(neighbours: DataFrame, perplexity: float) -> DataFrame:
@@ -106,44 +241,88 @@ def affinities(neighbours: DataFrame, perplexity: float) -> DataFrame:
     return both.select(F.col("u").alias("src"), F.col("v").alias("dst"), (F.col("weight") / (2 * n)).alias("weight"))
 
 
-def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float | None = None, exaggeration: float = 12.0, grid: int = 48) -> DataFrame:
+def repulsion(x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's push from the others of its tile and from squares (number, centre), and the sum of its closenesses."""
+    force, z = np.empty_like(x), np.empty(len(x))
+    others = np.concatenate([np.column_stack([np.ones(len(x)), x]), far])
+    for i in range(0, len(x), 256):
+        dx, dy = (x[i : i + 256, c, None] - others[:, c + 1] for c in (0, 1))
+        q = 1 / (1 + dx * dx + dy * dy)
+        z[i : i + 256] = q @ others[:, 0] - 1
+        q *= q
+        force[i : i + 256] = np.stack([(q * dx) @ others[:, 0], (q * dy) @ others[:, 0]], axis=1)
+    return force, z
+
+
+def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float | None = None, exaggeration: float = 12.0, inner: int = 25) -> DataFrame:
     """(cell, x, y): a t-SNE layout of joint chances (src, dst, weight) from the places in `start`.
 
-    Attraction runs along the edges. Repulsion is from the centres of at most grid * grid squares
-    that hold the cells, a summary of bounded size that each iteration makes by a grouped sum.
-    Momentum is 0.5, then 0.8; the first quarter exaggerates the attraction.
+    Cells that stand together are a tile. A job moves each tile through `inner` iterations: its own
+    cells attract and repel each other as they move, other ends of arcs and the `far_squares` of
+    the quadtree stay where they were at the job's start, as does the others' share of the
+    normalising sum. Momentum is 0.5, then 0.8; the first quarter exaggerates the attraction.
     """
     arcs = stored(joint.select("src", "dst", "weight").union(joint.select("dst", "src", "weight")))
-    now = stored(start.select("cell", (F.col("x") * 1e-2).alias("x"), (F.col("y") * 1e-2).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")))
-    n = max(1, now.count())
+    turns = Turns()
+    state = turns.store(start_state(start, 1e-2))
+    n = state.count()
     rate = rate or max(50.0, n / exaggeration)
-    for turn in range(iterations):
-        box = now.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-        if box[0] is None:
-            break
-        square = lambda c, lo, hi: F.least(F.floor((F.col(c) - lo) / max(hi - lo, 1e-12) * grid), F.lit(grid - 1))
-        held = now.groupBy(square("x", box[0], box[1]).alias("i"), square("y", box[2], box[3]).alias("j")).agg(F.count("*").alias("m"), F.avg("x").alias("cx"), F.avg("y").alias("cy")).select("m", "cx", "cy").collect()
-        centres = now.sparkSession.sparkContext.broadcast(np.array(held, float))
-
-        def push(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, cx, cy = centres.value.T
-            for batch in batches:
-                x, y = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                dx, dy = x[:, None] - cx, y[:, None] - cy
-                q = 1 / (1 + dx * dx + dy * dy)
-                z = (m * q).sum(axis=1) - 1
-                columns = [batch.column(0), pa.array((m * q * q * dx).sum(axis=1)), pa.array((m * q * q * dy).sum(axis=1)), pa.array(z)]
-                yield pa.RecordBatch.from_arrays(columns, ["cell", "rx", "ry", "z"])
-
-        repulsion = stored(now.select("cell", "x", "y").mapInArrow(push, "cell long, rx double, ry double, z double"))
-        z = max(repulsion.agg(F.sum("z")).first()[0], 1e-12)
-        near = _ends(arcs, now)
-        q = F.col("weight") / (1 + F.col("d2"))
-        pull = near.groupBy(F.col("src").alias("cell")).agg(F.sum(q * F.col("dx")).alias("ax"), F.sum(q * F.col("dy")).alias("ay"))
-        early = turn < iterations // 4
-        gain, momentum = (exaggeration, 0.5) if early else (1.0, 0.8)
-        rows = now.join(repulsion, "cell").join(pull, "cell", "left")
-        speed = lambda v, a, r: momentum * F.col(v) - rate * 4 * (gain * F.coalesce(F.col(a), F.lit(0.0)) - F.col(r) / z)
-        rows = rows.withColumns({"vx": clip(speed("vx", "ax", "rx"), -5, 5), "vy": clip(speed("vy", "ay", "ry"), -5, 5)})
-        now = stored(rows.select("cell", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"))
-    return now.select("cell", "x", "y")
+
+    def measured(tile: Tile) -> None:
+        tile.z = repulsion(tile.x, tile.far)[1]
+
+    for first in [None, *range(0, iterations, inner)] if n else []:
+        box, total = extent(state)
+        placed = tiled(state, n, box)
+        far = far_squares(placed, n, box) if n > TILE else None
+
+        def move(tile: Tile, first: int | None = first, total: float = total) -> None:
+            others = total - tile.z.sum()
+            for now in range(first, min(first + inner, iterations)):
+                force, tile.z = repulsion(tile.x, tile.far)
+                d, d2 = tile.steps()
+                pull = tile.summed((tile.weight / (1 + d2))[:, None] * d)
+                gain, momentum = (exaggeration, 0.5) if now < iterations // 4 else (1.0, 0.8)
+                tile.v = np.clip(momentum * tile.v - rate * 4 * (gain * pull - force / max(others + tile.z.sum(), 1e-12)), -5, 5)
+                tile.x += tile.v
+
+        # The first turn moves nothing: it finds the normalising sum.
+        state = turns.store(turn(placed, arcs, far, measured if first is None else move))
+    return state.select("cell", "x", "y")
+
+
+def layout_sums(positions: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number of cells, the normalising sum of a layout, and its state with each cell's push in vx, vy."""
+
+    def push(tile: Tile) -> None:
+        tile.v, tile.z = repulsion(tile.x, tile.far)
+
+    state = stored(start_state(positions, 1.0))
+    n = state.count()
+    box, _ = extent(state)
+    placed = tiled(state, n, box)
+    none = state.select(F.col("cell").alias("src"), F.col("cell").alias("dst"), F.lit(0.0).alias("weight")).where("false")
+    pushed = stored(turn(placed, none, far_squares(placed, n, box) if n > TILE else None, push))
+    return n, pushed.agg(F.sum("z")).first()[0], pushed
+
+
+def divergence(joint: DataFrame, positions: DataFrame) -> float:
+    """Kullback-Leibler divergence of a layout's closenesses from the joint chances."""
+    _, z, _ = layout_sums(positions)
+    a, b = (positions.select(F.col("cell").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k, c in enumerate(("src", "dst")))
+    d2 = F.pow(F.col("x0") - F.col("x1"), 2) + F.pow(F.col("y0") - F.col("y1"), 2)
+    p = F.col("weight")
+    return joint.join(a, "src").join(b, "dst").agg(F.sum(2 * p * F.log(p * (1 + d2) * z))).first()[0] or 0.0
+
+
+def repulsion_error(positions: DataFrame) -> float:
+    """How far the pushes on each 50th cell are from those of all pairs, as a share of these."""
+    n, _, pushed = layout_sums(positions)
+    blocks = max(1, n // 4096)
+    asked = pushed.where("cell % 50 = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("cell").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("vx"), F.col("vy"), "block")
+    dx, dy = F.col("x0") - F.col("x"), F.col("y0") - F.col("y")
+    q2 = F.pow(1 + dx * dx + dy * dy, -2)
+    dealt = positions.withColumn("block", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int"))
+    exact = asked.join(dealt, "block").groupBy("src", "vx", "vy").agg(F.sum(q2 * dx).alias("fx"), F.sum(q2 * dy).alias("fy"))
+    off, size = exact.agg(F.sum(F.hypot(F.col("vx") - F.col("fx"), F.col("vy") - F.col("fy"))), F.sum(F.hypot("fx", "fy"))).first()
+    return (off or 0.0) / max(size or 0.0, 1e-12)

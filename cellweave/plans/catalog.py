@@ -12,7 +12,7 @@ from cellweave import session
 from cellweave.functions.columns import peak_name
 from cellweave.functions.lineage import cut, scratch_folder
 from cellweave.model import counts_view, dataset, embedding_view, fragments_view, marker_intervals, table
-from cellweave.operators import community, coverage, filters, graph, intervals, layout, normalize, reduce, variable
+from cellweave.operators import community, coverage, descent, filters, graph, intervals, krylov, layout, normalize, reduce, variable
 from cellweave.plans import pipelines
 from cellweave.plans.sql import ORACLES
 from cellweave.sources import files
@@ -63,7 +63,7 @@ def region_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = cut(embedding_view(spark, sf_dir))
-    return vectors, cut(graph.connectivities(graph.knn(vectors, 15)))
+    return vectors, cut(graph.connectivities(descent.knn_descent(vectors, 15)))
 
 
 def vector_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,6 +412,17 @@ def knn_approximate(spark, sf_dir):
     return rounded(graph.knn_approximate(cut(embedding_view(spark, sf_dir)), 15), 6, "dist")
 
 
+@query
+def knn_descent(spark, sf_dir):
+    """The neighbours found for each 50th vector, against all others: how many they are, and whether 95 % were found."""
+    vectors, k = cut(embedding_view(spark, sf_dir)), 15
+    asked = F.col("src") % 50 == 0
+    want = graph.knn_of(vectors.where("cell % 50 = 0"), vectors, k)
+    found = descent.knn_descent(vectors, k).where(asked).select("src", "dst", F.lit(1).alias("hit"))
+    both = want.join(found, ["src", "dst"], "left")
+    return both.agg(F.countDistinct("src").alias("asked"), F.count("*").alias("neighbours"), (F.sum("hit") >= 0.95 * F.count("*")).alias("nearly_all"))
+
+
 @query
 def connectivities(spark, sf_dir):
     return rounded(graph.connectivities(graph.knn(embedding_view(spark, sf_dir), 15)), 6, "weight")
@@ -442,6 +453,26 @@ def kmeans(spark, sf_dir):
     return reduce.kmeans(embedding_view(spark, sf_dir), 10)
 
 
+@query
+def pca_stored(spark, sf_dir):
+    """Leading components of the counts from their stored entries, by what all of them have in common.
+
+    The singular values fall and explain no more than all the matrix' squares, which SQL sums; the scores are
+    centred, orthogonal, and as long as the singular values; A'A turns no component by more than a ten thousandth.
+    """
+    data, k = dataset(spark, sf_dir), 20
+    found, rows = krylov.fit(data.counts, data.cells, data.genes, k)
+    scores = cut(krylov.scores(found, rows, data.cells))
+    at = lambda i: F.col("vec")[i]
+    sums = scores.agg(F.count("*").alias("cells"), *(F.sum(at(i)).alias(f"s{i}") for i in range(k)), *(F.sum(at(i) * at(j)).alias(f"p{i}_{j}") for i in range(k) for j in range(i + 1))).first()
+    own = [sums[f"p{i}_{i}"] for i in range(k)]
+    near = lambda x, scale: abs(x) <= 1e-6 * scale
+    apart = all(near(sums[f"p{i}_{j}"], own[0]) for i in range(k) for j in range(i)) and all(near(sums[f"s{i}"], own[0] ** 0.5 * sums["cells"] ** 0.5) for i in range(k))
+    lengths = all(near(own[i] - found.singular[i] ** 2, own[0]) for i in range(k))
+    falling = all(own[i] >= own[i + 1] for i in range(k - 1)) and sum(own) <= found.squares
+    return spark.createDataFrame([(sums["cells"], k, round(found.squares, 2), apart, lengths, falling, found.error <= 1e-4)], "cells long, components int, squares double, apart boolean, lengths boolean, falling boolean, settled boolean")
+
+
 @query
 def select_groups(spark, sf_dir):
     return reduce.select_groups(embedding_view(spark, sf_dir).select("cell", F.col("cluster").alias("group")))
@@ -474,10 +505,21 @@ def umap(spark, sf_dir):
 @query
 def tsne(spark, sf_dir):
     vectors = cut(embedding_view(spark, sf_dir))
-    near = cut(graph.knn(vectors, 45))
+    near = cut(descent.knn_descent(vectors, 45))
     return layout.tsne(layout.affinities(near, 15), layout.initial_positions(reduce.pca(vectors, 2)))
 
 
+@query
+def tsne_quality(spark, sf_dir):
+    """Whether the layout's divergence from the joint chances is below its start's, and its repulsion within 5 % of all pairs'."""
+    vectors = cut(embedding_view(spark, sf_dir))
+    joint = cut(layout.affinities(cut(descent.knn_descent(vectors, 45)), 15))
+    start = cut(layout.initial_positions(reduce.pca(vectors, 2)))
+    made = layout.tsne(joint, start)
+    before, after = layout.divergence(joint, start), layout.divergence(joint, made)
+    return made.agg(F.count("*").alias("cells"), (F.count_if(F.isnan("x") | F.isnan("y")) == 0).alias("whole")).withColumns({"nearer": F.lit(after < before), "repulsion": F.lit(layout.repulsion_error(made) < 0.05)})
+
+
 @query
 def recluster_subset(spark, sf_dir):
     """Components, graph and communities anew of the vectors whose first number is positive."""

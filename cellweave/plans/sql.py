@@ -137,6 +137,13 @@ ORACLES = {
     "dense_csv": "SELECT o_orderpriority AS barcode, o_custkey::VARCHAR AS name, sum(o_totalprice)::DOUBLE AS v FROM orders GROUP BY 1, 2 HAVING sum(o_totalprice) <> 0",
     "dense_unpivot": "SELECT o_custkey::VARCHAR AS \"row\", o_orderpriority AS \"column\", sum(o_totalprice) AS v FROM orders GROUP BY 1, 2 HAVING sum(o_totalprice) <> 0",
     "knn_exact": sql("emb", "SELECT src, dst, round(dist, 6) AS dist, rank FROM (SELECT a.cell AS src, b.cell AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.cell ORDER BY list_distance(a.vec, b.vec), b.cell) AS rank FROM emb a JOIN emb b ON a.cell <> b.cell) WHERE rank <= 15"),
+    "knn_descent": sql("emb", "SELECT count(DISTINCT cell) FILTER (WHERE cell % 50 = 0) AS asked, 15 * count(DISTINCT cell) FILTER (WHERE cell % 50 = 0) AS neighbours, true AS nearly_all FROM emb"),
+    "pca_stored": sql(
+        "counts cells genes",
+        """, g AS (SELECT gene, sum(v) AS s, sum(v * v) AS q FROM counts GROUP BY 1), n AS (SELECT count(*) AS n FROM cells)
+        SELECT any_value(n) AS cells, 20 AS components, round(sum(q - s * s / n), 2) AS squares, true AS apart, true AS lengths, true AS falling, true AS settled FROM g, n""",
+    ),
+    "tsne_quality": sql("emb", "SELECT count(*) AS cells, true AS whole, true AS nearer, true AS repulsion FROM emb"),
     "pca_covariance": sql("emb", ", e AS (SELECT cell, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM emb) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b USING (cell) GROUP BY 1, 2"),
     "select_groups": sql("emb", "SELECT cluster AS \"group\", (row_number() OVER (ORDER BY cluster) - 1)::BIGINT AS ord FROM (SELECT DISTINCT cluster FROM emb)"),
     "dashboard_frame": sql("emb frame", "SELECT round(x, 6) AS x, round(y, 6) AS y, labels, round(mk, 6) AS mk, mk_labels, point_index, barcode FROM frame"),
