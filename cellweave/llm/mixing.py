@@ -16,8 +16,8 @@ REPEATS = 4.0
 #: Tokens of the mixture, as a share of all tokens, and of each of its blocks.
 BUDGET, BLOCK = 1.0, 1 << 18
 SEED = 7
-#: The exponent is bisected 32 times, four steps to a job.
-ROUNDS, SECTIONS, DIGITS = 8, 16, 9
+#: The exponent is bisected 40 times between 0 and STEEPEST, four steps to a job.
+STEEPEST, ROUNDS, SECTIONS, DIGITS = 32.0, 10, 16, 9
 #: About so many rows are put in order in one task.
 BUCKET_ROWS = 1024
 
@@ -27,34 +27,45 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
-def mixing_exponent(sources: DataFrame, budget: float, entropy: float | None, repeats: float | None) -> float:
-    """The least exponent in 0..1 of the token shares whose weights have at most the entropy and keep to the repeats.
+def mixing_exponent(sources: DataFrame, budget: float, entropy: float | None, repeats: float | None, strict: bool = False) -> float:
+    """The exponent of the token shares, between 0 and STEEPEST, whose weights have the entropy, or the nearest one that keeps to the repeats.
 
-    `sources` has n, the tokens of each source. Entropy and the most repeated source's repeats
-    both fall as the exponent grows. Each job sums the powers of the shares for SECTIONS - 1
-    exponents and gives the driver two numbers for each.
+    `sources` has n, the tokens of each source. The weights' entropy falls as the exponent grows;
+    repeats fall up to an exponent of 1, where all sources are repeated alike, and grow from there
+    on. Without an entropy it is the least exponent that keeps to the repeats. Where the repeats,
+    or shares that are all alike, leave the entropy out of reach, `strict` makes that an error.
+    Each job sums the powers of the shares for SECTIONS - 1 exponents and gives the driver two
+    numbers for each.
     """
-    total, count, least = sources.agg(F.sum("n"), F.count("*"), F.min("n")).first()
+    total, count, least, most = sources.agg(F.sum("n"), F.count("*"), F.min("n"), F.max("n")).first()
     if not count:
         return 1.0
-    share, low = F.col("n") / F.lit(float(total)), least / total
+    share = F.col("n") / F.lit(float(total))
     target = math.inf if entropy is None else entropy * math.log(count)
 
-    def too_flat(t: float, z: float, a: float) -> bool:
-        return math.log(z) - t * a / z > target or (repeats is not None and budget / total * low ** (t - 1) / z > repeats)
+    def sums(grid: list[float]) -> list[tuple[float, float]]:
+        got = sources.agg(*(F.sum(F.pow(share, F.lit(t))) for t in grid), *(F.sum(F.pow(share, F.lit(t)) * F.log(share)) for t in grid)).first()
+        return list(zip(got[: len(grid)], got[len(grid) :], strict=True))
 
-    lo, hi = 0.0, 1.0
+    def too_low(t: float, z: float, a: float) -> bool:
+        flat = math.log(z) - t * a / z > target
+        often = repeats is not None and budget / total * max((least / total) ** (t - 1), (most / total) ** (t - 1)) / z > repeats
+        return flat or often if t < 1 else flat and not often
+
+    lo, hi = 0.0, STEEPEST
     for _ in range(ROUNDS):
         grid = [lo + (hi - lo) * j / SECTIONS for j in range(1, SECTIONS)]
-        powers = [F.sum(F.pow(share, F.lit(t))) for t in grid]
-        logs = [F.sum(F.pow(share, F.lit(t)) * F.log(share)) for t in grid]
-        got = sources.agg(*powers, *logs).first()
-        k = sum(too_flat(t, got[j], got[len(grid) + j]) for j, t in enumerate(grid))
+        k = sum(too_low(t, z, a) for t, (z, a) in zip(grid, sums(grid), strict=True))
         lo, hi = ([lo, *grid, hi][k : k + 2])
-    return round(hi, DIGITS)
+    found = round(hi, DIGITS)
+    if strict and entropy is not None:
+        [(z, a)] = sums([found])
+        if abs(math.log(z) - found * a / z - target) > 1e-6 * max(1.0, math.log(count)):
+            raise ValueError(f"an entropy of {entropy} can't be met with {repeats} repeats: {(math.log(z) - found * a / z) / max(math.log(count), 1e-12):.4f} is the nearest")
+    return found
 
 
-def mixture_plan(rows: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: float = BUDGET, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mixture_plan(rows: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, budget: float = BUDGET, block: int = BLOCK, seed: int = SEED, strict: bool = False) -> DataFrame:
     """Rows (doc_id, source, epoch, tokens, block, position): which document stands where in the mixture.
 
     `rows` has doc_id, source and tokens. A source's weight is a power of its share of all
@@ -64,15 +75,20 @@ def mixture_plan(rows: DataFrame, entropy: float | None = ENTROPY, repeats: floa
     `block` tokens; within a block, position is a hash's order over all sources.
 
     A null source is the source "". Rows without tokens have no place. Null and repeated ids are
-    documents like others, equal rows taking each other's places. A budget beyond `repeats` times
-    all tokens is lowered to that. An empty table gives an empty result. A source of any size is
+    documents like others, equal rows taking each other's places. A text of any length is one
+    document of so many tokens, which is left out where it doesn't fit its quota. A budget beyond
+    `repeats` times all tokens is lowered to that, and an entropy that the repeats leave out of
+    reach is met as nearly as they allow; `strict` makes either an error. Other columns are not
+    looked at. An empty table gives an empty result. A source of any size is
     put in order in buckets of about BUCKET_ROWS rows by its hash, whose sums give each its start.
     """
     sized = cut(rows.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "tokens").where("tokens > 0"))
     sources = cut(sized.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")))
     total = sources.agg(F.sum("n")).first()[0] or 0
     wanted = math.floor(total * (budget if repeats is None else min(budget, repeats)))
-    exponent = mixing_exponent(sources, wanted, entropy, repeats)
+    if strict and repeats is not None and budget > repeats:
+        raise ValueError(f"a budget of {budget} needs more than {repeats} repeats")
+    exponent = mixing_exponent(sources, wanted, entropy, repeats, strict)
     power = F.pow(F.col("n") / F.lit(float(max(total, 1))), F.lit(exponent))
     scale = sources.agg(F.sum(power)).first()[0] or 1.0
     blocks = max(1, math.ceil(wanted / block))
@@ -143,14 +159,15 @@ WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^ \\t-\\r]+', 'x', 'g'), '[ \\t-\\r]+', '', 'g'))::BIGINT AS tokens FROM documents),
 sized AS MATERIALIZED (SELECT * FROM d WHERE tokens > 0),
 src AS MATERIALIZED (SELECT source, sum(tokens)::BIGINT AS n, sum(tokens)::DOUBLE / (SELECT sum(tokens)::DOUBLE FROM sized) AS p FROM sized GROUP BY 1),
-whole AS MATERIALIZED (SELECT sum(n)::BIGINT AS total, floor(sum(n)::DOUBLE * {min(BUDGET, REPEATS)}::DOUBLE)::BIGINT AS wanted, count(*) AS m, min(p) AS low FROM src),
+whole AS MATERIALIZED (SELECT sum(n)::BIGINT AS total, floor(sum(n)::DOUBLE * {min(BUDGET, REPEATS)}::DOUBLE)::BIGINT AS wanted, count(*) AS m, min(p) AS low, max(p) AS high FROM src),
 halves(i, lo, hi) AS (
-  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  SELECT 0, 0.0::DOUBLE, {STEEPEST}::DOUBLE
   UNION ALL
   SELECT i + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END FROM (
-    SELECT i, lo, hi, mid, ln(z) - mid * a / z > {ENTROPY}::DOUBLE * ln(m::DOUBLE) OR wanted::DOUBLE / total::DOUBLE * pow(low, mid - 1) / z > {REPEATS}::DOUBLE AS flat FROM (
-      SELECT i, lo, hi, (lo + hi) / 2 AS mid, any_value(total) AS total, any_value(wanted) AS wanted, any_value(m) AS m, any_value(low) AS low, sum(pow(p, (lo + hi) / 2)) AS z, sum(pow(p, (lo + hi) / 2) * ln(p)) AS a
-      FROM halves, src, whole WHERE i < {int(math.log2(SECTIONS)) * ROUNDS} GROUP BY i, lo, hi))),
+    SELECT i, lo, hi, mid, CASE WHEN mid < 1 THEN flat OR often ELSE flat AND NOT often END AS flat FROM (
+    SELECT i, lo, hi, mid, ln(z) - mid * a / z > {ENTROPY}::DOUBLE * ln(m::DOUBLE) AS flat, wanted::DOUBLE / total::DOUBLE * greatest(pow(low, mid - 1), pow(high, mid - 1)) / z > {REPEATS}::DOUBLE AS often FROM (
+      SELECT i, lo, hi, (lo + hi) / 2 AS mid, any_value(total) AS total, any_value(wanted) AS wanted, any_value(m) AS m, any_value(low) AS low, any_value(high) AS high, sum(pow(p, (lo + hi) / 2)) AS z, sum(pow(p, (lo + hi) / 2) * ln(p)) AS a
+      FROM halves, src, whole WHERE i < {int(math.log2(SECTIONS)) * ROUNDS} GROUP BY i, lo, hi)))),
 e AS (SELECT round(hi, {DIGITS}) AS t FROM halves ORDER BY i DESC LIMIT 1),
 q AS (SELECT source, n, floor(pow(p, t) / (SELECT sum(pow(p, t)) FROM src, e) * wanted::DOUBLE)::BIGINT AS quota FROM src, e, whole),
 placed AS (

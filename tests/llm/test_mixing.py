@@ -24,10 +24,11 @@ def brute(rows, entropy, repeats, budget, block):
         w = {s: x**t for s, x in p.items()}
         z = sum(w.values())
         h = -sum(x / z * math.log(x / z) for x in w.values())
-        return entropy is not None and h > entropy * math.log(len(p)) or repeats is not None and max(w[s] / z * wanted / n[s] for s in p) > repeats
+        flat, often = entropy is not None and h > entropy * math.log(len(p)), repeats is not None and max(w[s] / z * wanted / n[s] for s in p) > repeats
+        return flat or often if t < 1 else flat and not often
 
-    lo, hi = 0.0, 1.0
-    for _ in range(32):
+    lo, hi = 0.0, 32.0
+    for _ in range(40):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if flat(mid) else (lo, mid)
     t = round(hi, 9)
@@ -60,13 +61,13 @@ def corpus():
     return rows + [(None, "mid", 9), (7, "hot", 20), (7, "hot", 20), (900, "mid", None)]
 
 
-@pytest.mark.parametrize("entropy, repeats, budget", [(0.8, 4.0, 1.0), (None, 3.0, 2.0), (0.6, None, 0.5), (None, 1.5, 9.0), (1.0, 50.0, 1.0)])
+@pytest.mark.parametrize("entropy, repeats, budget", [(0.8, 4.0, 1.0), (None, 3.0, 2.0), (0.6, None, 0.5), (None, 1.5, 9.0), (1.0, 50.0, 1.0), (0.3, 9.0, 1.0), (0.2, 1.3, 1.0)])
 def test_plan_matches_brute_force(spark, monkeypatch, entropy, repeats, budget):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
     df = spark.createDataFrame([(*x, "clash") for x in corpus()], "doc_id long, source string, tokens long, epoch string")
     got = sorted(map(tuple, mixture_plan(df, entropy, repeats, budget, block=500).collect()), key=str)
     want, exponent = brute(corpus(), entropy, repeats, budget, 500)
-    assert got == want and 0 <= exponent <= 1
+    assert got == want and (exponent > 1) == (entropy is not None and entropy < 0.4)
     tokens = Counter()
     for x in got:
         tokens[x[1]] += x[3]
@@ -120,3 +121,22 @@ def test_stage_with_any_column_names(spark):
     got = mixing_stage(spark, df, "")
     assert got.columns == ["doc_id", "text", "source", *names[4:], *names[:4]]
     assert got.select("text").distinct().count() == 30 and {tuple(r)[3:7] for r in got.collect()} == {(4, 5, 6, 7)}
+
+
+@pytest.mark.parametrize("target", [0.99, 0.97, 0.8, 0.5])
+def test_exponent_meets_the_entropy(spark, target):
+    shares = (0.4, 0.35, 0.25)
+    sources = spark.createDataFrame([(int(1e6 * p),) for p in shares], "n long")
+    t = mixing.mixing_exponent(sources, 1e6, target, None, strict=True)
+    w = [p**t / sum(q**t for q in shares) for p in shares]
+    assert abs(-sum(x * math.log(x) for x in w) / math.log(3) - target) < 1e-6 and (t > 1) == (target < 0.98)
+    with pytest.raises(ValueError):
+        mixing.mixing_exponent(sources, 1e6, 0.5, 1.2, strict=True)
+    assert 1 < mixing.mixing_exponent(sources, 1e6, 0.5, 1.2) < mixing.mixing_exponent(sources, 1e6, 0.5, None)
+
+
+def test_query_reweighs_and_repeats(spark):
+    rows = mixing.op5_mixing(spark, "/root/testdata/sf0.01").groupBy("source").agg(F.sum("tokens").alias("n"), F.max("epoch").alias("epoch")).collect()
+    total = sum(r["n"] for r in rows)
+    assert abs(-sum(r["n"] / total * math.log(r["n"] / total) for r in rows) / math.log(len(rows)) - mixing.ENTROPY) < 0.01
+    assert max(r["epoch"] for r in rows) > 0
