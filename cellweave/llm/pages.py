@@ -8,7 +8,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +40,9 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr input link meta param source track".split())
 RAW = frozenset("script style textarea title iframe xmp".split())
 #: Elements whose content is never text of the page; unclosed ones end with the element around them.
-HIDDEN = frozenset("noscript template svg object select math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("noscript template svg object select annotation annotation-xml".split())
+FORMULA = frozenset("math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = FORMULA | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = HIDDEN | frozenset("ul ol dl table article section div body html nav aside header footer form main".split())
@@ -51,6 +54,12 @@ DOUBTFUL_TAGS = frozenset("form fieldset".split())
 ABOUT_OTHERS = frozenset("no has with without not hide".split())
 #: Elements below which no content is sought.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd ul ol dl pre blockquote figure figcaption address tr".split())
+#: Elements of text, whose names are slugs of what they say and never make them furniture.
+TEXT_TAGS = LEAVES | frozenset("table tbody thead caption td th".split())
+#: Parts of names that tell of an element's place or make, not of what it holds.
+LAYOUT_WORDS = frozenset("area bar block bottom box btn button buttons col column container content count form global group icon icons inner item items js large left link links list main mobile outer page panel post posts primary right row secondary section site slot slots small sticky text title top unit wrap wrapper".split())
+#: Names that don't count in a marked main part, where articles use them of their own boxes.
+BOX_NAMES = frozenset("alert notice notices search widget discussion".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
 SKIPPED_NAMES = COMMENT_NAMES | frozenset(
@@ -60,6 +69,8 @@ SKIPPED_NAMES = COMMENT_NAMES | frozenset(
 )
 
 
+#: Pairs of elements beside each other from which on a matching's table is made row by row.
+WIDE = 1 << 14
 #: Elements nested deeper are children of the one at this depth; what is hidden or named around them still counts.
 DEEPEST = 200
 
@@ -87,12 +98,17 @@ def set_shapes(root: Node) -> None:
 
 
 def furniture_parts(value: str) -> set[str]:
-    """The parts of a class or id in lower case, without those after a part like `no` or `has`."""
+    """The parts of a class or id in lower case, without those after a part like `no` or `has`.
+
+    A name with a part that is none of furniture or layout, like `related-work`, tells of its content and has none.
+    """
     parts: set[str] = set()
     for name in value.split():
         about_others = False
-        for part in NAME_PART.findall(name):
-            part = part.lower()
+        words = [part.lower() for part in NAME_PART.findall(name)]
+        if not all(w in SKIPPED_NAMES or w in LAYOUT_WORDS or w in ABOUT_OTHERS or w.isdigit() for w in words):
+            continue
+        for part in words:
             if not about_others:
                 parts.add(part)
             about_others = part in ABOUT_OTHERS
@@ -107,7 +123,13 @@ def marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, int, bool
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
+                if tag in TEXT_TAGS:
+                    continue
                 parts = furniture_parts(value)
+                if inside_main or main:
+                    parts -= BOX_NAMES
+                if name == "id":
+                    parts.discard("discussion")
                 if not parts.isdisjoint(COMMENT_NAMES):
                     named = 2
                 elif not (main or tag in ("body", "html") or parts.isdisjoint(SKIPPED_NAMES)):
@@ -167,10 +189,13 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
             if open_tags[tag] > 0:
                 close((tag,))
             continue
-        if attributes.endswith("/>") and (tag in ("svg", "math") or open_tags["svg"] > 0 or open_tags["math"] > 0):
+        if attributes.endswith("/>") and (tag == "svg" or open_tags["svg"] > 0):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
+            if tag == "xmp":
+                held.append(source[at : end.start() if end else len(source)])
+                flush()
             at = end.end() if end else len(source)
             continue
         if open_tags["p"] > 0 and tag in CLOSES_P:
@@ -224,6 +249,8 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], known: dict[tuple[in
     x, y = x[begin : len(x) - end], y[begin : len(y) - end]
     if not x or not y:
         return size
+    if len(x) * len(y) > WIDE:
+        return size + match_wide(x, y, pairs, known)
     best = [[0] * (len(y) + 1)]
     for u in x:
         above, row = best[-1], [0]
@@ -248,6 +275,52 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], known: dict[tuple[in
     return size + best[-1][-1]
 
 
+def match_wide(x: list[Node], y: list[Node], pairs: list[tuple[Node, Node]], known: dict[tuple[int, int], int]) -> int:
+    """`match` of two long lists of elements, one row of the table at a time.
+
+    Each k-th row is kept, k about the root of their number, and the rows between two of them are
+    made again on the way back. The work is the product of the lists' lengths in numpy and that of
+    their numbers of shapes in Python.
+    """
+    kinds = {v.shape: v for v in y}
+    order = {shape: k for k, shape in enumerate(kinds)}
+    of_y = np.array([order[v.shape] for v in y])
+    weights: dict[int, np.ndarray] = {}
+
+    def weight(u: Node) -> np.ndarray:
+        if u.shape not in weights:
+            for shape, v in kinds.items():
+                if u.tag == v.tag and not known.get((u.shape, shape)):
+                    known[u.shape, shape] = match(u, v, [], known)
+            weights[u.shape] = np.array([known.get((u.shape, shape), 0) if v.tag == u.tag else 0 for shape, v in kinds.items()], np.int32)
+        return weights[u.shape][of_y]
+
+    def rows(begin: int, end: int, row: np.ndarray) -> Iterator[np.ndarray]:
+        for u in x[begin:end]:
+            row = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weight(u)))]).astype(np.int32)
+            yield row
+
+    step = isqrt(len(x)) + 1
+    kept = [np.zeros(len(y) + 1, np.int32)]
+    for begin in range(0, len(x), step):
+        *_, last = rows(begin, min(begin + step, len(x)), kept[-1])
+        kept.append(last)
+    size, j = int(kept[-1][-1]), len(y)
+    for k in range(len(kept) - 2, -1, -1):
+        begin = k * step
+        block = [kept[k], *rows(begin, min(begin + step, len(x)), kept[k])]
+        i = len(block) - 1
+        while i and j:
+            if block[i][j] == block[i - 1][j]:
+                i -= 1
+            elif block[i][j] == block[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                match(x[begin + i], y[j], pairs, known)
+    return size
+
+
 def chars_below(root: Node, blocks: list[str]) -> dict[int, int]:
     """Characters of the shown text in each element and below it, by the element's identity."""
     nodes, k = [root], 0
@@ -321,15 +394,14 @@ class Pivot:
             todo.extend(node.children)
         self.number = {id(node): k for k, node in enumerate(self.nodes)}
 
-    def align(self, page: Node) -> dict[int, tuple[int, Node]]:
-        """For each of a page's elements that has one, by identity, the number of the pivot's element and this."""
+    def align(self, page: Node) -> dict[int, tuple[int, Node, Node]]:
+        """For each of a page's elements that has one, by identity, the number of the pivot's element, this, and itself."""
         pairs: list[tuple[Node, Node]] = []
         match(page, self.root, pairs)
-        return {id(u): (self.number[id(v)], v) for u, v in pairs}
+        return {id(u): (self.number[id(v)], v, u) for u, v in pairs}
 
-    def places(self, owners: list[Node], ranks: list[int], page: Node) -> Iterator[tuple[int, int]]:
-        """The slot (element, rank) of each of a page's blocks; rank -1 where only an element around it is the pivot's."""
-        paired = self.align(page)
+    def places(self, owners: list[Node], ranks: list[int], paired: dict[int, tuple[int, Node, Node]]) -> Iterator[tuple[int, int]]:
+        """The slot (element, rank) of each of an aligned page's blocks; rank -1 where only an element around it is the pivot's."""
         for owner, rank in zip(owners, ranks, strict=True):
             found = paired.get(id(owner))
             if found is not None and rank < len(found[1].texts):
@@ -340,12 +412,6 @@ class Pivot:
                 found = paired.get(id(owner))
             yield found[0] if found else 0, -1
 
-    def partner(self, page: Node, v: Node) -> Node | None:
-        """The page's element that is aligned with an element of the pivot."""
-        pairs: list[tuple[Node, Node]] = []
-        match(page, self.root, pairs)
-        return next((u for u, w in pairs if w is v), None)
-
     def content(self, mass: dict[int, float]) -> Node | None:
         """The deepest element that holds most of the varying text, the marked article around it if there is one.
 
@@ -398,14 +464,15 @@ class Wrapper:
 
     def extract(self, root: Node, blocks: list[str], owners: list[Node]) -> list[int]:
         top = None
-        for pivot, content in zip(self.pivots, self.contents, strict=True):
+        paired = [pivot.align(root) for pivot in self.pivots]
+        for pairs, content in zip(paired, self.contents, strict=True):
             if top is None and content is not None:
-                top = pivot.partner(root, content)
+                top = next((u for _, v, u in pairs.values() if v is content), None)
         template: set[int] = set()
         rank_of, digests = ranks(owners), [digest(x) for x in blocks]
-        for pivot, slots, strict in zip(self.pivots, self.slots, self.strict, strict=True):
+        for pivot, pairs, slots, strict in zip(self.pivots, paired, self.slots, self.strict, strict=True):
             if strict or slots and top is None:
-                for k, place in enumerate(pivot.places(owners, rank_of, root)):
+                for k, place in enumerate(pivot.places(owners, rank_of, pairs)):
                     text = (*place, digests[k])
                     if text in strict or top is None and not owners[k].main and (place in slots or text in slots):
                         template.add(k)
@@ -488,7 +555,7 @@ def wrapper_rows(aligned: DataFrame) -> DataFrame:
                 for j, pivot in enumerate(pivots):
                     rows.append((host, j, -1, 0, 0, page, 0.0))
                     loose: Counter[int] = Counter()
-                    for (elem, rank), text, mass, owner in zip(pivot.places(owners, rank_of, root), digests, masses, owners, strict=True):
+                    for (elem, rank), text, mass, owner in zip(pivot.places(owners, rank_of, pivot.align(root)), digests, masses, owners, strict=True):
                         if rank < 0 and not owner.hidden:
                             loose[elem] += mass
                         elif not owner.hidden:

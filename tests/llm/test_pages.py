@@ -48,6 +48,44 @@ def test_matching_is_the_largest():
         assert all(u.tag == v.tag for u, v in pairs) and len({id(u) for u, _ in pairs}) == len(pairs)
 
 
+def test_wide_matching_is_the_same(monkeypatch):
+    r = random.Random(3)
+    kind = lambda: r.choice([["p"], ["d"], ["d", ["p"]], ["d", ["p"], ["d", ["p"]]], ["p", ["d"], ["d"]]])
+    for n, m in ((1, 40), (37, 40), (60, 25)):
+        a, b = tree(["d", *(kind() for _ in range(n))]), tree(["d", *(kind() for _ in range(m))])
+        plain, wide = [], []
+        size = match(a, b, plain)
+        with monkeypatch.context() as patch:
+            patch.setattr(module, "WIDE", 0)
+            assert match(a, b, wide) == size == len(wide)
+        assert [(id(u), id(v)) for u, v in wide] == [(id(u), id(v)) for u, v in plain] or sorted((id(u), id(v)) for u, v in wide) == sorted((id(u), id(v)) for u, v in plain)
+
+
+def test_a_page_of_twenty_thousand_siblings():
+    page = lambda seed: "<body>" + "".join(random.Random(seed * 7 + k).choice(["<p>a", "<div>b</div>", "<ul><li>c</ul>"]) for k in range(20_000))
+    pairs = module.Pivot(page(1)).align(parse(page(2))[0])
+    assert 13_000 < len(pairs) < 60_000
+
+
+SLUGS = [
+    '<section id="discussion"><p>kept</p></section>', '<section id="related-work"><p>kept</p></section>', '<h2 id="Search">kept</h2>', '<h2 id="footer-design">kept</h2>', '<p class="notice">kept</p>', '<div class="navigation-systems">kept</div>',
+    '<div class="alert alert-info">kept</div>', '<ul><li id="reply-1">kept</li></ul>', '<table class="widget"><tr><td>kept</table>', "<p>k<math><mi>e</mi><mo>p</mo><annotation>no</annotation></math></p><p>t</p>", "<xmp>ke<b>pt</xmp>",
+]
+
+
+@pytest.mark.parametrize("slug", SLUGS)
+def test_names_of_text_in_the_article_are_no_furniture(slug):
+    root, blocks, owners = parse(f"<body><nav>no</nav><article><h1>one</h1>{slug}<p>two</p></article><div class=ad-slot>no</div></body>")
+    got = " ".join(blocks[k] for k in page_text(owners, module.furniture(root, blocks, owners), set()))
+    assert got in ("one kept two", "one kep t two", "one ke<b>pt two")
+
+
+def test_varying_text_under_slugs_stays(spark):
+    page = lambda k: f"<body><nav><a>Menu</a></nav><div><h1>story {k}</h1><h2 id=search>{k} looks</h2><section id=discussion><p>{k} talks of it</p></section><p>and ends {k}</p></div><footer>c</footer>"
+    got = extract(spark, [(k, f"https://www.one.org/{k}", page(k)) for k in range(12)])
+    assert got[3, "https://www.one.org/3"][0] == "story 3 3 looks 3 talks of it and ends 3"
+
+
 def extract(spark, pages):
     df = spark.createDataFrame([(i, u, h, "clash") for i, u, h in pages], "page_id long, url string, html string, host string")
     return {(r.page_id, r.url): (r.text, r.n_chars) for r in main_texts(df).collect()}
@@ -166,7 +204,7 @@ def brute_force(pages):
                 for k, owner in enumerate(owners):
                     rank, met[id(owner)] = met[id(owner)], met[id(owner)] + 1
                     mass = (0.1 if named[k] else 3.0 if owner.main else 1.0) * len(blocks[k])
-                    elem, rank = next(pivot.places([owner], [rank], root))
+                    elem, rank = next(pivot.places([owner], [rank], pivot.align(root)))
                     if rank < 0:
                         own[elem] += mass
                     else:
