@@ -1,11 +1,15 @@
-"""Louvain and Leiden communities by rounds of joins and grouped sums."""
+"""Louvain and Leiden communities: blocks of nodes are moved in tasks, and their labels meet between the turns."""
 
 from __future__ import annotations
 
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.lineage import stored
+from cellweave.functions.lineage import Turns, stored
 from cellweave.functions.ordered import row_numbers
 from cellweave.operators.graph import connected_components
 
@@ -27,44 +31,182 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return rows.agg(F.sum(F.col("inside") / total - resolution * F.pow(F.col("degree") / total, 2))).first()[0]
 
 
+#: Nodes, about, whose moves are worked out in one task.
+BLOCK = 8192
+ROWS = "block long, kind int, a long, b long, c long, p double, q double"
+NODE, ARC = 0, 1
+
+
+class Block:
+    """Some of a graph's nodes with their communities, and their arcs to these and to nodes elsewhere."""
+
+    def __init__(self, table: pa.Table) -> None:
+        kind = table["kind"].to_numpy()
+        column = lambda k, c: table[c].to_numpy()[kind == k]
+        order = np.argsort(column(NODE, "a"))
+        self.ids, self.of, self.k, size = (column(NODE, c)[order] for c in "abpq")
+        src, dst = column(ARC, "a"), column(ARC, "b")
+        by = np.lexsort((dst, src))
+        there = np.minimum(np.searchsorted(self.ids, dst[by]), len(self.ids) - 1)
+        self.own = np.where(self.ids[there] == dst[by], there, -1).tolist()
+        self.begin = np.searchsorted(src[by], self.ids, "left").tolist()
+        self.end = np.searchsorted(src[by], self.ids, "right").tolist()
+        self.there, self.weight = column(ARC, "c")[by].tolist(), column(ARC, "p")[by].tolist()
+        self.sizes = dict(zip(self.there, column(ARC, "q")[by].tolist(), strict=True)) | dict(zip(self.of.tolist(), size.tolist(), strict=True))
+
+    def near(self, i: int, of: list[int]) -> dict[int, float]:
+        """Weight of a node's arcs by the community of their other ends."""
+        found: dict[int, float] = {}
+        for e in range(self.begin[i], self.end[i]):
+            j = self.own[e]
+            if j != i:
+                c = of[j] if j >= 0 else self.there[e]
+                found[c] = found.get(c, 0.0) + self.weight[e]
+        return found
+
+
+def best_moves(block: Block, total: float, resolution: float) -> list[int]:
+    """The nodes' communities after each has moved to the neighbouring one of most gain, until none gains; a node is looked at again when a neighbour moves."""
+    of, k, sizes = block.of.tolist(), block.k.tolist(), block.sizes
+    queue, waits, moved = deque(range(len(of))), [True] * len(of), False
+    while queue or moved:
+        if not queue:
+            # Sizes have changed for nodes elsewhere too: all are looked at once more.
+            queue, waits, moved = deque(range(len(of))), [True] * len(of), False
+        i = queue.popleft()
+        waits[i] = False
+        near, own = block.near(i, of), of[i]
+        best, most = own, near.get(own, 0.0) - resolution * k[i] * (sizes[own] - k[i]) / total + 1e-9
+        for c in sorted(near):
+            gain = near[c] - resolution * k[i] * sizes[c] / total
+            if c != own and gain > most:
+                best, most = c, gain
+        if best != own:
+            sizes[own] -= k[i]
+            sizes[best] += k[i]
+            of[i], moved = best, True
+            for e in range(block.begin[i], block.end[i]):
+                j = block.own[e]
+                if j >= 0 and not waits[j] and of[j] != best:
+                    waits[j] = True
+                    queue.append(j)
+    return of
+
+
+def block_rows(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """`nodes` (id, block, c, k, size) and the `arcs` from them (src, dst, weight, c, size) as rows of ROWS."""
+    mine = nodes.select(F.col("id").alias("src"), "block")
+    return nodes.select("block", F.lit(NODE).alias("kind"), F.col("id").alias("a"), F.col("c").alias("b"), F.lit(0).cast("long").alias("c"), F.col("k").alias("p"), F.col("size").alias("q")).union(
+        arcs.join(mine, "src").select("block", F.lit(ARC).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "c", F.col("weight").alias("p"), F.col("size").alias("q"))
+    )
+
+
+def quality(arcs: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of a state (id, c, k)."""
+    a, b = state.select(F.col("id").alias("src"), F.col("c").alias("cs")), state.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
+    inside = arcs.join(a, "src").join(b, "dst").where("cs = cd").agg(F.sum("weight")).first()[0] or 0.0
+    squares = state.groupBy("c").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0
+    return inside / total - resolution * squares / total**2
+
+
 def move_nodes(arcs: DataFrame, start: DataFrame, total: float, resolution: float, tolerance: float) -> DataFrame:
-    """(id, c, k, home) after rounds in which nodes move to the neighbouring community of most gain.
+    """(id, c, k) after turns in which nodes move to the neighbouring community of most gain.
 
-    `start` has id, c, degree k and home; a node stays among the communities of its home. In each
-    round only the half of the nodes that a hash picks may move, and in the next one the other
-    half, so that two nodes do not swap places for ever. It ends when no node moves in such a pair
-    of rounds, or when modularity has grown by less than `tolerance` in it; the labels are those of
-    most modularity.
+    `start` has id, c and degree k. A turn deals the nodes to blocks, communities together where
+    they fit, and moves each block's in a task, which knows the other blocks' communities as they
+    were. With several blocks only the half of the nodes that a hash picks may move, and in the
+    next turn the other half, so that two blocks do not swap nodes for ever; a node that has been
+    looked at is so again when a neighbour has moved. It ends when no node is left to look at, or
+    when modularity grows by less than `tolerance` in a pair of turns; the result is the best there
+    was.
     """
-    now = best_yet = start
-    top = mark = None
-    turn, idle = 0, False
-    while True:
-        places = now.select(F.col("id").alias("dst"), "c", F.col("home").alias("dst_home"))
-        own = now.select(F.col("id").alias("src"), F.col("c").alias("own"), "k", "home")
-        near = arcs.where("src <> dst").join(places, "dst").join(own, "src").where("home = dst_home")
-        inside = near.groupBy("src", "c").agg(F.sum("weight").alias("inside"))
-        options = inside.union(now.select(F.col("id").alias("src"), "c", F.lit(0.0).alias("inside"))).groupBy("src", "c").agg(F.sum("inside").alias("inside"))
-        sizes = now.groupBy("c").agg(F.sum("k").alias("size"))
-        rest = F.col("size") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.col("inside") - resolution * F.col("k") * rest / total
-        rated = options.join(own, "src").join(sizes, "c").select("src", "own", "k", "home", "c", "inside", F.round(gain, 9).alias("gain"))
-        best = rated.groupBy("src", "own", "k", "home").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.max(F.when(F.col("c") == F.col("own"), F.col("inside"))).alias("held"))
-        free = F.pmod(F.xxhash64("src", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        moves = free & (F.col("gain") > F.col("stay"))
-        after = stored(best.select(F.col("src").alias("id"), F.when(moves, F.col("best")).otherwise(F.col("own")).alias("c"), "k", "home", moves.alias("moved"), "held"))
-        moved, held = after.agg(F.count_if("moved"), F.sum("held")).first()
-        if turn % 2 == 0:
-            squares = sizes.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0.0
-            quality = (held or 0.0) / total - resolution * squares / total**2
-            if top is None or quality > top:
-                best_yet, top = now, quality
-            if mark is not None and top < mark + tolerance:
-                return best_yet
-            mark = top
-        elif idle and not moved:
-            return best_yet
-        now, idle, turn = after.drop("moved", "held"), not moved, turn + 1
+    turns, tables, fronts = Turns(), Turns(), Turns()
+    now = turns.store(start.select("id", "c", "k"))
+    arcs = arcs.where("src <> dst")
+    best_yet, top, turn, active, waiting = now, None, 0, fronts.store(now.select("id")), now.count()
+    whole = waiting <= BLOCK
+    while waiting:
+        blocks = -(-waiting // BLOCK)
+        picked = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2 if blocks > 1 else F.lit(True)
+        sizes = now.groupBy("c").agg(F.sum("k").alias("size"), F.count("*").alias("n"))
+        part = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))).otherwise(0)
+        nodes = now.join(active.where(picked), "id", "left_semi").join(sizes, "c").withColumn("block", F.pmod(F.xxhash64("c", part), F.lit(blocks)))
+        far = arcs.join(now.join(sizes, "c").select(F.col("id").alias("dst"), "c", "size"), "dst")
+
+        def move(key: tuple, table: pa.Table) -> pa.Table:
+            block = Block(table)
+            return pa.table({"id": block.ids, "to": best_moves(block, total, resolution)})
+
+        moved = block_rows(nodes, far).groupBy("block").applyInArrow(move, "id long, to long")
+        to = F.coalesce("to", "c")
+        after = tables.store(now.join(moved, "id", "left").select("id", to.alias("c"), "k", (to != F.col("c")).alias("moved")))
+        now = turns.store(after.select("id", "c", "k"))
+        if whole:
+            return now
+        changed = after.where("moved").select(F.col("id").alias("src"))
+        active = fronts.store(arcs.join(changed, "src", "left_semi").select(F.col("dst").alias("id")).union(active.where(~picked)).distinct())
+        waiting, turn = active.count(), turn + 1
+        if turn % 2 == 0 or not waiting:
+            reached = quality(arcs, now, total, resolution)
+            if top is not None and reached < top + tolerance:
+                return now if reached >= top else best_yet
+            best_yet, top = stored(now), reached
+    return now
+
+
+def well_merged(block: Block, inside: np.ndarray, whole: np.ndarray, total: float, resolution: float, seed: int, randomness: float = 0.01) -> list[int]:
+    """Parts of the nodes' communities: nodes that are well connected to their community join, one by one, a part that is so too.
+
+    `inside` is the weight between a node and its community's others, `whole` that community's
+    degree. Parts that gain are drawn by their gain's exponential; only nodes still alone move.
+    """
+    of, k = list(range(len(block.ids))), block.k
+    size, cut, alone = k.copy(), inside.copy(), np.ones(len(of), bool)
+    r = np.random.default_rng([seed, int(block.ids[0]) & 0xFFFFFFFF])
+    well = lambda p, home: cut[p] >= resolution * size[p] * (home - size[p]) / total
+    for i in r.permutation(len(of)).tolist():
+        if not alone[i] or not well(i, whole[i]):
+            continue
+        near: dict[int, float] = {}
+        for e in range(block.begin[i], block.end[i]):
+            j = block.own[e]
+            if j >= 0 and j != i and block.of[j] == block.of[i]:
+                near[of[j]] = near.get(of[j], 0.0) + block.weight[e]
+        parts = [p for p in sorted(near) if well(p, whole[i]) and near[p] - resolution * k[i] * size[p] / total > 0]
+        if parts:
+            gain = np.array([near[p] - resolution * k[i] * size[p] / total for p in parts]) / (randomness * max(1e-12, float(k[i])))
+            chance = np.exp(gain - gain.max())
+            p = parts[int(r.choice(len(parts), p=chance / chance.sum()))]
+            alone[i] = alone[p] = False
+            of[i] = p
+            cut[p] += cut[i] - 2 * near[p]
+            size[p] += k[i]
+    return of
+
+
+def refine(arcs: DataFrame, moved: DataFrame, total: float, resolution: float, seed: int) -> DataFrame:
+    """(id, c, home): parts of each community of `moved` (id, c, k), its home, each part well connected and found in one task.
+
+    A community above BLOCK nodes is dealt to several tasks; parts form within each of them.
+    """
+    sizes = moved.groupBy("c").agg(F.sum("k").alias("size"), F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)))
+    blocks = max(1, -(-moved.count() // BLOCK))
+    nodes = stored(moved.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64("c", part), F.lit(blocks))))
+    homes = nodes.select(F.col("id").alias("dst"), F.col("c").alias("there"))
+    own = nodes.select(F.col("id").alias("src"), F.col("c").alias("here"))
+    far = arcs.where("src <> dst").join(homes, "dst").join(own, "src").where("here = there").select("src", "dst", "weight", F.col("there").alias("c"), F.lit(0.0).alias("size"))
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        block = Block(table)
+        kind = table["kind"].to_numpy()
+        order = np.argsort(table["a"].to_numpy()[kind == NODE])
+        whole = table["q"].to_numpy()[kind == NODE][order]
+        inside = np.array([sum(block.weight[b:e]) for b, e in zip(block.begin, block.end, strict=True)])
+        of = well_merged(block, inside, whole, total, resolution, seed)
+        return pa.table({"id": block.ids, "c": block.ids[np.array(of)], "home": block.of})
+
+    return block_rows(nodes, far).groupBy("block").applyInArrow(merge, "id long, c long, home long")
 
 
 def contract(arcs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -88,37 +230,31 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refine: bool, tolerance: float) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refined: bool, tolerance: float) -> DataFrame:
     arcs = stored(both_ways(edges))
     total = arcs.agg(F.sum("weight")).first()[0] or 1.0
     members = nodes.select(F.col("cell").alias("id"), F.col("cell").alias("node"))
-    level_arcs, parts = arcs, None
-    labels = nodes.select(F.col("cell").alias("id"), F.col("cell").alias("c"))
+    level_arcs, parts, level = arcs, None, 0
     while True:
         ids = members.select(F.col("node").alias("id")).distinct()
         degree = level_arcs.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
         start = ids.join(degree, "id", "left").na.fill(0.0, ["k"])
         start = start.join(parts, "id", "left") if parts is not None else start.withColumn("c", F.col("id"))
-        before = stored(start.select("id", F.coalesce("c", "id").alias("c"), "k", F.lit(0).cast("long").alias("home")))
-        moved = move_nodes(level_arcs, before, total, resolution, tolerance)
+        moved = move_nodes(level_arcs, start.select("id", F.coalesce("c", "id").alias("c"), "k"), total, resolution, tolerance)
         labels = stored(members.join(moved.select(F.col("id").alias("node"), "c"), "node").select("id", "c"))
-        here = ids.count()
-        if moved.select("c").distinct().count() == here:
+        here, found = moved.agg(F.count("*"), F.countDistinct("c")).first()
+        if found == here:
             return labels
-        if refine:
-            alone = moved.select("id", F.col("id").alias("c"), "k", F.col("c").alias("home"))
-            fine = move_nodes(level_arcs, alone, total, resolution, tolerance)
-        else:
-            fine = moved.withColumn("home", F.col("c"))
+        fine = refine(level_arcs, moved, total, resolution, level) if refined else moved.withColumn("home", F.col("c"))
         names = fine.groupBy("c").agg(F.min("id").alias("name"))
         fine = stored(fine.join(names, "c").select("id", F.col("name").alias("c"), "home"))
         if fine.select("c").distinct().count() == here:
             return labels
         members = stored(members.join(fine.select(F.col("id").alias("node"), "c"), "node").select("id", F.col("c").alias("node")))
-        level_arcs = stored(contract(level_arcs, fine))
+        level_arcs, level = stored(contract(level_arcs, fine)), level + 1
         # The next level starts from the coarse communities, each named by one of its parts.
         homes = fine.groupBy("home").agg(F.min("c").alias("lead"))
-        parts = stored(fine.select(F.col("c").alias("id"), "home").distinct().join(homes, "home").select("id", F.col("lead").alias("c"))) if refine else None
+        parts = stored(fine.select(F.col("c").alias("id"), "home").distinct().join(homes, "home").select("id", F.col("lead").alias("c"))) if refined else None
 
 
 def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, tolerance: float = 1e-5) -> DataFrame:
@@ -126,7 +262,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, toleran
 
     Nodes move to the neighbouring community of most gain in modularity, communities become the
     nodes of the next level, until nothing merges. A level's moves end when modularity grows by
-    less than `tolerance` in a pair of rounds.
+    less than `tolerance` in a pair of turns.
     """
     return by_size(communities(edges, nodes, resolution, False, tolerance))
 
@@ -134,8 +270,9 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, toleran
 def leiden(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, weighted: bool = False, tolerance: float = 1e-5) -> DataFrame:
     """(cell, community): Leiden communities, by default of the edges without their weights; every community is connected.
 
-    After the moves each community is refined: its nodes start alone and merge only within it.
-    The refined parts are the next level's nodes, which start in the communities found before.
+    After the moves each community is refined: its nodes start alone and merge at random within it,
+    where both node and part are well connected to the community. The refined parts are the next
+    level's nodes, which start in the communities found before.
     """
     plain = edges if weighted else edges.select("src", "dst", F.lit(1.0).alias("weight"))
     found = communities(plain, nodes, resolution, True, tolerance)

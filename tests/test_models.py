@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -127,8 +130,75 @@ def test_layouts_keep_blobs_apart(blobs):
     assert abs(a - 1.577) < 0.05 and abs(b - 0.895) < 0.02
 
 
-@pytest.mark.parametrize("method", [community.louvain, community.leiden])
-def test_communities_of_a_ring_of_cliques(spark, method):
+def block_of(edges, labels):
+    """A block of all nodes, of (src, dst, weight) given in both directions."""
+    k = Counter()
+    for s, _, w in edges:
+        k[s] += w
+    size = Counter()
+    for i, c in labels.items():
+        size[c] += k[i]
+    rows = [(0, community.NODE, i, c, 0, float(k[i]), float(size[c])) for i, c in labels.items()] + [(0, community.ARC, s, d, labels[d], float(w), float(size[labels[d]])) for s, d, w in edges if s != d]
+    names = ["block", "kind", "a", "b", "c", "p", "q"]
+    return community.Block(pa.table({n: [r[j] for r in rows] for j, n in enumerate(names)})), sum(w for _, _, w in edges)
+
+
+def test_moves_end_where_no_node_gains():
+    r = np.random.default_rng(5)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in r.integers(0, 60, (200, 2)) if a != b}
+    edges = [(x, y, 1.0 + (a + b) % 3) for a, b in pairs for x, y in ((a, b), (b, a))]
+    nodes = sorted({e[0] for e in edges})
+    block, total = block_of(edges, {i: i for i in nodes})
+    found = dict(zip(block.ids.tolist(), community.best_moves(block, total, 1.0), strict=True))
+
+    def modularity(of):
+        k = Counter()
+        for s, _, w in edges:
+            k[of[s]] += w
+        return sum(w for s, d, w in edges if of[s] == of[d]) / total - sum(x * x for x in k.values()) / total**2
+
+    reached = modularity(found)
+    assert reached > 0.2
+    for i in nodes:
+        assert all(modularity(found | {i: c}) <= reached + 1e-9 for c in set(found.values()))
+
+
+def test_refined_parts_are_well_connected():
+    r = np.random.default_rng(6)
+    edges = {}
+    for a, b in r.integers(0, 80, (500, 2)):
+        if a // 40 == b // 40 and a != b:
+            edges[min(a, b), max(a, b)] = 1.0
+    edges |= {(0, 41): 1.0}
+    arcs = [(int(x), int(y), w) for (a, b), w in edges.items() for x, y in ((a, b), (b, a))]
+    nodes = sorted({a for a, _, _ in arcs})
+    labels = {i: i // 40 for i in nodes}
+    block, total = block_of([a for a in arcs if labels[a[0]] == labels[a[1]]], labels)
+    inside = np.array([sum(block.weight[b:e]) for b, e in zip(block.begin, block.end, strict=True)])
+    whole = np.array([sum(block.k[block.of == c]) for c in block.of])
+    of = community.well_merged(block, inside, whole, total, 1.0, 3)
+    parts = {}
+    for i, p in enumerate(of):
+        parts.setdefault(p, []).append(i)
+    assert 2 <= len(parts) < len(nodes)
+    for p, members in parts.items():
+        ids = {int(block.ids[i]) for i in members}
+        assert len({labels[i] for i in ids}) == 1
+        size, home = sum(block.k[i] for i in members), whole[members[0]]
+        out = sum(w for a, b, w in arcs if a in ids and b not in ids and labels[a] == labels[b])
+        assert len(members) == 1 or out >= size * (home - size) / total - 1e-9 or size == home
+        seen, todo = set(), [next(iter(ids))]
+        while todo:
+            i = todo.pop()
+            if i not in seen:
+                seen.add(i)
+                todo += [b for a, b, _ in arcs if a == i and b in ids]
+        assert seen == ids
+
+
+@pytest.mark.parametrize("method, block", [(community.louvain, 8192), (community.leiden, 8192), (community.louvain, 25), (community.leiden, 25)])
+def test_communities_of_a_ring_of_cliques(spark, monkeypatch, method, block):
+    monkeypatch.setattr(community, "BLOCK", block)
     size, cliques = 5, 12
     edges = [(c * size + a, c * size + b, 1.0) for c in range(cliques) for a in range(size) for b in range(a + 1, size)]
     edges += [(min(x, y), max(x, y), 1.0) for c in range(cliques) for x, y in [(c * size, (c + 1) % cliques * size + 1)]]
