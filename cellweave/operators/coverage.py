@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -75,6 +76,73 @@ def untile(tile_rows: DataFrame, pad: int = 0, value: str = "values") -> DataFra
     return rows.select("cluster", F.flatten(F.transform("r", lambda x: x["m"])).alias("track"))
 
 
+def keyed_tiles(dense: DataFrame, start: int, end: int, interval: int, pad: int = 0) -> DataFrame:
+    """`tiles` of dense rows (cluster, pos, depth) without a cluster's whole track: each position is dealt to the tiles that hold it.
+
+    A tile is a group of interval + 2 pad rows, its neighbours' edges copied; what is left at the end is dropped.
+    """
+    n, offset = (end - start - 2 * pad) // interval, F.col("pos") - start
+    first = F.greatest(F.lit(0), F.floor((offset - (interval + 2 * pad)) / interval) + 1)
+    last = F.least(F.lit(n - 1), F.floor(offset / interval))
+    dealt = dense.where(offset.between(0, n * interval + 2 * pad - 1) & (first <= last)).select("cluster", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("tile"), "pos", F.col("depth").cast("double").alias("d"))
+    rows = dealt.groupBy("cluster", "tile").agg(F.sort_array(F.collect_list(F.struct("pos", "d"))).alias("r"))
+    return rows.select("cluster", "tile", F.col("r.d").alias("values"))
+
+
+def tile_positions(tile_rows: DataFrame, start: int, interval: int, pad: int, *values: str) -> DataFrame:
+    """(cluster, pos, ...): the middles of tiles of several kinds of values, a row a position."""
+    middle = F.arrays_zip(*(F.slice(v, pad + 1, interval).alias(v) for v in values))
+    rows = tile_rows.select("cluster", "tile", F.posexplode(middle).alias("k", "z"))
+    return rows.select("cluster", (F.col("tile") * interval + F.col("k") + (start + pad)).cast("int").alias("pos"), *(F.col("z")[v].alias(v) for v in values))
+
+
+@dataclass(frozen=True)
+class Layer:
+    """A one-dimensional convolution: weights (outputs, inputs, width), a bias an output, dilated; with a residual and a cut at zero if wanted."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    dilation: int = 1
+    residual: bool = False
+    positive: bool = True
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        width, out = self.weights.shape[2], np.zeros((len(x), len(self.bias), x.shape[2])) + self.bias[:, None]
+        for k in range(width):
+            shift = (k - width // 2) * self.dilation
+            if abs(shift) < x.shape[2]:
+                to, of = slice(max(0, -shift), x.shape[2] - max(0, shift)), slice(max(0, shift), x.shape[2] + min(0, shift))
+                out[:, :, to] += np.einsum("oi,bil->bol", self.weights[:, :, k], x[:, :, of])
+        out = np.maximum(out, 0) if self.positive else out
+        return out + x if self.residual else out
+
+
+LAYERS = "layer int, outputs int, inputs int, width int, dilation int, residual boolean, positive boolean, weights array<double>, bias array<double>"
+
+
+def write_network(spark: SparkSession, layers: list[Layer], path: str) -> None:
+    rows = [(k, *x.weights.shape, x.dilation, x.residual, x.positive, x.weights.ravel().tolist(), x.bias.tolist()) for k, x in enumerate(layers)]
+    spark.createDataFrame(rows, LAYERS).coalesce(1).write.parquet(path)
+
+
+def read_network(spark: SparkSession, path: str) -> list[Layer]:
+    """A network's layers in order, from a table of LAYERS; its weights go to the driver and from there to the tasks."""
+    rows = spark.read.schema(LAYERS).parquet(path).orderBy("layer").collect()
+    return [Layer(np.array(r["weights"]).reshape(r["outputs"], r["inputs"], r["width"]), np.array(r["bias"]), r["dilation"], r["residual"], r["positive"]) for r in rows]
+
+
+def network_model(layers: list[Layer]) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A model of convolutions, whose last layer has two outputs: the signal, and what a peak's chance is the logistic function of."""
+
+    def predict(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = values[:, None, :]
+        for layer in layers:
+            x = layer(x)
+        return x[:, 0], 1 / (1 + np.exp(-np.clip(x[:, 1], -30, 30)))
+
+    return predict
+
+
 def identity_model(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The signal itself, and 1 where there is any."""
     return values, (values > 0).astype(float)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.ordered import row_numbers
@@ -76,9 +76,17 @@ def reindex(df: DataFrame, key: str, name: str = "position") -> DataFrame:
 
 
 def unique_names(genes: DataFrame) -> DataFrame:
-    """Names with a suffix -1, -2, ... from their second occurrence on, in the order of the gene ids."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy("gene")) - 1
-    return genes.withColumn("name", F.when(n > 0, F.concat_ws("-", "name", n.cast("string"))).otherwise(F.col("name")))
+    """Names with a suffix -1, -2, ... from their second occurrence on, in the order of the gene ids.
+
+    A suffix that would give a name that is there already is passed over. Null names stay.
+    """
+    counted = row_numbers(genes.where("name is not null"), ["gene"], "_again", ("name",))
+    parts = [F.regexp_extract("name", "^(.*)-([1-9][0-9]{0,17})$", k) for k in (1, 2)]
+    taken = genes.select(parts[0].alias("_base"), parts[1].try_cast("long").alias("_suffix")).where("_suffix is not null").groupBy("_base").agg(F.array_sort(F.collect_set("_suffix")).alias("_taken"))
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<bigint>")), F.col("_again"), lambda x, t: F.when(t <= x, x + 1).otherwise(x))
+    name = F.when(F.col("_again") > 0, F.concat_ws("-", "name", free.cast("string"))).otherwise(F.col("name")).alias("name")
+    named = counted.join(taken, F.col("name") == F.col("_base"), "left").select(*(name if c == "name" else c for c in genes.columns))
+    return named.union(genes.where("name is null"))
 
 
 def with_prefix(genes: DataFrame, prefix: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import log2_or_zero, peak_parts
+from cellweave.functions.lineage import cut
 from cellweave.functions.ordered import row_numbers, running_sum
 
 
@@ -51,23 +53,62 @@ def padded(start: Column, end: Column, strand: Column, upstream: int, downstream
     return start - before, end + after
 
 
-def overlap_join(genes: DataFrame, fragments: DataFrame, upstream: int = 10_000, downstream: int = 0, width: int = 10_000) -> DataFrame:
+def level_of(length: Column, width: int) -> Column:
+    """The least level whose bins, `width` long and four times as long on each next level, are as long as an interval."""
+    return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(1)).cast("double") / width) / math.log(4))).cast("int")
+
+
+def binned(df: DataFrame, chrom: str, low: str, high: str, width: int, levels: int) -> DataFrame:
+    """`df` with _own, an interval's level, and a row for each bin (_level, _bin) it touches on this level and those above, two a level at most."""
+    size = lambda level: F.lit(width) * F.pow(F.lit(4), level).cast("long")
+    rows = df.where(F.col(chrom).isNotNull() & (F.col(low) <= F.col(high))).withColumn("_own", level_of(F.col(high) - F.col(low), width))
+    rows = rows.withColumn("_level", F.explode(F.sequence("_own", F.lit(levels))))
+    at = lambda c: F.floor(F.col(c) / size(F.col("_level"))).cast("long")
+    return rows.withColumn("_bin", F.explode(F.sequence(at(low), at(high))))
+
+
+def split_bins(many: DataFrame, few: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with _part: the first one's rows of a bin with more than `most` are dealt to parts, which all get the second one's.
+
+    A row in `most` is a heavy bin at best, so these are few; they are broadcast while they are.
+    """
+    heavy = cut(many.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1"))
+    side = F.broadcast(heavy) if heavy.count() <= 100_000 else heavy
+    one = lambda df: df.join(side, keys, "left").na.fill(1, ["_parts"])
+    dealt = one(many).withColumn("_part", F.pmod(F.xxhash64(*many.columns), F.col("_parts")).cast("int"))
+    return dealt.drop("_parts"), one(few).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+
+def overlap_join(genes: DataFrame, fragments: DataFrame, upstream: int = 10_000, downstream: int = 0, width: int = 10_000, most: int = 100_000) -> DataFrame:
     """Pairs of genes (gene, chrom, start, end, strand) and fragments (chrom, start, end, ...) that touch, bounds included.
 
-    Both sides are dealt to bins of `width` along the chromosome and joined by (chrom, bin), so
-    that neither side need fit a task and no pair of chromosomes is compared whole; a pair that
-    shares several bins is taken in the first. Fragment columns keep their names, genes' become
-    gene, gene_chrom, gene_start, gene_end and strand.
+    Either side may be large. Chromosomes are cut into bins of several lengths, `width` and its
+    products with powers of four. An interval belongs to the level whose bins are as long as it is,
+    and is dealt to the bins it touches there and on the levels above: two a level, however long
+    it is. A pair meets on the longer one's level, in the first bin that both touch. Bins with more
+    than `most` fragments are split. Fragment columns keep their names, genes' become gene,
+    gene_chrom, gene_start, gene_end and strand.
     """
     low, high = padded(F.col("start"), F.col("end"), F.col("strand"), upstream, downstream)
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
     g = genes.where("start <= end").select("gene", F.col("chrom").alias("gene_chrom"), F.col("start").alias("gene_start"), F.col("end").alias("gene_end"), "strand", low.alias("_low"), high.alias("_high"))
-    g = g.withColumn("_gbin", bins(F.col("_low"), F.col("_high")))
-    f = fragments.where("start <= end").withColumn("_fbin", bins(F.col("start"), F.col("end")))
-    met = (F.col("chrom") == F.col("gene_chrom")) & (F.col("_fbin") == F.col("_gbin"))
+    longest = max(g.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] or 0, fragments.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0)
+    levels = max(0, math.ceil(math.log(max(longest, 1) / width, 4))) + 1
+    g = binned(g, "gene_chrom", "_low", "_high", width, levels).withColumn("_gchrom", F.col("gene_chrom"))
+    f = binned(fragments, "chrom", "start", "end", width, levels).withColumn("_gchrom", F.col("chrom")).withColumnRenamed("_own", "_fown")
+    keys = ["_gchrom", "_level", "_bin"]
+    f, g = split_bins(f, g, keys, most)
+    here = (F.col("_own") == F.col("_level")) | (F.col("_fown") == F.col("_level"))
     touch = (F.col("start") <= F.col("_high")) & (F.col("end") >= F.col("_low"))
-    first = F.col("_fbin") == F.floor(F.greatest("start", "_low") / width)
-    return f.join(g, met & touch & first).drop("_low", "_high", "_gbin", "_fbin")
+    size = F.lit(width) * F.pow(F.lit(4), F.col("_level")).cast("long")
+    first = F.col("_bin") == F.floor(F.greatest("start", "_low") / size)
+    return f.join(g, [*keys, "_part"]).where(here & touch & first).select(*fragments.columns, "gene", "gene_chrom", "gene_start", "gene_end", "strand")
+
+
+def peak_cell_counts(peaks: DataFrame, fragments: DataFrame, width: int = 10_000) -> DataFrame:
+    """(peak, cell, v): how many of a cell's fragments touch a peak, from peaks (peak, chrom, start, end) and fragments (chrom, start, end, cell)."""
+    places = peaks.select(F.col("peak").alias("gene"), "chrom", "start", "end", F.lit("fwd").alias("strand"))
+    pairs = overlap_join(places, fragments.select("chrom", "start", "end", "cell"), 0, 0, width)
+    return pairs.groupBy(F.col("gene").alias("peak"), "cell").agg(F.count("*").cast("double").alias("v"))
 
 
 def parse_peaks(peaks: DataFrame) -> DataFrame:

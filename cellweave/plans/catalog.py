@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -321,6 +322,26 @@ def denoise_average(spark, sf_dir):
     return rounded(coverage.untile(found, value="signal").select("cluster", F.posexplode("track").alias("k", "signal")), 6, "signal")
 
 
+@query
+def peak_counts(spark, sf_dir):
+    """All peaks against all fragments: of how many cells, and how many fragments of theirs, each peak is touched."""
+    peaks = intervals.parse_peaks(peaks_view(spark, sf_dir)).select("peak", "chrom", "start", "end")
+    matrix = intervals.peak_cell_counts(peaks, fragments_view(spark, sf_dir), width=64)
+    return matrix.groupBy("peak").agg(F.count("*").alias("cells"), F.sum("v").cast("long").alias("fragments"))
+
+
+@query
+def denoise_network(spark, sf_dir):
+    """A network read from a table, over tiles of 50 bases with 12 more on each side: two averages of five, the second of each fifth base."""
+    five, path = np.ones((1, 1, 5)) / 5, new_path(spark)
+    out = coverage.Layer(np.array([[[1.0]], [[8.0]]]), np.array([0.0, -4.0]), positive=False)
+    coverage.write_network(spark, [coverage.Layer(five, np.zeros(1)), coverage.Layer(five, np.zeros(1), dilation=5), out], path)
+    model = coverage.network_model(coverage.read_network(spark, path))
+    dense = coverage.dense_coverage(coverage.coverage_sweep(clustered_region(spark, sf_dir), *REGION[1:]), dataset(spark, sf_dir).cells, *REGION[1:])
+    found = coverage.denoise(coverage.keyed_tiles(dense, *REGION[1:], 50, 12), model)
+    return rounded(coverage.tile_positions(found, REGION[1], 50, 12, "signal", "peak"), 6, "signal", "peak")
+
+
 @query
 def pca_rotation(spark, sf_dir):
     """All components turn the centred vectors and leave their lengths: the sums of squares of each cell's scores."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.lineage import cut
 from cellweave.model import Dataset
-from cellweave.operators import community, filters, graph, intervals, layout, normalize, reduce, variable
+from cellweave.operators import community, descent, filters, graph, intervals, layout, normalize, reduce, variable
 
 
 def preprocess(data: Dataset, markers: list[str], min_genes: int = 200, max_genes: int = 6000, min_cells: int = 1, target_sum: float = 1e4, n_top: int | None = None, gene_rule: str = "entries") -> Dataset:
@@ -43,7 +43,7 @@ def regress_and_scale(data: Dataset, prefix: str, max_value: float = 10.0, zscor
 def cluster(vectors: DataFrame, n_neighbors: int = 15, n_pcs: int = 50, resolution: float = 1.0, umap_epochs: int = 0, min_dist: float = 0.3, spread: float = 1.0) -> dict[str, DataFrame]:
     """Components, neighbour graph, Louvain and Leiden communities, and a layout if epochs are given, of (cell, vec)."""
     scores = cut(reduce.pca(vectors, n_pcs))
-    edges = cut(graph.connectivities(graph.knn(scores, n_neighbors)))
+    edges = cut(graph.connectivities(descent.knn_descent(scores, n_neighbors)))
     nodes = scores.select("cell")
     out = {"pca": scores, "graph": edges, "louvain": community.louvain(edges, nodes, resolution), "leiden": community.leiden(edges, nodes, resolution)}
     if umap_epochs:

@@ -72,7 +72,12 @@ ORACLES = {
     "first_n_cells": sql("counts", "SELECT * FROM counts WHERE cell < 100"),
     "select_barcodes": sql("counts cells", "SELECT counts.* FROM counts JOIN cells USING (cell) WHERE barcode IN ('Customer#000000003', 'Customer#000000007', 'nobody')"),
     "reindex_genes": sql("counts deg fit_cells f1", "SELECT gene, (row_number() OVER (ORDER BY gene) - 1)::BIGINT AS position FROM (SELECT DISTINCT gene FROM f1)"),
-    "unique_names": sql("genes", "SELECT gene, CASE WHEN r > 1 THEN name || '-' || (r - 1) ELSE name END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY gene) AS r FROM genes)"),
+    "unique_names": sql(
+        "genes",
+        """, t AS (SELECT regexp_extract(name, '^(.*)-([1-9][0-9]*)$', 1) AS base, list(DISTINCT regexp_extract(name, '^(.*)-([1-9][0-9]*)$', 2)::BIGINT ORDER BY 1) AS taken FROM genes WHERE regexp_matches(name, '-[1-9][0-9]*$') GROUP BY 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY gene) - 1 AS r FROM genes)
+        SELECT gene, CASE WHEN r > 0 THEN name || '-' || list_reduce(list_prepend(r, coalesce(taken, [])), lambda x, t: CASE WHEN t <= x THEN x + 1 ELSE x END) ELSE name END AS name FROM r LEFT JOIN t ON name = base""",
+    ),
     "normalize_total": sql("counts", "SELECT cell, gene, round(v * 10000::DOUBLE / sum(v) OVER (PARTITION BY cell), 6) AS v FROM counts"),
     "log_normalize": sql("counts", "SELECT cell, gene, round(ln(1 + v * 10000::DOUBLE / sum(v) OVER (PARTITION BY cell)), 6) AS v FROM counts"),
     "marker_expression": sql(
@@ -108,6 +113,12 @@ ORACLES = {
     "denoise_identity": sql("fragments cells region clustered cut depths grid dense", "SELECT cluster, (pos - 1100)::INTEGER AS k, depth::DOUBLE AS signal FROM dense WHERE pos < 1450"),
     "call_peaks": sql("fragments cells region clustered cut depths grid dense", "SELECT cluster, pos::INTEGER AS pos, 1.0::DOUBLE AS chance FROM dense WHERE pos < 1450 AND depth > 0"),
     "denoise_average": sql("fragments cells region clustered cut depths grid dense", """SELECT cluster, (pos - 1100)::INTEGER AS k, round(sum(depth) OVER (PARTITION BY cluster ORDER BY pos ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) / 51.0::DOUBLE, 6) AS signal FROM dense WHERE pos < 1450"""),
+    "peak_counts": sql("fragments peaks", """SELECT peak, count(DISTINCT cell) AS cells, count(*) AS fragments FROM peaks p JOIN fragments f ON p.chrom = f.chrom AND f."start" <= p."end" AND f."end" >= p."start" GROUP BY 1"""),
+    "denoise_network": sql(
+        "fragments cells region clustered cut depths grid dense",
+        """, s AS (SELECT cluster, pos, sum(depth) OVER (PARTITION BY cluster ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25.0::DOUBLE AS s FROM dense)
+        SELECT cluster, pos, round(s, 6) AS signal, round(1 / (1 + exp(-least(30, greatest(-30, 8 * s - 4)))), 6) AS peak FROM s WHERE pos >= 1112 AND pos < 1412""",
+    ),
     "connectivities": sql(
         "emb",
         """, near AS MATERIALIZED (SELECT src, list(dst ORDER BY dist, dst) AS dsts, list(dist ORDER BY dist, dst) AS ds FROM (@NEAR) WHERE rank <= 15 GROUP BY 1),

@@ -73,16 +73,19 @@ class Session:
 
     def selection(self) -> DataFrame:
         if self.selected_points:
-            return self.frame.where(F.col("point_index").isin(self.selected_points))
+            points = self.frame.sparkSession.createDataFrame([(p,) for p in self.selected_points], "point_index long")
+            return self.frame.join(points, "point_index", "left_semi").select(self.frame.columns)
         if self.selected_labels:
             return self.frame.where(F.col("labels").isin(self.selected_labels))
         return self.frame
 
     def rerun(self) -> DataFrame:
-        """Cluster the selection anew; it becomes the frame in view, with new places and labels."""
+        """Cluster the selection anew; it becomes the frame in view, with new places and labels, the markers' copies of these included."""
         chosen = self.selection()
         found = self.recluster(chosen).select("point_index", "x", "y", "labels")
-        self.frame = chosen.drop("x", "y", "labels").join(found, "point_index").select(self.base.columns)
+        copies = [c for c in self.base.columns if c.endswith("_labels") and c.removesuffix("_labels") in self.base.columns]
+        rest = chosen.drop("x", "y", "labels", *copies).join(found, "point_index")
+        self.frame = rest.withColumns({c: F.col("labels") for c in copies}).select(self.base.columns)
         self.selected_labels, self.selected_points = [], []
         return self.frame
 

@@ -31,6 +31,60 @@ def test_overlap_join(spark, width):
     assert ("g", 0) in got and ("g", 1) not in got and ("g", 2) not in got and ("h", 3) in got and ("h", 4) not in got and ("g", 5) in got
 
 
+def test_overlap_join_of_all_lengths(spark):
+    """Both sides large, intervals from one base to all of a chromosome, and bins that are split."""
+    r = random.Random(9)
+    span = lambda: (s := r.randrange(5000), s + r.choice([0, 3, 30, 300, 3000, 20_000]))
+    genes = [(f"g{i}", r.choice("ab"), *span(), "fwd") for i in range(120)]
+    fragments = [(r.choice("abc"), *span(), i) for i in range(400)] + [("a", 100, 105, 1000 + i % 3) for i in range(90)] + [(None, 1, 2, 7), ("a", 9, 8, 7), ("a", None, 8, 7)]
+    g, f = spark.createDataFrame(genes, GENE), spark.createDataFrame(fragments, FRAGMENT)
+    want = sorted((x[0], y[3]) for x in genes for y in fragments if y[1] is not None and y[1] <= y[2] and plain_overlap(x, y, 0, 0))
+    for width, most in ((16, 10), (1000, 50), (16, 10**6)):
+        got = intervals.overlap_join(g, f, 0, 0, width, most)
+        assert sorted((x.gene, x.cell) for x in got.collect()) == want
+    assert got.columns == [*f.columns, "gene", "gene_chrom", "gene_start", "gene_end", "strand"]
+    rows = intervals.binned(f.withColumn("own", f.cell), "chrom", "start", "end", 16, 6).groupBy("cell", "start", "end", "_level").count()
+    assert rows.where("cell < 400").agg({"count": "max"}).first()[0] <= 2
+    peaks = spark.createDataFrame([(i, *x[1:4]) for i, x in enumerate(genes)], "peak long, chrom string, start int, end int")
+    matrix = {(x.peak, x.cell): x.v for x in intervals.peak_cell_counts(peaks, f, 16).collect()}
+    assert sum(matrix.values()) == len(want) and intervals.peak_cell_counts(peaks, f.where("false"), 16).count() == 0
+
+
+def test_keyed_tiles_and_a_network(spark, tmp_path):
+    r = np.random.default_rng(1)
+    df = spark.createDataFrame([(c, 20 + k, int(v)) for c in "ab" for k, v in enumerate(r.integers(0, 9, 70))], "cluster string, pos int, depth long").repartition(3)
+    tracks = coverage.tracks(df)
+    for interval, pad in ((7, 0), (10, 5), (60, 5), (80, 0)):
+        got = {(x.cluster, x.tile): x["values"] for x in coverage.keyed_tiles(df, 20, 90, interval, pad).collect()}
+        assert got == {(x.cluster, x.tile): x["values"] for x in coverage.tiles(tracks, interval, pad).collect()}
+    rows = {(x.cluster, x.pos): x["values"] for x in coverage.tile_positions(coverage.keyed_tiles(df, 20, 90, 10, 5), 20, 10, 5, "values").collect()}
+    assert rows == {(x.cluster, x.pos): x.depth for x in df.where("pos >= 25 and pos < 85").collect()}
+    layers = [
+        coverage.Layer(r.normal(size=(3, 1, 5)), r.normal(size=3), dilation=2),
+        coverage.Layer(r.normal(size=(3, 3, 3)), r.normal(size=3), dilation=4, residual=True),
+        coverage.Layer(r.normal(size=(2, 3, 1)), r.normal(size=2), positive=False),
+    ]
+    coverage.write_network(spark, layers, f"{tmp_path}/net")
+    model = coverage.network_model(coverage.read_network(spark, f"{tmp_path}/net"))
+    full = {x.cluster: np.array(x.track) for x in tracks.collect()}
+
+    def plain(x):
+        """The network one number at a time."""
+        x = [list(x)]
+        for layer in layers:
+            y = [[layer.bias[o] + sum(layer.weights[o, i, k] * x[i][t + (k - layer.weights.shape[2] // 2) * layer.dilation] for i in range(len(x)) for k in range(layer.weights.shape[2]) if 0 <= t + (k - layer.weights.shape[2] // 2) * layer.dilation < len(x[0])) for t in range(len(x[0]))] for o in range(len(layer.bias))]
+            y = [[max(0.0, v) for v in row] for row in y] if layer.positive else y
+            x = [[a + b for a, b in zip(p, q, strict=True)] for p, q in zip(x, y, strict=True)] if layer.residual else y
+        return x
+
+    # The network sees four and four places to each side: a pad of eight makes tiles exact.
+    found = coverage.tile_positions(coverage.denoise(coverage.keyed_tiles(df, 20, 90, 9, 8), model), 20, 9, 8, "signal", "peak").collect()
+    assert len(found) == 2 * 54
+    want = {c: plain(x) for c, x in full.items()}
+    for x in found:
+        assert abs(x.signal - want[x.cluster][0][x.pos - 20]) < 1e-9 and abs(x.peak - 1 / (1 + np.exp(-np.clip(want[x.cluster][1][x.pos - 20], -30, 30)))) < 1e-9
+
+
 def test_regions_and_fragment_tables(spark):
     rows = spark.createDataFrame([("c", 5, 9, 2), ("c", 3, 12, 1), ("c", 9, 9, 3), ("d", 1, 2, 1)], FRAGMENT)
     assert intervals.parse_region("chr1:1,001-2,000") == ("chr1", 1000, 2000)

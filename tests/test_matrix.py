@@ -40,6 +40,8 @@ def test_filters(hand):
     assert ids(filters.kept_genes(hand.counts, 3, "sum_strict"), "gene") == [2, 4]
     assert ids(filters.select_barcodes(hand, ["b2", "none"]).counts, "cell") == [2]
     assert [r["name"] for r in filters.unique_names(hand.genes).orderBy("gene").collect()] == ["red a", "b", "b-1", "red a-1"]
+    clash = hand.genes.sparkSession.createDataFrame(enumerate(["A", "A", "A-1", "A-3", "A", "A", "A-1", None, None, "A-01"]), "gene long, name string")
+    assert [r["name"] for r in filters.unique_names(clash).orderBy("gene").collect()] == ["A", "A-2", "A-1", "A-3", "A-4", "A-5", "A-1-1", None, None, "A-01"]
     assert [(r.gene, r.position) for r in filters.reindex(hand.genes.where("gene <> 2"), "gene").orderBy("gene").collect()] == [(1, 0), (3, 1), (4, 2)]
     assert table(filters.first_cells(hand.counts, 2)) == {(1, 1): 2, (1, 4): 6}
     dense = filters.densify(hand.counts, hand.cells, hand.genes)

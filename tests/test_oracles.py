@@ -10,7 +10,8 @@ from cellweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SLOW = {"louvain", "leiden", "umap", "tsne", "recluster_subset"}
+#: tsne_quality runs the same layout.
+SLOW = {"tsne"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 

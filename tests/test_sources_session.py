@@ -95,7 +95,7 @@ def test_session(spark):
     assert s.click(1) == [1] and s.click(2) == [1, 2] and s.click(1) == [2]
     assert {r.point_index for r in s.selection().collect()} == {2, 5}
     assert s.lasso([3]) == [] and s.lasso([4, 3, 4]) == [3, 4]
-    assert {(r.x, r.labels) for r in s.rerun().collect()} == {(103.0, 7), (104.0, 7)} and seen == [2]
+    assert {(r.x, r.labels, r.EP_raw, r.EP_raw_labels) for r in s.rerun().collect()} == {(103.0, 7, 0.75, 7), (104.0, 7, 1.0, 7)} and seen == [2]
     assert s.export().columns == s.base.columns and s.reset().count() == 6 and s.selected_labels == []
 
 
