@@ -30,7 +30,12 @@ def normalised_dispersion(moments: DataFrame, n_cells: int, n_genes: int) -> Dat
 
 def highly_variable(counts: DataFrame, genes: DataFrame, n_cells: int, n_genes: int, n_top: int | None = None) -> DataFrame:
     """(gene, mean, dispersion, bin, norm, selected): the n_top most dispersed genes (a tenth of all by default), ties included."""
-    moments = genes.select("gene").join(gene_moments(counts, n_cells), "gene", "left").na.fill(0.0, ["mean", "mean_sq"])
+    return highly_variable_of(gene_moments(counts, n_cells), genes, n_cells, n_genes, n_top)
+
+
+def highly_variable_of(sums: DataFrame, genes: DataFrame, n_cells: int, n_genes: int, n_top: int | None = None) -> DataFrame:
+    """`highly_variable` from the genes' moments (gene, mean, mean_sq); a gene without any has zeros."""
+    moments = genes.select("gene").join(sums, "gene", "left").na.fill(0.0, ["mean", "mean_sq"])
     found = cut(normalised_dispersion(moments, n_cells, n_genes))
     n_top = max(1, n_top if n_top is not None else n_genes // 10)
     last = found.where("norm is not null").orderBy(F.desc("norm")).select("norm").limit(n_top).agg(F.min("norm")).first()[0]

@@ -18,6 +18,7 @@ from cellweave.plans import pipelines
 from cellweave.plans.sql import ORACLES
 from cellweave.sources import files
 from cellweave.sources.files import dense_to_long
+from cellweave.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -153,6 +154,15 @@ def hvg(spark, sf_dir):
     return found.select("gene", F.col("bin").cast("long").alias("bin"), F.round("norm", 4).alias("norm"), "selected")
 
 
+@query
+def hvg_batches(spark, sf_dir):
+    """`hvg` of entries that arrive in two batches, cells' entries in both."""
+    path = new_path(spark)
+    counts_view(spark, sf_dir).repartition(2, F.xxhash64("cell", "gene")).write.parquet(path)
+    found = batches.variable_genes(batches.preprocess_batches(spark, path, MIN_GENES, MAX_GENES, 1.0, TARGET))
+    return found.select("gene", F.col("bin").cast("long").alias("bin"), F.round("norm", 4).alias("norm"), "selected")
+
+
 @query
 def preprocess_matrix(spark, sf_dir):
     data = dataset(spark, sf_dir)
@@ -517,6 +527,22 @@ def leiden(spark, sf_dir):
     return community.leiden(edges, vectors)
 
 
+@query
+def leiden_quality(spark, sf_dir):
+    """Whether every community is connected, and no two of them would gain in modularity by merging."""
+    vectors, edges = embedding_graph(spark, sf_dir)
+    plain = cut(edges.select("src", "dst", F.lit(1.0).alias("weight")))
+    labels = cut(community.leiden(edges, vectors).select(F.col("cell").alias("id"), F.col("community").cast("long").alias("c")))
+    parts = community.split_disconnected(plain, labels).select("c").distinct().count()
+    arcs = cut(community.contract(community.both_ways(plain), labels))
+    total = arcs.agg(F.sum("weight")).first()[0]
+    degree = arcs.groupBy("src").agg(F.sum("weight").alias("k"))
+    between = arcs.where("src < dst").join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("k").alias("l")), "dst")
+    gain = between.agg(F.max(F.col("weight") - F.col("k") * F.col("l") / total)).first()[0] or 0.0
+    found = labels.agg(F.count("*").alias("cells"), F.countDistinct("c").alias("n"))
+    return found.select("cells", (F.col("n") == parts).alias("connected"), (F.lit(gain) <= 1e-6).alias("settled"), F.lit(community.modularity(plain, labels) > 0).alias("modular"))
+
+
 @query
 def umap(spark, sf_dir):
     vectors, edges = embedding_graph(spark, sf_dir)

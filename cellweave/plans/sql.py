@@ -88,6 +88,7 @@ ORACLES = {
     ),
     "gene_stats": sql("counts cells", "SELECT gene, sum(v) AS total, sum(v * v) AS squares, round(sum(v) / (SELECT count(*) FROM cells), 6) AS mean, round(sum(v * v) / (SELECT count(*) FROM cells), 6) AS mean_sq, count(*) FILTER (WHERE v > 0) AS entries FROM counts GROUP BY 1"),
     "hvg": sql(HVG, "SELECT gene, bin, round(norm, 4) AS norm, selected FROM picked"),
+    "hvg_batches": sql(HVG, "SELECT gene, bin, round(norm, 4) AS norm, selected FROM picked"),
     "preprocess_matrix": sql(HVG, "SELECT cell, gene, round(v, 6) AS v FROM norm WHERE gene IN (SELECT gene FROM picked WHERE selected)"),
     "qc_prefix_fraction": sql("counts cells genes cov", "SELECT cell, n_counts, round(percent, 6) AS percent FROM cov"),
     "regress_out": sql(REGRESS, "SELECT gene, round(b0, 5) AS b0, round(b1, 6) AS b1, round(b2, 5) AS b2, round(squares - b0 * y0 - b1 * y1 - b2 * y2, 4) AS rest FROM beta"),
@@ -154,6 +155,7 @@ ORACLES = {
         """, g AS (SELECT gene, sum(v) AS s, sum(v * v) AS q FROM counts GROUP BY 1), n AS (SELECT count(*) AS n FROM cells)
         SELECT any_value(n) AS cells, 20 AS components, round(sum(q - s * s / n), 2) AS squares, true AS apart, true AS lengths, true AS falling, true AS settled FROM g, n""",
     ),
+    "leiden_quality": sql("emb", "SELECT count(*) AS cells, true AS connected, true AS settled, true AS modular FROM emb"),
     "tsne_quality": sql("emb", "SELECT count(*) AS cells, true AS whole, true AS nearer, true AS repulsion FROM emb"),
     "pca_covariance": sql("emb", ", e AS (SELECT cell, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM emb) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM e a JOIN e b USING (cell) GROUP BY 1, 2"),
     "select_groups": sql("emb", "SELECT cluster AS \"group\", (row_number() OVER (ORDER BY cluster) - 1)::BIGINT AS ord FROM (SELECT DISTINCT cluster FROM emb)"),

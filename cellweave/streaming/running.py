@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def running_gene_sums(entries: DataFrame) -> DataFrame:
     """(gene, total, squares, entries) of a stream of matrix entries (cell, gene, v), for the complete or update mode.
 
@@ -18,5 +17,3 @@ def running_gene_sums(entries: DataFrame) -> DataFrame:
 def moments(sums: DataFrame, n_cells: int) -> DataFrame:
     """The moments that `gene_moments` gives for a whole table, from running sums."""
     return sums.withColumns({"mean": F.col("total") / n_cells, "mean_sq": F.col("squares") / n_cells})
-
-

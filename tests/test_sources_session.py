@@ -1,5 +1,6 @@
 import gzip
 import os
+from collections import Counter
 
 import pytest
 
@@ -8,6 +9,7 @@ from cellweave import session
 from cellweave.model import CELLS, COUNTS, GENES, Dataset
 from cellweave.operators.normalize import gene_moments, log1p, normalize_total
 from cellweave.sources import files, h5ad
+from cellweave.streaming.batches import preprocess_batches
 from cellweave.streaming.running import moments, running_gene_sums
 
 
@@ -109,6 +111,35 @@ def test_running_sums(spark, matrix, tmp_path):
     assert rows(moments(spark.table("sums"), 6).select(want.columns)) == rows(want)
 
 
+def test_batches_that_arrive(spark, tmp_path):
+    entries = [(c, g, float((c * 7 + g * 3) % 5 + 1)) for c in range(30) for g in range(20) if (c * g + c) % 4 != 1]
+    parts = [[e for k, e in enumerate(entries) if k % 3 == p] for p in range(3)]
+    write = lambda p: spark.createDataFrame(parts[p], COUNTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def check(rows):
+        got = preprocess_batches(spark, f"{tmp_path}/in", 3, 16, 20.0, 100.0, folder=f"{tmp_path}/kept")
+        degree, sums = Counter(c for c, _, _ in rows), Counter()
+        rows = [r for r in rows if 3 <= degree[r[0]] <= 16]
+        for _, g, v in rows:
+            sums[g] += v
+        rows = [r for r in rows if sums[r[1]] >= 20]
+        whole = spark.createDataFrame(rows, COUNTS)
+        want = gene_moments(log1p(normalize_total(whole, 100.0)), got.n_cells)
+        assert {r.cell for r in got.cells.collect()} == {c for c, _, _ in rows} and got.n_cells == len({c for c, _, _ in rows}) and got.n_genes == len({g for _, g, _ in rows})
+        by_gene = lambda df: {r.gene: [round(r[c], 9) for c in ("total", "squares", "entries", "mean", "mean_sq")] for r in df.collect()}
+        assert by_gene(got.moments) == by_gene(want) and by_gene(want)
+
+    write(0)
+    write(1)
+    check(parts[0] + parts[1])
+    write(2)
+    check(entries)
+    with open(f"{tmp_path}/kept/cells/state/commits/2"):
+        pass
+    (tmp_path / "none").mkdir()
+    assert preprocess_batches(spark, f"{tmp_path}/none", 1, 9).n_cells == 0
+
+
 def test_command_line(capsys, spark):
     assert cli.main(["list"]) == 0 and "hvg" in capsys.readouterr().out.split()
     with pytest.raises(SystemExit):
