@@ -151,8 +151,9 @@ def shards_of(prints: DataFrame, radius: int) -> DataFrame:
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (src, dst) that span the links between the fingerprints of `prints` (fp, node).
 
-    Each shard has its BK-tree, built and searched in the task that the shard is dealt to; a search
-    follows only the edges within the radius. Any radius below 8 is possible.
+    Each shard has its BK-tree, built and searched in the task that the shard is dealt to rather than
+    broadcast, as the trees of a corpus have no size bound; a search follows only the edges within
+    the radius. Any radius below 8 is possible.
     """
     if not 0 <= radius < 8:
         raise ValueError("the radius must be below 8 bits")
@@ -338,7 +339,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = 1_000_000) -> DataFrame:
     """Keep of each group of near copies the document with the smallest doc_id, and rows without a doc_id.
 
-    A row goes by its id and its text, so another text under the same id stays; equal rows of the
+    Fingerprints find few of the copies at a similarity of 0.8, so most candidates come from bands
+    of least hashes of the same shingles; see `near_copies`. A row goes by its id and its text, so another text under the same id stays; equal rows of the
     kept one stay with it. Up to `most` rows are broadcast, so that the texts need no shuffle; more
     are joined by a shuffle. Long texts are compared whole; all columns stay as they are, whatever
     their names. An empty table gives an empty result.
