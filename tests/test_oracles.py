@@ -10,8 +10,8 @@ from cellweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-#: tsne_quality runs the same layout.
-SLOW = {"tsne"}
+#: tsne_quality and leiden_quality run the same work.
+SLOW = {"tsne", "leiden"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
