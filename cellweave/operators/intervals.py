@@ -61,7 +61,7 @@ def level_of(length: Column, width: int) -> Column:
 def binned(df: DataFrame, chrom: str, low: str, high: str, width: int, levels: int) -> DataFrame:
     """`df` with _own, an interval's level, and a row for each bin (_level, _bin) it touches on this level and those above, two a level at most."""
     size = lambda level: F.lit(width) * F.pow(F.lit(4), level).cast("long")
-    rows = df.where(F.col(chrom).isNotNull() & (F.col(low) <= F.col(high))).withColumn("_own", level_of(F.col(high) - F.col(low), width))
+    rows = df.where(F.col(chrom).isNotNull() & (F.col(low) <= F.col(high))).withColumn("_own", F.least(level_of(F.col(high) - F.col(low), width), F.lit(levels)))
     rows = rows.withColumn("_level", F.explode(F.sequence("_own", F.lit(levels))))
     at = lambda c: F.floor(F.col(c) / size(F.col("_level"))).cast("long")
     return rows.withColumn("_bin", F.explode(F.sequence(at(low), at(high))))
@@ -92,7 +92,7 @@ def overlap_join(genes: DataFrame, fragments: DataFrame, upstream: int = 10_000,
     low, high = padded(F.col("start"), F.col("end"), F.col("strand"), upstream, downstream)
     g = genes.where("start <= end").select("gene", F.col("chrom").alias("gene_chrom"), F.col("start").alias("gene_start"), F.col("end").alias("gene_end"), "strand", low.alias("_low"), high.alias("_high"))
     longest = max(g.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] or 0, fragments.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0)
-    levels = max(0, math.ceil(math.log(max(longest, 1) / width, 4))) + 1
+    levels = max(0, math.ceil(math.log(max(longest, 1) / width, 4)))
     g = binned(g, "gene_chrom", "_low", "_high", width, levels).withColumn("_gchrom", F.col("gene_chrom"))
     f = binned(fragments, "chrom", "start", "end", width, levels).withColumn("_gchrom", F.col("chrom")).withColumnRenamed("_own", "_fown")
     keys = ["_gchrom", "_level", "_bin"]
