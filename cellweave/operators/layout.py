@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.lineage import Turns, stored
+from cellweave.operators.graph import by_length
 
 
 def curve(min_dist: float, spread: float) -> tuple[float, float]:
@@ -216,26 +217,20 @@ def umap(edges: DataFrame, start: DataFrame, epochs: int = 200, min_dist: float
 def affinities(neighbours: DataFrame, perplexity: float) -> DataFrame:
     """(src, dst, weight) with src < dst: t-SNE's joint chances from nearest neighbours (src, dst, dist), each cell's at the given perplexity."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            src, dst, weight = [], [], []
-            for cell, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                square = np.array([e["dist"] for e in edges]) ** 2
-                square, target = square - square.min(), np.log(min(perplexity, max(1.0, len(edges) * 0.9)))
-                lo, hi, beta = 0.0, np.inf, 1.0 / max(square.mean(), 1e-12)
-                for _ in range(64):
-                    p = np.exp(-square * beta)
-                    entropy = np.log(p.sum()) + beta * (square * p).sum() / p.sum()
-                    lo, hi = (beta, hi) if entropy > target else (lo, beta)
-                    beta = (lo + hi) / 2 if np.isfinite(hi) else beta * 2
-                p = np.exp(-square * beta)
-                src += [cell] * len(edges)
-                dst += [e["dst"] for e in edges]
-                weight += (p / p.sum()).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(weight, pa.float64())], ["src", "dst", "weight"])
+    def weights(d: np.ndarray) -> np.ndarray:
+        square = d**2
+        square, target = square - square.min(axis=1)[:, None], np.log(min(perplexity, max(1.0, d.shape[1] * 0.9)))
+        lo, hi, beta = np.zeros(len(d)), np.full(len(d), np.inf), 1.0 / np.maximum(square.mean(axis=1), 1e-12)
+        for _ in range(64):
+            p = np.exp(-square * beta[:, None])
+            flat = np.log(p.sum(axis=1)) + beta * (square * p).sum(axis=1) / p.sum(axis=1) > target
+            lo, hi = np.where(flat, beta, lo), np.where(flat, hi, beta)
+            beta = np.where(np.isfinite(hi), (lo + hi) / 2, beta * 2)
+        p = np.exp(-square * beta[:, None])
+        return p / p.sum(axis=1)[:, None]
 
     lists = neighbours.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst"))).alias("edges"))
-    one_way = lists.mapInArrow(weigh, "src long, dst long, weight double").where("src <> dst")
+    one_way = lists.mapInArrow(by_length(weights), "src long, dst long, weight double").where("src <> dst")
     both = one_way.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("weight").alias("weight"))
     n = max(1, neighbours.select("src").distinct().count())
     return both.select(F.col("u").alias("src"), F.col("v").alias("dst"), (F.col("weight") / (2 * n)).alias("weight"))
