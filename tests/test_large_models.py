@@ -43,6 +43,19 @@ def test_knn_descent_of_few_is_exact(spark):
     assert {tuple(x) for x in graph.knn_of(df.where("cell % 9 = 0"), df, 6, block=20).select(same).collect()} == {tuple(x) for x in graph.knn(df, 6).where("src % 9 = 0").select(same).collect()}
 
 
+def test_neighbours_of_vectors_without_clusters(spark):
+    """The hardest kind, of which descent loses more the more there are; all pairs are less work up to DENSE."""
+    x = np.random.default_rng(3).normal(size=(2600, 64))
+    got = descent.descend(vectors_of(spark, x), 15)
+    rows = got.graph.toPandas()
+    square = (x * x).sum(axis=1)
+    d = square[:, None] - 2 * x @ x.T + square
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i, near in enumerate(np.argsort(d, axis=1)[:, :15]) for j in near}
+    assert set(zip(rows.src, rows.dst, strict=True)) == want and len(rows) == len(want)
+    assert got.compared == 2600 * 2599 // 2 < descent.DENSE**2
+
+
 @pytest.mark.parametrize("cells, genes, k", [(120, 60, 5), (40, 90, 8), (12, 3, 10)])
 def test_components_of_stored_entries(spark, cells, genes, k):
     r = np.random.default_rng(cells)
