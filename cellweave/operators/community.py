@@ -32,7 +32,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
 
 
 #: Nodes, about, whose moves are worked out in one task.
-BLOCK = 8192
+BLOCK = 1 << 17
 ROWS = "block long, kind int, a long, b long, c long, p double, q double"
 NODE, ARC = 0, 1
 
