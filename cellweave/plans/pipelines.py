@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.lineage import cut
+from cellweave.functions.lineage import cut, stored
 from cellweave.model import Dataset
 from cellweave.operators import community, descent, filters, graph, intervals, layout, normalize, reduce, variable
 
@@ -14,10 +14,11 @@ def preprocess(data: Dataset, markers: list[str], min_genes: int = 200, max_gene
     """Filter cells and genes, normalise, take logarithms, keep markers' values, and choose the variable genes.
 
     `results` gets `markers` (a column for each) and `variable`; the counts are those of the
-    chosen genes.
+    chosen genes. The counts and those of the cells that fit are stored, as each is read several times.
     """
-    kept = filters.filter_genes(filters.filter_cells(data, min_genes, max_genes), min_cells, by=gene_rule)
-    logged = cut(normalize.log1p(normalize.normalize_total(kept.counts, target_sum)))
+    fit = filters.filter_cells(data.having(counts=stored(data.counts)), min_genes, max_genes)
+    kept = filters.filter_genes(fit.having(counts=stored(fit.counts)), min_cells, by=gene_rule)
+    logged = stored(normalize.log1p(normalize.normalize_total(kept.counts, target_sum)))
     cells, genes = cut(kept.cells), cut(kept.genes)
     n_cells, n_genes = cells.count(), genes.count()
     values = filters.marker_expression(logged, cells, filters.marker_ids(genes, markers)) if markers else cells.select("cell")

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.model import dataset
+from cellweave.model import Dataset, dataset
 from cellweave.plans import pipelines
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +16,19 @@ def test_counts_to_communities(spark):
     assert {k: v.count() for k, v in found.results.items() if k in ("markers", "pca", "louvain", "leiden", "kmeans")} == dict.fromkeys(["markers", "pca", "louvain", "leiden", "kmeans"], cells)
     assert found.results["variable"].where("selected").count() == found.genes.count()
     assert found.graph.where((F.col("weight") <= 0) | (F.col("weight") > 1) | (F.col("src") >= F.col("dst"))).count() == 0
+
+
+def test_preprocess_reads_the_entries_once(spark):
+    """Counts that cost work are not worked out again by each step."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    entries = spark.createDataFrame([(c, g, float(1 + c * g % 7)) for c in range(30) for g in range(c % 5, 40)], "cell long, gene long, v double")
+    data = Dataset(spark.range(30).selectExpr("id AS cell", "string(id) AS barcode"), spark.range(40).selectExpr("id AS gene", "string(id) AS name"), entries.mapInArrow(watched, entries.schema))
+    ready = pipelines.preprocess(data, ["3"], 20, 60, gene_rule="sum")
+    assert ready.counts.count() > 0 and ready.results["variable"].count() == 40
+    assert seen.value == entries.count()
