@@ -33,6 +33,8 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
 
 #: Nodes, about, whose moves are worked out in one task.
 BLOCK = 1 << 17
+#: Arcs of a level that one task takes to the end, if it has no more than BLOCK nodes; some 150 bytes an arc.
+ARCS = 1 << 22
 ROWS = "block long, kind int, a long, b long, c long, p double, q double"
 NODE, ARC = 0, 1
 
@@ -44,24 +46,24 @@ class Block:
         kind = table["kind"].to_numpy()
         column = lambda k, c: table[c].to_numpy()[kind == k]
         order = np.argsort(column(NODE, "a"))
-        self.ids, self.of, self.k, size = (column(NODE, c)[order] for c in "abpq")
+        self.ids, self.of, self.k, self.whole = (column(NODE, c)[order] for c in "abpq")
         src, dst = column(ARC, "a"), column(ARC, "b")
         by = np.lexsort((dst, src))
+        by = by[src[by] != dst[by]]
         there = np.minimum(np.searchsorted(self.ids, dst[by]), len(self.ids) - 1)
         self.own = np.where(self.ids[there] == dst[by], there, -1).tolist()
         self.begin = np.searchsorted(src[by], self.ids, "left").tolist()
         self.end = np.searchsorted(src[by], self.ids, "right").tolist()
         self.there, self.weight = column(ARC, "c")[by].tolist(), column(ARC, "p")[by].tolist()
-        self.sizes = dict(zip(self.there, column(ARC, "q")[by].tolist(), strict=True)) | dict(zip(self.of.tolist(), size.tolist(), strict=True))
+        self.sizes = dict(zip(self.there, column(ARC, "q")[by].tolist(), strict=True)) | dict(zip(self.of.tolist(), self.whole.tolist(), strict=True))
 
     def near(self, i: int, of: list[int]) -> dict[int, float]:
         """Weight of a node's arcs by the community of their other ends."""
         found: dict[int, float] = {}
-        for e in range(self.begin[i], self.end[i]):
-            j = self.own[e]
-            if j != i:
-                c = of[j] if j >= 0 else self.there[e]
-                found[c] = found.get(c, 0.0) + self.weight[e]
+        part = slice(self.begin[i], self.end[i])
+        for j, there, weight in zip(self.own[part], self.there[part], self.weight[part], strict=True):
+            c = of[j] if j >= 0 else there
+            found[c] = found.get(c, 0.0) + weight
         return found
 
 
@@ -76,17 +78,18 @@ def best_moves(block: Block, total: float, resolution: float) -> list[int]:
         i = queue.popleft()
         waits[i] = False
         near, own = block.near(i, of), of[i]
-        best, most = own, near.get(own, 0.0) - resolution * k[i] * (sizes[own] - k[i]) / total + 1e-9
-        for c in sorted(near):
-            gain = near[c] - resolution * k[i] * sizes[c] / total
-            if c != own and gain > most:
+        share = resolution * k[i] / total
+        best, most = own, near.pop(own, 0.0) - share * (sizes[own] - k[i]) + 1e-9
+        for c, weight in near.items():
+            gain = weight - share * sizes[c]
+            # Ties go to the smaller community.
+            if gain > most or gain == most and best != own and c < best:
                 best, most = c, gain
         if best != own:
             sizes[own] -= k[i]
             sizes[best] += k[i]
             of[i], moved = best, True
-            for e in range(block.begin[i], block.end[i]):
-                j = block.own[e]
+            for j in block.own[block.begin[i] : block.end[i]]:
                 if j >= 0 and not waits[j] and of[j] != best:
                     waits[j] = True
                     queue.append(j)
@@ -199,16 +202,69 @@ def refine(arcs: DataFrame, moved: DataFrame, total: float, resolution: float, s
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table)
-        kind = table["kind"].to_numpy()
-        order = np.argsort(table["a"].to_numpy()[kind == NODE])
-        whole = table["q"].to_numpy()[kind == NODE][order]
         inside = np.array([sum(block.weight[b:e]) for b, e in zip(block.begin, block.end, strict=True)])
-        of = well_merged(block, inside, whole, total, resolution, seed)
+        of = well_merged(block, inside, block.whole, total, resolution, seed)
         return pa.table({"id": block.ids, "c": block.ids[np.array(of)], "home": block.of})
 
     return block_rows(nodes, far).groupBy("block").applyInArrow(merge, "id long, c long, home long")
 
 
+def least_in(groups: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each place the least name of its group."""
+    _, at = np.unique(groups, return_inverse=True)
+    least = np.full(at.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, at, names)
+    return least[at]
+
+
+def finished(table: pa.Table, total: float, resolution: float, refined: bool, level: int) -> pa.Table:
+    """(id, c): communities of a whole level's nodes after this level and all that follow it.
+
+    `table` has the level's nodes and arcs as rows of ROWS, loops too. The same steps as in
+    `communities`, for which one task has room by now.
+    """
+    kind = table["kind"].to_numpy()
+    nodes, arcs = table.filter(pa.array(kind == NODE)).sort_by("a"), table.filter(pa.array(kind == ARC))
+    first = ids = nodes["a"].to_numpy()
+    of, member = nodes["b"].to_numpy(), np.arange(len(ids))
+    src, dst = (np.searchsorted(ids, arcs[c].to_numpy()) for c in "ab")
+    weight = arcs["p"].to_numpy()
+    while True:
+        k = np.bincount(src, weight, len(ids))
+        _, at = np.unique(of, return_inverse=True)
+        size = np.bincount(at, k)[at]
+        block = Block(whole_rows(ids, of, k, size, src, dst, weight))
+        moved = np.array(best_moves(block, total, resolution))
+        labels = pa.table({"id": first, "c": moved[member]})
+        parts = moved
+        if refined:
+            _, at = np.unique(moved, return_inverse=True)
+            inner = at[src] == at[dst]
+            block = Block(whole_rows(ids, moved, k, np.bincount(at, k)[at], src[inner], dst[inner], weight[inner]))
+            inside = np.bincount(src[inner & (src != dst)], weight[inner & (src != dst)], len(ids))
+            parts = ids[np.array(well_merged(block, inside, block.whole, total, resolution, level))]
+        names = least_in(parts, ids)
+        fewer, at = np.unique(names, return_inverse=True)
+        if len(fewer) == len(ids):
+            return labels
+        of = fewer
+        if refined:
+            # The next level starts from the coarse communities, each named by one of its parts.
+            of = np.empty(len(fewer), np.int64)
+            of[at] = least_in(moved, names)
+        member = at[member]
+        pairs, joined = np.unique(at[src] * len(fewer) + at[dst], return_inverse=True)
+        src, dst = np.divmod(pairs, len(fewer))
+        weight, ids, level = np.bincount(joined, weight), fewer, level + 1
+
+
+def whole_rows(ids: np.ndarray, of: np.ndarray, k: np.ndarray, size: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> pa.Table:
+    """A level's nodes, and its arcs by the places of their ends, as rows of ROWS."""
+    n, m = len(ids), len(src)
+    join = lambda *parts: np.concatenate(parts)
+    return pa.table({"kind": join(np.full(n, NODE), np.full(m, ARC)), "a": join(ids, ids[src]), "b": join(of, ids[dst]), "c": join(np.zeros(n, np.int64), of[dst]), "p": join(k, weight), "q": join(size, size[dst])})
+
+
 def contract(arcs: DataFrame, labels: DataFrame) -> DataFrame:
     """Arcs between communities; arcs inside one become its loop."""
     a, b = labels.select(F.col("id").alias("src"), F.col("c").alias("cs")), labels.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
@@ -231,6 +287,7 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refined: bool, tolerance: float) -> DataFrame:
+    """(id, c): communities level by level; the first level that one task has room for is taken to the end in it."""
     arcs = stored(both_ways(edges))
     total = arcs.agg(F.sum("weight")).first()[0] or 1.0
     members = nodes.select(F.col("cell").alias("id"), F.col("cell").alias("node"))
@@ -240,7 +297,20 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float, refined:
         degree = level_arcs.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
         start = ids.join(degree, "id", "left").na.fill(0.0, ["k"])
         start = start.join(parts, "id", "left") if parts is not None else start.withColumn("c", F.col("id"))
-        moved = move_nodes(level_arcs, start.select("id", F.coalesce("c", "id").alias("c"), "k"), total, resolution, tolerance)
+        start = start.select("id", F.coalesce("c", "id").alias("c"), "k")
+        if ids.count() <= BLOCK and level_arcs.count() <= ARCS:
+            zero = F.lit(0.0)
+            none = F.lit(0).cast("long")
+            whole = start.select(F.lit(0).cast("long").alias("block"), F.lit(NODE).alias("kind"), F.col("id").alias("a"), F.col("c").alias("b"), none.alias("c"), F.col("k").alias("p"), zero.alias("q")).union(
+                level_arcs.select(F.lit(0).cast("long"), F.lit(ARC), "src", "dst", none, "weight", zero)
+            )
+
+            def finish(table: pa.Table) -> pa.Table:
+                return finished(table, total, resolution, refined, level)
+
+            last = whole.groupBy("block").applyInArrow(finish, "id long, c long")
+            return stored(members.join(last.select(F.col("id").alias("node"), "c"), "node").select("id", "c"))
+        moved = move_nodes(level_arcs, start, total, resolution, tolerance)
         labels = stored(members.join(moved.select(F.col("id").alias("node"), "c"), "node").select("id", "c"))
         here, found = moved.agg(F.count("*"), F.countDistinct("c")).first()
         if found == here:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import descent, graph, krylov, layout
+from cellweave.operators import community, descent, graph, krylov, layout
 
 
 def vectors_of(spark, x):
@@ -106,3 +106,26 @@ def test_tiled_layouts_keep_clusters(spark):
     made = layout.tsne(joint, start, iterations=100)
     assert purity(made) > before + 0.4 and layout.divergence(joint, made) < 0.8 * layout.divergence(joint, start)
     assert purity(layout.umap(graph.connectivities(near), start, epochs=100)) > before + 0.4
+
+
+def jobs_of(spark, name, work):
+    """What `work` gives, and the number of Spark jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    made = work()
+    count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("", "")
+    return made, count
+
+
+@pytest.mark.parametrize("refined", [False, True])
+def test_small_levels_take_no_jobs_of_their_own(spark, refined):
+    """Pairs of cliques in rings of rings, which merge level by level: all levels after the first that fits are one job's."""
+    r = np.random.default_rng(4)
+    n = 4 * 4 * 4 * 4 * 6
+    pairs = {(int(i), int(j)) for size, degree in ((6, 5), (24, 3), (96, 2), (384, 1)) for i in range(n) for j in i // size * size + r.integers(0, size, degree) if i < j}
+    edges = spark.createDataFrame([(i, j, 1.0) for i, j in sorted(pairs)], "src long, dst long, weight double").cache()
+    nodes = spark.range(n).toDF("cell")
+    labels, jobs = jobs_of(spark, f"levels {refined}", lambda: community.communities(edges, nodes, 1.0, refined, 1e-5).cache())
+    assert labels.count() == n and labels.select("id").distinct().count() == n
+    assert jobs <= 12
+    assert community.modularity(edges, labels) > 0.5
