@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -112,37 +112,73 @@ def tiled(state: DataFrame, n: int, box: tuple[float, float, float]) -> DataFram
     return stored(placed.repartitionByRange(tiles, code, "cell").withColumn("tile", F.spark_partition_id()))
 
 
+#: Levels of the quadtree that a square carries with it, and that a job opens at once.
+STEP = 4
+
+
+def bundles(placed: DataFrame, last: int) -> DataFrame:
+    """(level, i, j, squares): each square of every STEP-th level with those below it down to the next such level.
+
+    `squares` are structs (level, i, j, m, cx, cy), made by grouped sums; empty ones are not there.
+    """
+    level = F.explode(F.sequence(F.lit(1), F.lit(last))).alias("level")
+    at = [F.expr(f"shiftright({c}, {DEPTH} - level)").alias(c) for c in "ij"]
+    sums = (F.count("*").cast("double").alias("m"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    squares = placed.select(level, "i", "j", "x", "y").select("level", *at, "x", "y").groupBy("level", "i", "j").agg(*sums)
+    top = F.expr(f"level - 1 - (level - 1) % {STEP}").alias("top")
+    above = squares.select(top, F.struct("level", "i", "j", "m", "cx", "cy").alias("square"))
+    key = [F.expr(f"shiftright(square.{c}, square.level - top)").alias(c) for c in "ij"]
+    return above.select(F.col("top").alias("level"), *key, "square").groupBy("level", "i", "j").agg(F.collect_list("square").alias("squares"))
+
+
 def far_squares(placed: DataFrame, n: int, box: tuple[float, float, float], opening: float = OPENING) -> DataFrame:
     """(tile, m, cx, cy): numbers and centres of the points outside each tile, by squares the smaller the nearer.
 
-    The quadtree is a table of the squares of each level, made by grouped sums. From the root on,
-    level by level, a square that is narrow for its distance from the tile's own rectangle stands
-    for its points, and another one gives way to its four parts. Of the squares of the last level,
-    which hold less than a point on average, only what isn't the tile's own counts.
+    The quadtree is a table of the squares of each level, made by grouped sums. From the root on, a
+    square that is narrow for its distance from the tile's own rectangle stands for its points, and
+    another one gives way to its four parts. A job opens STEP levels for all tiles at once. Of the
+    squares of the last level, which hold less than a point on average, only what isn't the tile's
+    own counts.
     """
     low_x, low_y, span = box
     last = min(DEPTH, max(1, math.ceil(math.log(n, 4)) + 1))
-    level = F.explode(F.sequence(F.lit(1), F.lit(last))).alias("level")
-    part = lambda c, level: F.shiftright(c, DEPTH - level)
-    sums = (F.count("*").alias("m"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    at = [F.expr(f"shiftright({c}, {DEPTH} - level)").alias(c) for c in "ij"]
-    squares = stored(placed.select(level, "i", "j", "x", "y").select("level", *at, "x", "y").groupBy("level", "i", "j").agg(*sums))
-    owned = placed.groupBy(part("i", last).alias("i"), part("j", last).alias("j"), F.col("tile").alias("owner")).agg(*sums)
-    halves = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("h")
-    boxes = stored(placed.groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    squares = stored(bundles(placed, last))
+    part = lambda c: F.shiftright(c, DEPTH - last)
+    owned = placed.groupBy(part("i").alias("i"), part("j").alias("j"), F.col("tile").alias("owner")).agg(F.count("*").cast("double").alias("m"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     edges = ("tile", "x0", "x1", "y0", "y1")
-    front = boxes.select(*edges, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    front = placed.groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).withColumns({c: F.lit(0).cast("long") for c in "ij"})
     found = []
-    for k in range(1, last + 1):
-        front = front.select(*edges, "i", "j", halves).select(*edges, (F.col("i") * 2 + F.col("h.a")).alias("i"), (F.col("j") * 2 + F.col("h.b")).alias("j"))
-        here = squares.where(F.col("level") == k).drop("level")
-        # The first levels have at most 4096 squares.
-        front = front.join(F.broadcast(here) if k <= 6 else here, ["i", "j"])
-        side = span / 2**k
-        gap = lambda c, low, a, b: F.greatest(F.lit(0.0), low + F.col(c) * side - F.col(b), F.col(a) - (low + (F.col(c) + 1) * side))
-        narrow = F.lit(side) < opening * F.hypot(gap("i", low_x, "x0", "x1"), gap("j", low_y, "y0", "y1"))
-        found.append(front.where(narrow).select("tile", "m", "cx", "cy"))
-        front = front.where(~narrow).select(*edges, "i", "j")
+    for top in range(0, last, STEP):
+        bottom = min(last, top + STEP)
+
+        def opened(batches: Iterator[pa.RecordBatch], top: int = top, bottom: int = bottom) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+                given = [batch.column(c).to_numpy() for c in edges]
+                ends, every = batch.column("squares").offsets.to_numpy(), batch.column("squares").values
+                of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+                level, i, j, m, cx, cy = (every.field(c).to_numpy()[ends[0] : ends[-1]] for c in ("level", "i", "j", "m", "cx", "cy"))
+                tile, x0, x1, y0, y1 = (c[of] for c in given)
+                side = span / 2.0**level
+                gap = lambda c, low, a, b: np.maximum(0.0, np.maximum(low + c * side - b, a - (low + (c + 1) * side)))
+                narrow = side < opening * np.hypot(gap(i, low_x, x0, x1), gap(j, low_y, y0, y1))
+                # A square counts if none of those above it, within this bundle, is narrow.
+                code = (of << 2 * STEP) + ((i & (1 << level - top) - 1) << STEP) + (j & (1 << level - top) - 1)
+                live = np.ones(len(of), bool)
+                for k in range(top + 1, bottom):
+                    here = (level == k) & (narrow | ~live)
+                    below = level == k + 1
+                    above = (of << 2 * STEP) + ((i >> 1 & (1 << k - top) - 1) << STEP) + (j >> 1 & (1 << k - top) - 1)
+                    live[below] = ~np.isin(above[below], code[here])
+                done, on = live & narrow, live & ~narrow & (level == bottom)
+                keep = done | on
+                columns = [tile, x0, x1, y0, y1, i, j, m, cx, cy, done]
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], [*edges, "i", "j", "m", "cx", "cy", "done"])
+
+        here = squares.where(F.col("level") == top).select("i", "j", "squares")
+        schema = "tile int, x0 double, x1 double, y0 double, y1 double, i long, j long, m double, cx double, cy double, done boolean"
+        seen = stored(front.join(F.broadcast(here) if not top else here, ["i", "j"]).mapInArrow(opened, schema))
+        found.append(seen.where("done").select("tile", "m", "cx", "cy"))
+        front = seen.where("not done").select(*edges, "i", "j")
     found.append(front.select("tile", "i", "j").join(owned, ["i", "j"]).where("owner <> tile").select("tile", "m", "cx", "cy"))
     return reduce(DataFrame.union, found)
 
@@ -239,13 +275,23 @@ def affinities(neighbours: DataFrame, perplexity: float) -> DataFrame:
 def repulsion(x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each point's push from the others of its tile and from squares (number, centre), and the sum of its closenesses."""
     force, z = np.empty_like(x), np.empty(len(x))
-    others = np.concatenate([np.column_stack([np.ones(len(x)), x]), far])
-    for i in range(0, len(x), 256):
-        dx, dy = (x[i : i + 256, c, None] - others[:, c + 1] for c in (0, 1))
-        q = 1 / (1 + dx * dx + dy * dy)
-        z[i : i + 256] = q @ others[:, 0] - 1
+    m = np.concatenate([np.ones(len(x)), far[:, 0]])
+    others = np.concatenate([x, far[:, 1:]])
+    ox, oy = others.T.copy()
+    weights = np.column_stack([m, m * ox, m * oy])
+    # A part's distances stay in the processor's cache.
+    for i in range(0, len(x), 32):
+        own = x[i : i + 32]
+        q, dy = own[:, :1] - ox, own[:, 1:] - oy
+        q *= q
+        dy *= dy
+        q += dy
+        q += 1
+        np.reciprocal(q, out=q)
+        z[i : i + 32] = q @ m - 1
         q *= q
-        force[i : i + 256] = np.stack([(q * dx) @ others[:, 0], (q * dy) @ others[:, 0]], axis=1)
+        sums = q @ weights
+        force[i : i + 32] = own * sums[:, :1] - sums[:, 1:]
     return force, z
 
 

@@ -129,3 +129,17 @@ def test_small_levels_take_no_jobs_of_their_own(spark, refined):
     assert labels.count() == n and labels.select("id").distinct().count() == n
     assert jobs <= 12
     assert community.modularity(edges, labels) > 0.5
+
+
+def test_far_squares_open_levels_at_once(spark):
+    """Every tile sees all points outside it, in a plan whose joins don't grow with the square of the levels."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(2500, 2)), [[300.0, -200.0]]])
+    places = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "cell long, x double, y double")
+    state = layout.start_state(places, 1.0)
+    box, _ = layout.extent(state)
+    placed = layout.tiled(state, len(x), box)
+    far = layout.far_squares(placed, len(x), box)
+    assert far._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    outside = far.groupBy("tile").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("cx")).alias("x")).join(placed.groupBy("tile").agg(F.count("*").alias("n"), F.sum("x").alias("own")), "tile").collect()
+    assert len(outside) == 3 and all(t.m + t.n == len(x) and abs(t.x + t.own - x[:, 0].sum()) < 1e-6 for t in outside)
