@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.model import Dataset, dataset
-from cellweave.plans import pipelines
+from cellweave.plans import catalog, pipelines
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +32,16 @@ def test_preprocess_reads_the_entries_once(spark):
     ready = pipelines.preprocess(data, ["3"], 20, 60, gene_rule="sum")
     assert ready.counts.count() > 0 and ready.results["variable"].count() == 40
     assert seen.value == entries.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_batches_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """`hvg_batches` writes and reads each of its two batches as several files, not as one."""
+    path = str(tmp_path / "arriving")
+    monkeypatch.setattr(catalog, "new_path", lambda _: path)
+    asked = []
+    given = catalog.batches.preprocess_batches
+    monkeypatch.setattr(catalog.batches, "preprocess_batches", lambda *a: asked.append(a[6]) or given(*a))
+    assert catalog.hvg_batches(spark, SF).count() > 0
+    written = len([f for f in os.listdir(path) if f.endswith(".parquet")])
+    assert asked == [spark.sparkContext.defaultParallelism] and asked[0] < written <= 2 * asked[0]
