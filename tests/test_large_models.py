@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import community, descent, graph, krylov, layout
+from cellweave.operators import community, dealt, descent, graph, krylov, layout
 
 
 def vectors_of(spark, x):
@@ -73,6 +73,28 @@ def test_components_of_stored_entries(spark, cells, genes, k):
     assert np.allclose(got, centred @ found.vectors, atol=1e-9)
 
 
+@pytest.mark.parametrize("cells, genes, k, unit, held", [(120, 60, 5, 8, 60), (40, 90, 8, 16, 10000), (12, 3, 10, 8, 1)])
+def test_components_dealt_to_tasks(spark, monkeypatch, cells, genes, k, unit, held):
+    """More numbers than the driver may hold: the same components, from vectors that it never has."""
+    r = np.random.default_rng(cells)
+    a = (r.random((cells, genes)) < 0.2) * r.normal(3, 2, (cells, genes))
+    a[5] = 0
+    a[:, 1] = 0
+    counts = spark.createDataFrame([(int(i), int(j) * 7, float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "cell long, gene long, v double").repartition(3)
+    cell_rows, gene_rows = spark.range(cells).toDF("cell"), spark.createDataFrame([(j * 7,) for j in range(genes)], "gene long")
+    monkeypatch.setattr(krylov, "MOST", 1)
+    monkeypatch.setattr(dealt.fit, "__defaults__", (*dealt.fit.__defaults__[:-2], unit, held))
+    found, rows = krylov.fit(counts, cell_rows, gene_rows, k, tolerance=1e-6)
+    centred = a - a.mean(axis=0)
+    want = np.linalg.svd(centred, compute_uv=False)[: min(k, genes)]
+    assert np.allclose(found.singular, want, atol=1e-6 * want[0]) and abs(found.squares - (centred**2).sum()) < 1e-6 and found.error <= 1e-6
+    vectors = np.stack(dealt.loadings(found, rows).toPandas().sort_values("gene").vec)
+    assert np.allclose(vectors.T @ vectors, np.eye(len(want)), atol=1e-9)
+    assert (vectors[np.abs(vectors).argmax(axis=0), range(len(want))] > 0).all()
+    got = np.stack(krylov.scores(found, rows, cell_rows).toPandas().sort_values("cell").vec)
+    assert np.allclose(got, centred @ vectors, atol=1e-9)
+
+
 def test_repulsion_of_several_tiles(spark):
     r = np.random.default_rng(7)
     x = np.concatenate([c + r.normal(size=(550, 2)) * s for c, s in zip(r.normal(size=(4, 2)) * 30, (1, 3, 9, 0.2), strict=True)])
