@@ -273,15 +273,20 @@ def affinities(neighbours: DataFrame, perplexity: float) -> DataFrame:
 
 
 def repulsion(x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each point's push from the others of its tile and from squares (number, centre), and the sum of its closenesses."""
+    """Each point's push from the others of its tile and from squares (number, centre), and the sum of its closenesses.
+
+    Pairs are worked out in single precision around the tile's middle, in which places differ by
+    little; that is far finer than what a square's centre makes of its points.
+    """
     force, z = np.empty_like(x), np.empty(len(x))
-    m = np.concatenate([np.ones(len(x)), far[:, 0]])
-    others = np.concatenate([x, far[:, 1:]])
+    middle = x.mean(axis=0)
+    m = np.concatenate([np.ones(len(x)), far[:, 0]]).astype(np.float32)
+    others = (np.concatenate([x, far[:, 1:]]) - middle).astype(np.float32)
     ox, oy = others.T.copy()
     weights = np.column_stack([m, m * ox, m * oy])
     # A part's distances stay in the processor's cache.
     for i in range(0, len(x), 32):
-        own = x[i : i + 32]
+        own = others[i : min(i + 32, len(x))]
         q, dy = own[:, :1] - ox, own[:, 1:] - oy
         q *= q
         dy *= dy
@@ -307,7 +312,9 @@ def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float
     turns = Turns()
     state = turns.store(start_state(start, 1e-2))
     n = state.count()
-    rate = rate or max(50.0, n / exaggeration)
+    # A step of n / exaggeration / 4 takes a cell, while attraction is exaggerated, just to the mean of its
+    # neighbours. A longer one throws it beyond, and with most neighbours in other tiles the start is lost.
+    rate = rate or max(50.0, n / exaggeration / 4)
 
     def measured(tile: Tile) -> None:
         tile.z = repulsion(tile.x, tile.far)[1]
@@ -327,8 +334,8 @@ def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float
                 tile.v = np.clip(momentum * tile.v - rate * 4 * (gain * pull - force / max(others + tile.z.sum(), 1e-12)), -5, 5)
                 tile.x += tile.v
 
-        # The first turn moves nothing: it finds the normalising sum.
-        state = turns.store(turn(placed, arcs, far, measured if first is None else move))
+        # The first turn moves nothing: it finds the normalising sum, for which no arcs are needed.
+        state = turns.store(turn(placed, arcs.where("false"), far, measured) if first is None else turn(placed, arcs, far, move))
     return state.select("cell", "x", "y")
 
 
@@ -347,18 +354,18 @@ def layout_sums(positions: DataFrame) -> tuple[int, float, DataFrame]:
     return n, pushed.agg(F.sum("z")).first()[0], pushed
 
 
-def divergence(joint: DataFrame, positions: DataFrame) -> float:
-    """Kullback-Leibler divergence of a layout's closenesses from the joint chances."""
-    _, z, _ = layout_sums(positions)
+def divergence(joint: DataFrame, positions: DataFrame, sums: tuple[int, float, DataFrame] | None = None) -> float:
+    """Kullback-Leibler divergence of a layout's closenesses from the joint chances; `sums` are its `layout_sums`, if they are there."""
+    _, z, _ = sums or layout_sums(positions)
     a, b = (positions.select(F.col("cell").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k, c in enumerate(("src", "dst")))
     d2 = F.pow(F.col("x0") - F.col("x1"), 2) + F.pow(F.col("y0") - F.col("y1"), 2)
     p = F.col("weight")
     return joint.join(a, "src").join(b, "dst").agg(F.sum(2 * p * F.log(p * (1 + d2) * z))).first()[0] or 0.0
 
 
-def repulsion_error(positions: DataFrame) -> float:
-    """How far the pushes on each 50th cell are from those of all pairs, as a share of these."""
-    n, _, pushed = layout_sums(positions)
+def repulsion_error(positions: DataFrame, sums: tuple[int, float, DataFrame] | None = None) -> float:
+    """How far the pushes on each 50th cell are from those of all pairs, as a share of these; `sums` as for `divergence`."""
+    n, _, pushed = sums or layout_sums(positions)
     blocks = max(1, n // 4096)
     asked = pushed.where("cell % 50 = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("cell").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("vx"), F.col("vy"), "block")
     dx, dy = F.col("x0") - F.col("x"), F.col("y0") - F.col("y")

@@ -130,6 +130,29 @@ def test_tiled_layouts_keep_clusters(spark):
     assert purity(layout.umap(graph.connectivities(near), start, epochs=100)) > before + 0.4
 
 
+def test_tsne_of_many_tiles_comes_nearer(spark, monkeypatch):
+    """Where most neighbours are in other tiles, which stand still for a turn, steps must not throw cells beyond them."""
+    x = np.random.default_rng(5).normal(size=(2600, 16))
+    vectors = vectors_of(spark, x)
+    joint = layout.affinities(graph.knn(vectors, 30), 10).cache()
+    start = layout.initial_positions(vectors).cache()
+    monkeypatch.setattr(layout, "TILE", 32)
+    made = layout.tsne(joint, start, iterations=150)
+    assert layout.divergence(joint, made) < layout.divergence(joint, start)
+
+
+def test_repulsion_in_single_precision():
+    r = np.random.default_rng(6)
+    for width, at in ((0.05, 0.0), (3.0, 400.0)):
+        x, far = r.normal(size=(100, 2)) * width + at, np.column_stack([r.integers(1, 900, 300), r.normal(size=(300, 2)) * 30 * width])
+        m, others = np.concatenate([np.ones(100), far[:, 0]]), np.concatenate([x, far[:, 1:]])
+        d = x[:, None] - others
+        q = 1 / (1 + (d * d).sum(axis=2))
+        force, z = layout.repulsion(x, far)
+        want = ((q * q * m)[:, :, None] * d).sum(axis=1)
+        assert np.allclose(z, q @ m - 1, rtol=1e-5) and np.abs(force - want).sum() < 1e-4 * np.abs(want).sum()
+
+
 def jobs_of(spark, name, work):
     """What `work` gives, and the number of Spark jobs it took."""
     spark.sparkContext.setJobGroup(name, name)
