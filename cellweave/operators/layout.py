@@ -272,34 +272,42 @@ def affinities(neighbours: DataFrame, perplexity: float) -> DataFrame:
     return both.select(F.col("u").alias("src"), F.col("v").alias("dst"), (F.col("weight") / (2 * n)).alias("weight"))
 
 
-def repulsion(x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each point's push from the others of its tile and from squares (number, centre), and the sum of its closenesses.
+def pushes(x: np.ndarray, m: np.ndarray, others: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's push from `m` points at each of the places `others`, and the sum of its closenesses to them.
 
-    Pairs are worked out in single precision around the tile's middle, in which places differ by
-    little; that is far finer than what a square's centre makes of its points.
+    Pairs are worked out in numbers of the given kind, around the middle of x.
     """
     force, z = np.empty_like(x), np.empty(len(x))
     middle = x.mean(axis=0)
-    m = np.concatenate([np.ones(len(x)), far[:, 0]]).astype(np.float32)
-    others = (np.concatenate([x, far[:, 1:]]) - middle).astype(np.float32)
+    m, x, others = m.astype(kind), (x - middle).astype(kind), (others - middle).astype(kind)
     ox, oy = others.T.copy()
     weights = np.column_stack([m, m * ox, m * oy])
     # A part's distances stay in the processor's cache.
     for i in range(0, len(x), 32):
-        own = others[i : min(i + 32, len(x))]
+        own = x[i : i + 32]
         q, dy = own[:, :1] - ox, own[:, 1:] - oy
         q *= q
         dy *= dy
         q += dy
         q += 1
         np.reciprocal(q, out=q)
-        z[i : i + 32] = q @ m - 1
+        z[i : i + 32] = q @ m
         q *= q
         sums = q @ weights
         force[i : i + 32] = own * sums[:, :1] - sums[:, 1:]
     return force, z
 
 
+def repulsion(x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's push from the others of its tile and from squares (number, centre), and the sum of its closenesses.
+
+    Single precision is enough around the tile's middle, in which places differ by little; it is far
+    finer than what a square's centre makes of its points.
+    """
+    force, z = pushes(x, np.concatenate([np.ones(len(x)), far[:, 0]]), np.concatenate([x, far[:, 1:]]), np.float32)
+    return force, z - 1
+
+
 def tsne(joint: DataFrame, start: DataFrame, iterations: int = 250, rate: float | None = None, exaggeration: float = 12.0, inner: int = 25) -> DataFrame:
     """(cell, x, y): a t-SNE layout of joint chances (src, dst, weight) from the places in `start`.
 
@@ -363,14 +371,38 @@ def divergence(joint: DataFrame, positions: DataFrame, sums: tuple[int, float, D
     return joint.join(a, "src").join(b, "dst").agg(F.sum(2 * p * F.log(p * (1 + d2) * z))).first()[0] or 0.0
 
 
-def repulsion_error(positions: DataFrame, sums: tuple[int, float, DataFrame] | None = None) -> float:
-    """How far the pushes on each 50th cell are from those of all pairs, as a share of these; `sums` as for `divergence`."""
+#: Most cells that a task works out the pushes on; it holds these and four times as many others.
+BLOCK = 16384
+
+
+def repulsion_error(positions: DataFrame, sums: tuple[int, float, DataFrame] | None = None, block: int | None = None) -> float:
+    """How far the pushes on all cells are from those of all pairs, as a share of these; `sums` as for `divergence`.
+
+    The work is quadratic. A hash deals the cells to blocks and, as what pushes, to blocks four times
+    as large; each meets each in a task of its own.
+    """
     n, _, pushed = sums or layout_sums(positions)
-    blocks = max(1, n // 4096)
-    asked = pushed.where("cell % 50 = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("cell").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("vx"), F.col("vy"), "block")
-    dx, dy = F.col("x0") - F.col("x"), F.col("y0") - F.col("y")
-    q2 = F.pow(1 + dx * dx + dy * dy, -2)
-    dealt = positions.withColumn("block", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int"))
-    exact = asked.join(dealt, "block").groupBy("src", "vx", "vy").agg(F.sum(q2 * dx).alias("fx"), F.sum(q2 * dy).alias("fy"))
-    off, size = exact.agg(F.sum(F.hypot(F.col("vx") - F.col("fx"), F.col("vy") - F.col("fy"))), F.sum(F.hypot("fx", "fy"))).first()
+    block = block or min(BLOCK, max(1024, -(-n // 8)))
+    many = max(1, -(-n // block)), max(1, -(-n // (4 * block)))
+    own = lambda n: F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = pushed.select(F.lit(True).alias("asks"), "cell", "x", "y", "vx", "vy", own(many[0]).alias("a"), every(many[1]).alias("b"))
+    others = positions.select(F.lit(False).alias("asks"), "cell", "x", "y", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), every(many[0]).alias("a"), own(many[1]).alias("b"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        places = np.column_stack([table[c].to_numpy() for c in "xy"])
+        x, rest = places[asks], places[~asks]
+        force = np.zeros_like(x)
+        for i in range(0, len(rest) if len(x) else 0, 2048):
+            force += pushes(x, np.ones(len(rest[i : i + 2048])), rest[i : i + 2048], float)[0]
+        return table.filter(pa.array(asks)).select(["cell", "x", "y", "vx", "vy"]).append_column("fx", pa.array(force[:, 0])).append_column("fy", pa.array(force[:, 1]))
+
+    # More partitions than tasks, so that few of these share one.
+    dealt = asked.union(others).repartition(min(4 * many[0] * many[1], 2000), "a", "b")
+    parts = dealt.groupBy("a", "b").applyInArrow(meet, "cell long, x double, y double, vx double, vy double, fx double, fy double")
+    # A cell that comes more than once is pushed as often by each block.
+    times = F.count("*") / many[1]
+    exact = parts.groupBy("cell", "x", "y", "vx", "vy").agg((F.sum("fx") / times).alias("fx"), (F.sum("fy") / times).alias("fy"), times.alias("times"))
+    off, size = exact.agg(F.sum(F.col("times") * F.hypot(F.col("vx") - F.col("fx"), F.col("vy") - F.col("fy"))), F.sum(F.col("times") * F.hypot("fx", "fy"))).first()
     return (off or 0.0) / max(size or 0.0, 1e-12)

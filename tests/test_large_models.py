@@ -110,6 +110,23 @@ def test_repulsion_of_several_tiles(spark):
     assert tiles.groupBy("tile").count().agg(F.max("count")).first()[0] < n
 
 
+def test_repulsion_error_is_that_of_all_cells(spark):
+    """Pushes that are right on each 50th cell alone, against all pairs; blocks and cells that come twice change nothing."""
+    x = np.random.default_rng(9).normal(size=(230, 2)) * 5
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate([*x, *x[:10]])]
+    rows = [(i if i < 230 else i - 230, a, b) for i, a, b in rows]
+    places = spark.createDataFrame(rows, "cell long, x double, y double")
+    y = np.array([r[1:] for r in rows])
+    d = y[:, None] - y
+    q = 1 / (1 + (d * d).sum(axis=2)) ** 2
+    want = (q[:, :, None] * d).sum(axis=1)
+    state = spark.createDataFrame([(*r, *(f if r[0] % 50 == 0 else (0.0, 0.0)), 0.0) for r, f in zip(rows, want.tolist(), strict=True)], layout.STATE)
+    size = np.hypot(*want.T)
+    wrong = size[[r[0] % 50 != 0 for r in rows]].sum() / size.sum()
+    for block in (None, 20):
+        assert abs(layout.repulsion_error(places, (len(rows), 0.0, state), block) - wrong) < 1e-9
+
+
 def test_tiled_layouts_keep_clusters(spark):
     r = np.random.default_rng(3)
     label = np.arange(1300) % 13
