@@ -95,6 +95,28 @@ def test_components_dealt_to_tasks(spark, monkeypatch, cells, genes, k, unit, he
     assert np.allclose(got, centred @ vectors, atol=1e-9)
 
 
+def test_equal_components_dealt_to_tasks(spark, monkeypatch):
+    """Copies of one matrix, whose singular values come as often as there are copies, in several tiles that several tasks share."""
+    r = np.random.default_rng(4)
+    one = (r.random((14, 10)) < 0.4) * r.integers(1, 9, (14, 10)).astype(float)
+    a = np.kron(np.eye(9), one)
+    counts = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "cell long, gene long, v double").repartition(3)
+    for name, value in (("SIDE", 2), ("SORTED", 50), ("SENT", 100)):
+        monkeypatch.setattr(dealt, name, value)
+    cell_rows, gene_rows = spark.range(len(a)).toDF("cell"), spark.range(a.shape[1]).toDF("gene")
+    found, rows = dealt.fit(counts, cell_rows, gene_rows, 4, 1, unit=8, held=20)
+    assert rows.tiles[0].count() > 9 and rows.tiles[0].agg(F.max("pieces")).first()[0] > 1
+    centred = a - a.mean(axis=0)
+    want = np.linalg.svd(centred, compute_uv=False)[:4]
+    vectors = np.stack(dealt.loadings(found, rows).toPandas().sort_values("gene").vec)
+    assert found.error <= 1e-4 and np.allclose(found.singular, want, rtol=1e-6) and np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-12)
+    got = np.stack(krylov.scores(found, rows, cell_rows).toPandas().sort_values("cell").vec)
+    assert np.allclose(got, centred @ vectors, atol=1e-9)
+    inner = got.T @ got
+    assert np.allclose(inner, np.diag(found.singular**2), atol=1e-12 * inner.max())
+    assert np.linalg.norm(centred.T @ (centred @ vectors) - vectors * found.singular**2, axis=0).max() <= 2e-4 * found.singular[-1] ** 2
+
+
 def test_repulsion_of_several_tiles(spark):
     r = np.random.default_rng(7)
     x = np.concatenate([c + r.normal(size=(550, 2)) * s for c, s in zip(r.normal(size=(4, 2)) * 30, (1, 3, 9, 0.2), strict=True)])
